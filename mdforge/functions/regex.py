@@ -38,6 +38,16 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
+
+    Referencing a computed column several times inside one expression copies its
+    whole subtree; binding it through a one-element ``transform`` keeps the plan small
+    and evaluates it once per row.
+    """
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def rx_spark(col: Column, steps: Sequence[Rx]) -> Column:
     for st in steps:
         col = F.regexp_replace(col, F.lit(st.pattern), F.lit(java_repl(st.repl)))

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import sql_str
+from .regex import let, sql_str
 
 URL_RE = (
     r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?)?"
@@ -36,15 +36,23 @@ SCHEME_RE = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
 # U1 parts
 # ---------------------------------------------------------------------------
 
-def url_part(url: Column, name: str) -> Column:
-    """One part; null when the URL does not parse or the part is absent/empty."""
-    i = PARTS.index(name) + 1
-    raw = F.regexp_extract(url, URL_RE, i)
+def _part_of(u: Column, name: str) -> Column:
+    raw = F.regexp_extract(u, URL_RE, PARTS.index(name) + 1)
     if name in ("scheme", "host"):
         raw = F.lower(raw)
     return F.nullif(raw, F.lit(""))
 
 
+def url_part(url: Column, name: str) -> Column:
+    """One part; null when the URL does not parse or the part is absent/empty."""
+    return _part_of(url, name)
+
+
+def url_parts(url: Column) -> Column:
+    """All parts as one struct (fields named as ``PARTS``), the URL read once."""
+    return let(url, lambda u: F.struct(*[_part_of(u, n).alias(n) for n in PARTS]))
+
+
 def url_part_sql(e: str, name: str) -> str:
     i = PARTS.index(name) + 1
     raw = f"regexp_extract({e}, {sql_str(URL_RE)}, {i})"
@@ -66,6 +74,10 @@ def host_unbracketed_sql(e: str) -> str:
 # ---------------------------------------------------------------------------
 
 def remove_dot_segments(path: Column) -> Column:
+    return let(path, _remove_dot_segments)
+
+
+def _remove_dot_segments(path: Column) -> Column:
     segs = F.split(path, "/")
     body = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
     empty = F.array().cast("array<string>")
@@ -96,13 +108,20 @@ ENCODE_STEPS = ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%
 
 
 def encode_path(path: Column) -> Column:
+    return let(path, _encode_path)
+
+
+def _encode_path(path: Column) -> Column:
     out = path
     for ch, enc in ENCODE_STEPS:
         out = F.replace(out, F.lit(ch), F.lit(enc))
-    per_char = F.array_join(
-        F.transform(F.split(out, ""), lambda ch: F.when(ch.rlike(NON_ASCII_RE), F.url_encode(ch)).otherwise(ch)), ""
-    )
-    return F.when(out.rlike(NON_ASCII_RE), per_char).otherwise(out)
+    def enc(o: Column) -> Column:
+        per_char = F.array_join(
+            F.transform(F.split(o, ""), lambda ch: F.when(ch.rlike(NON_ASCII_RE), F.url_encode(ch)).otherwise(ch)), ""
+        )
+        return F.when(o.rlike(NON_ASCII_RE), per_char).otherwise(o)
+
+    return let(out, enc)
 
 
 def encode_path_sql(e: str) -> str:
@@ -150,10 +169,17 @@ def _compose_sql(scheme: str, userinfo: str, host: str, port: str, path: str, qu
 
 def normalize_url(url: Column) -> Column:
     """Canonical key; null when the URL does not parse as scheme://host."""
-    p = {n: url_part(url, n) for n in PARTS}
-    ok = p["scheme"].isNotNull() & p["host"].isNotNull() & F.contains(url, F.lit("://"))
-    path = remove_dot_segments(F.coalesce(p["path"], F.lit("")))
-    return F.when(ok, _compose(p["scheme"], p["userinfo"], p["host"], p["port"], path, p["query"]))
+
+    def body(u: Column) -> Column:
+        def with_parts(s: Column) -> Column:
+            p = {n: s[n] for n in PARTS}
+            ok = p["scheme"].isNotNull() & p["host"].isNotNull() & F.contains(u, F.lit("://"))
+            path = remove_dot_segments(F.coalesce(p["path"], F.lit("")))
+            return F.when(ok, _compose(p["scheme"], p["userinfo"], p["host"], p["port"], path, p["query"]))
+
+        return let(url_parts(u), with_parts)
+
+    return let(url, body)
 
 
 def normalize_url_sql(e: str) -> str:
@@ -172,7 +198,10 @@ def normalize_url_sql(e: str) -> str:
 
 def url_origin(url: Column) -> Column:
     """``scheme://host[:port]`` for http(s) URLs with a valid host; else null."""
-    scheme, host, port = url_part(url, "scheme"), url_part(url, "host"), url_part(url, "port")
+    return let(url, lambda u: let(url_parts(u), lambda s: _origin(u, s["scheme"], s["host"], s["port"])))
+
+
+def _origin(url: Column, scheme: Column, host: Column, port: Column) -> Column:
     good = (
         scheme.isin(*SPECIAL)
         & host.isNotNull()
@@ -219,7 +248,18 @@ def resolve_url(link: Column, base: Column, keep_absolute_raw: bool = True) -> C
     ``keep_absolute_raw`` keeps links that start with ``http://`` / ``https://``
     (case-sensitive) exactly as written, the rule of the Markdown link extractor.
     """
-    b = {n: url_part(base, n) for n in PARTS}
+    def outer(r: Column) -> Column:
+        return let(url_parts(r["base"]), lambda bs: let(
+            F.regexp_replace(r["link"], r"^[\x00-\x20]+|[\x00-\x20]+\z", ""), lambda lk: _resolve(lk, bs)))
+
+    resolved = let(F.struct(link.alias("link"), base.alias("base")), outer)
+    if keep_absolute_raw:
+        return F.when(link.startswith("http://") | link.startswith("https://"), link).otherwise(resolved)
+    return resolved
+
+
+def _resolve(lk: Column, bs: Column) -> Column:
+    b = {n: bs[n] for n in PARTS}
     base_ok = b["scheme"].isin(*SPECIAL) & b["host"].isNotNull()
     default = F.when(b["scheme"] == "http", "80").otherwise("443")
     authority = F.concat(
@@ -233,7 +273,6 @@ def resolve_url(link: Column, base: Column, keep_absolute_raw: bool = True) -> C
     base_query = F.when(b["query"].isNotNull(), F.concat(F.lit("?"), b["query"])).otherwise(F.lit(""))
     base_dir = F.regexp_extract(base_path, r"^(.*/)", 1)
 
-    lk = F.regexp_replace(link, r"^[\x00-\x20]+|[\x00-\x20]+\z", "")
     path, query, frag = _split_ref(lk)
 
     def finish(p: Column, q: Column, f: Column) -> Column:
@@ -259,8 +298,6 @@ def resolve_url(link: Column, base: Column, keep_absolute_raw: bool = True) -> C
         .when(lk.startswith("#"), F.concat(authority, encode_path(base_path), base_query, encode_path(frag)))
         .otherwise(finish(F.concat(base_dir, path), query, frag))
     )
-    if keep_absolute_raw:
-        return F.when(link.startswith("http://") | link.startswith("https://"), link).otherwise(resolved)
     return resolved
 
 

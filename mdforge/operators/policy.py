@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as IP
 from ..functions import urls as U
+from ..functions.regex import sql_str
 
 # Policy messages.
 MSG_INVALID_URL = "Invalid URL: "
@@ -167,3 +168,81 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url") -> Da
 def policy_report(checked: DataFrame) -> DataFrame:
     """URLs per rule (aggregated map-side, one row per rule)."""
     return checked.groupBy("rule").agg(F.count(F.lit(1)).alias("n_urls"), F.count_distinct("host").alias("n_hosts"))
+
+
+# ---------------------------------------------------------------------------
+# DuckDB twins (test oracle).
+# ---------------------------------------------------------------------------
+
+def address_verdicts_sql(src: str, address: str = "address", family: str = "family") -> str:
+    """SQL subquery adding checked_family, checked_address, v4_num, v6_hex, blocked_range, error."""
+    mapped = f"regexp_extract(lower({address}), {sql_str(IP.MAPPED_RE)}, 1)"
+    staged = (
+        f"SELECT t.*, CASE WHEN t._is_mapped THEN 4 ELSE CAST(t.{family} AS INTEGER) END AS checked_family, "
+        f"CASE WHEN t._is_mapped THEN t._mapped ELSE t.{address} END AS checked_address FROM "
+        f"(SELECT *, {mapped} AS _mapped, ({family} = 6 AND {mapped} <> '') AS _is_mapped FROM {src}) t"
+    )
+    parsed = (
+        f"SELECT x.*, CASE WHEN checked_family = 4 THEN {IP.ipv4_number_sql('checked_address')} END AS v4_num, "
+        f"CASE WHEN checked_family = 6 THEN {IP.ipv6_hex_sql('checked_address')} END AS _v6 FROM ({staged}) x"
+    )
+    joined = (
+        f"SELECT s.*, s._v6.hex AS v6_hex, r.r_label AS blocked_range FROM ({parsed}) s LEFT JOIN {IP.blocked_ranges_sql()} r "
+        f"ON s.checked_family = r.r_family AND ((r.r_family = 4 AND s.v4_num BETWEEN r.r_lo4 AND r.r_hi4) "
+        f"OR (r.r_family = 6 AND s._v6.hex BETWEEN r.r_lo AND r.r_hi))"
+    )
+    return (
+        f"(SELECT * EXCLUDE (_mapped, _is_mapped, _v6), CASE WHEN {address} IS NULL THEN NULL "
+        f"WHEN checked_family NOT IN (4, 6) THEN '{MSG_UNKNOWN_FAMILY}' || CAST({family} AS VARCHAR) "
+        f"WHEN checked_family = 4 AND v4_num IS NULL THEN '{MSG_INVALID_V4}' || checked_address "
+        f"WHEN checked_family = 6 THEN coalesce(_v6.error, CASE WHEN blocked_range IS NOT NULL THEN '{MSG_BLOCKED}' || checked_address END) "
+        f"WHEN blocked_range IS NOT NULL THEN '{MSG_BLOCKED}' || checked_address END AS error FROM ({joined}))"
+    )
+
+
+def host_policy_sql(ha: str) -> str:
+    av = address_verdicts_sql(ha)
+    return (
+        f"(SELECT host, n_addresses, CASE WHEN n_addresses = 0 THEN 'Hostname \"' || host || '\" did not resolve' "
+        f"ELSE bad.error END AS error FROM (SELECT host, count(address) AS n_addresses, "
+        f"min(CASE WHEN error IS NOT NULL THEN struct_pack(pos := pos, address := address, error := error) END) AS bad "
+        f"FROM {av} GROUP BY host))"
+    )
+
+
+def url_policy_sql(src: str, ha: str, url: str = "url") -> str:
+    """SQL twin of ``url_policy`` for a source with a ``url`` column."""
+    scheme, userinfo, host = (U.url_part_sql(url, n) for n in ("scheme", "userinfo", "host"))
+    bare = U.host_unbracketed_sql(host)
+    v4 = IP.url_host_ipv4_sql(f"coalesce({host}, '')")
+    special = "(" + ", ".join(f"'{s}'" for s in SPECIAL_SCHEMES) + ")"
+    rules = (
+        f"SELECT *, {scheme} AS _scheme, {bare} AS host, starts_with({host}, '[') AS _br, {v4} AS _v4, "
+        f"{userinfo} AS _ui, regexp_extract({url}, {sql_str(U.URL_RE)}, 1) <> '' AS _parses, {host} IS NULL AS _nohost FROM {src}"
+    )
+    flags = (
+        f"SELECT *, (NOT _parses OR (_scheme IN {special} AND (_nohost OR (NOT _br AND regexp_matches(host, {sql_str(U.BAD_HOST_RE)})) "
+        f"OR (NOT _br AND _v4.is_v4 AND _v4.num IS NULL) OR (_br AND {IP.ipv6_hex_sql('host')}.hex IS NULL)))) AS _invalid, "
+        f"CASE WHEN _br THEN 6 WHEN _v4.is_v4 THEN 4 END AS _lit_family, "
+        f"CASE WHEN _br THEN {IP.v6_literal_serialize_sql('host')} WHEN _v4.is_v4 THEN {IP.ipv4_dotted_sql('_v4.num')} END AS _lit_address "
+        f"FROM ({rules})"
+    )
+    pre = (
+        f"SELECT *, CASE WHEN _invalid THEN 'invalid_url' WHEN coalesce(_scheme NOT IN ('http', 'https'), true) THEN 'scheme' "
+        f"WHEN _ui IS NOT NULL AND NOT regexp_matches(_ui, {sql_str(r'^:?\z')}) THEN 'credentials' END AS _pre FROM ({flags})"
+    )
+    lit = address_verdicts_sql(f"({pre})", address="_lit_address", family="_lit_family")
+    hp = host_policy_sql(ha)
+    joined = (
+        f"SELECT l.* EXCLUDE (checked_family, checked_address, v4_num, v6_hex, blocked_range, error), l.error AS _lit_error, "
+        f"h.host AS _h, h.error AS _host_error FROM {lit} l LEFT JOIN {hp} h ON l._pre IS NULL AND l._lit_family IS NULL AND l.host = h.host"
+    )
+    need = "(_pre IS NULL AND _lit_family IS NULL)"
+    return f"""(SELECT * EXCLUDE (_scheme, _br, _v4, _ui, _parses, _nohost, _invalid, _lit_family, _lit_address, _pre, _lit_error, _h, _host_error),
+  CASE WHEN _pre IS NOT NULL THEN _pre WHEN _lit_family IS NOT NULL AND _lit_error IS NOT NULL THEN 'address'
+       WHEN {need} AND _h IS NULL THEN 'unresolved' WHEN contains(_host_error, ' did not resolve') THEN 'unresolved'
+       WHEN _host_error IS NOT NULL THEN 'address' ELSE 'allowed' END AS rule,
+  CASE WHEN _pre = 'invalid_url' THEN '{MSG_INVALID_URL}' || {url} WHEN _pre = 'scheme' THEN '{MSG_SCHEME}' || _scheme || ':'
+       WHEN _pre = 'credentials' THEN '{MSG_CREDENTIALS}' WHEN _lit_family IS NOT NULL THEN _lit_error
+       WHEN {need} AND _h IS NULL THEN 'Hostname "' || host || '" did not resolve' ELSE _host_error END AS reason
+FROM ({joined}))"""

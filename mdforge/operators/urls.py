@@ -40,12 +40,23 @@ def dedupe_urls(df: DataFrame, key: str = "url_key", order: str = "ord") -> Data
     return agg.select(F.col(key), F.col("_first._o").alias(order), *[F.col("_first." + c).alias(c) for c in others])
 
 
+def keep_computed(df: DataFrame, name: str, value, pred) -> DataFrame:
+    """Add ``name = value`` and keep rows where ``pred(value)``, computing it once.
+
+    A plain ``withColumn`` + ``filter`` lets the optimizer push the filter below the
+    projection by substituting the expression, which evaluates it twice. Filtering a
+    one-element array and exploding it (a generator) keeps a single evaluation.
+    """
+    return df.select("*", F.explode(F.filter(F.array(value), pred)).alias(name))
+
+
 def resolve_links(df: DataFrame, link: str = "raw", base: str = "base", out: str = "target") -> DataFrame:
     """U4: absolute URL; unresolvable links are dropped."""
-    return df.withColumn(out, U.resolve_url(F.col(link), F.col(base))).filter(F.col(out).isNotNull())
+    return keep_computed(df, out, U.resolve_url(F.col(link), F.col(base)), lambda t: t.isNotNull())
 
 
 def same_origin(df: DataFrame, link: str = "target", base: str = "base") -> DataFrame:
     """Keep links whose origin equals the base origin (bad link or base -> dropped)."""
-    lo, bo = U.url_origin(F.col(link)), U.url_origin(F.col(base))
-    return df.filter(lo.isNotNull() & bo.isNotNull() & (lo == bo))
+    pair = F.struct(U.url_origin(F.col(link)).alias("lo"), U.url_origin(F.col(base)).alias("bo"))
+    kept = keep_computed(df, "_origins", pair, lambda s: s["lo"].isNotNull() & (s["lo"] == s["bo"]))
+    return kept.drop("_origins")
