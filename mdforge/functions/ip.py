@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .regex import sql_str
+from .regex import let, sql_str
 
 # ---------------------------------------------------------------------------
 # Blocked networks, in the reference's order.
@@ -121,11 +121,11 @@ def _v4_part_sql(p: str) -> str:
 
 def ipv4_number(addr: Column) -> Column:
     """Dotted quad -> bigint; null when invalid."""
-    parts = F.split(addr, r"\.")
-    vals = F.transform(parts, _v4_part)
-    ok = (F.size(parts) == 4) & F.forall(vals, lambda v: v.isNotNull() & (v >= 0) & (v <= 255))
-    num = F.aggregate(vals, F.lit(0).cast("bigint"), lambda acc, v: acc * 256 + v)
-    return F.when(ok, num)
+    def body(vals: Column) -> Column:
+        ok = (F.size(vals) == 4) & F.forall(vals, lambda v: v.isNotNull() & (v >= 0) & (v <= 255))
+        return F.when(ok, F.aggregate(vals, F.lit(0).cast("bigint"), lambda acc, v: acc * 256 + v))
+
+    return let(F.transform(F.split(addr, r"\."), _v4_part), body)
 
 
 def ipv4_number_sql(e: str) -> str:
@@ -156,10 +156,17 @@ def _v6_groups(s: Column) -> Column:
 
 
 def ipv6_hex(addr: Column) -> Column:
-    low = F.lower(addr)
-    pieces = F.split(low, "::")
-    head = _v6_groups(F.element_at(pieces, 1))
-    tail = _v6_groups(F.when(F.size(pieces) > 1, F.element_at(pieces, 2)).otherwise(F.lit("")))
+    def split_groups(low: Column) -> Column:
+        return let(F.split(low, "::"), lambda pieces: F.struct(
+            _v6_groups(F.element_at(pieces, 1)).alias("head"),
+            _v6_groups(F.when(F.size(pieces) > 1, F.element_at(pieces, 2)).otherwise(F.lit(""))).alias("tail"),
+            low.alias("low"),
+        ))
+
+    return let(addr, lambda a: let(split_groups(F.lower(a)), lambda g: _v6_from_groups(a, g["low"], g["head"], g["tail"])))
+
+
+def _v6_from_groups(addr: Column, low: Column, head: Column, tail: Column) -> Column:
     both = F.concat(head, tail)
     bad = F.filter(both, lambda g: g["hex"].isNull())
     has_dc = F.contains(low, F.lit("::"))
@@ -231,10 +238,14 @@ def _url_v4_part_sql(p: str) -> str:
 
 def url_host_ipv4(host: Column) -> Column:
     """struct(is_v4, number): is_v4 when the host ends in a number; number null = invalid URL."""
-    raw = F.split(host, r"\.")
-    parts = F.when((F.size(raw) > 1) & (F.element_at(raw, -1) == ""), F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
+    def trimmed(raw: Column) -> Column:
+        return F.when((F.size(raw) > 1) & (F.element_at(raw, -1) == ""), F.slice(raw, 1, F.size(raw) - 1)).otherwise(raw)
+
+    return let(let(F.split(host, r"\."), trimmed), lambda parts: let(F.transform(parts, _url_v4_part), lambda vals: _url_v4(parts, vals)))
+
+
+def _url_v4(parts: Column, vals: Column) -> Column:
     is_v4 = F.element_at(parts, -1).rlike(HOST_NUM_LAST)
-    vals = F.transform(parts, _url_v4_part)
     n = F.size(parts)
     init = F.slice(vals, 1, F.greatest(n - 1, F.lit(0)))
     last = F.element_at(vals, -1)

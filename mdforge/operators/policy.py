@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as IP
 from ..functions import urls as U
-from ..functions.regex import sql_str
+from ..functions.regex import let, sql_str
 
 # Policy messages.
 MSG_INVALID_URL = "Invalid URL: "
@@ -83,13 +83,22 @@ def host_policy(host_addresses: DataFrame) -> DataFrame:
     )
 
 
-def _url_rules(url: Column) -> dict[str, Column]:
-    scheme = U.url_part(url, "scheme")
-    userinfo = U.url_part(url, "userinfo")
-    host = U.url_part(url, "host")
-    bare = U.host_unbracketed(host)
+RULE_FIELDS = ("invalid", "scheme", "bad_scheme", "credentials", "host", "literal_family", "literal_address")
+
+
+def _url_rules(url: Column) -> Column:
+    """Struct of the per-URL rule inputs, every part computed once."""
+
+    def from_parts(u: Column, parts: Column) -> Column:
+        scheme, userinfo, host = parts["scheme"], parts["userinfo"], parts["host"]
+        return let(U.host_unbracketed(host), lambda bare: let(
+            IP.url_host_ipv4(F.coalesce(host, F.lit(""))), lambda v4: _rules(u, scheme, userinfo, host, bare, v4)))
+
+    return let(url, lambda u: let(U.url_parts(u), lambda p: from_parts(u, p)))
+
+
+def _rules(url, scheme, userinfo, host, bare, v4) -> Column:
     bracketed = host.startswith("[")
-    v4 = IP.url_host_ipv4(F.coalesce(host, F.lit("")))
     special = scheme.isin(*SPECIAL_SCHEMES)
     parses = F.regexp_extract(url, U.URL_RE, 1) != ""
     bad_host = special & (
@@ -99,15 +108,15 @@ def _url_rules(url: Column) -> dict[str, Column]:
         | (bracketed & IP.ipv6_hex(bare)["hex"].isNull())
     )
     invalid = ~parses | bad_host
-    return {
-        "scheme": scheme,
-        "host": bare,
-        "invalid": invalid,
-        "bad_scheme": ~scheme.isin("http", "https"),
-        "credentials": userinfo.isNotNull() & ~userinfo.rlike(r"^:?\z"),
-        "literal_family": F.when(bracketed, F.lit(6)).when(v4["is_v4"], F.lit(4)),
-        "literal_address": F.when(bracketed, IP.v6_literal_serialize(bare)).when(v4["is_v4"], IP.ipv4_dotted(v4["num"])),
-    }
+    return F.struct(
+        invalid.alias("invalid"),
+        scheme.alias("scheme"),
+        (~scheme.isin("http", "https")).alias("bad_scheme"),
+        (userinfo.isNotNull() & ~userinfo.rlike(r"^:?\z")).alias("credentials"),
+        bare.alias("host"),
+        F.when(bracketed, F.lit(6)).when(v4["is_v4"], F.lit(4)).alias("literal_family"),
+        F.when(bracketed, IP.v6_literal_serialize(bare)).when(v4["is_v4"], IP.ipv4_dotted(v4["num"])).alias("literal_address"),
+    )
 
 
 def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url") -> DataFrame:
@@ -117,9 +126,10 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url") -> Da
     IP-literal hosts are checked in place; names go through U9 (one verdict per
     host, joined back on ``host`` - AQE splits a skewed host partition).
     """
-    r = _url_rules(F.col(url))
+    staged = df.withColumn("_url_rules", _url_rules(F.col(url)))
+    r = {k: F.col("_url_rules." + k) for k in RULE_FIELDS}
     staged = (
-        df.withColumn("_invalid", r["invalid"])
+        staged.withColumn("_invalid", r["invalid"])
         .withColumn("_scheme", r["scheme"])
         .withColumn("_bad_scheme", r["bad_scheme"])
         .withColumn("_cred", r["credentials"])
@@ -162,7 +172,7 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url") -> Da
         .otherwise(F.col("_host_error"))
     )
     out = joined.withColumn("rule", rule).withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
-    return out.drop("_invalid", "_scheme", "_bad_scheme", "_cred", "_lit_family", "_lit_address", "_pre", "_lit_error", "_h", "_host_error")
+    return out.drop("_url_rules", "_invalid", "_scheme", "_bad_scheme", "_cred", "_lit_family", "_lit_address", "_pre", "_lit_error", "_h", "_host_error")
 
 
 def policy_report(checked: DataFrame) -> DataFrame:
