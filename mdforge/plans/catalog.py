@@ -238,3 +238,67 @@ def u9_host_policy(spark, sf):
 def u10_policy_report(spark, sf):
     pages = _pages(spark, sf)
     return P.policy_report(P.url_policy(pages.select("page_id", "url"), D.host_addresses(pages)))
+
+
+# ---------------------------------------------------------------------------
+# Link jobs (Markdown of the whole page body, navigation included, after its source
+# comment; base = page URL)
+# ---------------------------------------------------------------------------
+from ..operators import links as L  # noqa: E402
+
+_LINK_MD_SQL = f"(SELECT page_id, url, {D.link_markdown_sql('html', 'url')} AS md FROM pages)"
+
+
+def _link_md(spark, sf):
+    pages = _pages(spark, sf)
+    return pages.select("page_id", "url", D.link_markdown(F.col("html"), F.col("url")).alias("md"))
+
+
+def _unnest_sql(arr: str) -> str:
+    return (
+        f"SELECT page_id, CAST(generate_subscripts(a, 1) AS INTEGER) AS pos, unnest(a) AS raw "
+        f"FROM (SELECT page_id, {arr} AS a FROM {_LINK_MD_SQL})"
+    )
+
+
+@register("m1_inline_links", _unnest_sql(L.inline_link_array_sql("md")))
+def m1_inline_links(spark, sf):
+    return L.inline_links(_link_md(spark, sf), md="md")
+
+
+@register("m2_bare_links", _unnest_sql(L.bare_link_array_sql("md")))
+def m2_bare_links(spark, sf):
+    return L.bare_links(_link_md(spark, sf), md="md")
+
+
+_RESOLVED_SQL = (
+    f"list_transform({L.inline_link_array_sql('md')} || {L.bare_link_array_sql('md')}, lambda x: {U.resolve_url_sql('x', 'url')})"
+)
+
+
+@register("m3_page_links", f"SELECT page_id, pos, link FROM {L.distinct_in_order_sql(_LINK_MD_SQL, 'page_id', _RESOLVED_SQL, 'link')}")
+def m3_page_links(spark, sf):
+    return L.page_links(_link_md(spark, sf), md="md", base="url")
+
+
+_SAME_ORIGIN_SQL = f"list_filter({_RESOLVED_SQL}, lambda t: {U.url_origin_sql('t')} = {U.url_origin_sql('url')})"
+
+
+@register(
+    "m4_link_edges",
+    f"SELECT e.page_id, p.url AS src, e.pos, e.dst FROM "
+    f"{L.distinct_in_order_sql(_LINK_MD_SQL, 'page_id', _SAME_ORIGIN_SQL, 'dst')} e JOIN pages p USING (page_id)",
+)
+def m4_link_edges(spark, sf):
+    return L.link_edges(_link_md(spark, sf), md="md", base="url")
+
+
+_DOM_SQL = (
+    f"list_filter(list_transform(regexp_extract_all(html, {sql_str(L.HREF_RE)}, 1), lambda h: "
+    f"{U.resolve_url_sql('h', 'url', keep_absolute_raw=False)}), lambda t: t IS NOT NULL AND regexp_matches(t, '^https?://'))"
+)
+
+
+@register("h5_dom_links", f"SELECT page_id, pos, link FROM {L.distinct_in_order_sql('pages', 'page_id', _DOM_SQL, 'link')}")
+def h5_dom_links(spark, sf):
+    return L.dom_links(_pages(spark, sf))
