@@ -302,3 +302,70 @@ _DOM_SQL = (
 @register("h5_dom_links", f"SELECT page_id, pos, link FROM {L.distinct_in_order_sql('pages', 'page_id', _DOM_SQL, 'link')}")
 def h5_dom_links(spark, sf):
     return L.dom_links(_pages(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Chunk jobs: page Markdown (headings, blank lines) and documents (long prose)
+# ---------------------------------------------------------------------------
+from ..operators import chunks as CH  # noqa: E402
+
+_PAGE_MD_SQL = f"(SELECT page_id, {H.html_to_markdown_sql('content_html')} AS markdown FROM {_CONTENT_SQL})"
+PARAGRAPH_MAX = 1000
+
+
+def _page_md(spark, sf):
+    return X.html_to_markdown(X.main_content(_pages(spark, sf))).select("page_id", "markdown")
+
+
+def _chunks_sql(src: str, key: str, arr: str, heading: bool) -> str:
+    if heading:
+        cols = "c.content AS content, CAST(ceil(length(c.content) / 4) AS INTEGER) AS tokens, c.headings AS headings, c.start_line AS start_line, c.end_line AS end_line"
+    else:
+        cols = "c AS content, CAST(ceil(length(c) / 4) AS INTEGER) AS tokens"
+    return (
+        f"SELECT {key}, chunk_index, {cols} FROM (SELECT {key}, CAST(generate_subscripts(a, 1) - 1 AS INTEGER) AS chunk_index, "
+        f"unnest(a) AS c FROM (SELECT {key}, {arr} AS a FROM {src}))"
+    )
+
+
+@register("m5_chunk_by_heading", _chunks_sql(_PAGE_MD_SQL, "page_id", CH.chunk_by_heading_sql("markdown"), True))
+def m5_chunk_by_heading(spark, sf):
+    return CH.chunk_by_heading(_page_md(spark, sf), "markdown", ("page_id",))
+
+
+@register("m5_chunk_documents", _chunks_sql("documents", "doc_id", CH.chunk_by_heading_sql("text"), True))
+def m5_chunk_documents(spark, sf):
+    return CH.chunk_by_heading(table(spark, sf, "documents").select("doc_id", "text"), "text", ("doc_id",))
+
+
+@register("m6_chunk_by_paragraph", _chunks_sql(_PAGE_MD_SQL, "page_id", CH.chunk_by_paragraph_sql("markdown", PARAGRAPH_MAX), False))
+def m6_chunk_by_paragraph(spark, sf):
+    return CH.chunk_by_paragraph(_page_md(spark, sf), "markdown", ("page_id",), PARAGRAPH_MAX)
+
+
+@register("m7_chunk_by_sentence", _chunks_sql("documents", "doc_id", CH.chunk_by_sentence_sql("text"), False))
+def m7_chunk_by_sentence(spark, sf):
+    return CH.chunk_by_sentence(table(spark, sf, "documents").select("doc_id", "text"), "text", ("doc_id",))
+
+
+@register(
+    "m8_overlap_tail",
+    f"SELECT doc_id, CAST(len(t) AS INTEGER) AS n_tail_lines, array_to_string(t, chr(10)) AS tail FROM (SELECT doc_id, "
+    f"list_transform([string_split(text, chr(10))], lambda ls: list_transform([{CH.overlap_count_sql('ls', CH.DEFAULT_OVERLAP)}], "
+    f"lambda k: {CH._tail_sql('ls', 'k')})[1])[1] AS t FROM documents)",
+)
+def m8_overlap_tail(spark, sf):
+    docs = table(spark, sf, "documents")
+    t = CH.overlap_tail(F.split(F.col("text"), "\n"), CH.DEFAULT_OVERLAP)
+    return docs.select("doc_id", t.alias("t")).select(
+        "doc_id", F.size("t").cast("int").alias("n_tail_lines"), F.array_join("t", "\n").alias("tail")
+    )
+
+
+@register(
+    "m9_estimate_tokens",
+    "SELECT doc_id, length(text) AS n_chars, CAST(ceil(length(text) / 4) AS INTEGER) AS tokens FROM documents",
+)
+def m9_estimate_tokens(spark, sf):
+    docs = table(spark, sf, "documents")
+    return docs.select("doc_id", F.length("text").alias("n_chars"), CH.estimate_tokens(F.col("text")).alias("tokens"))
