@@ -22,7 +22,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import WS, Rx, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql
+from .regex import WS, Rx, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql, memo_column
 
 # ---------------------------------------------------------------------------
 # HTML entities decoded by name (``&amp;`` must stay last, or
@@ -252,6 +252,7 @@ def _bq_sql(x: str) -> str:
 # Public column builders (Spark) and their SQL twins (oracle).
 # ---------------------------------------------------------------------------
 
+@memo_column
 def decode_entities(c: Column) -> Column:
     return rx_spark(c, ENTITY_STEPS)
 
@@ -272,6 +273,7 @@ TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 H1_RE = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
 
 
+@memo_column
 def page_title(html: Column) -> Column:
     """H1: decoded ``<title>``; else the first ``<h1>`` text; else null."""
     t = _plain(F.regexp_extract(html, TITLE_RE, 1))
@@ -285,11 +287,13 @@ def page_title_sql(e: str) -> str:
     return f"coalesce(nullif({t}, ''), nullif({h}, ''))"
 
 
+@memo_column
 def clean_html(html: Column) -> Column:
     """Comments, scripts, styles, head and boilerplate blocks removed."""
     return rx_spark(html, CLEAN_STEPS)
 
 
+@memo_column
 def main_content(html: Column, cleaned: Column | None = None) -> Column:
     """H2: article HTML with boilerplate removed; null when nothing is left.
 
@@ -311,6 +315,7 @@ def main_content_sql(e: str) -> str:
     return f"list_transform([{cleaned}], lambda c: coalesce({', '.join(picks)}, {rest}))[1]"
 
 
+@memo_column
 def html_text(content: Column) -> Column:
     """Text content: tags dropped, entities decoded, whitespace collapsed and trimmed."""
     return _plain(content)
@@ -320,6 +325,7 @@ def html_text_sql(e: str) -> str:
     return _plain_sql(e)
 
 
+@memo_column
 def html_to_markdown(content: Column) -> Column:
     """H3: GFM Markdown from article HTML."""
     c = _span_spark(content, PRE_OPEN, PRE_CLOSE, _pre_spark)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .regex import let, sql_str
+from .regex import let, sql_str, memo_column
 
 # ---------------------------------------------------------------------------
 # Blocked networks, in the reference's order.
@@ -119,6 +119,7 @@ def _v4_part_sql(p: str) -> str:
     )
 
 
+@memo_column
 def ipv4_number(addr: Column) -> Column:
     """Dotted quad -> bigint; null when invalid."""
     def body(vals: Column) -> Column:
@@ -155,6 +156,7 @@ def _v6_groups(s: Column) -> Column:
     )
 
 
+@memo_column
 def ipv6_hex(addr: Column) -> Column:
     def split_groups(low: Column) -> Column:
         return let(F.split(low, "::"), lambda pieces: F.struct(
@@ -236,6 +238,7 @@ def _url_v4_part_sql(p: str) -> str:
     )
 
 
+@memo_column
 def url_host_ipv4(host: Column) -> Column:
     """struct(is_v4, number): is_v4 when the host ends in a number; number null = invalid URL."""
     def trimmed(raw: Column) -> Column:
@@ -286,6 +289,7 @@ def ipv4_dotted_sql(e: str) -> str:
 DOTTED_TAIL_RE = r"^(.*:)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\z"
 
 
+@memo_column
 def v6_literal_serialize(addr: Column) -> Column:
     """A URL's IPv6 host as the URL parser serialises it: a dotted IPv4 tail becomes
     two hex groups, so ``[::ffff:1.2.3.4]`` is judged as ``::ffff:102:304``."""

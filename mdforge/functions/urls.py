@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import let, sql_str
+from .regex import let, sql_str, memo_column
 
 URL_RE = (
     r"^([A-Za-z][A-Za-z0-9+.\-]*):(?://(?:([^/?#@]*)@)?(\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?)?"
@@ -48,6 +48,7 @@ def url_part(url: Column, name: str) -> Column:
     return _part_of(url, name)
 
 
+@memo_column
 def url_parts(url: Column) -> Column:
     """All parts as one struct (fields named as ``PARTS``), the URL read once."""
     return let(url, lambda u: F.struct(*[_part_of(u, n).alias(n) for n in PARTS]))
@@ -73,6 +74,7 @@ def host_unbracketed_sql(e: str) -> str:
 # Path helpers: dot segments and percent-encoding
 # ---------------------------------------------------------------------------
 
+@memo_column
 def remove_dot_segments(path: Column) -> Column:
     return let(path, _remove_dot_segments)
 
@@ -107,6 +109,7 @@ def remove_dot_segments_sql(e: str) -> str:
 ENCODE_STEPS = ((" ", "%20"), ('"', "%22"), ("<", "%3C"), (">", "%3E"), ("`", "%60"))
 
 
+@memo_column
 def encode_path(path: Column) -> Column:
     return let(path, _encode_path)
 
@@ -167,6 +170,7 @@ def _compose_sql(scheme: str, userinfo: str, host: str, port: str, path: str, qu
     )
 
 
+@memo_column
 def normalize_url(url: Column) -> Column:
     """Canonical key; null when the URL does not parse as scheme://host."""
 
@@ -196,6 +200,7 @@ def normalize_url_sql(e: str) -> str:
 # U5 origin
 # ---------------------------------------------------------------------------
 
+@memo_column
 def url_origin(url: Column) -> Column:
     """``scheme://host[:port]`` for http(s) URLs with a valid host; else null."""
     return let(url, lambda u: let(url_parts(u), lambda s: _origin(u, s["scheme"], s["host"], s["port"])))
@@ -242,6 +247,7 @@ def _split_ref_sql(e: str):
     )
 
 
+@memo_column
 def resolve_url(link: Column, base: Column, keep_absolute_raw: bool = True) -> Column:
     """U4: absolute URL of ``link`` against ``base``; null when it cannot be resolved.
 

@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import WS, let, trim_ws
+from ..functions.regex import WS, let, trim_ws, memo_column
 
 DEFAULT_MAX_CHARS = 4000
 DEFAULT_OVERLAP = 200
@@ -65,6 +65,7 @@ def overlap_count(lines: Column, overlap: int) -> Column:
     return st["k"]
 
 
+@memo_column
 def overlap_tail(lines: Column, overlap: int) -> Column:
     """M8: the trailing lines carried into the next chunk."""
     def body(ls: Column) -> Column:
@@ -86,6 +87,7 @@ def _chunk(content_lines: Column, heads: Column, start: Column, end: Column) ->
     )
 
 
+@memo_column
 def chunk_by_heading_array(md: Column, max_chars: int = DEFAULT_MAX_CHARS, overlap: int = DEFAULT_OVERLAP) -> Column:
     """array<CHUNK_TYPE> for one Markdown text."""
     empty_s = F.array().cast(EMPTY_STR_ARRAY)
@@ -185,10 +187,12 @@ def _pack(pieces: Column, sep: str, max_chars: int, piece_len, piece_val) -> Col
     return F.when(final["n"] > 0, F.concat(final["chunks"], F.array(_js_trim(final["cur"])))).otherwise(final["chunks"])
 
 
+@memo_column
 def chunk_by_paragraph_array(md: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
     return _pack(F.split(F.coalesce(md, F.lit("")), PARAGRAPH_SPLIT), "\n\n", max_chars, F.length, lambda p: p)
 
 
+@memo_column
 def chunk_by_sentence_array(md: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
     def body(text: Column) -> Column:
         # Sentences end at a terminator, so only the prefix up to the last one is

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.regex import let, sql_str
+from ..functions.regex import let, sql_str, memo_column
 
 # The Markdown link patterns and the skipped inline prefixes.
 INLINE_RE = r"\[([^\]]+)\]\(([^)]+)\)"
@@ -37,6 +37,7 @@ def bare_link_array(md: Column) -> Column:
     return F.regexp_extract_all(md, F.lit(BARE_RE), 0)
 
 
+@memo_column
 def page_link_array(md: Column, base: Column) -> Column:
     """M3 as an array: inline then bare, resolved against ``base``, first occurrence kept."""
     raw = F.concat(inline_link_array(md), bare_link_array(md))
@@ -73,6 +74,7 @@ def link_edges(df: DataFrame, md: str = "markdown", base: str = "url", keep: tup
     return out
 
 
+@memo_column
 def dom_link_array(html: Column, base: Column) -> Column:
     """H5: anchors of the page DOM, resolved (no raw short-cut), http(s) only, deduplicated."""
     hrefs = F.regexp_extract_all(html, F.lit(HREF_RE), 1)

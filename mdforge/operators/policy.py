@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as IP
 from ..functions import urls as U
-from ..functions.regex import let, sql_str
+from ..functions.regex import let, sql_str, memo_column
 
 # Policy messages.
 MSG_INVALID_URL = "Invalid URL: "
@@ -86,6 +86,7 @@ def host_policy(host_addresses: DataFrame) -> DataFrame:
 RULE_FIELDS = ("invalid", "scheme", "bad_scheme", "credentials", "host", "literal_family", "literal_address")
 
 
+@memo_column
 def _url_rules(url: Column) -> Column:
     """Struct of the per-URL rule inputs, every part computed once."""
 

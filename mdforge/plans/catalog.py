@@ -369,3 +369,14 @@ def m8_overlap_tail(spark, sf):
 def m9_estimate_tokens(spark, sf):
     docs = table(spark, sf, "documents")
     return docs.select("doc_id", F.length("text").alias("n_chars"), CH.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+# ---------------------------------------------------------------------------
+# H8 flagship
+# ---------------------------------------------------------------------------
+from . import read_pages as RP  # noqa: E402
+
+
+@register("h8_read_pages", RP.read_pages_table_sql())
+def h8_read_pages(spark, sf):
+    return RP.read_pages_table(spark, sf)

@@ -26,13 +26,7 @@ from . import derived as D
 
 RESULT_COLS = ("ord", "request_url", "url", "title", "markdown", "error", "status")
 ROBOTS_ERROR = "Blocked by robots.txt"
-
-
-def _result(df: DataFrame, **cols) -> DataFrame:
-    out = df
-    for name, col in cols.items():
-        out = out.withColumn(name, col)
-    return out.select(*RESULT_COLS)
+NO_CAPTURE = "No capture for "
 
 
 def read_pages(
@@ -42,62 +36,53 @@ def read_pages(
     cache: DataFrame | None = None,
     robots_rules: DataFrame | None = None,
     user_agent: str = "*",
+    with_links: bool = False,
 ) -> DataFrame:
-    """``requests(url, ord)``; ``captures(url, html[, status, content_type, location])``.
+    """``requests(url, ord)``; ``captures(url, html[, page_id, status, content_type, location])``.
 
-    Returns ``(ord, request_url, url, title, markdown, error, status)``; ``url`` is the
-    canonical request URL for early failures and cache hits, else the captured URL.
+    Returns ``(ord, request_url, url, title, markdown, error, status)`` (+ ``links`` of
+    the page DOM when ``with_links``); ``url`` is the canonical request URL for early
+    failures and cache hits, else the captured URL.
+
+    One linear plan: each stage only sets columns, and later joins carry a condition
+    that skips rows already decided, so no branch is evaluated twice.
     """
     req = requests.select(F.col("url").alias("request_url"), "ord")
     keyed = req.withColumn("url_key", F.coalesce(U.normalize_url(F.col("request_url")), F.col("request_url")))
     uniq = UO.dedupe_urls(keyed, key="url_key", order="ord")
 
-    checked = P.url_policy(uniq.withColumn("url", F.col("url_key")), host_addresses, url="url")
-    blocked = _result(
-        checked.filter(~F.col("allowed")),
-        title=F.lit(None).cast("string"),
-        markdown=F.lit(""),
-        error=F.col("reason"),
-        status=F.lit("policy"),
-    )
-    allowed = checked.filter(F.col("allowed")).select("request_url", "ord", "url_key", "url")
+    df = P.url_policy(uniq.withColumn("url", F.col("url_key")), host_addresses, url="url")
+    df = df.select("ord", "request_url", "url_key", "allowed", F.col("reason").alias("_policy_error"))
+    live = F.col("allowed")
 
-    parts = [blocked]
     if cache is not None:
-        hits, allowed = C.cache_lookup(allowed, cache, url="url")
-        parts.append(
-            _result(hits, title=F.col("cached_title"), markdown=F.col("cached_markdown"), error=F.lit(None).cast("string"), status=F.lit("cached"))
+        entries = cache.select(
+            F.col("url_key").alias("_ck"), F.col("title").alias("_cached_title"), F.col("markdown").alias("_cached_md")
         )
-        allowed = allowed.select("request_url", "ord", "url_key", "url")
+        df = df.withColumn("_ckey", F.sha2(F.col("url_key"), 256))
+        df = df.join(entries, live & (F.col("_ckey") == F.col("_ck")), "left").drop("_ck", "_ckey")
+        live = live & F.col("_cached_md").isNull()
 
     if robots_rules is not None:
         from ..operators.crawl import robots_filter
 
-        allowed = robots_filter(allowed, robots_rules, user_agent=user_agent, url="url")
-        parts.append(
-            _result(
-                allowed.filter(~F.col("robots_allowed")),
-                title=F.lit(None).cast("string"),
-                markdown=F.lit(""),
-                error=F.lit(ROBOTS_ERROR),
-                status=F.lit("robots"),
-            )
-        )
-        allowed = allowed.filter(F.col("robots_allowed")).select("request_url", "ord", "url_key", "url")
+        df = robots_filter(df, robots_rules, user_agent=user_agent, url="url_key", only_where=live)
+        live = live & F.coalesce(F.col("robots_allowed"), F.lit(True))
 
     # One capture per canonical URL (first by capture order), joined by key.
     cap_cols = [c for c in ("status", "content_type", "location") if c in captures.columns]
     cap = captures.select(
-        F.coalesce(U.normalize_url(F.col("url")), F.col("url")).alias("url_key"),
+        F.coalesce(U.normalize_url(F.col("url")), F.col("url")).alias("_cap_key"),
         F.col("url").alias("final_url"),
         "html",
         *cap_cols,
         (F.col("page_id") if "page_id" in captures.columns else F.lit(0)).alias("_cap_ord"),
     )
-    cap = UO.dedupe_urls(cap, key="url_key", order="_cap_ord")
-    fetched = allowed.join(cap, "url_key", "left")
+    cap = UO.dedupe_urls(cap, key="_cap_key", order="_cap_ord").drop("_cap_ord")
+    df = df.join(cap, live & (F.col("url_key") == F.col("_cap_key")), "left")
 
-    missing = F.col("html").isNull()
+    missing = F.col("_cap_key").isNull()
+    fetch_error = F.when(missing, F.concat(F.lit(NO_CAPTURE), F.col("url_key")))
     if cap_cols:
         resp = classify_response(
             F.col("final_url"),
@@ -105,26 +90,43 @@ def read_pages(
             F.col("location") if "location" in cap_cols else F.lit(None).cast("string"),
             F.col("content_type") if "content_type" in cap_cols else F.lit(None).cast("string"),
         )
-        fetched = fetched.withColumn("_resp", resp)
-        fetch_error = F.when(missing, F.concat(F.lit("No capture for "), F.col("url"))).otherwise(F.col("_resp.error"))
-    else:
-        fetch_error = F.when(missing, F.concat(F.lit("No capture for "), F.col("url")))
-    fetched = fetched.withColumn("_fetch_error", fetch_error)
-
-    failed = _result(
-        fetched.filter(F.col("_fetch_error").isNotNull()),
-        title=F.lit(None).cast("string"),
-        markdown=F.lit(""),
-        error=F.col("_fetch_error"),
-        status=F.lit("fetch"),
+        fetch_error = F.coalesce(fetch_error, resp["error"])
+    df = df.withColumn("_fetch_error", F.when(live, fetch_error))
+    fetched = live & F.col("_fetch_error").isNull()
+
+    gated = X.content_gate(df.withColumn("_page_url", F.coalesce(F.col("final_url"), F.col("url_key"))), html="html", url="_page_url")
+    stage = F.when(~F.col("allowed"), F.lit("policy"))
+    if cache is not None:
+        stage = stage.when(F.col("_cached_md").isNotNull(), F.lit("cached"))
+    if robots_rules is not None:
+        stage = stage.when(~F.coalesce(F.col("robots_allowed"), F.lit(True)), F.lit("robots"))
+    stage = stage.when(~fetched, F.lit("fetch")).otherwise(F.col("status_gate"))
+    out = gated.withColumnRenamed("status", "status_gate").withColumn("stage", stage)
+    st = F.col("stage")
+    decided = st.isin("policy", "robots", "fetch")
+    cached_title = F.col("_cached_title") if cache is not None else F.lit(None).cast("string")
+    cached_md = F.col("_cached_md") if cache is not None else F.lit(None).cast("string")
+    out = out.select(
+        "ord",
+        "request_url",
+        F.when(decided | (st == "cached"), F.col("url_key")).otherwise(F.col("final_url")).alias("url"),
+        F.when(st == "cached", cached_title).when(decided, F.lit(None).cast("string")).otherwise(F.col("title")).alias("title"),
+        F.when(st == "cached", cached_md).when(decided, F.lit("")).otherwise(F.col("markdown")).alias("markdown"),
+        F.when(st == "policy", F.col("_policy_error"))
+        .when(st == "robots", F.lit(ROBOTS_ERROR))
+        .when(st == "fetch", F.col("_fetch_error"))
+        .when(st == "cached", F.lit(None).cast("string"))
+        .otherwise(F.col("error"))
+        .alias("error"),
+        st.alias("status"),
+        *([F.col("html"), F.col("final_url")] if with_links else []),
     )
-    good = fetched.filter(F.col("_fetch_error").isNull()).withColumn("url", F.col("final_url"))
-    pages = X.content_gate(good, html="html", url="url")
-    parts += [failed, pages.select(*RESULT_COLS)]
+    if with_links:
+        from ..operators.links import dom_link_array
 
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        out = out.withColumn(
+            "links", F.when(F.col("status") == "ok", dom_link_array(F.col("html"), F.col("final_url")))
+        ).drop("html", "final_url")
     return out
 
 
@@ -133,3 +135,44 @@ def read_pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     requests = pages.select("url", F.col("page_id").alias("ord"))
     return read_pages(requests, pages, D.host_addresses(pages))
+
+
+def read_pages_table_sql() -> str:
+    """DuckDB twin of ``read_pages_table`` (no cache, no robots)."""
+    from ..functions import html as H
+    from ..operators.extract import (
+        EMPTY_RESPONSE, LIMITED_ERROR, MIN_CONTENT_CHARS, NO_ARTICLE,
+    )
+
+    key = f"coalesce({U.normalize_url_sql('url')}, url)"
+    uniq = (
+        f"(SELECT request_url, ord, url_key, url_key AS url FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ord) AS rn "
+        f"FROM (SELECT url AS request_url, page_id AS ord, {key} AS url_key FROM pages)) WHERE rn = 1)"
+    )
+    ha = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.host_addresses_sql()})"
+    checked = P.url_policy_sql(uniq, ha)
+    cap = (
+        f"(SELECT * FROM (SELECT {key} AS _cap_key, url AS final_url, html, row_number() OVER (PARTITION BY {key} ORDER BY page_id) AS rn "
+        f"FROM pages) WHERE rn = 1)"
+    )
+    joined = (
+        f"SELECT c.ord, c.request_url, c.url_key, c.reason, c.reason IS NULL AS allowed, p._cap_key, p.final_url, p.html, "
+        f"{H.main_content_sql('p.html')} AS content_html FROM {checked} c LEFT JOIN {cap} p ON c.reason IS NULL AND c.url_key = p._cap_key"
+    )
+    gate = (
+        f"SELECT *, CASE WHEN NOT allowed THEN 'policy' WHEN _cap_key IS NULL THEN 'fetch' "
+        f"WHEN html IS NULL OR {H.trim_ws_sql('html')} = '' THEN 'empty' WHEN content_html IS NULL THEN 'no_article' "
+        f"WHEN length({H.trim_ws_sql('content_html')}) < {MIN_CONTENT_CHARS} THEN 'limited' ELSE 'ok' END AS status, "
+        f"{H.page_title_sql('html')} AS t, {H.html_text_sql('content_html')} AS text FROM ({joined})"
+    )
+    from .catalog import _LIMITED_SQL
+
+    limited = _LIMITED_SQL.replace("coalesce(nullif(title, ''),", "coalesce(nullif(t, ''),")
+    return f"""SELECT ord, request_url,
+  CASE WHEN status IN ('policy', 'fetch') THEN url_key ELSE final_url END AS url,
+  CASE WHEN status = 'ok' THEN t WHEN status = 'limited' THEN coalesce(nullif(t, ''), final_url) END AS title,
+  CASE WHEN status = 'ok' THEN {H.html_to_markdown_sql('content_html')} WHEN status = 'limited' THEN {limited} ELSE '' END AS markdown,
+  CASE status WHEN 'policy' THEN reason WHEN 'fetch' THEN '{NO_CAPTURE}' || url_key WHEN 'empty' THEN '{EMPTY_RESPONSE}'
+    WHEN 'no_article' THEN '{NO_ARTICLE}' WHEN 'limited' THEN '{LIMITED_ERROR}' END AS error,
+  status
+FROM ({gate})"""
