@@ -120,7 +120,8 @@ def _rules(url, scheme, userinfo, host, bare, v4) -> Column:
     )
 
 
-def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url") -> DataFrame:
+def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url",
+               host_verdicts: DataFrame | None = None) -> DataFrame:
     """``rule`` (allowed / invalid_url / scheme / credentials / address /
     unresolved), ``reason`` (null = allowed) and ``allowed``, in the reference order.
 
@@ -150,7 +151,7 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url") -> Da
         staged, address="_lit_address", family="_lit_family"
     ).drop("checked_family", "checked_address", "v4_num", "v6_hex", "blocked_range").withColumnRenamed("error", "_lit_error")
 
-    verdicts = host_policy(host_addresses).select(
+    verdicts = (host_verdicts if host_verdicts is not None else host_policy(host_addresses)).select(
         F.col("host").alias("_h"), F.col("error").alias("_host_error")
     )
     need_lookup = F.col("_pre").isNull() & F.col("_lit_family").isNull()

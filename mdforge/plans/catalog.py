@@ -380,3 +380,106 @@ from . import read_pages as RP  # noqa: E402
 @register("h8_read_pages", RP.read_pages_table_sql())
 def h8_read_pages(spark, sf):
     return RP.read_pages_table(spark, sf)
+
+
+# ---------------------------------------------------------------------------
+# Responses, redirects, robots, schedules (hops and rules derived from pages)
+# ---------------------------------------------------------------------------
+from ..operators import crawl as CR  # noqa: E402
+from ..operators import combine as CB  # noqa: E402
+from ..sources.captures import classify_responses  # noqa: E402
+
+_HOPS_SQL = D.hops_sql()
+
+
+@register(
+    "s2_classify_responses",
+    f"""SELECT url, status, CASE WHEN status >= 300 AND status < 400 AND (location IS NULL OR location = '') THEN 'error'
+  WHEN status >= 300 AND status < 400 THEN 'redirect' WHEN NOT (status >= 200 AND status < 300) THEN 'error'
+  WHEN content_type IS NOT NULL AND NOT contains(content_type, 'text/html') AND NOT contains(content_type, 'application/xhtml+xml') THEN 'error'
+  ELSE 'ok' END AS kind,
+  CASE WHEN status >= 300 AND status < 400 AND (location IS NULL OR location = '') THEN 'Redirect without Location header for ' || url
+  WHEN status >= 300 AND status < 400 THEN NULL WHEN NOT (status >= 200 AND status < 300) THEN 'HTTP ' || CAST(status AS VARCHAR) || ' for ' || url
+  WHEN content_type IS NOT NULL AND NOT contains(content_type, 'text/html') AND NOT contains(content_type, 'application/xhtml+xml')
+  THEN 'Non-HTML content type: ' || content_type || ' for ' || url END AS error FROM {_HOPS_SQL}""",
+)
+def s2_classify_responses(spark, sf):
+    return classify_responses(D.hops(_pages(spark, sf))).select("url", "status", "kind", "error")
+
+
+@register("s3_resolve_redirects")
+def s3_resolve_redirects(spark, sf):
+    pages = _pages(spark, sf)
+    reqs = pages.select("url", F.col("page_id").alias("ord"))
+    return CR.resolve_redirects(reqs, D.hops(pages), D.host_addresses(pages))
+
+
+_ROBOTS_SQL = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.robots_rules_sql()})"
+
+
+@register(
+    "c3_robots_filter",
+    f"SELECT page_id, url, robots_allowed, crawl_delay, robots_rule FROM "
+    f"{CR.robots_filter_sql('(SELECT page_id, url FROM pages)', _ROBOTS_SQL, D.ROBOTS_AGENT)}",
+)
+def c3_robots_filter(spark, sf):
+    pages = _pages(spark, sf)
+    out = CR.robots_filter(pages.select("page_id", "url"), D.robots_rules(pages), user_agent=D.ROBOTS_AGENT)
+    return out.select("page_id", "url", "robots_allowed", "crawl_delay", "robots_rule")
+
+
+@register(
+    "c4_crawl_schedule",
+    f"""SELECT page_id, url, host, host_rank, crawl_delay, (host_rank - 1) * crawl_delay AS start_offset FROM (
+  SELECT page_id, url, crawl_delay, {U.url_part_sql('url', 'host')} AS host,
+  row_number() OVER (PARTITION BY {U.url_part_sql('url', 'host')} ORDER BY page_id) AS host_rank
+  FROM {CR.robots_filter_sql('(SELECT page_id, url FROM pages)', _ROBOTS_SQL, '*')})""",
+)
+def c4_crawl_schedule(spark, sf):
+    pages = _pages(spark, sf)
+    out = CR.crawl_schedule(pages.select("page_id", "url"), D.robots_rules(pages), url="url", order="page_id")
+    return out.select("page_id", "url", "host", "host_rank", "crawl_delay", "start_offset")
+
+
+# ---------------------------------------------------------------------------
+# Crawls over the linked pages (every page a seed) and the per-seed documents
+# ---------------------------------------------------------------------------
+CRAWL_MAX_PAGES = 3
+
+
+def _crawl(spark, sf):
+    pages = D.linked_pages(_pages(spark, sf))
+    seeds = pages.select(F.col("url").alias("seed"))
+    return CR.crawl_budget(seeds, pages, D.host_addresses(pages), max_pages=CRAWL_MAX_PAGES, same_origin_only=False)
+
+
+@register("c1_crawl_budget")
+def c1_crawl_budget(spark, sf):
+    return _crawl(spark, sf)
+
+
+@register("c2_crawl_depth")
+def c2_crawl_depth(spark, sf):
+    pages = D.linked_pages(_pages(spark, sf))
+    seeds = pages.select(F.col("url").alias("seed"))
+    depth = 1 if CRAWL_MAX_PAGES > 1 else 0  # "pages > 1 means depth 1"
+    return CR.crawl_depth(seeds, pages, D.host_addresses(pages), depth=depth, same_origin_only=False)
+
+
+@register("m10_combine_pages")
+def m10_combine_pages(spark, sf):
+    return CB.combine_pages(_crawl(spark, sf))
+
+
+@register("m11_error_report")
+def m11_error_report(spark, sf):
+    return CB.error_report(_crawl(spark, sf))
+
+
+@register("m12_read_summary")
+def m12_read_summary(spark, sf):
+    res = _crawl(spark, sf)
+    links = res.filter(F.col("status") == "ok").select(
+        "seed", F.explode(L.page_link_array(F.col("markdown"), F.col("request_url"))).alias("link")
+    )
+    return CB.read_summary(res, links)

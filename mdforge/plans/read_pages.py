@@ -37,6 +37,7 @@ def read_pages(
     robots_rules: DataFrame | None = None,
     user_agent: str = "*",
     with_links: bool = False,
+    dedupe: bool = True,
 ) -> DataFrame:
     """``requests(url, ord)``; ``captures(url, html[, page_id, status, content_type, location])``.
 
@@ -49,7 +50,9 @@ def read_pages(
     """
     req = requests.select(F.col("url").alias("request_url"), "ord")
     keyed = req.withColumn("url_key", F.coalesce(U.normalize_url(F.col("request_url")), F.col("request_url")))
-    uniq = UO.dedupe_urls(keyed, key="url_key", order="ord")
+    # With ``dedupe=False`` every request row is processed (callers pass distinct
+    # request URLs, e.g. a crawl level where "/a" and "/a#x" are separate visits).
+    uniq = UO.dedupe_urls(keyed, key="url_key", order="ord") if dedupe else keyed
 
     df = P.url_policy(uniq.withColumn("url", F.col("url_key")), host_addresses, url="url")
     df = df.select("ord", "request_url", "url_key", "allowed", F.col("reason").alias("_policy_error"))
