@@ -75,8 +75,18 @@ RANGES_SCHEMA = T.StructType(
 )
 
 
+_RANGES: dict = {}
+
+
 def blocked_ranges(spark: SparkSession) -> DataFrame:
     """25-row constant table: safe to broadcast (its size never grows with the data)."""
+    key = id(spark.sparkContext)
+    if key not in _RANGES:
+        _RANGES[key] = _blocked_ranges(spark)
+    return _RANGES[key]
+
+
+def _blocked_ranges(spark: SparkSession) -> DataFrame:
     rows = blocked_range_rows()
     df = spark.createDataFrame(rows, RANGES_SCHEMA)
     return (

@@ -211,6 +211,7 @@ def crawl_budget(seeds: DataFrame, captures: DataFrame, host_addresses: DataFram
     """
     from ..plans.read_pages import read_pages
 
+    verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host for every level
     frontier = seeds.select("seed", F.col("seed").alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
                             F.lit(0).cast("long").alias("pos"))
     seen = frontier.select("seed", "request_url")
@@ -228,7 +229,7 @@ def crawl_budget(seeds: DataFrame, captures: DataFrame, host_addresses: DataFram
         ranked = checkpoint(ranked)
         urls = ranked.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
         fetched = read_pages(urls, captures, host_addresses, cache=cache, robots_rules=robots_rules,
-                             user_agent=user_agent, dedupe=False).drop("ord")
+                             user_agent=user_agent, dedupe=False, host_verdicts=verdicts).drop("ord")
         level_res = checkpoint(
             ranked.join(fetched, "request_url", "left").withColumn("level", F.lit(level))
         )
@@ -280,6 +281,7 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame
     from ..plans.read_pages import read_pages
 
     key = lambda c: F.coalesce(U.normalize_url(c), c)
+    verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host for every level
     frontier = seeds.select("seed", key(F.col("seed")).alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
                             F.lit(0).cast("long").alias("pos"))
     seen = frontier.select("seed", "request_url")
@@ -292,7 +294,7 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame
         )
         urls = ranked.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
         fetched = read_pages(urls, captures, host_addresses, cache=cache, robots_rules=robots_rules,
-                             user_agent=user_agent, with_links=level < depth, dedupe=False).drop("ord")
+                             user_agent=user_agent, with_links=level < depth, dedupe=False, host_verdicts=verdicts).drop("ord")
         res = ranked.join(fetched, "request_url", "left").withColumn("level", F.lit(level))
         if level < depth:
             links = res.filter(F.col("status") == "ok").select(
@@ -302,7 +304,7 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame
                 links = links.filter(U.url_origin(F.col("link")) == U.url_origin(F.col("url")))
             links = links.withColumn("request_url", key(F.col("link"))).withColumn("pos", F.col("pos").cast("long"))
             links = links.join(seen, ["seed", "request_url"], "left_anti")
-            checked = P.url_policy(links.withColumn("_u", F.col("request_url")), host_addresses, url="_u")
+            checked = P.url_policy(links.withColumn("_u", F.col("request_url")), host_addresses, url="_u", host_verdicts=verdicts)
             bad = checked.filter(~F.col("allowed")).groupBy("seed", "ord").agg(F.min(F.struct("pos", "reason")).alias("_b"))
             res = res.join(bad, ["seed", "ord"], "left").withColumn(
                 "error", F.coalesce(F.col("_b.reason"), F.col("error"))

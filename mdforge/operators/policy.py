@@ -37,13 +37,13 @@ def address_verdicts(df: DataFrame, address: str = "address", family: str = "fam
     a, fam = F.col(address), F.col(family)
     mapped = F.regexp_extract(F.lower(a), IP.MAPPED_RE, 1)
     is_mapped = (fam == 6) & (mapped != "")
-    staged = (
-        df.withColumn("checked_family", F.when(is_mapped, F.lit(4)).otherwise(fam.cast("int")))
-        .withColumn("checked_address", F.when(is_mapped, mapped).otherwise(a))
-        .withColumn("v4_num", F.when(F.col("checked_family") == 4, IP.ipv4_number(F.col("checked_address"))))
-        .withColumn("_v6", F.when(F.col("checked_family") == 6, IP.ipv6_hex(F.col("checked_address"))))
-        .withColumn("v6_hex", F.col("_v6.hex"))
-    )
+    staged = df.withColumns({
+        "checked_family": F.when(is_mapped, F.lit(4)).otherwise(fam.cast("int")),
+        "checked_address": F.when(is_mapped, mapped).otherwise(a),
+    }).withColumns({
+        "v4_num": F.when(F.col("checked_family") == 4, IP.ipv4_number(F.col("checked_address"))),
+        "_v6": F.when(F.col("checked_family") == 6, IP.ipv6_hex(F.col("checked_address"))),
+    }).withColumn("v6_hex", F.col("_v6.hex"))
     ranges = F.broadcast(IP.blocked_ranges(spark))
     cond = (F.col("checked_family") == F.col("r_family")) & (
         ((F.col("r_family") == 4) & F.col("v4_num").between(F.col("r_lo4"), F.col("r_hi4")))
@@ -130,15 +130,10 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url",
     """
     staged = df.withColumn("_url_rules", _url_rules(F.col(url)))
     r = {k: F.col("_url_rules." + k) for k in RULE_FIELDS}
-    staged = (
-        staged.withColumn("_invalid", r["invalid"])
-        .withColumn("_scheme", r["scheme"])
-        .withColumn("_bad_scheme", r["bad_scheme"])
-        .withColumn("_cred", r["credentials"])
-        .withColumn("host", r["host"])
-        .withColumn("_lit_family", r["literal_family"])
-        .withColumn("_lit_address", r["literal_address"])
-    )
+    staged = staged.withColumns({
+        "_invalid": r["invalid"], "_scheme": r["scheme"], "_bad_scheme": r["bad_scheme"], "_cred": r["credentials"],
+        "host": r["host"], "_lit_family": r["literal_family"], "_lit_address": r["literal_address"],
+    })
     pre = (
         F.when(F.col("_invalid"), F.lit("invalid_url"))
         .when(F.col("_bad_scheme"), F.lit("scheme"))

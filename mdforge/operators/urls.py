@@ -50,6 +50,17 @@ def keep_computed(df: DataFrame, name: str, value, pred) -> DataFrame:
     return df.select("*", F.explode(F.filter(F.array(value), pred)).alias(name))
 
 
+def barrier(df: DataFrame) -> DataFrame:
+    """Make ``df``'s columns a boundary for the optimizer.
+
+    Filters placed after an expensive projection are pushed below it by substituting
+    the expressions, which evaluates them twice. Passing the row through a one-element
+    generator keeps later filters above the computed values.
+    """
+    cols = df.columns
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in cols]))))
+
+
 def resolve_links(df: DataFrame, link: str = "raw", base: str = "base", out: str = "target") -> DataFrame:
     """U4: absolute URL; unresolvable links are dropped."""
     return keep_computed(df, out, U.resolve_url(F.col(link), F.col(base)), lambda t: t.isNotNull())

@@ -483,3 +483,102 @@ def m12_read_summary(spark, sf):
         "seed", F.explode(L.page_link_array(F.col("markdown"), F.col("request_url"))).alias("link")
     )
     return CB.read_summary(res, links)
+
+
+# ---------------------------------------------------------------------------
+# Cache table and exports over the flagship results
+# ---------------------------------------------------------------------------
+from ..sources import cache as CA  # noqa: E402
+from ..sources import export as EX  # noqa: E402
+
+_H8_SQL = f"({RP.read_pages_table_sql()})"
+_ENTRIES_SQL = (
+    f"(SELECT sha256({U.normalize_url_sql('url')}) AS url_key, url, title, markdown, "
+    f"CAST(coalesce(strlen(markdown), 0) + coalesce(strlen(title), 0) AS BIGINT) AS n_bytes "
+    f"FROM {_H8_SQL} WHERE error IS NULL AND markdown IS NOT NULL)"
+)
+
+
+def _entries(spark, sf):
+    return CA.cache_entries(RP.read_pages_table(spark, sf))
+
+
+@register("s5_cache_entries", f"SELECT url_key, url, title, n_bytes FROM {_ENTRIES_SQL}")
+def s5_cache_entries(spark, sf):
+    return _entries(spark, sf).select("url_key", "url", "title", "n_bytes")
+
+
+@register(
+    "s6_cache_lookup",
+    f"""SELECT v.page_id, v.url, v.ord, e.url_key IS NOT NULL AS hit, e.title AS cached_title
+  FROM {D.url_variants_sql()} v LEFT JOIN {_ENTRIES_SQL} e ON sha256({U.normalize_url_sql('v.url')}) = e.url_key""",
+)
+def s6_cache_lookup(spark, sf):
+    variants = D.url_variants(_pages(spark, sf))
+    entries = CA.latest_entries(_entries(spark, sf))
+    hits, misses = CA.cache_lookup(variants, entries, url="url")
+    return hits.select("page_id", "url", "ord", F.lit(True).alias("hit"), F.col("cached_title")).unionByName(
+        misses.select("page_id", "url", "ord", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("cached_title"))
+    )
+
+
+@register(
+    "s7_cache_status",
+    f"SELECT CAST(coalesce(sum(n_bytes), 0) AS BIGINT) AS cache_size, count(*) AS cache_files, "
+    f"printf('%.2f MB', coalesce(sum(n_bytes), 0) / 1024.0 / 1024.0) AS cache_size_formatted FROM {_ENTRIES_SQL}",
+)
+def s7_cache_status(spark, sf):
+    return CA.cache_status(CA.latest_entries(_entries(spark, sf)))
+
+
+@register("s9_export_json")
+def s9_export_json(spark, sf):
+    return EX.export_json(RP.read_pages_table(spark, sf))
+
+
+@register("s10_export_markdown")
+def s10_export_markdown(spark, sf):
+    return EX.export_markdown(CB.combine_pages(_crawl(spark, sf)))
+
+
+@register(
+    "s11_export_both",
+    f"""SELECT ord, url, chr(10) || '## URL: ' || url || chr(10) || chr(10) ||
+  CASE WHEN coalesce(markdown, '') <> '' THEN markdown || chr(10) ELSE '' END AS text,
+  CASE WHEN error IS NOT NULL THEN CASE WHEN coalesce(markdown, '') <> '' THEN 'Warning' ELSE 'Error' END || ': ' || error END AS message
+  FROM {_H8_SQL}""",
+)
+def s11_export_both(spark, sf):
+    return EX.export_both(RP.read_pages_table(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Streaming: pages arrive as files; each URL processed once; cache filled per batch
+# ---------------------------------------------------------------------------
+import uuid  # noqa: E402
+
+from ..session import ensure_checkpoint_dir  # noqa: E402
+from ..streaming import pages as ST  # noqa: E402
+
+
+def _scratch(spark, name: str) -> str:
+    base = ensure_checkpoint_dir(spark).rstrip("/")
+    return f"{base}/{name}-{uuid.uuid4().hex}"
+
+
+@register("t1_stream_read_pages")
+def t1_stream_read_pages(spark, sf):
+    pages = _pages(spark, sf)
+    stream = ST.stream_read_pages(spark, sf, D.host_addresses(pages), glob="pages.parquet")
+    out = _scratch(spark, "t1-out")
+    ST.run_to_table(stream, out, _scratch(spark, "t1-ckpt"))
+    return spark.read.parquet(out)
+
+
+@register("t2_stream_cache_put")
+def t2_stream_cache_put(spark, sf):
+    pages = _pages(spark, sf)
+    stream = ST.stream_read_pages(spark, sf, D.host_addresses(pages), glob="pages.parquet")
+    cache_path = _scratch(spark, "t2-cache")
+    ST.stream_cache_put(stream, cache_path, _scratch(spark, "t2-ckpt"))
+    return CA.read_cache(spark, cache_path).select("url_key", "url", "title", "n_bytes")

@@ -38,6 +38,7 @@ def read_pages(
     user_agent: str = "*",
     with_links: bool = False,
     dedupe: bool = True,
+    host_verdicts: DataFrame | None = None,
 ) -> DataFrame:
     """``requests(url, ord)``; ``captures(url, html[, page_id, status, content_type, location])``.
 
@@ -54,7 +55,7 @@ def read_pages(
     # request URLs, e.g. a crawl level where "/a" and "/a#x" are separate visits).
     uniq = UO.dedupe_urls(keyed, key="url_key", order="ord") if dedupe else keyed
 
-    df = P.url_policy(uniq.withColumn("url", F.col("url_key")), host_addresses, url="url")
+    df = P.url_policy(uniq.withColumn("url", F.col("url_key")), host_addresses, url="url", host_verdicts=host_verdicts)
     df = df.select("ord", "request_url", "url_key", "allowed", F.col("reason").alias("_policy_error"))
     live = F.col("allowed")
 
@@ -130,7 +131,7 @@ def read_pages(
         out = out.withColumn(
             "links", F.when(F.col("status") == "ok", dom_link_array(F.col("html"), F.col("final_url")))
         ).drop("html", "final_url")
-    return out
+    return UO.barrier(out)
 
 
 def read_pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
