@@ -209,12 +209,17 @@ def crawl_budget(seeds: DataFrame, captures: DataFrame, host_addresses: DataFram
 
     Returns ``CRAWL_COLS`` + ``seed_error``; pages in visit order ``ord`` 1..n.
     """
-    from ..plans.read_pages import read_pages
+    from ..plans.read_pages import prepare_captures, read_pages
 
-    verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host for every level
+    # Built once for all levels: host verdicts, and captures deduped + partitioned by key
+    # (the checkpoint keeps the partitioning, so levels shuffle only their frontier).
+    verdicts = checkpoint(P.host_policy(host_addresses))
+    caps = checkpoint(prepare_captures(captures))
     frontier = seeds.select("seed", F.col("seed").alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
                             F.lit(0).cast("long").alias("pos"))
     seen = frontier.select("seed", "request_url")
+    # Pages already taken per seed. A seed reaches the next level only through links of
+    # this level's pages, so the last ord of this level is its running count.
     counts = seeds.select("seed", F.lit(0).cast("long").alias("done"))
     results = []
     level = 0
@@ -226,9 +231,8 @@ def crawl_budget(seeds: DataFrame, captures: DataFrame, host_addresses: DataFram
             .filter(F.col("ord") <= max_pages)
             .drop("_r", "done")
         )
-        ranked = checkpoint(ranked)
         urls = ranked.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
-        fetched = read_pages(urls, captures, host_addresses, cache=cache, robots_rules=robots_rules,
+        fetched = read_pages(urls, caps, host_addresses, cache=cache, robots_rules=robots_rules,
                              user_agent=user_agent, dedupe=False, host_verdicts=verdicts).drop("ord")
         level_res = checkpoint(
             ranked.join(fetched, "request_url", "left").withColumn("level", F.lit(level))
@@ -236,10 +240,7 @@ def crawl_budget(seeds: DataFrame, captures: DataFrame, host_addresses: DataFram
         results.append(level_res)
         if max_levels is not None and level + 1 >= max_levels:
             break
-        counts = checkpoint(
-            counts.join(level_res.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")), "seed", "left")
-            .select("seed", (F.col("done") + F.coalesce(F.col("_n"), F.lit(0))).alias("done"))
-        )
+        counts = level_res.groupBy("seed").agg(F.max("ord").alias("done"))
         # Links only from pages with content that still leave room in the budget.
         parents = level_res.filter((F.col("ord") < max_pages) & (F.col("markdown") != "") & (F.col("status") != "policy"))
         arr = page_link_array(F.col("markdown"), F.col("request_url"))
@@ -278,22 +279,23 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame
     an error row (links before it in page order are still queued). Order within a
     level is ``(parent_ord, pos)``.
     """
-    from ..plans.read_pages import read_pages
+    from ..plans.read_pages import prepare_captures, read_pages
 
     key = lambda c: F.coalesce(U.normalize_url(c), c)
     verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host for every level
+    caps = checkpoint(prepare_captures(captures))
     frontier = seeds.select("seed", key(F.col("seed")).alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
                             F.lit(0).cast("long").alias("pos"))
     seen = frontier.select("seed", "request_url")
     counts = seeds.select("seed", F.lit(0).cast("long").alias("done"))
     results = []
     for level in range(depth + 1):
-        ranked = checkpoint(
+        ranked = (
             rank_within(_queue_order(frontier), "seed", "_q", out="_r").drop("_q").join(counts, "seed")
             .withColumn("ord", F.col("done") + F.col("_r")).drop("_r", "done")
         )
         urls = ranked.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
-        fetched = read_pages(urls, captures, host_addresses, cache=cache, robots_rules=robots_rules,
+        fetched = read_pages(urls, caps, host_addresses, cache=cache, robots_rules=robots_rules,
                              user_agent=user_agent, with_links=level < depth, dedupe=False, host_verdicts=verdicts).drop("ord")
         res = ranked.join(fetched, "request_url", "left").withColumn("level", F.lit(level))
         if level < depth:
@@ -320,10 +322,7 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame
             nxt = first.select("seed", "request_url", "_k.parent_ord", "_k.pos")
             res = checkpoint(res.drop("_b", "links"))
             results.append(res)
-            counts = checkpoint(
-                counts.join(res.groupBy("seed").agg(F.count(F.lit(1)).alias("_n")), "seed", "left")
-                .select("seed", (F.col("done") + F.coalesce(F.col("_n"), F.lit(0))).alias("done"))
-            )
+            counts = res.groupBy("seed").agg(F.max("ord").alias("done"))
             frontier = checkpoint(nxt)
             if frontier.isEmpty():
                 break

@@ -25,6 +25,25 @@ from ..sources.captures import classify_response, table
 from . import derived as D
 
 RESULT_COLS = ("ord", "request_url", "url", "title", "markdown", "error", "status")
+CAPTURE_EXTRA = ("status", "content_type", "location")
+
+
+def prepare_captures(captures: DataFrame) -> DataFrame:
+    """One capture per canonical URL ``_cap_key`` (first by ``page_id``), hash-partitioned
+    by that key by the dedupe aggregate.
+
+    Checkpoint the result when it is looked up repeatedly (crawl levels): a checkpoint
+    keeps the partitioning, so each later join shuffles only the small request side.
+    """
+    cap_cols = [c for c in CAPTURE_EXTRA if c in captures.columns]
+    cap = captures.select(
+        F.coalesce(U.normalize_url(F.col("url")), F.col("url")).alias("_cap_key"),
+        F.col("url").alias("final_url"),
+        "html",
+        *cap_cols,
+        (F.col("page_id") if "page_id" in captures.columns else F.lit(0)).alias("_cap_ord"),
+    )
+    return UO.dedupe_urls(cap, key="_cap_key", order="_cap_ord").drop("_cap_ord")
 ROBOTS_ERROR = "Blocked by robots.txt"
 NO_CAPTURE = "No capture for "
 
@@ -40,7 +59,8 @@ def read_pages(
     dedupe: bool = True,
     host_verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """``requests(url, ord)``; ``captures(url, html[, page_id, status, content_type, location])``.
+    """``requests(url, ord)``; ``captures(url, html[, page_id, status, content_type, location])``
+    or the output of ``prepare_captures``.
 
     Returns ``(ord, request_url, url, title, markdown, error, status)`` (+ ``links`` of
     the page DOM when ``with_links``); ``url`` is the canonical request URL for early
@@ -74,15 +94,8 @@ def read_pages(
         live = live & F.coalesce(F.col("robots_allowed"), F.lit(True))
 
     # One capture per canonical URL (first by capture order), joined by key.
-    cap_cols = [c for c in ("status", "content_type", "location") if c in captures.columns]
-    cap = captures.select(
-        F.coalesce(U.normalize_url(F.col("url")), F.col("url")).alias("_cap_key"),
-        F.col("url").alias("final_url"),
-        "html",
-        *cap_cols,
-        (F.col("page_id") if "page_id" in captures.columns else F.lit(0)).alias("_cap_ord"),
-    )
-    cap = UO.dedupe_urls(cap, key="_cap_key", order="_cap_ord").drop("_cap_ord")
+    cap = captures if "_cap_key" in captures.columns else prepare_captures(captures)
+    cap_cols = [c for c in CAPTURE_EXTRA if c in cap.columns]
     df = df.join(cap, live & (F.col("url_key") == F.col("_cap_key")), "left")
 
     missing = F.col("_cap_key").isNull()
