@@ -153,37 +153,50 @@ def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: Data
     """S3: follow Location up to ``max_redirects`` times, re-checking the policy on
     every hop. Output ``(ord, request_url, final_url, n_hops, error)``.
 
-    ``hops(url, status, location, content_type)`` holds one response per URL. Each
-    round is a join of the still-moving requests with the hop table.
+    ``hops(url, status, location, content_type)`` holds one response per URL. Every
+    URL that can appear in a chain (requests, hop URLs, resolved locations) is judged
+    once, and each hop's outcome (error / final / next URL) is computed once; the
+    rounds then only join the moving requests with that table.
     """
     from ..sources.captures import classify_response
 
-    hop = hops.select(F.col("url").alias("_hurl"), "status", "location", "content_type")
+    c = classify_response(F.col("url"), F.col("status"), F.col("location"), F.col("content_type"))
+    edges = hops.select(
+        "url", c.alias("_c"),
+        U.resolve_url(F.col("location"), F.col("url"), keep_absolute_raw=False).alias("_next"),
+    )
+    nodes = (
+        requests.select("url")
+        .unionByName(hops.select("url"))
+        .unionByName(edges.filter(F.col("_c.kind") == "redirect").select(F.col("_next").alias("url")))
+        .filter(F.col("url").isNotNull())
+        .distinct()
+    )
+    judged = P.url_policy(nodes, host_addresses, url="url").select("url", F.col("reason").alias("_policy"))
+    step = checkpoint(
+        judged.join(edges, "url", "left").select(
+            F.col("url").alias("cur"),
+            F.when(F.col("_policy").isNotNull(), F.lit("error"))
+            .when(F.col("_c").isNull(), F.lit("error"))
+            .otherwise(F.col("_c.kind")).alias("kind"),
+            F.coalesce(F.col("_policy"), F.when(F.col("_c").isNull(), F.concat(F.lit("No capture for "), F.col("url"))),
+                       F.col("_c.error")).alias("error"),
+            F.when(F.col("_c.kind") == "redirect", F.col("_next")).alias("next"),
+        )
+    )
     state = requests.select("ord", F.col("url").alias("request_url"), F.col("url").alias("cur"), F.lit(0).alias("n_hops"))
-    verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host, reused by every round
     done_parts = []
     for _ in range(max_redirects + 1):
-        checked = P.url_policy(state.withColumn("_u", F.col("cur")), host_addresses, url="_u", host_verdicts=verdicts)
-        blocked = checked.filter(~F.col("allowed")).select(
-            "ord", "request_url", F.lit(None).cast("string").alias("final_url"), "n_hops", F.col("reason").alias("error")
-        )
-        moving = checked.filter(F.col("allowed")).select("ord", "request_url", "cur", "n_hops")
-        j = moving.join(hop, F.col("cur") == F.col("_hurl"), "left")
-        c = classify_response(F.col("cur"), F.col("status"), F.col("location"), F.col("content_type"))
-        j = j.withColumn("_c", F.when(F.col("_hurl").isNotNull(), c))
-        finished = j.filter(F.col("_hurl").isNull() | (F.col("_c.kind") != "redirect")).select(
-            "ord",
-            "request_url",
-            F.when(F.col("_c.kind") == "ok", F.col("cur")).alias("final_url"),
-            "n_hops",
-            F.when(F.col("_hurl").isNull(), F.concat(F.lit("No capture for "), F.col("cur"))).otherwise(F.col("_c.error")).alias("error"),
+        j = state.join(step, "cur", "left")
+        done_parts.append(
+            j.filter(F.col("kind").isNull() | (F.col("kind") != "redirect")).select(
+                "ord", "request_url", F.when(F.col("kind") == "ok", F.col("cur")).alias("final_url"), "n_hops",
+                F.coalesce(F.col("error"), F.when(F.col("kind").isNull(), F.concat(F.lit("No capture for "), F.col("cur")))).alias("error"),
+            )
         )
-        nxt = j.filter(F.col("_c.kind") == "redirect").select(
-            "ord", "request_url", U.resolve_url(F.col("location"), F.col("cur"), keep_absolute_raw=False).alias("cur"),
-            (F.col("n_hops") + 1).alias("n_hops"),
+        state = checkpoint(
+            j.filter(F.col("kind") == "redirect").select("ord", "request_url", F.col("next").alias("cur"), (F.col("n_hops") + 1).alias("n_hops"))
         )
-        done_parts.append(blocked.unionByName(finished))
-        state = checkpoint(nxt)
     too_many = state.select(
         "ord", "request_url", F.lit(None).cast("string").alias("final_url"), "n_hops",
         F.concat(F.lit(TOO_MANY), F.col("request_url")).alias("error"),
