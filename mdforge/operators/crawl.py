@@ -296,7 +296,7 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame
 
     key = lambda c: F.coalesce(U.normalize_url(c), c)
     verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host for every level
-    caps = checkpoint(prepare_captures(captures))
+    caps = checkpoint(prepare_captures(captures, with_links=depth > 0))
     frontier = seeds.select("seed", key(F.col("seed")).alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
                             F.lit(0).cast("long").alias("pos"))
     seen = frontier.select("seed", "request_url")

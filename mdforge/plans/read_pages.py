@@ -5,10 +5,12 @@ U2/U3 canonical key and dedupe -> U6 policy -> S6 cache lookup -> C3 robots ->
 S4 capture lookup (+ S2 response checks) -> H6 blank test -> H2 article -> H7
 limited pages -> H3 Markdown. Failures stay as rows with ``error`` set.
 
-Shuffles: the dedupe aggregate and the capture join (both by ``url_key``), the host
-verdict join (by host; AQE turns it into a broadcast when the verdict table is
-small) and the cache join. Extraction itself is narrow. Only the capture join
-carries ``html``; every earlier step moves URL-sized rows.
+Extraction (H2/H3/H6/H7, and H5 links when asked) is a pure function of a capture,
+so it runs on the captures **before** any shuffle: narrow, on the scan partitions,
+once per capture however many requests or crawl levels look it up. Only the
+extracted results (smaller than the HTML) move through the capture join. The
+request side carries URL-sized rows through the dedupe aggregate, the host-verdict
+join and the cache join.
 """
 
 from __future__ import annotations
@@ -26,26 +28,43 @@ from . import derived as D
 
 RESULT_COLS = ("ord", "request_url", "url", "title", "markdown", "error", "status")
 CAPTURE_EXTRA = ("status", "content_type", "location")
+ROBOTS_ERROR = "Blocked by robots.txt"
+NO_CAPTURE = "No capture for "
 
 
-def prepare_captures(captures: DataFrame) -> DataFrame:
-    """One capture per canonical URL ``_cap_key`` (first by ``page_id``), hash-partitioned
-    by that key by the dedupe aggregate.
+def prepare_captures(captures: DataFrame, with_links: bool = False) -> DataFrame:
+    """Extract every capture, then keep one per canonical URL ``_cap_key`` (first by
+    ``page_id``). Output: ``_cap_key, final_url, gate_status, gate_title,
+    gate_markdown, gate_error`` (+ ``links``, + response columns when present).
 
-    Checkpoint the result when it is looked up repeatedly (crawl levels): a checkpoint
-    keeps the partitioning, so each later join shuffles only the small request side.
+    The result is hash-partitioned by ``_cap_key`` (the dedupe aggregate); checkpoint it
+    when it is looked up repeatedly - the checkpoint keeps that partitioning, so each
+    later join shuffles only the small request side.
     """
     cap_cols = [c for c in CAPTURE_EXTRA if c in captures.columns]
-    cap = captures.select(
+    base = captures.select(
+        "url", "html", *cap_cols,
+        (F.col("page_id") if "page_id" in captures.columns else F.lit(0)).alias("_cap_ord"),
+    )
+    gated = X.content_gate(base, html="html", url="url")
+    out = gated.select(
         F.coalesce(U.normalize_url(F.col("url")), F.col("url")).alias("_cap_key"),
+        "_cap_ord",
         F.col("url").alias("final_url"),
-        "html",
-        *cap_cols,
-        (F.col("page_id") if "page_id" in captures.columns else F.lit(0)).alias("_cap_ord"),
+        F.col("status").alias("gate_status"),
+        F.col("title").alias("gate_title"),
+        F.col("markdown").alias("gate_markdown"),
+        F.col("error").alias("gate_error"),
+        *[F.col(c).alias("resp_" + c) for c in cap_cols],
+        *([F.when(F.col("status") == "ok", _dom_links(F.col("html"), F.col("url"))).alias("links")] if with_links else []),
     )
-    return UO.dedupe_urls(cap, key="_cap_key", order="_cap_ord").drop("_cap_ord")
-ROBOTS_ERROR = "Blocked by robots.txt"
-NO_CAPTURE = "No capture for "
+    return UO.dedupe_urls(out, key="_cap_key", order="_cap_ord").drop("_cap_ord")
+
+
+def _dom_links(html, url):
+    from ..operators.links import dom_link_array
+
+    return dom_link_array(html, url)
 
 
 def read_pages(
@@ -93,32 +112,31 @@ def read_pages(
         df = robots_filter(df, robots_rules, user_agent=user_agent, url="url_key", only_where=live)
         live = live & F.coalesce(F.col("robots_allowed"), F.lit(True))
 
-    # One capture per canonical URL (first by capture order), joined by key.
-    cap = captures if "_cap_key" in captures.columns else prepare_captures(captures)
-    cap_cols = [c for c in CAPTURE_EXTRA if c in cap.columns]
+    # Join the extracted captures by canonical URL.
+    cap = captures if "_cap_key" in captures.columns else prepare_captures(captures, with_links=with_links)
+    resp_cols = [c for c in CAPTURE_EXTRA if "resp_" + c in cap.columns]
     df = df.join(cap, live & (F.col("url_key") == F.col("_cap_key")), "left")
 
     missing = F.col("_cap_key").isNull()
     fetch_error = F.when(missing, F.concat(F.lit(NO_CAPTURE), F.col("url_key")))
-    if cap_cols:
+    if resp_cols:
         resp = classify_response(
             F.col("final_url"),
-            F.col("status") if "status" in cap_cols else F.lit(200),
-            F.col("location") if "location" in cap_cols else F.lit(None).cast("string"),
-            F.col("content_type") if "content_type" in cap_cols else F.lit(None).cast("string"),
+            F.col("resp_status") if "status" in resp_cols else F.lit(200),
+            F.col("resp_location") if "location" in resp_cols else F.lit(None).cast("string"),
+            F.col("resp_content_type") if "content_type" in resp_cols else F.lit(None).cast("string"),
         )
         fetch_error = F.coalesce(fetch_error, resp["error"])
     df = df.withColumn("_fetch_error", F.when(live, fetch_error))
     fetched = live & F.col("_fetch_error").isNull()
 
-    gated = X.content_gate(df.withColumn("_page_url", F.coalesce(F.col("final_url"), F.col("url_key"))), html="html", url="_page_url")
     stage = F.when(~F.col("allowed"), F.lit("policy"))
     if cache is not None:
         stage = stage.when(F.col("_cached_md").isNotNull(), F.lit("cached"))
     if robots_rules is not None:
         stage = stage.when(~F.coalesce(F.col("robots_allowed"), F.lit(True)), F.lit("robots"))
-    stage = stage.when(~fetched, F.lit("fetch")).otherwise(F.col("status_gate"))
-    out = gated.withColumnRenamed("status", "status_gate").withColumn("stage", stage)
+    stage = stage.when(~fetched, F.lit("fetch")).otherwise(F.col("gate_status"))
+    out = df.withColumn("stage", stage)
     st = F.col("stage")
     decided = st.isin("policy", "robots", "fetch")
     cached_title = F.col("_cached_title") if cache is not None else F.lit(None).cast("string")
@@ -127,23 +145,17 @@ def read_pages(
         "ord",
         "request_url",
         F.when(decided | (st == "cached"), F.col("url_key")).otherwise(F.col("final_url")).alias("url"),
-        F.when(st == "cached", cached_title).when(decided, F.lit(None).cast("string")).otherwise(F.col("title")).alias("title"),
-        F.when(st == "cached", cached_md).when(decided, F.lit("")).otherwise(F.col("markdown")).alias("markdown"),
+        F.when(st == "cached", cached_title).when(decided, F.lit(None).cast("string")).otherwise(F.col("gate_title")).alias("title"),
+        F.when(st == "cached", cached_md).when(decided, F.lit("")).otherwise(F.col("gate_markdown")).alias("markdown"),
         F.when(st == "policy", F.col("_policy_error"))
         .when(st == "robots", F.lit(ROBOTS_ERROR))
         .when(st == "fetch", F.col("_fetch_error"))
         .when(st == "cached", F.lit(None).cast("string"))
-        .otherwise(F.col("error"))
+        .otherwise(F.col("gate_error"))
         .alias("error"),
         st.alias("status"),
-        *([F.col("html"), F.col("final_url")] if with_links else []),
+        *([F.when(st == "ok", F.col("links")).alias("links")] if with_links else []),
     )
-    if with_links:
-        from ..operators.links import dom_link_array
-
-        out = out.withColumn(
-            "links", F.when(F.col("status") == "ok", dom_link_array(F.col("html"), F.col("final_url")))
-        ).drop("html", "final_url")
     return UO.barrier(out)
 
 
