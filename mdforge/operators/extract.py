@@ -99,3 +99,40 @@ def content_gate(df: DataFrame, html: str = "html", url: str = "url") -> DataFra
             .when(F.col("status") == "limited", F.lit(LIMITED_ERROR)),
         )
     )
+
+
+# ---------------------------------------------------------------------------
+# H4: block table behind the Markdown (position, tag, text of each block)
+# ---------------------------------------------------------------------------
+from ..functions.regex import sql_str  # noqa: E402
+
+BLOCK_OPEN = r"(?is)<(h[1-6]|p|li|pre|blockquote|table|tr|th|td|ol|ul|dt|dd|figcaption)\b[^>]*>"
+
+
+def html_block_array(content: Column) -> Column:
+    """array<struct<tag, inner>>: every block-opening tag in document order with the
+    text up to the next block-opening tag (tags stripped, entities decoded, trimmed)."""
+    tags = F.regexp_extract_all(content, F.lit(BLOCK_OPEN), 1)
+    pieces = F.split(content, BLOCK_OPEN)
+    after = F.slice(pieces, 2, F.greatest(F.size(pieces) - 1, F.lit(0)))
+    return F.transform(
+        F.arrays_zip(tags.alias("tag"), after.alias("raw")),
+        lambda z: F.struct(F.lower(z["tag"]).alias("tag"), H.html_text(z["raw"]).alias("inner")),
+    )
+
+
+def html_blocks(df: DataFrame, content: str = "content_html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """H4: (keep..., pos, tag, inner) - ordered list numbers and table headers can be
+    derived from it with windows over ``pos`` inside one page."""
+    out = df.select(*keep, F.posexplode(html_block_array(F.col(content))).alias("pos", "_b"))
+    return out.select(*keep, (F.col("pos") + 1).cast("int").alias("pos"), F.col("_b.tag").alias("tag"), F.col("_b.inner").alias("inner"))
+
+
+def html_blocks_sql(src: str, content: str = "content_html", key: str = "page_id") -> str:
+    tags = f"regexp_extract_all({content}, {sql_str(BLOCK_OPEN)}, 1)"
+    pieces = f"regexp_split_to_array({content}, {sql_str(BLOCK_OPEN)})"
+    return (
+        f"SELECT {key}, CAST(generate_subscripts(t, 1) AS INTEGER) AS pos, lower(unnest(t)) AS tag, "
+        f"unnest(list_transform(p[2:], lambda r: {H.html_text_sql('r')})) AS inner FROM "
+        f"(SELECT {key}, {tags} AS t, {pieces} AS p FROM {src})"
+    )

@@ -582,3 +582,8 @@ def t2_stream_cache_put(spark, sf):
     cache_path = _scratch(spark, "t2-cache")
     ST.stream_cache_put(stream, cache_path, _scratch(spark, "t2-ckpt"))
     return CA.read_cache(spark, cache_path).select("url_key", "url", "title", "n_bytes")
+
+
+@register("h4_html_blocks", X.html_blocks_sql(_CONTENT_SQL))
+def h4_html_blocks(spark, sf):
+    return X.html_blocks(X.main_content(_pages(spark, sf)))

@@ -71,3 +71,10 @@ def test_boilerplate_removed(spark):
     r = X.content_gate(df).first()
     assert "nav" not in r.markdown and "buy" not in r.markdown and "foot" not in r.markdown
     assert r.markdown.startswith("word word")
+
+
+def test_html_blocks(spark):
+    html = "<h2>T</h2><ol><li>a &amp; b</li><li>c</li></ol><table><tr><th>H</th></tr></table>"
+    df = spark.createDataFrame([(1, html)], "page_id long, content_html string")
+    got = [(r.pos, r.tag, r.inner) for r in X.html_blocks(df).orderBy("pos").collect()]
+    assert got == [(1, "h2", "T"), (2, "ol", ""), (3, "li", "a & b"), (4, "li", "c"), (5, "table", ""), (6, "tr", ""), (7, "th", "H")]
