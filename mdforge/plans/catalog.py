@@ -59,7 +59,7 @@ _CONTENT_SQL = f"(SELECT page_id, url, html, {H.main_content_sql('html')} AS con
 )
 def h2_main_content(spark, sf):
     df = X.main_content(_pages(spark, sf))
-    return df.select("page_id", "content_html", "text", F.length("content_html").alias("n_content_chars"))
+    return df.select("page_id", "content_html", "text", F.length("content_html").cast("long").alias("n_content_chars"))
 
 
 @register(
@@ -368,7 +368,7 @@ def m8_overlap_tail(spark, sf):
 )
 def m9_estimate_tokens(spark, sf):
     docs = table(spark, sf, "documents")
-    return docs.select("doc_id", F.length("text").alias("n_chars"), CH.estimate_tokens(F.col("text")).alias("tokens"))
+    return docs.select("doc_id", F.length("text").cast("long").alias("n_chars"), CH.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 # ---------------------------------------------------------------------------
