@@ -587,3 +587,73 @@ def t2_stream_cache_put(spark, sf):
 @register("h4_html_blocks", X.html_blocks_sql(_CONTENT_SQL))
 def h4_html_blocks(spark, sf):
     return X.html_blocks(X.main_content(_pages(spark, sf)))
+
+
+# ---------------------------------------------------------------------------
+# Oracle for the registered crawl (budget of 3 pages, all origins). With three pages a
+# crawl is the seed, then the first two new links of the seed, or - when the seed has
+# exactly one new link - that link and the first link of it not queued before. This
+# closed form is written independently of the Spark level loop.
+# ---------------------------------------------------------------------------
+
+def _distinct_in_order(arr: str) -> str:
+    return f"list_transform([{arr}], lambda a: list_filter(a, lambda x, i: list_position(a, x) = i))[1]"
+
+
+def _links_sql(md: str, base: str) -> str:
+    raw = f"({L.inline_link_array_sql(md)} || {L.bare_link_array_sql(md)})"
+    resolved = f"list_filter(list_transform({raw}, lambda x: {U.resolve_url_sql('x', base)}), lambda t: t IS NOT NULL)"
+    return _distinct_in_order(resolved)
+
+
+def _crawl3_sql() -> str:
+    assert CRAWL_MAX_PAGES == 3
+    lp = D.linked_pages_sql()
+    cols = "url, title, markdown, error, status"
+    r = lambda req: RP.read_pages_sql(req, lp, dedupe=False)
+    return f"""(WITH s0 AS (
+  SELECT request_url AS seed, CAST(1 AS BIGINT) AS ord, 0 AS level, request_url, {cols}
+  FROM ({r(f"(SELECT url, CAST(0 AS BIGINT) AS ord FROM {lp})")})),
+f1 AS (SELECT seed, list_filter({_links_sql('markdown', 'request_url')}, lambda x: x <> seed) AS f1 FROM s0
+  WHERE markdown <> '' AND status <> 'policy'),
+l1 AS (SELECT seed, f1, unnest(f1[1:2]) AS request_url, CAST(generate_subscripts(f1[1:2], 1) + 1 AS BIGINT) AS ord FROM f1),
+r1 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM l1)")}),
+s1 AS (SELECT l1.seed, l1.ord, 1 AS level, l1.request_url, r1.url, r1.title, r1.markdown, r1.error, r1.status, l1.f1
+  FROM l1 JOIN r1 ON l1.request_url = r1.request_url),
+l2 AS (SELECT seed, CAST(3 AS BIGINT) AS ord, list_filter({_links_sql('markdown', 'request_url')},
+    lambda x: x <> seed AND NOT list_contains(f1, x))[1] AS request_url FROM s1
+  WHERE len(f1) = 1 AND ord = 2 AND markdown <> '' AND status <> 'policy'),
+r2 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM l2 WHERE request_url IS NOT NULL)")}),
+s2 AS (SELECT l2.seed, l2.ord, 2 AS level, l2.request_url, r2.url, r2.title, r2.markdown, r2.error, r2.status
+  FROM l2 JOIN r2 ON l2.request_url = r2.request_url),
+res AS (SELECT * FROM s0 UNION ALL SELECT * EXCLUDE (f1) FROM s1 UNION ALL SELECT * FROM s2),
+ab AS (SELECT seed, arg_min(error, ord) AS seed_error FROM res WHERE status = 'policy' GROUP BY seed)
+SELECT res.*, ab.seed_error FROM res LEFT JOIN ab USING (seed))"""
+
+
+_C1_SQL = _crawl3_sql()
+ORACLE["c1_crawl_budget"] = f"SELECT * FROM {_C1_SQL}"
+_WITH_C1 = f"WITH c1 AS MATERIALIZED (SELECT * FROM {_C1_SQL}) "
+
+_COMBINE_SQL = f"""(SELECT seed, count(*) AS n_pages, string_agg(piece, chr(10) ORDER BY ord) AS markdown FROM (
+  SELECT seed, ord, CASE WHEN error IS NOT NULL THEN '<!-- Error fetching ' || url || ': ' || error || ' -->'
+    ELSE CASE WHEN n > 1 AND ord > 1 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END
+      || '<!-- Source: ' || url || ' -->' || chr(10) || coalesce(markdown, '') END AS piece
+  FROM (SELECT *, count(*) OVER (PARTITION BY seed) AS n FROM c1)) GROUP BY seed)"""
+_ERRORS_SQL = f"""(SELECT seed, CASE WHEN count(*) FILTER (WHERE error IS NOT NULL) > 0 THEN '{CB.ERRORS_PREFIX}' ||
+  string_agg(url, ', ' ORDER BY ord) FILTER (WHERE error IS NOT NULL) END AS error FROM c1 GROUP BY seed)"""
+
+ORACLE["m10_combine_pages"] = f"{_WITH_C1}SELECT seed, n_pages, markdown FROM {_COMBINE_SQL}"
+ORACLE["m11_error_report"] = f"{_WITH_C1}SELECT seed, error FROM {_ERRORS_SQL}"
+ORACLE["s10_export_markdown"] = f"{_WITH_C1}SELECT seed, markdown AS text FROM {_COMBINE_SQL}"
+ORACLE["m12_read_summary"] = f"""{_WITH_C1}SELECT c.seed, CASE WHEN a.seed_error IS NULL THEN f.title END AS title, coalesce(k.n_links, 0) AS n_links,
+  CASE WHEN coalesce(a.seed_error, e.error) IS NOT NULL AND (CASE WHEN a.seed_error IS NOT NULL THEN '' ELSE c.markdown END) <> ''
+       THEN c.markdown || chr(10) || chr(10) || '---' || chr(10) || '*Note: ' || coalesce(a.seed_error, e.error) || '*'
+       WHEN coalesce(a.seed_error, e.error) IS NOT NULL THEN NULL
+       ELSE (CASE WHEN a.seed_error IS NOT NULL THEN '' ELSE c.markdown END) END AS text,
+  coalesce(a.seed_error, e.error) AS error,
+  coalesce(a.seed_error, e.error) IS NOT NULL AND (CASE WHEN a.seed_error IS NOT NULL THEN '' ELSE c.markdown END) = '' AS failed
+FROM {_COMBINE_SQL} c JOIN {_ERRORS_SQL} e USING (seed)
+JOIN (SELECT seed, arg_min(title, ord) AS title FROM c1 GROUP BY seed) f USING (seed)
+JOIN (SELECT seed, max(seed_error) AS seed_error FROM c1 GROUP BY seed) a USING (seed)
+LEFT JOIN (SELECT seed, sum(len({_links_sql('markdown', 'request_url')})) AS n_links FROM c1 WHERE status = 'ok' GROUP BY seed) k USING (seed)"""

@@ -158,6 +158,19 @@ def linked_pages(pages: DataFrame) -> DataFrame:
     return j.select("page_id", "url", html.alias("html"))
 
 
+def linked_pages_sql() -> str:
+    anchors = (
+        "(SELECT src, string_agg('<a href=\"' || dst_url || '\">related</a>', ' ' ORDER BY pos) AS anchors FROM "
+        "(SELECT t.src, t.pos, d.url AS dst_url FROM (SELECT page_id AS src, unnest([page_id + 1, page_id + 2, page_id * 2 + 1]) AS dst, "
+        "unnest([0, 1, 2]) AS pos FROM pages) t JOIN pages d ON d.page_id = t.dst) GROUP BY src)"
+    )
+    return (
+        f"(SELECT p.page_id, p.url, CASE WHEN a.anchors IS NOT NULL AND contains(p.html, '</article>') THEN "
+        f"split_part(p.html, '</article>', 1) || '<p>' || a.anchors || '</p></article>' || split_part(p.html, '</article>', -1) "
+        f"ELSE p.html END AS html FROM pages p LEFT JOIN {anchors} a ON p.page_id = a.src)"
+    )
+
+
 # ---------------------------------------------------------------------------
 # robots_rules(host, agent, directive, value) by formula on each host's first page.
 # ---------------------------------------------------------------------------

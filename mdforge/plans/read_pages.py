@@ -168,21 +168,31 @@ def read_pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def read_pages_table_sql() -> str:
     """DuckDB twin of ``read_pages_table`` (no cache, no robots)."""
+    return read_pages_sql("(SELECT url, page_id AS ord FROM pages)", "pages", dedupe=True)
+
+
+def read_pages_sql(requests: str, captures: str, dedupe: bool = True) -> str:
+    """DuckDB twin of ``read_pages`` without cache/robots: ``requests(url, ord)``,
+    ``captures(page_id, url, html)``; host addresses derived from ``pages``."""
     from ..functions import html as H
     from ..operators.extract import (
         EMPTY_RESPONSE, LIMITED_ERROR, MIN_CONTENT_CHARS, NO_ARTICLE,
     )
 
     key = f"coalesce({U.normalize_url_sql('url')}, url)"
-    uniq = (
-        f"(SELECT request_url, ord, url_key, url_key AS url FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ord) AS rn "
-        f"FROM (SELECT url AS request_url, page_id AS ord, {key} AS url_key FROM pages)) WHERE rn = 1)"
-    )
+    keyed = f"(SELECT url AS request_url, ord, {key} AS url_key FROM {requests})"
+    if dedupe:
+        uniq = (
+            f"(SELECT request_url, ord, url_key, url_key AS url FROM (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY ord) AS rn "
+            f"FROM {keyed}) WHERE rn = 1)"
+        )
+    else:
+        uniq = f"(SELECT request_url, ord, url_key, url_key AS url FROM {keyed})"
     ha = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.host_addresses_sql()})"
     checked = P.url_policy_sql(uniq, ha)
     cap = (
         f"(SELECT * FROM (SELECT {key} AS _cap_key, url AS final_url, html, row_number() OVER (PARTITION BY {key} ORDER BY page_id) AS rn "
-        f"FROM pages) WHERE rn = 1)"
+        f"FROM {captures}) WHERE rn = 1)"
     )
     joined = (
         f"SELECT c.ord, c.request_url, c.url_key, c.reason, c.reason IS NULL AS allowed, p._cap_key, p.final_url, p.html, "
