@@ -657,3 +657,47 @@ FROM {_COMBINE_SQL} c JOIN {_ERRORS_SQL} e USING (seed)
 JOIN (SELECT seed, arg_min(title, ord) AS title FROM c1 GROUP BY seed) f USING (seed)
 JOIN (SELECT seed, max(seed_error) AS seed_error FROM c1 GROUP BY seed) a USING (seed)
 LEFT JOIN (SELECT seed, sum(len({_links_sql('markdown', 'request_url')})) AS n_links FROM c1 WHERE status = 'ok' GROUP BY seed) k USING (seed)"""
+
+
+# Oracle for the redirect chains: a recursive CTE over a precomputed step table.
+def _redirects_sql() -> str:
+    hops = D.hops_sql()
+    nodes = (
+        f"(SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM {hops} UNION ALL "
+        f"SELECT {U.resolve_url_sql('location', 'url', keep_absolute_raw=False)} FROM {hops} "
+        f"WHERE status >= 300 AND status < 400 AND location IS NOT NULL AND location <> '') WHERE url IS NOT NULL)"
+    )
+    ha = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.host_addresses_sql()})"
+    judged = f"(SELECT url, reason AS policy FROM {P.url_policy_sql(nodes, ha)})"
+    kind = (
+        "CASE WHEN h.url IS NULL THEN NULL WHEN h.status >= 300 AND h.status < 400 AND (h.location IS NULL OR h.location = '') THEN 'error' "
+        "WHEN h.status >= 300 AND h.status < 400 THEN 'redirect' WHEN NOT (h.status >= 200 AND h.status < 300) THEN 'error' "
+        "WHEN h.content_type IS NOT NULL AND NOT contains(h.content_type, 'text/html') AND NOT contains(h.content_type, 'application/xhtml+xml') "
+        "THEN 'error' ELSE 'ok' END"
+    )
+    herr = (
+        "CASE WHEN h.status >= 300 AND h.status < 400 AND (h.location IS NULL OR h.location = '') THEN 'Redirect without Location header for ' || h.url "
+        "WHEN h.status >= 300 AND h.status < 400 THEN NULL WHEN NOT (h.status >= 200 AND h.status < 300) THEN 'HTTP ' || CAST(h.status AS VARCHAR) || ' for ' || h.url "
+        "WHEN h.content_type IS NOT NULL AND NOT contains(h.content_type, 'text/html') AND NOT contains(h.content_type, 'application/xhtml+xml') "
+        "THEN 'Non-HTML content type: ' || h.content_type || ' for ' || h.url END"
+    )
+    step = (
+        f"(SELECT j.url AS cur, CASE WHEN j.policy IS NOT NULL OR h.url IS NULL THEN 'error' ELSE {kind} END AS kind, "
+        f"coalesce(j.policy, CASE WHEN h.url IS NULL THEN 'No capture for ' || j.url END, {herr}) AS error, "
+        f"CASE WHEN {kind} = 'redirect' THEN {U.resolve_url_sql('h.location', 'h.url', keep_absolute_raw=False)} END AS nxt "
+        f"FROM {judged} j LEFT JOIN {hops} h ON j.url = h.url)"
+    )
+    mx = CR.MAX_REDIRECTS
+    return f"""WITH RECURSIVE st AS MATERIALIZED {step},
+chain(ord, request_url, cur, n_hops, kind, error, nxt) AS (
+  SELECT p.page_id, p.url, p.url, 0, s.kind, s.error, s.nxt FROM pages p LEFT JOIN st s ON s.cur = p.url
+  UNION ALL
+  SELECT c.ord, c.request_url, c.nxt, c.n_hops + 1, s.kind, s.error, s.nxt
+  FROM chain c LEFT JOIN st s ON s.cur = c.nxt WHERE c.kind = 'redirect' AND c.n_hops < {mx + 1})
+SELECT ord, request_url, CASE WHEN kind = 'ok' AND n_hops <= {mx} THEN cur END AS final_url, n_hops,
+  CASE WHEN n_hops > {mx} THEN '{CR.TOO_MANY}' || request_url
+       ELSE coalesce(error, CASE WHEN kind IS NULL THEN 'No capture for ' || cur END) END AS error
+FROM chain WHERE (kind IS DISTINCT FROM 'redirect' OR n_hops > {mx}) AND n_hops <= {mx + 1}"""
+
+
+ORACLE["s3_resolve_redirects"] = _redirects_sql()
