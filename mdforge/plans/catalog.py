@@ -701,3 +701,64 @@ FROM chain WHERE (kind IS DISTINCT FROM 'redirect' OR n_hops > {mx}) AND n_hops
 
 
 ORACLE["s3_resolve_redirects"] = _redirects_sql()
+
+
+# Oracle for the depth-1 crawl: seed, then its page's DOM links (canonical keys, first
+# discovery, links before the first unsafe one), the seed turned into an error row
+# when one of its new links fails the policy.
+def _crawl_depth1_sql() -> str:
+    lp = D.linked_pages_sql()
+    key = lambda e: f"coalesce({U.normalize_url_sql(e)}, {e})"
+    r = lambda req: RP.read_pages_sql(req, lp, dedupe=False)
+    caps = (
+        f"(SELECT * FROM (SELECT {key('url')} AS _ck, url AS _cu, html AS _ch, row_number() OVER (PARTITION BY {key('url')} "
+        f"ORDER BY page_id) AS rn FROM {lp}) WHERE rn = 1)"
+    )
+    dom = (
+        f"{_distinct_in_order(f'list_filter(list_transform(regexp_extract_all(_ch, {sql_str(L.HREF_RE)}, 1), lambda h: '
+                               f'{U.resolve_url_sql("h", "_cu", keep_absolute_raw=False)}), lambda t: t IS NOT NULL AND regexp_matches(t, {sql_str("^https?://")}))')}"
+    )
+    ha = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.host_addresses_sql()})"
+    return f"""(WITH seeds AS (SELECT url AS seed, {key('url')} AS request_url FROM {lp}),
+r0 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM seeds)")}),
+l0 AS (SELECT s.seed, s.request_url, r0.url, r0.title, r0.markdown, r0.error, r0.status,
+         CASE WHEN r0.status = 'ok' THEN {dom} END AS links
+       FROM seeds s JOIN r0 ON r0.request_url = s.request_url LEFT JOIN {caps} c ON r0.status = 'ok' AND c._cu = r0.url),
+e AS (SELECT seed, CAST(generate_subscripts(links, 1) - 1 AS BIGINT) AS pos, unnest(links) AS link, request_url AS seed_key FROM l0),
+e2 AS (SELECT seed, pos, {key('link')} AS request_url FROM e WHERE {key('link')} <> seed_key),
+pol AS (SELECT seed, pos, request_url, reason FROM {P.url_policy_sql("(SELECT seed, pos, request_url, request_url AS url FROM e2)", ha)}),
+bad AS (SELECT seed, min(pos) AS bad_pos, arg_min(reason, pos) AS bad_reason FROM pol WHERE reason IS NOT NULL GROUP BY seed),
+keep AS (SELECT p.seed, p.request_url, min(p.pos) AS pos FROM pol p LEFT JOIN bad b USING (seed)
+         WHERE b.bad_pos IS NULL OR p.pos < b.bad_pos GROUP BY p.seed, p.request_url),
+l1 AS (SELECT seed, request_url, CAST(1 + row_number() OVER (PARTITION BY seed ORDER BY pos) AS BIGINT) AS ord FROM keep),
+r1 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM l1)")})
+SELECT l0.seed, CAST(1 AS BIGINT) AS ord, 0 AS level, l0.request_url,
+  CASE WHEN b.bad_reason IS NOT NULL THEN l0.request_url ELSE l0.url END AS url,
+  CASE WHEN b.bad_reason IS NULL THEN l0.title END AS title,
+  CASE WHEN b.bad_reason IS NOT NULL THEN '' ELSE l0.markdown END AS markdown,
+  coalesce(b.bad_reason, l0.error) AS error,
+  CASE WHEN b.bad_reason IS NOT NULL THEN 'link_policy' ELSE l0.status END AS status
+FROM l0 LEFT JOIN bad b USING (seed)
+UNION ALL
+SELECT l1.seed, l1.ord, 1 AS level, l1.request_url, r1.url, r1.title, r1.markdown, r1.error, r1.status
+FROM l1 JOIN r1 ON r1.request_url = l1.request_url)"""
+
+
+ORACLE["c2_crawl_depth"] = f"SELECT * FROM {_crawl_depth1_sql()}"
+
+
+def _json_field(name: str, first: bool) -> str:
+    sep = "" if first else ","
+    return f"CASE WHEN {name} IS NOT NULL THEN '{sep}\"{name}\":' || CAST(to_json({name}) AS VARCHAR) ELSE '' END"
+
+
+ORACLE["s9_export_json"] = (
+    f"SELECT ord, '{{\"url\":' || CAST(to_json(url) AS VARCHAR) || {_json_field('markdown', False)} || "
+    f"{_json_field('title', False)} || {_json_field('error', False)} || '}}' AS json FROM {_H8_SQL}"
+)
+_T1_SQL = (
+    f"SELECT coalesce({U.normalize_url_sql('request_url')}, request_url) AS url_key, ord AS page_id, url, title, markdown, error, status "
+    f"FROM ({RP.read_pages_table_sql()})"
+)
+ORACLE["t1_stream_read_pages"] = _T1_SQL
+ORACLE["t2_stream_cache_put"] = ORACLE["s5_cache_entries"]
