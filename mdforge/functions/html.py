@@ -22,7 +22,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import WS, Rx, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql, memo_column
+from .regex import WS, Rx, let, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql, memo_column
 
 # ---------------------------------------------------------------------------
 # HTML entities decoded by name (``&amp;`` must stay last, or
@@ -52,6 +52,11 @@ ENTITIES = (
     ("&amp;", "&"),
 )
 ENTITY_STEPS = tuple(Rx(name, ch) for name, ch in ENTITIES)
+NAMED_STEPS = ENTITY_STEPS[:-1]  # every named entity but &amp;
+AMP_STEP = ENTITY_STEPS[-1:]
+# Numeric references (&#8217; / &#x2019;) decode to their code point; invalid ones
+# (zero, surrogates, beyond U+10FFFF) stay as written.
+NUM_ENT = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
 
 # Blocks removed before the article is chosen (the test pages carry a script whose
 # text contains "</p>", so scripts go first).
@@ -252,13 +257,46 @@ def _bq_sql(x: str) -> str:
 # Public column builders (Spark) and their SQL twins (oracle).
 # ---------------------------------------------------------------------------
 
+@memo_column
+def _code_char(full: Column, code: Column) -> Column:
+    hexa = code.startswith("x") | code.startswith("X")
+    v = F.when(hexa, F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("long")
+    ok = (v > 0) & (v <= 0x10FFFF) & ~v.between(0xD800, 0xDFFF)
+    return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32")).otherwise(full)
+
+
+def decode_numeric(c: Column) -> Column:
+    def body(s: Column) -> Column:
+        pieces = F.split(s, NUM_ENT)
+        fulls = F.regexp_extract_all(s, F.lit(NUM_ENT), 0)
+        chars = F.transform(fulls, lambda m: _code_char(m, F.regexp_extract(m, NUM_ENT, 1)))
+        joined = F.transform(pieces, lambda p, i: F.concat(p, F.coalesce(F.try_element_at(chars, i + 1), F.lit(""))))
+        return F.array_join(joined, "")
+
+    return F.when(c.contains("&#"), let(c, body)).otherwise(c)
+
+
+def decode_numeric_sql(e: str) -> str:
+    char = (
+        "list_transform([regexp_extract(m, " + sql_str(NUM_ENT) + ", 1)], lambda code: list_transform([CASE WHEN starts_with(lower(code), 'x') "
+        "THEN CAST('0x' || substr(code, 2) AS BIGINT) ELSE CAST(code AS BIGINT) END], lambda v: CASE WHEN v > 0 AND v <= 1114111 "
+        "AND NOT (v BETWEEN 55296 AND 57343) THEN chr(CAST(v AS INTEGER)) ELSE m END)[1])[1]"
+    )
+    return (
+        f"list_transform([{e}], lambda s: CASE WHEN contains(s, '&#') THEN array_to_string(list_transform("
+        f"regexp_split_to_array(s, {sql_str(NUM_ENT)}), lambda p, i: p || coalesce(list_transform(regexp_extract_all(s, "
+        f"{sql_str(NUM_ENT)}, 0), lambda m: {char})[i], '')), '') ELSE s END)[1]"
+    )
+
+
 @memo_column
 def decode_entities(c: Column) -> Column:
-    return rx_spark(c, ENTITY_STEPS)
+    """Named entities, then numeric references, then ``&amp;`` (each decoded once)."""
+    return rx_spark(decode_numeric(rx_spark(c, NAMED_STEPS)), AMP_STEP)
 
 
 def decode_entities_sql(e: str) -> str:
-    return rx_sql(e, ENTITY_STEPS)
+    return rx_sql(decode_numeric_sql(rx_sql(e, NAMED_STEPS)), AMP_STEP)
 
 
 def _plain(c: Column) -> Column:
@@ -335,7 +373,7 @@ def html_to_markdown(content: Column) -> Column:
     c = _span_spark(c, OL_OPEN, OL_CLOSE, _ol_spark)
     c = rx_spark(c, LIST_STEPS + PARA_STEPS)
     c = _span_spark(c, BQ_OPEN, BQ_CLOSE, _bq_spark)
-    c = rx_spark(c, (TAG,) + ENTITY_STEPS + FINAL_STEPS)
+    c = rx_spark(decode_entities(rx_spark(c, (TAG,))), FINAL_STEPS)
     return rx_spark(trim_ws(c), UNPROTECT)
 
 
@@ -347,5 +385,5 @@ def html_to_markdown_sql(e: str) -> str:
     c = _span_sql(c, OL_OPEN, OL_CLOSE, _ol_sql)
     c = rx_sql(c, LIST_STEPS + PARA_STEPS)
     c = _span_sql(c, BQ_OPEN, BQ_CLOSE, _bq_sql)
-    c = rx_sql(c, (TAG,) + ENTITY_STEPS + FINAL_STEPS)
+    c = rx_sql(decode_entities_sql(rx_sql(c, (TAG,))), FINAL_STEPS)
     return rx_sql(trim_ws_sql(c), UNPROTECT)

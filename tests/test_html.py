@@ -78,3 +78,7 @@ def test_html_blocks(spark):
     df = spark.createDataFrame([(1, html)], "page_id long, content_html string")
     got = [(r.pos, r.tag, r.inner) for r in X.html_blocks(df).orderBy("pos").collect()]
     assert got == [(1, "h2", "T"), (2, "ol", ""), (3, "li", "a & b"), (4, "li", "c"), (5, "table", ""), (6, "tr", ""), (7, "th", "H")]
+
+
+def test_numeric_references(spark):
+    assert md(spark, "<p>it&#8217;s &#x2019; &#233;t&#233; &amp;#39; &#0;</p>") == "it’s ’ été &#39; &#0;"
