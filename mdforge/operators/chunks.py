@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import WS, let, trim_ws, memo_column
+from ..functions.regex import let, memo_column
 
 DEFAULT_MAX_CHARS = 4000
 DEFAULT_OVERLAP = 200

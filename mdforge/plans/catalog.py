@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import html as H
-from ..functions import ip as IP
 from ..functions import urls as U
 from ..functions.regex import sql_str
 from ..operators import extract as X

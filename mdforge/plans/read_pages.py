@@ -22,7 +22,6 @@ from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import policy as P
 from ..operators import urls as UO
-from ..sources import cache as C
 from ..sources.captures import classify_response, table
 from . import derived as D
 
