@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mdforge.llm import mixing, sp_codec, token_counts
+from mdforge.llm import hamming_join, langid, mixing, sp_codec, token_counts
 from mdforge.llm.common import ready
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -30,8 +30,14 @@ def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_codec.encode_digests(_table(spark, sf_dir, "documents"), PIECES)
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"), PIECES)
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_token_counts, op5_source_mixing, op10_sentencepiece)}
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_join.near_duplicates(_table(spark, sf_dir, "documents"), shingle_words=4)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_source_mixing, op9_near_duplicates, op10_sentencepiece)}
 
 ORACLE: dict[str, str] = {
     "op5_source_mixing": r"""
