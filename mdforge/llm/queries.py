@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from mdforge.llm import hamming_join, langid, mixing, repeats, sp_codec, token_counts
+from mdforge.llm import hamming_join, langid, lattice_hash, mixing, repeats, sp_codec, token_counts
 from mdforge.llm.common import ready
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -39,8 +39,11 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_repeated_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeat_digests(_table(spark, sf_dir, "documents"))
 
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_hash.near_vectors(_table(spark, sf_dir, "embeddings"))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_source_mixing, op6_repeated_bytes, op9_near_duplicates, op10_sentencepiece)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op5_source_mixing, op6_repeated_bytes, op7_near_vectors, op9_near_duplicates, op10_sentencepiece)}
 
 ORACLE: dict[str, str] = {
     "op5_source_mixing": r"""
