@@ -93,11 +93,11 @@ def frequent_table(docs: DataFrame, vocabulary: str, words: int = TABLE_WORDS, t
     """The compact table: pre-tokens as one blob, their ends, and their token numbers.
 
     The pre-tokens are the most frequent ones of about ``texts`` texts chosen by a hash
-    of their ids, counted in one task; at most ``words`` rows reach the driver.
+    of their ids in a parallel scan, counted in one task; at most ``words`` rows reach the driver.
     """
     docs = docs.select("doc_id", "text")
     share = int(min(1.0, texts / max(1, docs.count())) * (1 << 30))
-    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share).select("text").coalesce(1)
+    sample = docs.where(F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < share).select("text").repartition(1)
 
     def run(batches):
         own, seen = WordCounter(vocabulary, {}), Counter()
