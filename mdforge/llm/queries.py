@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdforge.llm import bloom_lm, hamming_join, langid, lattice_hash, mixing, permutation_index, repeats, sp_codec, token_counts
+from mdforge.llm import bloom_lm, hamming_join, langid, lattice_hash, mixing, permutation_index, repeats, sp_codec, token_counts, toxicity
 from mdforge.llm.common import ready
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,8 +49,11 @@ def op3_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bloom_lm.score(_table(spark, sf_dir, "documents"))
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_nearest_neighbours, op5_source_mixing, op6_repeated_bytes, op7_near_vectors, op8_lm_scores, op9_near_duplicates, op10_sentencepiece)}
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_token_counts, op3_nearest_neighbours, op4_toxicity, op5_source_mixing, op6_repeated_bytes, op7_near_vectors, op8_lm_scores, op9_near_duplicates, op10_sentencepiece)}
 
 ORACLE: dict[str, str] = {
     "op5_source_mixing": r"""
