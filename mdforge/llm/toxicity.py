@@ -22,7 +22,7 @@ from mdforge.llm.common import map_batches
 #: Labelled texts that fit the model: chosen by a hash of the id (a documented bound).
 FIT_TEXTS = 20_000
 #: Features kept, letters of a stem, weight decay, and steps of the fit.
-FEATURES, STEM, DECAY, STEPS = 3_000, 5, 1e-3, 400
+FEATURES, STEMS, DECAY, STEPS = 3_000, (4, 5, 6), 3e-4, 400
 
 _WORDS = re.compile(r"[^\W\d_]+")
 
@@ -30,7 +30,7 @@ _WORDS = re.compile(r"[^\W\d_]+")
 def features_of(text: str | None) -> set[str]:
     """Distinct lower-cased words, and stems marked by a star, of a whole text."""
     words = set(_WORDS.findall(text.lower())) if text else set()
-    return words | {w[:STEM] + "*" for w in words if len(w) > STEM}
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in STEMS))
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
