@@ -114,7 +114,10 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     reps = settle(reps, "reps")
 
     keys = chunk_keys(reps)
+    # Settled before it is joined to the rows it comes from: both sides of the join are
+    # then plain exchanges, whose hot partitions Spark splits.
     shared = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("key", "lead")
+    shared = settle(shared, "shared")
     members = settle(keys.join(shared, "key"), "members")
     wanted = members.select(F.col("cls").alias("doc_id")).distinct()
     sets = settle(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle_words).dropDuplicates(["cls"]), "sets")
@@ -127,6 +130,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     members = members.join(label, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
     members = settle(members, "members")
     mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
+    mixed = settle(mixed, "mixed")
     members = settle(members.join(mixed, "key"), "members")
     x = members.select("key", F.col("cls").alias("a"), F.col("label").alias("la"))
     y = members.select("key", F.col("cls").alias("b"), F.col("label").alias("lb"))

@@ -119,6 +119,7 @@ def linked_classes(classes: DataFrame, least: float, probes: int = PROBES) -> Da
     keys = settle(cell_keys(classes, probes), "cells")
     own = keys.where("not probe")
     star = own.groupBy("fine").agg(F.min("cls").alias("a"), F.max("cls").alias("z")).where("a < z").select("fine", "a")
+    star = settle(star, "stars")
     star = own.join(star, "fine").where("a < cls").select("a", F.col("cls").alias("b")).distinct()
     links = settle(verified(star, classes, least), "links")
     label = components(links).select(F.col("id").alias("cls"), "label")

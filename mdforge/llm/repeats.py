@@ -199,7 +199,7 @@ def _by_windows(short: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(x, y) for x, y in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.int32()), strict=True)], ["key", "doc_id", "text_hash", "i0"])
 
     windows = map_batches(short, run, "key long, doc_id long, text_hash long, i0 int")
-    again = windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    again = settle(windows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "windows")
     return windows.join(again, "key").select("doc_id", "text_hash", "i0", F.col("i0").alias("i1"))
 
 
@@ -207,7 +207,9 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     """((doc_id, text_hash, i0, i1) windows i0..i1 that are repeated, texts that hold any run to look at)."""
     name = ["doc_id", "text_hash"]
     runs = settle(runs_of(docs, length, gram), "runs")
-    met = runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    # A table that is joined to the rows it was counted from is settled first: both sides
+    # of the join are then plain exchanges, whose hot partitions Spark splits.
+    met = settle(runs.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"), "anchors")
     runs = settle(runs.join(met, "anchor"), "met")
     texts = runs.select(*name).distinct()
     texts = settle(_keyed(docs).join(texts, name, "left_semi"), "texts")
@@ -216,7 +218,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     first = F.min(F.struct("doc_id", "text_hash", "i0", "i1", "a")).alias("x")
     equal = settle(runs.groupBy("anchor", "whole").agg(F.count("*").alias("n"), first), "equal")
     spans = runs.join(equal.where("n > 1").select("anchor", "whole"), ["anchor", "whole"]).select(*name, "i0", "i1")
-    several = equal.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor")
+    several = settle(equal.groupBy("anchor").agg(F.count("*").alias("k")).where("k > 1").select("anchor"), "several")
     differing = equal.join(several, "anchor").select("x.*")
     per_text = differing.groupBy(*name).agg(F.collect_list(F.struct("a", "i0", "i1")).alias("runs"))
     short = short_runs(texts.dropDuplicates(name).join(per_text, name), length)
@@ -228,7 +230,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> t
     one = settle(one, "one")
     windows = F.length("before") + F.length("after") + 1 - SHORT
     several = short.join(one.where("n > 1").select(*key), key).select(*name, F.col("at").alias("i0"), (F.col("at") + windows).alias("i1"))
-    groups = one.groupBy("core").agg(F.count("*").alias("k")).where("k > 1")
+    groups = settle(one.groupBy("core").agg(F.count("*").alias("k")).where("k > 1"), "cores")
     left = one.join(groups, "core").select("core", "x.doc_id", "x.text_hash", "x.at", "before", "after", "k")
     left = settle(left, "left")
     few = left.where(F.col("k") <= GROUP).drop("k").repartition("core").sortWithinPartitions("core")
