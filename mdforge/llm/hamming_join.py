@@ -6,10 +6,15 @@ at most ``ERRORS`` differing values. Every chunk is indexed once for each set of
 that may be wrong, so all pairs within that distance meet under some key. Pairs that meet
 are confirmed on their full shingle sets.
 
-Only components are asked for, so pairs are not listed within a group: texts with equal
-sets are one class; every class is first compared with the smallest class of its keys
-that it shares most keys with; what has been linked is one component, and only pairs of
-different components that still share a key are compared after that, all of them.
+Only components are asked for, so pairs are not listed within a group:
+
+1. texts with equal sets are one class;
+2. every class is compared with one lead: of the classes that meet most others under its
+   keys, the one it shares most keys with. Classes joined by such edges, confirmed or
+   not, are a cluster; confirmed ones have a common label;
+3. in a cluster, classes outside its most frequent label are compared with all others
+   in blocks, inside the tasks, which return links only;
+4. classes of different clusters that share a key are compared pair by pair.
 """
 
 from __future__ import annotations
@@ -28,6 +33,8 @@ from mdforge.llm.shingles import mix, shingle_set, text_words
 #: At a similarity of 0.8 a pair differs in 13 values on average (standard deviation 3.2).
 CHUNKS, WIDTH, ERRORS = 13, 5, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
+#: Classes of a cluster that are compared at a time, on either side.
+BLOCK = 1000
 
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**32, CHUNKS * WIDTH, dtype=np.uint32)
@@ -79,6 +86,17 @@ def chunk_keys(reps: DataFrame) -> DataFrame:
     return map_batches(reps.select("cls", "sig"), run, "key long, cls long")
 
 
+def _planes(reps: DataFrame) -> DataFrame:
+    """(cls, p0..p3): the low four bits of the first 64 values, a word for each bit."""
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(b.num_rows, -1)[:, :64]
+        words = [np.packbits((sig >> k & 1).astype(np.uint8), axis=1).copy().view(np.int64).reshape(-1) for k in range(4)]
+        return pa.RecordBatch.from_arrays([b.column("cls"), *map(pa.array, words)], ["cls", "p0", "p1", "p2", "p3"])
+
+    return map_batches(reps.select("cls", "sig"), run, "cls long, p0 long, p1 long, p2 long, p3 long")
+
+
 def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
     """(cls, hashes): the full sets of the given documents."""
 
@@ -99,6 +117,68 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return x.where(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
+def _between(queries: list, targets: list, percent: int) -> list[tuple[int, int]]:
+    """Links from each query to the first target of every label but its own.
+
+    Rows: (class, label, hashes). Common hashes are counted over the targets' postings.
+    """
+    sizes = np.array([len(t[2]) for t in targets])
+    held, by = np.concatenate([t[2] for t in targets]), np.repeat(np.arange(len(targets)), sizes)
+    order = np.argsort(held, kind="stable")
+    held, by = held[order], by[order]
+    labels, ids = np.array([t[1] for t in targets]), np.array([t[0] for t in targets])
+    out = []
+    for cls, label, hashes in queries:
+        first, last = np.searchsorted(held, hashes, "left"), np.searchsorted(held, hashes, "right")
+        n = last - first
+        at = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(by[at], minlength=len(targets))
+        near = np.nonzero((labels != label) & (100 * both >= percent * (sizes + len(hashes) - both)))[0]
+        near = near[np.unique(labels[near], return_index=True)[1]]
+        out.extend((cls, int(i)) for i in ids[near])
+    return out
+
+
+def links_in_clusters(classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links within clusters that labels don't hold yet.
+
+    ``classes``: cluster, cls, label. Clusters of one label have nothing to compare. The
+    queries and the targets of a cluster are cut into blocks; a task holds one of each.
+    """
+    labels = classes.groupBy("cluster", "label").agg(F.count("*").alias("n"))
+    main = labels.groupBy("cluster").agg(F.max(F.struct("n", "label")).alias("x"), F.count("*").alias("labels"), F.sum("n").alias("n"))
+    main = settle(main.where("labels > 1").select("cluster", F.col("x.label").alias("main"), "n", (F.col("n") - F.col("x.n")).alias("asking")), "clusters")
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    c = classes.join(main.select("cluster", "main", blocks("n").alias("ts"), blocks("asking").alias("qs")), "cluster").join(sets, "cls")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("cls"), F.col(n)).cast("int")
+    targets = c.select("cluster", every("qs").alias("q"), own("ts").alias("t"), F.lit(False).alias("asks"), "cls", "label", "hashes")
+    queries = c.where("label <> main").select("cluster", own("qs").alias("q"), every("ts").alias("t"), F.lit(True).alias("asks"), "cls", "label", "hashes")
+    dealt = targets.union(queries).repartition("cluster", "q", "t").sortWithinPartitions("cluster", "q", "t", "asks")
+
+    def run(batches):
+        at, targets, queries = None, [], []
+
+        def links():
+            found = _between(queries, targets, percent) if targets and queries else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for b in batches:
+            hashes = b.column("hashes")
+            flat, ends = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+            keys = zip(*(b.column(c).to_pylist() for c in ("cluster", "q", "t", "asks", "cls", "label")), strict=True)
+            for k, (cluster, q, t, asks, cls, label) in enumerate(keys):
+                if (cluster, q, t) != at:
+                    if queries:
+                        yield links()
+                    at, targets, queries = (cluster, q, t), [], []
+                (queries if asks else targets).append((cls, label, flat[ends[k] : ends[k + 1]].copy()))
+        if queries:
+            yield links()
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -113,51 +193,48 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     reps = filled.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = cls").select("cls", "sig").dropDuplicates(["cls"])
     reps = settle(reps, "reps")
 
-    keys = chunk_keys(reps)
     # Settled before it is joined to the rows it comes from: both sides of the join are
     # then plain exchanges, whose hot partitions Spark splits.
-    shared = keys.groupBy("key").agg(F.min("cls").alias("lead"), F.max("cls").alias("last")).where("lead < last").select("key", "lead")
-    shared = settle(shared, "shared")
-    members = settle(keys.join(shared, "key"), "members")
-    wanted = members.select(F.col("cls").alias("doc_id")).distinct()
-    sets = settle(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), shingle_words).dropDuplicates(["cls"]), "sets")
-
-    best = members.where("cls > lead").groupBy("cls", "lead").agg(F.count("*").alias("n"))
-    best = best.groupBy("cls").agg(F.max(F.struct("n", (-F.col("lead")).alias("m"))).alias("x"))
-    links = settle(confirmed(best.select((-F.col("x.m")).alias("a"), F.col("cls").alias("b")), sets, percent), "links")
+    keys = chunk_keys(reps)
+    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = settle(keys.join(settle(shared, "shared"), "key"), "members")
+    meets = settle(members.groupBy("cls").agg(F.sum("n").alias("meets")), "meets")
+    sets = docs.join(meets.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
+    sets = settle(shingle_sets(sets, shingle_words).dropDuplicates(["cls"]), "sets")
+
+    lead = members.join(meets, "cls").groupBy("key").agg(F.max(F.struct("meets", (-F.col("cls")).alias("m"))).alias("x"))
+    lead = settle(lead.select("key", "x.meets", (-F.col("x.m")).alias("lead")), "leads")
+    best = members.select("key", "cls").join(lead, "key").where("cls <> lead")
+    best = best.groupBy("cls", "lead", "meets").agg(F.count("*").alias("n"))
+    best = best.groupBy("cls").agg(F.max(F.struct("n", "meets", (-F.col("lead")).alias("m"))).alias("x"))
+    best = settle(best.select((-F.col("x.m")).alias("a"), F.col("cls").alias("b")), "best")
+    links = settle(confirmed(best, sets, percent), "links")
 
     label = components(links).select(F.col("id").alias("cls"), "label")
-    members = members.join(label, "cls", "left").select("key", "cls", F.coalesce("label", "cls").alias("label"))
+    cluster = components(best).select(F.col("id").alias("cls"), F.col("label").alias("cluster"))
+    named = meets.select("cls").join(cluster, "cls", "left").join(label, "cls", "left")
+    named = settle(named.select("cls", F.coalesce("cluster", "cls").alias("cluster"), F.coalesce("label", "cls").alias("label")), "clusters")
+    inside = settle(links_in_clusters(named, sets, percent), "links")
+
+    members = members.select("key", "cls").join(named.select("cls", "cluster"), "cls")
+    members = settle(members, "members")
+    mixed = members.groupBy("key").agg(F.min("cluster").alias("x"), F.max("cluster").alias("y")).where("x < y").select("key")
+    members = members.join(settle(mixed, "mixed"), "key").join(_planes(reps), "cls")
     members = settle(members, "members")
-    mixed = members.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("key")
-    mixed = settle(mixed, "mixed")
-    members = settle(members.join(mixed, "key"), "members")
-    x = members.select("key", F.col("cls").alias("a"), F.col("label").alias("la"))
-    y = members.select("key", F.col("cls").alias("b"), F.col("label").alias("lb"))
-    pairs = x.join(y, (x.key == y.key) & (F.col("la") < F.col("lb"))).select("a", "b").distinct()
-    values = _values(reps)
-    pairs = pairs.join(values.select(F.col("cls").alias("a"), F.col("values").alias("va")), "a")
-    pairs = pairs.join(values.select(F.col("cls").alias("b"), F.col("values").alias("vb")), "b")
-    differ = F.aggregate(F.zip_with("va", "vb", lambda p, q: (p != q).cast("int")), F.lit(0), lambda s, v: s + v)
-    pairs = settle(pairs.where(differ <= DISTANCE).select("a", "b"), "pairs")
-    more = confirmed(pairs, sets, percent)
-
-    label = components(links.union(more)).select(F.col("id").alias("cls"), "label")
+    x, y = (members.select("key", *[F.col(c).alias(c + end) for c in ("cls", "cluster", "p0", "p1", "p2", "p3")]) for end in "xy")
+    planes = [F.col(f"p{k}x").bitwiseXOR(F.col(f"p{k}y")) for k in range(4)]
+    differ = F.bit_count(planes[0].bitwiseOR(planes[1]).bitwiseOR(planes[2]).bitwiseOR(planes[3]))
+    pairs = x.join(y, (x.key == y.key) & (F.col("clusterx") < F.col("clustery")) & (differ <= DISTANCE))
+    pairs = settle(pairs.select(F.col("clsx").alias("a"), F.col("clsy").alias("b")).distinct(), "pairs")
+    across = confirmed(pairs, sets, percent)
+
+    label = components(links.union(inside).union(across)).select(F.col("id").alias("cls"), "label")
     classes = classes.join(label, "cls", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "cls").alias("component_id"))
-    named = filled.join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
+    named = filled.join(settle(classes, "components"), ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
     alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _values(reps: DataFrame) -> DataFrame:
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).astype(np.int32)
-        ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * (CHUNKS * WIDTH))
-        return pa.RecordBatch.from_arrays([b.column("cls"), pa.ListArray.from_arrays(ends, pa.array(sig))], ["cls", "values"])
-
-    return map_batches(reps.select("cls", "sig"), run, "cls long, values array<int>")
-
-
 def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` without the documents that are linked, over others, to one with a smaller id."""
     kept = near_duplicates(docs, shingle_words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
