@@ -249,5 +249,5 @@ def test_ordinal_thresholds_share_weights():
     grades = np.array([1] * 30 + [2] * 30 + [0] * 60)
     m = toxicity.fit_ordinal(texts, grades, 2)
     assert (np.diff(m.thresholds) > 0).all()
-    s = m.above(m.rows(["plain words", "mild words", "mild severe"])).sum(1)
+    s = m.above(m.rows(["plain words here too", "mild plain words here", "mild severe words"])).sum(1)
     assert s[0] < 0.5 < s[1] < 1.5 < s[2]
