@@ -22,7 +22,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .regex import WS, Rx, let, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql, memo_column
+from .regex import WS, Rx, let, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql
 
 # ---------------------------------------------------------------------------
 # HTML entities decoded by name (``&amp;`` must stay last, or
@@ -56,7 +56,7 @@ NAMED_STEPS = ENTITY_STEPS[:-1]  # every named entity but &amp;
 AMP_STEP = ENTITY_STEPS[-1:]
 # Numeric references (&#8217; / &#x2019;) decode to their code point; invalid ones
 # (zero, surrogates, beyond U+10FFFF) stay as written.
-NUM_ENT = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
+NUM_ENT = r"&#([0-9]+|[xX][0-9a-fA-F]+);"
 
 # Blocks removed before the article is chosen (the test pages carry a script whose
 # text contains "</p>", so scripts go first).
@@ -257,10 +257,11 @@ def _bq_sql(x: str) -> str:
 # Public column builders (Spark) and their SQL twins (oracle).
 # ---------------------------------------------------------------------------
 
-@memo_column
 def _code_char(full: Column, code: Column) -> Column:
     hexa = code.startswith("x") | code.startswith("X")
-    v = F.when(hexa, F.conv(F.substring(code, 2, 6), 16, 10)).otherwise(code).cast("long")
+    # Leading zeros go; what is longer than the largest code point is out of range.
+    digits = F.regexp_replace(code, "^[xX]?0*", "")
+    v = F.when(F.length(digits) <= 7, F.when(hexa, F.conv(digits, 16, 10)).otherwise(F.nullif(digits, F.lit(""))).cast("long"))
     ok = (v > 0) & (v <= 0x10FFFF) & ~v.between(0xD800, 0xDFFF)
     return F.when(ok, F.decode(F.unhex(F.lpad(F.hex(v), 8, "0")), "UTF-32")).otherwise(full)
 
@@ -278,8 +279,9 @@ def decode_numeric(c: Column) -> Column:
 
 def decode_numeric_sql(e: str) -> str:
     char = (
-        "list_transform([regexp_extract(m, " + sql_str(NUM_ENT) + ", 1)], lambda code: list_transform([CASE WHEN starts_with(lower(code), 'x') "
-        "THEN CAST('0x' || substr(code, 2) AS BIGINT) ELSE CAST(code AS BIGINT) END], lambda v: CASE WHEN v > 0 AND v <= 1114111 "
+        "list_transform([regexp_extract(m, " + sql_str(NUM_ENT) + ", 1)], lambda code: list_transform([CASE "
+        "WHEN length(regexp_replace(code, '^[xX]?0*', '')) > 7 THEN NULL WHEN starts_with(lower(code), 'x') "
+        "THEN TRY_CAST('0x' || regexp_replace(code, '^[xX]0*', '') AS BIGINT) ELSE TRY_CAST(code AS BIGINT) END], lambda v: CASE WHEN v > 0 AND v <= 1114111 "
         "AND NOT (v BETWEEN 55296 AND 57343) THEN chr(CAST(v AS INTEGER)) ELSE m END)[1])[1]"
     )
     return (
@@ -289,7 +291,6 @@ def decode_numeric_sql(e: str) -> str:
     )
 
 
-@memo_column
 def decode_entities(c: Column) -> Column:
     """Named entities, then numeric references, then ``&amp;`` (each decoded once)."""
     return rx_spark(decode_numeric(rx_spark(c, NAMED_STEPS)), AMP_STEP)
@@ -311,7 +312,6 @@ TITLE_RE = r"(?is)<title\b[^>]*>(.*?)</title\s*>"
 H1_RE = r"(?is)<h1\b[^>]*>(.*?)</h1\s*>"
 
 
-@memo_column
 def page_title(html: Column) -> Column:
     """H1: decoded ``<title>``; else the first ``<h1>`` text; else null."""
     t = _plain(F.regexp_extract(html, TITLE_RE, 1))
@@ -325,13 +325,11 @@ def page_title_sql(e: str) -> str:
     return f"coalesce(nullif({t}, ''), nullif({h}, ''))"
 
 
-@memo_column
 def clean_html(html: Column) -> Column:
     """Comments, scripts, styles, head and boilerplate blocks removed."""
     return rx_spark(html, CLEAN_STEPS)
 
 
-@memo_column
 def main_content(html: Column, cleaned: Column | None = None) -> Column:
     """H2: article HTML with boilerplate removed; null when nothing is left.
 
@@ -353,7 +351,6 @@ def main_content_sql(e: str) -> str:
     return f"list_transform([{cleaned}], lambda c: coalesce({', '.join(picks)}, {rest}))[1]"
 
 
-@memo_column
 def html_text(content: Column) -> Column:
     """Text content: tags dropped, entities decoded, whitespace collapsed and trimmed."""
     return _plain(content)
@@ -363,7 +360,6 @@ def html_text_sql(e: str) -> str:
     return _plain_sql(e)
 
 
-@memo_column
 def html_to_markdown(content: Column) -> Column:
     """H3: GFM Markdown from article HTML."""
     c = _span_spark(content, PRE_OPEN, PRE_CLOSE, _pre_spark)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .regex import let, sql_str, memo_column
+from .regex import let, sql_str
 
 # ---------------------------------------------------------------------------
 # Blocked networks, in the reference's order.
@@ -107,16 +107,42 @@ def blocked_ranges_sql() -> str:
 # Dotted IPv4 as the policy parses it: exactly four parts, each an integer 0..255
 # (an empty part counts as 0, a 0x prefix is hex), else invalid.
 # ---------------------------------------------------------------------------
-V4_PART_DEC = r"^\+?[0-9]{1,10}\z"
-V4_PART_HEX = r"^0[xX][0-9a-fA-F]{1,8}\z"
+V4_PART_DEC = r"^\+?[0-9]+\z"
+V4_PART_HEX = r"^0[xX][0-9a-fA-F]+\z"
+# A number of more digits than this (leading zeros aside) is out of every range.
+MAX_DIGITS = 11
+OUT_OF_RANGE = 1 << 40
+
+
+def _number(digits: Column, base: int) -> Column:
+    """Whole number of any length in base 8, 10 or 16; out of range beyond MAX_DIGITS."""
+    sig = F.regexp_replace(digits, "^0+", "")
+    value = F.conv(sig, base, 10).cast("bigint")
+    return (
+        F.when(F.length(sig) > MAX_DIGITS, F.lit(OUT_OF_RANGE).cast("bigint"))
+        .when(sig == "", F.lit(0).cast("bigint"))
+        .otherwise(value)
+    )
+
+
+def _number_sql(digits: str, base: int) -> str:
+    sig = f"ltrim({digits}, '0')"
+    if base == 8:
+        # Octal digit by digit: DuckDB has no octal cast.
+        value = f"list_reduce(list_transform(string_split({sig}, ''), lambda d: CAST(d AS BIGINT)), lambda a, d: a * 8 + d)"
+    elif base == 16:
+        value = f"TRY_CAST('0x' || {sig} AS BIGINT)"
+    else:
+        value = f"TRY_CAST({sig} AS BIGINT)"
+    return f"(CASE WHEN length({sig}) > {MAX_DIGITS} THEN CAST({OUT_OF_RANGE} AS BIGINT) WHEN {sig} = '' THEN CAST(0 AS BIGINT) ELSE {value} END)"
 
 
 def _v4_part(p: Column) -> Column:
     t = F.regexp_replace(p, r"^[ \t\n\r]+|[ \t\n\r]+\z", "")
     return (
         F.when(t == "", F.lit(0).cast("bigint"))
-        .when(t.rlike(V4_PART_DEC), F.regexp_replace(t, r"^\+", "").cast("bigint"))
-        .when(t.rlike(V4_PART_HEX), F.conv(F.substring(t, 3, 8), 16, 10).cast("bigint"))
+        .when(t.rlike(V4_PART_DEC), _number(F.regexp_replace(t, r"^\+", ""), 10))
+        .when(t.rlike(V4_PART_HEX), _number(F.regexp_replace(t, "^0[xX]", ""), 16))
     )
 
 
@@ -124,12 +150,11 @@ def _v4_part_sql(p: str) -> str:
     t = f"regexp_replace({p}, {sql_str(r'^[ \t\n\r]+|[ \t\n\r]+\z')}, '', 'g')"
     return (
         f"list_transform([{t}], lambda t: CASE WHEN t = '' THEN CAST(0 AS BIGINT) "
-        f"WHEN regexp_matches(t, {sql_str(V4_PART_DEC)}) THEN CAST(ltrim(t, '+') AS BIGINT) "
-        f"WHEN regexp_matches(t, {sql_str(V4_PART_HEX)}) THEN CAST(('0x' || substr(t, 3, 8)) AS BIGINT) END)[1]"
+        f"WHEN regexp_matches(t, {sql_str(V4_PART_DEC)}) THEN {_number_sql("ltrim(t, '+')", 10)} "
+        f"WHEN regexp_matches(t, {sql_str(V4_PART_HEX)}) THEN {_number_sql("substr(t, 3)", 16)} END)[1]"
     )
 
 
-@memo_column
 def ipv4_number(addr: Column) -> Column:
     """Dotted quad -> bigint; null when invalid."""
     def body(vals: Column) -> Column:
@@ -166,7 +191,6 @@ def _v6_groups(s: Column) -> Column:
     )
 
 
-@memo_column
 def ipv6_hex(addr: Column) -> Column:
     def split_groups(low: Column) -> Column:
         return let(F.split(low, "::"), lambda pieces: F.struct(
@@ -232,23 +256,22 @@ HOST_NUM_LAST = r"^(?:0[xX][0-9a-fA-F]*|[0-9]+)\z"
 
 def _url_v4_part(p: Column) -> Column:
     return (
-        F.when(p.rlike(r"^0[xX][0-9a-fA-F]{0,8}\z"), F.coalesce(F.conv(F.substring(p, 3, 8), 16, 10).cast("bigint"), F.lit(0).cast("bigint")))
-        .when(p.rlike(r"^0[0-7]{1,11}\z"), F.conv(p, 8, 10).cast("bigint"))
+        F.when(p.rlike(r"^0[xX][0-9a-fA-F]*\z"), _number(F.regexp_replace(p, "^0[xX]", ""), 16))
+        .when(p.rlike(r"^0[0-7]+\z"), _number(p, 8))
         .when(p.rlike(r"^0[0-9]+\z"), F.lit(None).cast("bigint"))
-        .when(p.rlike(r"^[0-9]{1,10}\z"), p.cast("bigint"))
+        .when(p.rlike(r"^[0-9]+\z"), _number(p, 10))
     )
 
 
 def _url_v4_part_sql(p: str) -> str:
     return (
-        f"CASE WHEN regexp_matches({p}, {sql_str(r'^0[xX][0-9a-fA-F]{0,8}\z')}) THEN coalesce(TRY_CAST(('0x' || substr({p}, 3, 8)) AS BIGINT), 0) "
-        f"WHEN regexp_matches({p}, {sql_str(r'^0[0-7]{1,11}\z')}) THEN CAST(('0o' || substr({p}, 2)) AS BIGINT) "
+        f"CASE WHEN regexp_matches({p}, {sql_str(r'^0[xX][0-9a-fA-F]*\z')}) THEN {_number_sql(f'substr({p}, 3)', 16)} "
+        f"WHEN regexp_matches({p}, {sql_str(r'^0[0-7]+\z')}) THEN {_number_sql(p, 8)} "
         f"WHEN regexp_matches({p}, {sql_str(r'^0[0-9]+\z')}) THEN NULL "
-        f"WHEN regexp_matches({p}, {sql_str(r'^[0-9]{1,10}\z')}) THEN CAST({p} AS BIGINT) END"
+        f"WHEN regexp_matches({p}, {sql_str(r'^[0-9]+\z')}) THEN {_number_sql(p, 10)} END"
     )
 
 
-@memo_column
 def url_host_ipv4(host: Column) -> Column:
     """struct(is_v4, number): is_v4 when the host ends in a number; number null = invalid URL."""
     def trimmed(raw: Column) -> Column:
@@ -299,7 +322,6 @@ def ipv4_dotted_sql(e: str) -> str:
 DOTTED_TAIL_RE = r"^(.*:)([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)\z"
 
 
-@memo_column
 def v6_literal_serialize(addr: Column) -> Column:
     """A URL's IPv6 host as the URL parser serialises it: a dotted IPv4 tail becomes
     two hex groups, so ``[::ffff:1.2.3.4]`` is judged as ``::ffff:102:304``."""
@@ -320,3 +342,17 @@ def v6_literal_serialize_sql(e: str) -> str:
         f"list_transform([struct_pack(t := {tail}, n := {n})], lambda z: CASE WHEN z.t <> '' AND z.n IS NOT NULL THEN "
         f"regexp_extract(lower({e}), {sql_str(DOTTED_TAIL_RE)}, 1) || printf('%x:%x', z.n >> 16, z.n & 65535) ELSE lower({e}) END)[1]"
     )
+
+
+# ---------------------------------------------------------------------------
+# IPv6 hosts of URLs: the address grammar, with nothing left out or added (zone ids,
+# a second "::" and stray letters make the URL invalid).
+# ---------------------------------------------------------------------------
+_OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+_H16 = "[0-9A-Fa-f]{1,4}"
+_LS32 = rf"(?:{_H16}:{_H16}|{_OCTET}(?:\.{_OCTET}){{3}})"
+URL_IPV6_RE = "^(?:" + "|".join(
+    [rf"(?:{_H16}:){{6}}{_LS32}"]
+    + [rf"(?:(?:{_H16}:){{0,{k}}}{_H16})?::(?:{_H16}:){{{4 - k}}}{_LS32}" for k in range(5)]
+    + [rf"::(?:{_H16}:){{5}}{_LS32}", rf"(?:(?:{_H16}:){{0,5}}{_H16})?::{_H16}", rf"(?:(?:{_H16}:){{0,6}}{_H16})?::"]
+) + r")\z"

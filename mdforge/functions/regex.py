@@ -8,12 +8,9 @@ two cannot drift apart.
 
 from __future__ import annotations
 
-import functools
 import re
 from typing import NamedTuple, Sequence
 
-from pyspark import SparkContext
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,29 +38,6 @@ def sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-def memo_column(fn):
-    """Memoise a pure Column builder per SparkContext.
-
-    Building a large expression costs one JVM round trip per node; the same builder
-    applied to the same input column yields the same expression, so it is built once
-    per process and reused across queries.
-    """
-    cache: dict = {}
-
-    @functools.wraps(fn)
-    def wrapper(*args, **kwargs):
-        sc = SparkContext._active_spark_context
-        key = (id(sc), tuple(str(a) if isinstance(a, Column) else repr(a) for a in args),
-               tuple(sorted((k, str(v) if isinstance(v, Column) else repr(v)) for k, v in kwargs.items())))
-        hit = cache.get(key)
-        if hit is None:
-            hit = fn(*args, **kwargs)
-            cache[key] = hit
-        return hit
-
-    return wrapper
-
-
 def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once and hand it to ``fn`` as a lambda variable.
 

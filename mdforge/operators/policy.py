@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as IP
 from ..functions import urls as U
-from ..functions.regex import let, sql_str, memo_column
+from ..functions.regex import let, sql_str
 
 # Policy messages.
 MSG_INVALID_URL = "Invalid URL: "
@@ -24,6 +24,9 @@ MSG_BLOCKED = "IP address is not allowed: "
 MSG_INVALID_V4 = "Invalid IPv4 address: "
 MSG_UNKNOWN_FAMILY = "Unknown IP address family: "
 SPECIAL_SCHEMES = ("http", "https", "ftp", "ws", "wss")
+# What follows the authority of such a URL: its end, or "/", "?" or "#"; ports are digits.
+AUTHORITY_RE = r"(?s)^[A-Za-z][A-Za-z0-9+.\-]*:(?://(?:[^/?#@]*@)?(?:\[[^\]]*\]|[^:/?#]*)(?::([0-9]*))?(?:[/?#].*)?\z|[^/]|/[^/]|/?\z)"
+PORT_RE = r"^0*(?:[0-9]{0,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5])\z"
 
 
 def address_verdicts(df: DataFrame, address: str = "address", family: str = "family") -> DataFrame:
@@ -86,7 +89,6 @@ def host_policy(host_addresses: DataFrame) -> DataFrame:
 RULE_FIELDS = ("invalid", "scheme", "bad_scheme", "credentials", "host", "literal_family", "literal_address")
 
 
-@memo_column
 def _url_rules(url: Column) -> Column:
     """Struct of the per-URL rule inputs, every part computed once."""
 
@@ -104,9 +106,11 @@ def _rules(url, scheme, userinfo, host, bare, v4) -> Column:
     parses = F.regexp_extract(url, U.URL_RE, 1) != ""
     bad_host = special & (
         host.isNull()
+        | ~url.rlike(AUTHORITY_RE)
+        | ~F.regexp_extract(url, AUTHORITY_RE, 1).rlike(PORT_RE)
         | (~bracketed & bare.rlike(U.BAD_HOST_RE))
         | (~bracketed & v4["is_v4"] & v4["num"].isNull())
-        | (bracketed & IP.ipv6_hex(bare)["hex"].isNull())
+        | (bracketed & ~bare.rlike(IP.URL_IPV6_RE))
     )
     invalid = ~parses | bad_host
     return F.struct(
@@ -229,7 +233,8 @@ def url_policy_sql(src: str, ha: str, url: str = "url") -> str:
     )
     flags = (
         f"SELECT *, (NOT _parses OR (_scheme IN {special} AND (_nohost OR (NOT _br AND regexp_matches(host, {sql_str(U.BAD_HOST_RE)})) "
-        f"OR (NOT _br AND _v4.is_v4 AND _v4.num IS NULL) OR (_br AND {IP.ipv6_hex_sql('host')}.hex IS NULL)))) AS _invalid, "
+        f"OR (NOT _br AND _v4.is_v4 AND _v4.num IS NULL) OR (_br AND NOT regexp_matches(host, {sql_str(IP.URL_IPV6_RE)})) "
+        f"OR NOT regexp_matches({url}, {sql_str(AUTHORITY_RE)}) OR NOT regexp_matches(regexp_extract({url}, {sql_str(AUTHORITY_RE)}, 1), {sql_str(PORT_RE)})))) AS _invalid, "
         f"CASE WHEN _br THEN 6 WHEN _v4.is_v4 THEN 4 END AS _lit_family, "
         f"CASE WHEN _br THEN {IP.v6_literal_serialize_sql('host')} WHEN _v4.is_v4 THEN {IP.ipv4_dotted_sql('_v4.num')} END AS _lit_address "
         f"FROM ({rules})"

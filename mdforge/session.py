@@ -27,6 +27,8 @@ def get_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "
     for k, v in LOCAL_CONF.items():
         builder = builder.config(k, v)
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    if str(cpus).isdigit():
+        builder = builder.config("spark.mdforge.read.partitions", str(cpus))
     builder = builder.config("spark.driver.memory", os.environ.get("MDFORGE_DRIVER_MEMORY", "16g"))
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")

@@ -21,28 +21,19 @@ TABLES = (
 
 
 # Tables whose rows carry whole documents: per-row CPU (regex chains, folds) dwarfs
-# the scan, so they must occupy every core.
+# the scan.
 WIDE_TABLES = ("pages", "documents", "conversations")
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan gives fewer splits.
-
-    A small file with one row group is one split, i.e. one task doing all the
-    extraction. On a large input the scan already yields more splits than cores and
-    nothing is added (no shuffle of the HTML). Filters and column pruning still reach
-    the scan below the exchange.
-    """
-    target = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < target:
-        return df.repartition(target)
-    return df
+#: Partitions that wide tables are dealt to when they are read; unset: as scanned. A file
+#: of one row group is one task however it is split, so local sessions set their cores
+#: here; on a cluster it stays unset and no HTML is shuffled.
+SPREAD_CONF = "spark.mdforge.read.partitions"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Read one driver table; Parquet gives column pruning and filter pushdown."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in WIDE_TABLES else df
+    parts = spark.conf.get(SPREAD_CONF, None)
+    return df.repartition(int(parts)) if parts and name in WIDE_TABLES else df
 
 
 def scan_captures(spark: SparkSession, path: str) -> DataFrame:
@@ -90,16 +81,3 @@ def classify_responses(hops: DataFrame) -> DataFrame:
     return hops.withColumn("_c", c).withColumn("kind", F.col("_c.kind")).withColumn(
         "error", F.col("_c.error")
     ).drop("_c")
-
-
-def lookup_captures(requests: DataFrame, captures: DataFrame, key: str = "url_key") -> DataFrame:
-    """Attach the captured body to each request; a missing capture is an error row.
-
-    Shuffle join on the URL key (both sides are large at scale); AQE splits skewed keys.
-    """
-    cap = captures.select(F.col(key), F.col("html"))
-    out = requests.join(cap, on=key, how="left")
-    return out.withColumn(
-        "fetch_error",
-        F.when(F.col("html").isNull(), F.concat(F.lit("No capture for "), F.col("url"))),
-    )

@@ -89,3 +89,24 @@ def test_range_join_is_broadcast(spark):
     df = spark.createDataFrame([("8.8.8.8", 4)], "address string, family int")
     plan = P.address_verdicts(df)._jdf.queryExecution().executedPlan().toString()
     assert "Broadcast" in plan
+
+
+def test_malformed_urls_are_invalid(spark):
+    bad = [
+        "http://[2606::1::2]/", "http://[2606:4700::1xyz]/", "http://[2606:4700::1%25eth0]/", "http://example.com:99999/",
+        "http://example.com:abc/", "http://example.com:0x50/", "http://[1:2:3]/", "http://[::1.2.3.256]/", "http://example.com:65536/",
+    ]
+    good = ["http://example.com:65535/", "http://example.com:00080/x", "http://example.com:/", "http://example.com?q", "http://example.com#f",
+            "http://[2606:4700::1111]:8080/a", "http://[2606:4700:0:0:0:0:1.2.3.4]/"]
+    ha = spark.createDataFrame([("example.com", "93.184.216.34", 4)], "host string, address string, family int")
+    df = spark.createDataFrame([(u,) for u in bad + good], "url string")
+    got = {r.url: r.rule for r in P.url_policy(df, ha).collect()}
+    assert {u: got[u] for u in bad} == dict.fromkeys(bad, "invalid_url")
+    assert {u: got[u] for u in good} == dict.fromkeys(good, "allowed")
+
+
+def test_zero_padded_numbers(spark):
+    ha = spark.createDataFrame([], "host string, address string, family int")
+    urls = ["http://00000000000000000000177.0.0.1/", "http://0x000000000000007f.1/", "http://99999999999999999999/"]
+    got = {r.url: r.rule for r in P.url_policy(spark.createDataFrame([(u,) for u in urls], "url string"), ha).collect()}
+    assert got == {urls[0]: "address", urls[1]: "address", urls[2]: "invalid_url"}
