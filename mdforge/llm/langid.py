@@ -30,6 +30,8 @@ CACHE_WORDS = 400_000
 UNKNOWN_LANGUAGE = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
+# Substrings are hashed to 64 bits; the top 20 pick a place in the table of candidates.
+_BASE, _MULTIPLIER, _SHIFT = "substring", 0x9E3779B97F4A7C15, np.uint64(44)
 
 
 def vocabulary(model: str) -> dict[str, int]:
@@ -54,28 +56,44 @@ class Lattice:
 
     def __init__(self, pieces: dict[str, int]) -> None:
         self.pieces, self.longest = pieces, max((len(p) for p in pieces), default=1)
+        keys = np.array([self.key(p) for p in pieces], np.uint64)
+        by = np.argsort(keys)
+        self.keys, self.numbers = keys[by], np.fromiter(pieces.values(), np.int64, len(pieces))[by]
+        self.maybe = np.zeros(1 << 20, bool)  # whether any piece has these top bits
+        self.maybe[(self.keys >> _SHIFT).astype(np.int64)] = True
+
+    @staticmethod
+    def key(piece: str) -> int:
+        h = len(_BASE)
+        for c in piece:
+            h = (h * _MULTIPLIER + ord(c)) * _MULTIPLIER & (1 << 64) - 1
+        return h
 
-    def arcs(self, word: str) -> list[tuple[int, int, int]]:
-        """(start, end, piece) of every piece inside a marked word; 0 for an unknown letter."""
-        get, n, out = self.pieces.get, len(word), []
+    def grouped(self, words: list[str]):
+        """For words of one length: (start, end, word numbers, pieces) by end.
+
+        All substrings are hashed place by place and looked up among the pieces' hashes;
+        0 stands for a letter that is no piece.
+        """
+        n = len(words[0])
+        letters = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(len(words), n).astype(np.uint64)
+        m, out = np.uint64(_MULTIPLIER), []
+        everyone = np.arange(len(words))
         for i in range(n):
+            h = np.full(len(words), np.uint64(len(_BASE)))
             for j in range(i + 1, min(n, i + self.longest) + 1):
-                k = get(word[i:j])
-                if k is not None:
-                    out.append((i, j, k))
-                elif j == i + 1:
-                    out.append((i, j, 0))
-        return out
-
-    def grouped(self, words: list[str]):
-        """For words of one length: (start, end) -> (word numbers, pieces), sorted by end."""
-        by = defaultdict(lambda: ([], []))
-        for w, word in enumerate(words):
-            for i, j, k in self.arcs(word):
-                at = by[i, j]
-                at[0].append(w)
-                at[1].append(k)
-        return sorted(((i, j, np.asarray(a), np.asarray(b)) for (i, j), (a, b) in by.items()), key=lambda x: x[1])
+                h = (h * m + letters[:, j - 1]) * m
+                who = np.nonzero(self.maybe[(h >> _SHIFT).astype(np.int64)])[0]
+                at = np.minimum(np.searchsorted(self.keys, h[who]), max(0, len(self.keys) - 1))
+                found = self.keys[at] == h[who] if len(self.keys) else np.zeros(0, bool)
+                who, what = who[found], self.numbers[at[found]]
+                if j == i + 1:
+                    piece = np.zeros(len(words), np.int64)
+                    piece[who] = what
+                    who, what = everyone, piece
+                if len(who):
+                    out.append((i, j, who, what))
+        return sorted(out, key=lambda x: x[1])
 
     def forward(self, words: list[str], probs: np.ndarray, arcs=None) -> np.ndarray:
         """alpha[word, place, language]; probs: pieces x languages."""
