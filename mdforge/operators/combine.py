@@ -1,8 +1,8 @@
 """Per-seed combined document, error report and read summary.
 
-A seed's pages are bounded by its page budget, so the ordered per-seed aggregate
-(``collect_list`` of (ord, part) sorted, then joined) holds at most ``max_pages``
-small structs per group.
+A seed's pages are bounded by its page budget (the input is a crawl with a budget), so
+the ordered per-seed aggregate (``collect_list`` of (ord, part) sorted, then joined)
+holds at most ``max_pages`` structs per group.
 """
 
 from __future__ import annotations
@@ -16,67 +16,67 @@ NO_RESULTS = "No results returned"
 ERRORS_PREFIX = "Some pages had errors: "
 
 
-def combine_pages(results: DataFrame, seed: str = "seed", order: str = "ord") -> DataFrame:
-    """(seed, n_pages, markdown) - pages in visit order, each after a source
-    comment; ``---`` before every non-error page but the first; errors become a comment."""
-    parts = results.select(
-        seed, order, "url", "markdown", "error",
-    )
-    counts = parts.groupBy(seed).agg(F.count(F.lit(1)).alias("n_pages"))
-    j = parts.join(counts, seed)
-    piece = F.when(
-        F.col("error").isNotNull(), F.concat(F.lit("<!-- Error fetching "), F.col("url"), F.lit(": "), F.col("error"), F.lit(" -->"))
-    ).otherwise(
-        F.concat(
-            F.when((F.col("n_pages") > 1) & (F.col("_i") > 0), F.lit(SEPARATOR)).otherwise(F.lit("")),
-            F.lit("<!-- Source: "), F.col("url"), F.lit(" -->\n"), F.coalesce(F.col("markdown"), F.lit("")),
-        )
-    )
-    ranked = j.withColumn("_i", F.col(order) - F.lit(1))
-    agg = ranked.groupBy(seed, "n_pages").agg(F.array_sort(F.collect_list(F.struct(F.col(order), piece.alias("p")))).alias("_ps"))
-    return agg.select(seed, "n_pages", F.array_join(F.transform("_ps", lambda s: s["p"]), "\n").alias("markdown"))
+def _page(order: str):
+    """One page of the combined document, in visit order: after its source comment, errors
+    as a comment, ``---`` before every non-error page but the first."""
+    source = F.concat(F.lit("<!-- Source: "), F.col("url"), F.lit(" -->\n"), F.coalesce(F.col("markdown"), F.lit("")))
+    failed = F.concat(F.lit("<!-- Error fetching "), F.col("url"), F.lit(": "), F.col("error"), F.lit(" -->"))
+    piece = F.when(F.col("error").isNotNull(), failed).otherwise(F.concat(F.when(F.col(order) > 1, F.lit(SEPARATOR)).otherwise(F.lit("")), source))
+    failed_url = F.when(F.col("error").isNotNull(), F.col("url"))
+    return F.struct(F.col(order), piece.alias("piece"), failed_url.alias("failed"), "title", F.col("seed_error").alias("aborted"), "links")
 
 
-def error_report(results: DataFrame, seed: str = "seed", order: str = "ord") -> DataFrame:
-    """Null when no page failed, else the failing URLs in visit order."""
-    agg = results.groupBy(seed).agg(
-        F.array_sort(F.collect_list(F.when(F.col("error").isNotNull(), F.struct(F.col(order), F.col("url"))))).alias("_e")
-    )
+def _per_seed(results: DataFrame, seed: str, order: str) -> DataFrame:
+    """One aggregate over a seed's pages: everything that the answers below need.
+
+    A crawl that the policy aborted (``seed_error``) has no page and no Markdown, and the
+    policy's message is its error.
+    """
+    if "seed_error" not in results.columns:
+        results = results.withColumn("seed_error", F.lit(None).cast("string"))
+    if "links" not in results.columns:
+        results = results.withColumn("links", F.lit(None).cast("array<string>"))
+    agg = results.groupBy(seed).agg(F.array_sort(F.collect_list(_page(order))).alias("_p"))
+    failed = F.filter(F.transform("_p", lambda p: p["failed"]), lambda u: u.isNotNull())
+    aborted = F.element_at(F.transform("_p", lambda p: p["aborted"]), 1)
+    gone = aborted.isNotNull()
     return agg.select(
         seed,
-        F.when(F.size("_e") > 0, F.concat(F.lit(ERRORS_PREFIX), F.array_join(F.transform("_e", lambda s: s["url"]), ", "))).alias("error"),
+        F.when(gone, F.lit(0)).otherwise(F.size("_p")).cast("long").alias("n_pages"),
+        F.when(gone, F.lit("")).otherwise(F.array_join(F.transform("_p", lambda p: p["piece"]), "\n")).alias("markdown"),
+        F.coalesce(aborted, F.when(F.size(failed) > 0, F.concat(F.lit(ERRORS_PREFIX), F.array_join(failed, ", ")))).alias("error"),
+        F.when(~gone, F.element_at("_p", 1)["title"]).alias("title"),
+        F.when(gone, F.array().cast("array<string>")).otherwise(
+            F.flatten(F.transform("_p", lambda p: F.coalesce(p["links"], F.array().cast("array<string>"))))
+        ).alias("links"),
     )
 
 
-def read_summary(results: DataFrame, links: DataFrame | None = None, seed: str = "seed", order: str = "ord") -> DataFrame:
-    """(seed, title, n_links, text, error, failed) as the tool would answer.
+def combine_pages(results: DataFrame, seed: str = "seed", order: str = "ord") -> DataFrame:
+    """(seed, n_pages, markdown); an aborted read has no pages and an empty document."""
+    return _per_seed(results, seed, order).select(seed, "n_pages", "markdown")
+
+
+def error_report(results: DataFrame, seed: str = "seed", order: str = "ord") -> DataFrame:
+    """The policy's message of an aborted read, else the failing URLs in visit order,
+    else null."""
+    return _per_seed(results, seed, order).select(seed, "error")
+
+
+def read_summary(results: DataFrame, seed: str = "seed", order: str = "ord") -> DataFrame:
+    """(seed, title, links, n_links, text, error, failed) as the tool would answer.
 
-    ``results`` may carry ``seed_error`` (a crawl aborted by the policy); ``links``
-    (seed, link) are all pages' links flattened.
+    ``results`` may carry ``seed_error`` (a crawl aborted by the policy) and ``links``
+    (array), which are flattened over the pages in visit order.
     """
-    combined = combine_pages(results, seed, order)
-    errs = error_report(results, seed, order)
-    firsts = results.groupBy(seed).agg(F.min(F.struct(F.col(order), F.col("title"))).alias("_f"))
-    out = combined.join(errs, seed).join(firsts, seed)
-    if "seed_error" in results.columns:
-        aborted = results.groupBy(seed).agg(F.max("seed_error").alias("seed_error"))
-        out = out.join(aborted, seed)
-        md = F.when(F.col("seed_error").isNotNull(), F.lit("")).otherwise(F.col("markdown"))
-        err = F.coalesce(F.col("seed_error"), F.col("error"))
-        title = F.when(F.col("seed_error").isNull(), F.col("_f.title"))
-    else:
-        md, err, title = F.col("markdown"), F.col("error"), F.col("_f.title")
-    if links is not None:
-        nl = links.groupBy(seed).agg(F.count(F.lit(1)).alias("n_links"))
-        out = out.join(nl, seed, "left").withColumn("n_links", F.coalesce(F.col("n_links"), F.lit(0)))
-    else:
-        out = out.withColumn("n_links", F.lit(0).cast("long"))
+    one = _per_seed(results, seed, order)
+    md, err = F.col("markdown"), F.col("error")
     text = (
         F.when(err.isNotNull() & (md != ""), F.concat(md, F.lit("\n\n---\n*Note: "), err, F.lit("*")))
         .when(err.isNotNull(), F.lit(None).cast("string"))
         .otherwise(md)
     )
-    return out.select(
-        seed, title.alias("title"), "n_links", text.alias("text"), err.alias("error"),
+    return one.select(
+        seed, "title", "links", F.size("links").cast("long").alias("n_links"), text.alias("text"), "error",
         (err.isNotNull() & (md == "")).alias("failed"),
     )

@@ -5,11 +5,12 @@ A crawl is breadth-first: each level is one set of Spark jobs (fetch + extract t
 frontier, explode its links, anti-join everything already queued, rank what is
 new). FIFO order equals the order ``(level, parent_ord, pos)`` with the first
 discovery of a URL kept, so the queue never has to be materialised row by row.
-Each level is checkpointed to the shared ``spark.checkpoint.dir`` so lineage stays
+Each level is written to the shared ``spark.checkpoint.dir`` so lineage stays
 short and a lost executor recomputes at most one level.
 
-Per-URL work (policy, fetch, extraction) is done once per distinct URL of a level
-and joined back to every seed that asked for it.
+Levels carry URL-sized rows only: pages are extracted once into a table of their own, a
+narrow table (outcome and links of every page, no Markdown) is what the levels join, and
+Markdown is attached to the result at the end.
 """
 
 from __future__ import annotations
@@ -19,41 +20,26 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.regex import let
-from ..session import ensure_checkpoint_dir
+from ..session import settle
 from . import policy as P
 from .links import page_link_array
 
-RANK_BUCKET = 1_000_000
-POS_RADIX = 1 << 24  # links per page are far below this
 
+def rank_within(df: DataFrame, key: str, order: tuple[str, ...], out: str = "rank") -> DataFrame:
+    """1-based rank by the ``order`` columns inside each ``key`` without one task per key.
 
-def _queue_order(df: DataFrame) -> DataFrame:
-    """Unique integer per (seed, url): FIFO order is (parent_ord, pos)."""
-    return df.withColumn("_q", F.col("parent_ord") * F.lit(POS_RADIX) + F.col("pos"))
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def rank_within(df: DataFrame, key: str, order: str, out: str = "rank", bucket: int = RANK_BUCKET) -> DataFrame:
-    """1-based rank of ``order`` inside each ``key`` without one task per key.
-
-    ``order`` must be a unique integer per key. Rows are windowed per
-    ``(key, order div bucket)`` - at most ``bucket`` rows each, however hot the key -
-    and shifted by the row counts of the earlier buckets of the same key, which come
-    from a small map-side-combined count table.
+    The rows are range-partitioned by key and order, so a hot key spans as many
+    partitions as its rows need; ranks inside a partition are shifted by the rows the key
+    has in earlier partitions, which come from a small table of counts. The partition
+    numbers are settled first: a range partitioning may not be repeated alike.
     """
-    b = F.floor(F.col(order) / F.lit(bucket)).cast("long")
-    staged = df.withColumn("_rk_bkt", b)
-    counts = staged.groupBy(key, "_rk_bkt").agg(F.count(F.lit(1)).alias("_rk_n"))
-    w_prev = Window.partitionBy(key).orderBy("_rk_bkt").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(w_prev), F.lit(0))).drop("_rk_n")
-    w_in = Window.partitionBy(key, "_rk_bkt").orderBy(order)
-    ranked = staged.withColumn("_rk_in", F.row_number().over(w_in)).join(offsets, [key, "_rk_bkt"], "left")
-    return ranked.withColumn(out, (F.col("_rk_in") + F.col("_rk_off")).cast("long")).drop("_rk_bkt", "_rk_in", "_rk_off")
+    staged = settle(df.repartitionByRange(key, *order).withColumn("_rk_part", F.spark_partition_id()), "ranked")
+    counts = staged.groupBy(key, "_rk_part").agg(F.count(F.lit(1)).alias("_rk_n"))
+    before = Window.partitionBy(key).orderBy("_rk_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.withColumn("_rk_off", F.coalesce(F.sum("_rk_n").over(before), F.lit(0))).drop("_rk_n")
+    inside = Window.partitionBy(key, "_rk_part").orderBy(*order)
+    ranked = staged.withColumn("_rk_in", F.row_number().over(inside)).join(offsets, [key, "_rk_part"])
+    return ranked.withColumn(out, (F.col("_rk_in") + F.col("_rk_off")).cast("long")).drop("_rk_part", "_rk_in", "_rk_off")
 
 
 # ---------------------------------------------------------------------------
@@ -71,9 +57,9 @@ def _pattern(value: Column) -> Column:
 
 
 def host_rules(rules: DataFrame) -> DataFrame:
-    """One row per host with its rules as an array (a robots file is bounded)."""
+    """One row per host with its distinct rules as an array (a robots file is bounded)."""
     return rules.groupBy(F.lower(F.col("host")).alias("_rh")).agg(
-        F.collect_list(
+        F.collect_set(
             F.struct(F.lower(F.col("agent")).alias("agent"), F.lower(F.col("directive")).alias("directive"), F.col("value"))
         ).alias("_rules")
     )
@@ -136,9 +122,10 @@ def robots_filter(df: DataFrame, rules: DataFrame, user_agent: str = "*", url: s
 def crawl_schedule(requests: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url",
                    order: str = "ord") -> DataFrame:
     """C4: earliest start offset (seconds) per request: (rank in host - 1) * delay."""
-    checked = robots_filter(requests, rules, user_agent, url).withColumn("host", U.url_part(F.col(url), "host"))
-    ranked = rank_within(checked, "host", order, out="host_rank")
-    return ranked.withColumn("start_offset", (F.col("host_rank") - 1) * F.col("crawl_delay"))
+    hosts = requests.withColumn("host", U.url_part(F.col(url), "host"))
+    ranked = rank_within(hosts, "host", (order,), out="host_rank")
+    checked = robots_filter(ranked, rules, user_agent, url)
+    return checked.withColumn("start_offset", (F.col("host_rank") - 1) * F.col("crawl_delay"))
 
 
 # ---------------------------------------------------------------------------
@@ -149,21 +136,23 @@ MAX_REDIRECTS = 5
 
 
 def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: DataFrame,
-                      max_redirects: int = MAX_REDIRECTS) -> DataFrame:
+                      max_redirects: int = MAX_REDIRECTS, key=lambda url: url) -> DataFrame:
     """S3: follow Location up to ``max_redirects`` times, re-checking the policy on
     every hop. Output ``(ord, request_url, final_url, n_hops, error)``.
 
-    ``hops(url, status, location, content_type)`` holds one response per URL. Every
+    ``hops(url, status, location, content_type)`` holds one response per URL; of repeated
+    ones the smallest counts. ``key`` maps a location to the form of ``hops.url``. Every
     URL that can appear in a chain (requests, hop URLs, resolved locations) is judged
     once, and each hop's outcome (error / final / next URL) is computed once; the
     rounds then only join the moving requests with that table.
     """
     from ..sources.captures import classify_response
 
+    hops = hops.groupBy("url").agg(F.min(F.struct("status", "location", "content_type")).alias("_r")).select("url", "_r.*")
     c = classify_response(F.col("url"), F.col("status"), F.col("location"), F.col("content_type"))
     edges = hops.select(
         "url", c.alias("_c"),
-        U.resolve_url(F.col("location"), F.col("url"), keep_absolute_raw=False).alias("_next"),
+        key(U.resolve_url(F.col("location"), F.col("url"), keep_absolute_raw=False)).alias("_next"),
     )
     nodes = (
         requests.select("url")
@@ -173,7 +162,7 @@ def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: Data
         .distinct()
     )
     judged = P.url_policy(nodes, host_addresses, url="url").select("url", F.col("reason").alias("_policy"))
-    step = checkpoint(
+    step = settle(
         judged.join(edges, "url", "left").select(
             F.col("url").alias("cur"),
             F.when(F.col("_policy").isNotNull(), F.lit("error"))
@@ -182,7 +171,8 @@ def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: Data
             F.coalesce(F.col("_policy"), F.when(F.col("_c").isNull(), F.concat(F.lit("No capture for "), F.col("url"))),
                        F.col("_c.error")).alias("error"),
             F.when(F.col("_c.kind") == "redirect", F.col("_next")).alias("next"),
-        )
+        ),
+        "hops",
     )
     state = requests.select("ord", F.col("url").alias("request_url"), F.col("url").alias("cur"), F.lit(0).alias("n_hops"))
     done_parts = []
@@ -194,9 +184,8 @@ def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: Data
                 F.coalesce(F.col("error"), F.when(F.col("kind").isNull(), F.concat(F.lit("No capture for "), F.col("cur")))).alias("error"),
             )
         )
-        state = checkpoint(
-            j.filter(F.col("kind") == "redirect").select("ord", "request_url", F.col("next").alias("cur"), (F.col("n_hops") + 1).alias("n_hops"))
-        )
+        moved = j.filter(F.col("kind") == "redirect")
+        state = settle(moved.select("ord", "request_url", F.col("next").alias("cur"), (F.col("n_hops") + 1).alias("n_hops")), "chains")
     too_many = state.select(
         "ord", "request_url", F.lit(None).cast("string").alias("final_url"), "n_hops",
         F.concat(F.lit(TOO_MANY), F.col("request_url")).alias("error"),
@@ -211,141 +200,178 @@ def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: Data
 # C1 crawl with a page budget (Markdown links, raw-URL visited set)
 # ---------------------------------------------------------------------------
 CRAWL_COLS = ("seed", "ord", "level", "request_url", "url", "title", "markdown", "error", "status")
+# Narrow part of a page: what the levels read.
+PAGE_COLS = ("_cap_key", "final_url", "gate_status", "gate_title", "gate_error")
 
 
-def crawl_budget(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame, max_pages: int = 1,
-                 same_origin_only: bool = True, cache: DataFrame | None = None,
-                 robots_rules: DataFrame | None = None, user_agent: str = "*", max_levels: int | None = None) -> DataFrame:
-    """Breadth-first from each ``seeds.seed`` over Markdown links until
-    ``max_pages`` results (failed pages count). A policy failure of any visited URL
-    aborts the seed: its output is then one row with ``seed_error`` set.
+def page_tables(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(pages, narrow): every capture extracted once, and the same without Markdown.
 
-    Returns ``CRAWL_COLS`` + ``seed_error``; pages in visit order ``ord`` 1..n.
+    ``md_links``: links of the Markdown, resolved against the captured URL; ``links``:
+    those of the page DOM. Both tables can be passed to several crawls.
     """
-    from ..plans.read_pages import prepare_captures, read_pages
-
-    # Built once for all levels: host verdicts, and captures deduped + partitioned by key
-    # (the checkpoint keeps the partitioning, so levels shuffle only their frontier).
-    verdicts = checkpoint(P.host_policy(host_addresses))
-    caps = checkpoint(prepare_captures(captures))
-    frontier = seeds.select("seed", F.col("seed").alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
-                            F.lit(0).cast("long").alias("pos"))
+    from ..plans.read_pages import prepare_captures
+
+    pages = settle(prepare_captures(captures, with_links=True), "pages")
+    links = F.when(F.col("gate_markdown") != "", page_link_array(F.col("gate_markdown"), F.col("final_url")))
+    return pages, settle(pages.select(*PAGE_COLS, "links", links.alias("md_links")), "links")
+
+
+def _frontier(seeds: DataFrame, url) -> DataFrame:
+    zero = F.lit(0).cast("long")
+    return seeds.select("seed").distinct().select("seed", url.alias("request_url"), zero.alias("parent_ord"), zero.alias("pos"))
+
+
+def _visits(frontier: DataFrame, counts: DataFrame | None, level: int) -> DataFrame:
+    """(seed, ord, level, request_url): the frontier in queue order, numbered on."""
+    ranked = rank_within(frontier, "seed", ("parent_ord", "pos"), out="_r")
+    if counts is not None:
+        ranked = ranked.join(counts, "seed").withColumn("_r", F.col("_r") + F.col("done"))
+    return ranked.select("seed", F.col("_r").alias("ord"), F.lit(level).alias("level"), "request_url")
+
+
+def _fetched(urls: DataFrame, narrow: DataFrame, decide_with: dict, extra: tuple[str, ...]) -> DataFrame:
+    """Outcome of every distinct URL of a level, once, however many seeds ask for it."""
+    from ..plans.read_pages import decide, outcomes
+
+    urls = urls.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
+    decided = decide(urls, dedupe=False, **decide_with)
+    return outcomes(decided, narrow, (*extra, "_cap_key")).drop("ord")
+
+
+def _with_markdown(results: DataFrame, pages: DataFrame, cache: DataFrame | None) -> DataFrame:
+    from ..plans.read_pages import with_cached
+
+    md = pages.select(F.col("_cap_key").alias("_mk"), F.col("gate_markdown").alias("markdown"))
+    return with_cached(results.join(md, F.col("_cap_key") == F.col("_mk"), "left"), cache)
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def crawl_budget(seeds: DataFrame, captures: DataFrame | tuple[DataFrame, DataFrame], host_addresses: DataFrame, max_pages: int = 1,
+                 same_origin_only: bool = True, cache: DataFrame | None = None,
+                 robots_rules: DataFrame | None = None, user_agent: str = "*", hops: DataFrame | None = None) -> DataFrame:
+    """Breadth-first from each distinct ``seeds.seed`` over Markdown links until
+    ``max_pages`` results (failed pages count). A policy failure of any visited URL aborts
+    the read of its seed: the output is then one row, without page or Markdown, whose
+    ``seed_error`` (and ``error``) is the first failure's message.
+
+    ``captures`` may be the result of ``page_tables``. A page expands from its capture, not
+    from the cache. Returns ``CRAWL_COLS`` + ``seed_error``; pages in visit order 1..n.
+    """
+    from ..plans.read_pages import response_hops
+
+    pages, narrow = captures if isinstance(captures, tuple) else page_tables(captures)
+    if hops is None and not isinstance(captures, tuple):
+        hops = response_hops(captures)
+    verdicts = settle(P.host_policy(host_addresses), "hosts")
+    decide_with = dict(host_addresses=host_addresses, cache=cache, robots_rules=robots_rules, user_agent=user_agent, hops=hops, host_verdicts=verdicts)
+    frontier = settle(_frontier(seeds, F.col("seed")), "frontier")
     seen = frontier.select("seed", "request_url")
-    # Pages already taken per seed. A seed reaches the next level only through links of
-    # this level's pages, so the last ord of this level is its running count.
-    counts = seeds.select("seed", F.lit(0).cast("long").alias("done"))
-    results = []
-    level = 0
+    counts, results, fetched_all, level = None, [], [], 0
     while True:
-        ranked = (
-            rank_within(_queue_order(frontier), "seed", "_q", out="_r").drop("_q")
-            .join(counts, "seed")
-            .withColumn("ord", F.col("done") + F.col("_r"))
-            .filter(F.col("ord") <= max_pages)
-            .drop("_r", "done")
-        )
-        urls = ranked.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
-        fetched = read_pages(urls, caps, host_addresses, cache=cache, robots_rules=robots_rules,
-                             user_agent=user_agent, dedupe=False, host_verdicts=verdicts).drop("ord")
-        level_res = checkpoint(
-            ranked.join(fetched, "request_url", "left").withColumn("level", F.lit(level))
-        )
-        results.append(level_res)
-        if max_levels is not None and level + 1 >= max_levels:
-            break
-        counts = level_res.groupBy("seed").agg(F.max("ord").alias("done"))
+        visits = settle(_visits(frontier, counts, level).filter(F.col("ord") <= max_pages), "visits")
+        urls = visits.select("request_url")
+        for old in fetched_all:
+            urls = urls.join(old, "request_url", "left_anti")
+        fetched_all.append(settle(_fetched(urls, narrow, decide_with, ("md_links",)), "fetched"))
+        results.append(visits)
         # Links only from pages with content that still leave room in the budget.
-        parents = level_res.filter((F.col("ord") < max_pages) & (F.col("markdown") != "") & (F.col("status") != "policy"))
-        arr = page_link_array(F.col("markdown"), F.col("request_url"))
+        known = _union(fetched_all).filter(F.col("md_links").isNotNull()).select("request_url", "md_links")
+        parents = visits.filter(F.col("ord") < max_pages).join(known, "request_url")
+        links = parents.select("seed", F.col("request_url").alias("parent"), F.col("ord").alias("parent_ord"), F.posexplode("md_links").alias("pos", "request_url"))
         if same_origin_only:
-            arr = let(U.url_origin(F.col("request_url")), lambda bo: F.filter(arr, lambda t: U.url_origin(t) == bo))
-        links = parents.select("seed", F.col("ord").alias("parent_ord"), F.posexplode(arr).alias("pos", "request_url"))
-        links = links.withColumn("pos", F.col("pos").cast("long"))
+            links = links.filter(U.url_origin(F.col("request_url")) == U.url_origin(F.col("parent")))
+        links = links.select("seed", "request_url", "parent_ord", F.col("pos").cast("long").alias("pos"))
         new = links.join(seen, ["seed", "request_url"], "left_anti")
         first = new.groupBy("seed", "request_url").agg(F.min(F.struct("parent_ord", "pos")).alias("_k"))
-        frontier = checkpoint(first.select("seed", "request_url", "_k.parent_ord", "_k.pos"))
+        frontier = settle(first.select("seed", "request_url", "_k.parent_ord", "_k.pos"), "frontier")
         if frontier.isEmpty():
             break
-        seen = checkpoint(seen.unionByName(frontier.select("seed", "request_url")))
+        counts = visits.groupBy("seed").agg(F.max("ord").alias("done"))
+        seen = seen.unionByName(frontier.select("seed", "request_url"))
         level += 1
 
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r)
-    # A policy failure aborts the whole read of that seed (first failure by visit order).
-    aborts = out.filter(F.col("status") == "policy").groupBy("seed").agg(
-        F.min(F.struct("ord", "error")).alias("_a")
-    ).select("seed", F.col("_a.error").alias("seed_error"))
-    return out.join(aborts, "seed", "left").select(*CRAWL_COLS, "seed_error")
+    out = settle(_union(results).join(_union(fetched_all).drop("md_links"), "request_url"), "crawl")
+    # A policy failure aborts the whole read of its seed (first failure by visit order).
+    failures = out.filter(F.col("status") == "policy")
+    aborts = settle(failures.groupBy("seed").agg(F.min(F.struct("ord", "error")).alias("_a")).select("seed", "_a.error"), "aborts")
+    null = F.lit(None).cast("string")
+    aborted = aborts.select(
+        "seed", F.lit(1).cast("long").alias("ord"), F.lit(0).alias("level"), F.col("seed").alias("request_url"), F.col("seed").alias("url"),
+        null.alias("title"), F.lit("").alias("markdown"), "error", F.lit("policy").alias("status"), F.col("error").alias("seed_error"),
+    )
+    whole = _with_markdown(out.join(aborts.select("seed"), "seed", "left_anti"), pages, cache)
+    return whole.select(*CRAWL_COLS, null.alias("seed_error")).unionByName(aborted)
 
 
 # ---------------------------------------------------------------------------
 # C2 crawl to a depth (normalised keys, DOM links, no page limit)
 # ---------------------------------------------------------------------------
 
-def crawl_depth(seeds: DataFrame, captures: DataFrame, host_addresses: DataFrame, depth: int = 0,
+def crawl_depth(seeds: DataFrame, captures: DataFrame | tuple[DataFrame, DataFrame], host_addresses: DataFrame, depth: int = 0,
                 same_origin_only: bool = True, cache: DataFrame | None = None,
-                robots_rules: DataFrame | None = None, user_agent: str = "*") -> DataFrame:
+                robots_rules: DataFrame | None = None, user_agent: str = "*", hops: DataFrame | None = None) -> DataFrame:
     """Level by level to ``depth`` with canonical URL keys and page DOM links.
 
     A cached page does not expand. A link that fails the policy turns its parent into
     an error row (links before it in page order are still queued). Order within a
-    level is ``(parent_ord, pos)``.
+    level is ``(parent_ord, pos)``. Returns ``CRAWL_COLS`` + ``links``, the DOM links of
+    every page that was read.
     """
-    from ..plans.read_pages import prepare_captures, read_pages
-
-    key = lambda c: F.coalesce(U.normalize_url(c), c)
-    verdicts = checkpoint(P.host_policy(host_addresses))  # one verdict per host for every level
-    caps = checkpoint(prepare_captures(captures, with_links=depth > 0))
-    frontier = seeds.select("seed", key(F.col("seed")).alias("request_url"), F.lit(0).cast("long").alias("parent_ord"),
-                            F.lit(0).cast("long").alias("pos"))
+    from ..plans.read_pages import canonical as key
+    from ..plans.read_pages import response_hops
+
+    pages, narrow = captures if isinstance(captures, tuple) else page_tables(captures)
+    if hops is None and not isinstance(captures, tuple):
+        hops = response_hops(captures)
+    verdicts = settle(P.host_policy(host_addresses), "hosts")
+    decide_with = dict(host_addresses=host_addresses, cache=cache, robots_rules=robots_rules, user_agent=user_agent, hops=hops, host_verdicts=verdicts)
+    frontier = settle(_frontier(seeds, key(F.col("seed"))), "frontier")
     seen = frontier.select("seed", "request_url")
-    counts = seeds.select("seed", F.lit(0).cast("long").alias("done"))
-    results = []
+    counts, results = None, []
     for level in range(depth + 1):
-        ranked = (
-            rank_within(_queue_order(frontier), "seed", "_q", out="_r").drop("_q").join(counts, "seed")
-            .withColumn("ord", F.col("done") + F.col("_r")).drop("_r", "done")
-        )
-        urls = ranked.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
-        fetched = read_pages(urls, caps, host_addresses, cache=cache, robots_rules=robots_rules,
-                             user_agent=user_agent, with_links=level < depth, dedupe=False, host_verdicts=verdicts).drop("ord")
-        res = ranked.join(fetched, "request_url", "left").withColumn("level", F.lit(level))
-        if level < depth:
-            links = res.filter(F.col("status") == "ok").select(
-                "seed", "ord", "url", F.posexplode(F.col("links")).alias("pos", "link")
-            )
-            if same_origin_only:
-                links = links.filter(U.url_origin(F.col("link")) == U.url_origin(F.col("url")))
-            links = links.withColumn("request_url", key(F.col("link"))).withColumn("pos", F.col("pos").cast("long"))
-            links = links.join(seen, ["seed", "request_url"], "left_anti")
-            checked = P.url_policy(links.withColumn("_u", F.col("request_url")), host_addresses, url="_u", host_verdicts=verdicts)
-            bad = checked.filter(~F.col("allowed")).groupBy("seed", "ord").agg(F.min(F.struct("pos", "reason")).alias("_b"))
-            res = res.join(bad, ["seed", "ord"], "left").withColumn(
-                "error", F.coalesce(F.col("_b.reason"), F.col("error"))
-            ).withColumn("markdown", F.when(F.col("_b").isNotNull(), F.lit("")).otherwise(F.col("markdown"))).withColumn(
-                "url", F.when(F.col("_b").isNotNull(), F.col("request_url")).otherwise(F.col("url"))
-            ).withColumn("title", F.when(F.col("_b").isNull(), F.col("title"))).withColumn(
-                "status", F.when(F.col("_b").isNotNull(), F.lit("link_policy")).otherwise(F.col("status"))
-            )
-            keep = checked.join(bad.select("seed", F.col("ord"), F.col("_b.pos").alias("_bad_pos")), ["seed", "ord"], "left").filter(
-                F.col("_bad_pos").isNull() | (F.col("pos") < F.col("_bad_pos"))
-            )
-            first = keep.groupBy("seed", "request_url").agg(F.min(F.struct(F.col("ord").alias("parent_ord"), "pos")).alias("_k"))
-            nxt = first.select("seed", "request_url", "_k.parent_ord", "_k.pos")
-            res = checkpoint(res.drop("_b", "links"))
-            results.append(res)
-            counts = res.groupBy("seed").agg(F.max("ord").alias("done"))
-            frontier = checkpoint(nxt)
-            if frontier.isEmpty():
-                break
-            seen = checkpoint(seen.unionByName(frontier.select("seed", "request_url")))
-        else:
-            results.append(checkpoint(res))
-    out = results[0]
-    for r in results[1:]:
-        out = out.unionByName(r, allowMissingColumns=True)
-    return out.select(*CRAWL_COLS)
+        visits = settle(_visits(frontier, counts, level), "visits")
+        fetched = settle(_fetched(visits.select("request_url"), narrow, decide_with, ("links",)), "fetched")
+        res = visits.join(fetched, "request_url")
+        if level == depth:
+            results.append(res.withColumn("bad_link", F.lit(None).cast("string")))
+            break
+        # Links of a URL are judged once; its seeds differ only in what they have seen.
+        links = fetched.filter(F.col("status") == "ok").select(F.col("request_url").alias("parent"), "url", F.posexplode("links").alias("pos", "link"))
+        if same_origin_only:
+            links = links.filter(U.url_origin(F.col("link")) == U.url_origin(F.col("url")))
+        links = links.select("parent", F.col("pos").cast("long").alias("pos"), key(F.col("link")).alias("request_url"))
+        judged = P.url_policy(links.select(F.col("request_url").alias("_u")).distinct(), host_addresses, url="_u", host_verdicts=verdicts)
+        links = settle(links.join(judged.select("_u", "reason"), F.col("request_url") == F.col("_u")).drop("_u"), "links")
+        queued = visits.select("seed", "ord", F.col("request_url").alias("parent")).join(links, "parent")
+        queued = settle(queued.join(seen, ["seed", "request_url"], "left_anti"), "queued")
+        bad = queued.filter(F.col("reason").isNotNull()).groupBy("seed", "ord").agg(F.min(F.struct("pos", "reason")).alias("_b"))
+        bad = settle(bad.select("seed", "ord", F.col("_b.pos").alias("bad_pos"), F.col("_b.reason").alias("bad_link")), "bad")
+        results.append(res.join(bad.drop("bad_pos"), ["seed", "ord"], "left"))
+        keep = queued.join(bad, ["seed", "ord"], "left").filter(F.col("bad_pos").isNull() | (F.col("pos") < F.col("bad_pos")))
+        first = keep.groupBy("seed", "request_url").agg(F.min(F.struct(F.col("ord").alias("parent_ord"), "pos")).alias("_k"))
+        frontier = settle(first.select("seed", "request_url", "_k.parent_ord", "_k.pos"), "frontier")
+        if frontier.isEmpty():
+            break
+        counts = visits.groupBy("seed").agg(F.max("ord").alias("done"))
+        seen = seen.unionByName(frontier.select("seed", "request_url"))
+    out = _with_markdown(_union(results), pages, cache)
+    bad = F.col("bad_link").isNotNull()
+    return out.select(
+        "seed", "ord", "level", "request_url",
+        F.when(bad, F.col("request_url")).otherwise(F.col("url")).alias("url"),
+        F.when(~bad, F.col("title")).alias("title"),
+        F.when(bad, F.lit("")).otherwise(F.col("markdown")).alias("markdown"),
+        F.coalesce("bad_link", "error").alias("error"),
+        F.when(bad, F.lit("link_policy")).otherwise(F.col("status")).alias("status"),
+        F.when(~bad, F.col("links")).alias("links"),
+    )
 
 
 def robots_filter_sql(src: str, rules: str, user_agent: str = "*") -> str:

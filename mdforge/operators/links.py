@@ -10,14 +10,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import html as H
 from ..functions import urls as U
-from ..functions.regex import let, sql_str
+from ..functions.regex import Rx, let, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql
 
 # The Markdown link patterns and the skipped inline prefixes.
 INLINE_RE = r"\[([^\]]+)\]\(([^)]+)\)"
 BARE_RE = r"https?://[^ \t\n\r\f\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}<>)\]]+"
 SKIP_PREFIXES = ("#", "mailto:", "tel:")
-HREF_RE = r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
+# An anchor up to the value of its href: attributes before it are whole names with whole
+# values, so ``data-href`` isn't taken for it; the value is quoted either way or bare.
+_ATTR = r"""(?:[ \t\r\n\f/]+[^ \t\r\n\f=>"'/]+(?:[ \t\r\n\f]*=[ \t\r\n\f]*(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+))?)"""
+HREF_RE = rf"""(?is)<a{_ATTR}*?[ \t\r\n\f/]+href[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
+# What holds no anchor of the page: comments, scripts and styles.
+HIDDEN_STEPS = H.CLEAN_STEPS[:3]
+QUOTES = (Rx(r"""^["']|["']\z""", ""),)
+
+
+def href_array(html: Column) -> Column:
+    """Values of all anchors' href, in page order, references decoded and trimmed."""
+    raw = F.regexp_extract_all(rx_spark(html, HIDDEN_STEPS), F.lit(HREF_RE), 1)
+    return F.transform(raw, lambda v: trim_ws(H.decode_entities(rx_spark(v, QUOTES))))
+
+
+def href_array_sql(html: str) -> str:
+    raw = f"regexp_extract_all({rx_sql(html, HIDDEN_STEPS)}, {sql_str(HREF_RE)}, 1)"
+    return f"list_transform({raw}, lambda v: {trim_ws_sql(H.decode_entities_sql(rx_sql('v', QUOTES)))})"
 
 
 def _keep_inline(t: Column) -> Column:
@@ -75,7 +93,7 @@ def link_edges(df: DataFrame, md: str = "markdown", base: str = "url", keep: tup
 
 def dom_link_array(html: Column, base: Column) -> Column:
     """H5: anchors of the page DOM, resolved (no raw short-cut), http(s) only, deduplicated."""
-    hrefs = F.regexp_extract_all(html, F.lit(HREF_RE), 1)
+    hrefs = href_array(html)
     def body(b: Column) -> Column:
         resolved = F.transform(hrefs, lambda h: U.resolve_url(h, b, keep_absolute_raw=False))
         return F.array_distinct(F.filter(resolved, lambda t: t.isNotNull() & t.rlike(r"^https?://")))

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.regex import sql_str
+from ..functions.regex import Rx, rx_spark, rx_sql, sql_str
 from ..operators import extract as X
+from ..operators import links as L
 from ..operators import policy as P
 from ..operators import urls as UO
 from ..sources.captures import table
@@ -134,21 +135,16 @@ def u3_dedupe_urls(spark, sf):
     return UO.dedupe_urls(v, key="url_key", order="ord").select("url_key", "ord", "page_id", "url")
 
 
-HREF_RE = r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\""
-
 def _hrefs(pages: DataFrame) -> DataFrame:
     """All anchor hrefs of each page with their position (1-based)."""
-    return pages.select(
-        "page_id",
-        F.col("url").alias("base"),
-        F.posexplode(F.regexp_extract_all(F.col("html"), F.lit(HREF_RE), 1)).alias("pos", "raw"),
-    ).withColumn("pos", (F.col("pos") + 1).cast("int"))
+    hrefs = F.posexplode(L.href_array(F.col("html"))).alias("pos", "raw")
+    return pages.select("page_id", F.col("url").alias("base"), hrefs).withColumn("pos", (F.col("pos") + 1).cast("int"))
 
 
 def _hrefs_sql() -> str:
     return (
         f"(SELECT page_id, url AS base, CAST(generate_subscripts(hs, 1) AS INTEGER) AS pos, unnest(hs) AS raw FROM "
-        f"(SELECT page_id, url, regexp_extract_all(html, {sql_str(HREF_RE)}, 1) AS hs FROM pages))"
+        f"(SELECT page_id, url, {L.href_array_sql('html')} AS hs FROM pages))"
     )
 
 
@@ -189,6 +185,25 @@ def u6_url_policy(spark, sf):
     return P.url_policy(pages.select("page_id", "url"), ha).select("page_id", "url", "host", "rule", "reason", "allowed")
 
 
+# Malformed spellings of every page URL: where each piece goes and what is put there.
+BAD_URLS = (
+    (r"^(https?://)[^/?#]*", r"{1}[2606::1::2]"), (r"^(https?://)[^/?#]*", r"{1}[2606:4700::1xyz]"), (r"^(https?://)[^/?#]*", r"{1}[2606:4700::1%25eth0]"),
+    (r"^(https?://[^/?#:]*)", r"{1}:99999"), (r"^(https?://[^/?#:]*)", r"{1}:abc"), (r"^(https?://[^/?#:]*)", r"{1}:0x50"), (r"^(https?://[^/?#:]*)", r"{1}:65535"),
+)
+
+
+def _bad_urls_sql() -> str:
+    one = " UNION ALL ".join(f"SELECT page_id, {k} AS variant, {rx_sql('url', (Rx(a, b),))} AS url FROM pages" for k, (a, b) in enumerate(BAD_URLS))
+    return f"({one})"
+
+
+@register("u6_url_policy_malformed", f"SELECT page_id, variant, url, host, rule, reason FROM {P.url_policy_sql(_bad_urls_sql(), _HA_SQL)}")
+def u6_url_policy_malformed(spark, sf):
+    pages = _pages(spark, sf)
+    variants = F.posexplode(F.array(*[rx_spark(F.col("url"), (Rx(a, b),)) for a, b in BAD_URLS])).alias("variant", "url")
+    return P.url_policy(pages.select("page_id", variants), D.host_addresses(pages)).select("page_id", "variant", "url", "host", "rule", "reason")
+
+
 IPV4_IN_TEXT = r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b"
 
 
@@ -243,8 +258,6 @@ def u10_policy_report(spark, sf):
 # Link jobs (Markdown of the whole page body, navigation included, after its source
 # comment; base = page URL)
 # ---------------------------------------------------------------------------
-from ..operators import links as L  # noqa: E402
-
 _LINK_MD_SQL = f"(SELECT page_id, url, {D.link_markdown_sql('html', 'url')} AS md FROM pages)"
 
 
@@ -293,7 +306,7 @@ def m4_link_edges(spark, sf):
 
 
 _DOM_SQL = (
-    f"list_filter(list_transform(regexp_extract_all(html, {sql_str(L.HREF_RE)}, 1), lambda h: "
+    f"list_filter(list_transform({L.href_array_sql('html')}, lambda h: "
     f"{U.resolve_url_sql('h', 'url', keep_absolute_raw=False)}), lambda t: t IS NOT NULL AND regexp_matches(t, '^https?://'))"
 )
 
@@ -303,6 +316,33 @@ def h5_dom_links(spark, sf):
     return L.dom_links(_pages(spark, sf))
 
 
+# The same over pages whose anchors are respelled: single quotes, no quotes, another
+# attribute that ends in href before it, and ampersands as references; the first anchor of
+# each page stands once more in a comment and in a script.
+FORMS = (
+    (Rx(r'(?i)<a href="([^"]*)"', "<a href='{1}'"),),
+    (Rx(r'(?i)<a href="([^" >]+)"', "<a href={1}"),),
+    (Rx(r'(?i)<a href="([^"]*)"', '<a data-href="http://other.example/" href = "{1}"'),),
+    (Rx(r'(?i)(<a href="[^"?]*\?[^"&]*)&([^"]*")', "{1}&amp;{2}"),),
+)
+HIDE = '<!-- <a href="http://hidden.example/c">x</a> --><script>"<a href=\'http://hidden.example/s\'>"</script>'
+
+
+def _forms(spark, sf):
+    html = F.posexplode(F.array(*[F.concat(F.lit(HIDE), rx_spark(F.col("html"), f)) for f in FORMS])).alias("form", "html")
+    return _pages(spark, sf).select("page_id", "url", html)
+
+
+_FORMS_SQL = "(" + " UNION ALL ".join(
+    f"SELECT page_id, {k} AS form, url, {sql_str(HIDE)} || {rx_sql('html', f)} AS html FROM pages" for k, f in enumerate(FORMS)
+) + ")"
+
+
+@register("h5_dom_links_forms", f"SELECT page_id, form, pos, link FROM {L.distinct_in_order_sql(_FORMS_SQL, 'page_id, form', _DOM_SQL, 'link')}")
+def h5_dom_links_forms(spark, sf):
+    return L.dom_links(_forms(spark, sf), keep=("page_id", "form"))
+
+
 # ---------------------------------------------------------------------------
 # Chunk jobs: page Markdown (headings, blank lines) and documents (long prose)
 # ---------------------------------------------------------------------------
@@ -386,6 +426,8 @@ def h8_read_pages(spark, sf):
 # ---------------------------------------------------------------------------
 from ..operators import crawl as CR  # noqa: E402
 from ..operators import combine as CB  # noqa: E402
+from ..sources import cache as CA  # noqa: E402
+from ..sources import export as EX  # noqa: E402
 from ..sources.captures import classify_responses  # noqa: E402
 
 _HOPS_SQL = D.hops_sql()
@@ -416,6 +458,44 @@ def s3_resolve_redirects(spark, sf):
 _ROBOTS_SQL = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.robots_rules_sql()})"
 
 
+# H8 over captures with response columns: every page URL is requested and its redirect
+# chain followed; hops that no page stands for carry a short page of their own.
+HOP_HTML = "<html><body><article><p>" + "moved here " * 8 + "</p></article></body></html>"
+
+
+def _response_captures(pages: DataFrame) -> DataFrame:
+    hops = D.hops(pages)
+    return hops.join(pages.select("url", "page_id", "html"), "url", "left").withColumn("html", F.coalesce("html", F.lit(HOP_HTML))).withColumn(
+        "page_id", F.coalesce("page_id", F.lit(1 << 40))
+    )
+
+
+_RESPONSES_SQL = (
+    f"(SELECT h.url, coalesce(p.page_id, {1 << 40}) AS page_id, coalesce(p.html, {sql_str(HOP_HTML)}) AS html FROM {_HOPS_SQL} h LEFT JOIN pages p ON h.url = p.url)"
+)
+
+
+@register("h8_read_responses")
+def h8_read_responses(spark, sf):
+    pages = _pages(spark, sf)
+    reqs = pages.select("url", F.col("page_id").alias("ord"))
+    return RP.read_pages(reqs, _response_captures(pages), D.host_addresses(pages))
+
+
+# H8 with a cache that holds every third page's result and the robots rules.
+def _some_cached(spark, sf):
+    entries = CA.cache_entries(RP.read_pages_table(spark, sf).filter(F.col("ord") % 3 == 0))
+    return CA.latest_entries(entries).withColumn("markdown", F.concat(F.lit("cached: "), "markdown"))
+
+
+@register("h8_read_cached_robots")
+def h8_read_cached_robots(spark, sf):
+    pages = _pages(spark, sf)
+    reqs = pages.select("url", F.col("page_id").alias("ord"))
+    return RP.read_pages(reqs, pages, D.host_addresses(pages), cache=_some_cached(spark, sf), robots_rules=D.robots_rules(pages), user_agent=D.ROBOTS_AGENT)
+
+
+
 @register(
     "c3_robots_filter",
     f"SELECT page_id, url, robots_allowed, crawl_delay, robots_rule FROM "
@@ -462,7 +542,13 @@ def c2_crawl_depth(spark, sf):
     pages = D.linked_pages(_pages(spark, sf))
     seeds = pages.select(F.col("url").alias("seed"))
     depth = 1 if CRAWL_MAX_PAGES > 1 else 0  # "pages > 1 means depth 1"
-    return CR.crawl_depth(seeds, pages, D.host_addresses(pages), depth=depth, same_origin_only=False)
+    out = CR.crawl_depth(seeds, pages, D.host_addresses(pages), depth=depth, same_origin_only=False)
+    return out.withColumn("links", F.array_join("links", " "))
+
+
+def _crawl_results(spark, sf):
+    pages = D.linked_pages(_pages(spark, sf))
+    return CR.crawl_depth(pages.select(F.col("url").alias("seed")), pages, D.host_addresses(pages), depth=1, same_origin_only=True)
 
 
 @register("m10_combine_pages")
@@ -478,18 +564,13 @@ def m11_error_report(spark, sf):
 @register("m12_read_summary")
 def m12_read_summary(spark, sf):
     res = _crawl(spark, sf)
-    links = res.filter(F.col("status") == "ok").select(
-        "seed", F.explode(L.page_link_array(F.col("markdown"), F.col("request_url"))).alias("link")
-    )
-    return CB.read_summary(res, links)
+    links = F.when(F.col("status") == "ok", L.page_link_array(F.col("markdown"), F.col("request_url")))
+    return CB.read_summary(res.withColumn("links", links)).withColumn("links", F.array_join("links", " "))
 
 
 # ---------------------------------------------------------------------------
 # Cache table and exports over the flagship results
 # ---------------------------------------------------------------------------
-from ..sources import cache as CA  # noqa: E402
-from ..sources import export as EX  # noqa: E402
-
 _H8_SQL = f"({RP.read_pages_table_sql()})"
 _ENTRIES_SQL = (
     f"(SELECT sha256({U.normalize_url_sql('url')}) AS url_key, url, title, markdown, "
@@ -515,10 +596,26 @@ def s5_cache_entries(spark, sf):
 def s6_cache_lookup(spark, sf):
     variants = D.url_variants(_pages(spark, sf))
     entries = CA.latest_entries(_entries(spark, sf))
-    hits, misses = CA.cache_lookup(variants, entries, url="url")
-    return hits.select("page_id", "url", "ord", F.lit(True).alias("hit"), F.col("cached_title")).unionByName(
-        misses.select("page_id", "url", "ord", F.lit(False).alias("hit"), F.lit(None).cast("string").alias("cached_title"))
-    )
+    return CA.cache_lookup(variants, entries, url="url").select("page_id", "url", "ord", "hit", "cached_title")
+
+
+# Two writers, each with its own version, then a clear and a new put: the newer entry is
+# read, and after the clear only what was put later.
+@register("s5_cache_put_twice", f"SELECT url_key, url, 'second' AS title, n_bytes - coalesce(strlen(title), 0) + 6 AS n_bytes FROM {_ENTRIES_SQL}")
+def s5_cache_put_twice(spark, sf):
+    path, results = _scratch(spark, "cache"), RP.read_pages_table(spark, sf)
+    for title in ("zz first", "second"):
+        CA.cache_put(results.withColumn("title", F.lit(title)), path)
+    return CA.read_cache(spark, path).select("url_key", "url", "title", "n_bytes")
+
+
+@register("s8_cache_clear", f"SELECT url_key, url, n_bytes FROM {_ENTRIES_SQL} WHERE url LIKE 'https:%'")
+def s8_cache_clear(spark, sf):
+    path, results = _scratch(spark, "cache"), RP.read_pages_table(spark, sf)
+    CA.cache_put(results, path)
+    CA.cache_clear(spark, path)
+    CA.cache_put(results.filter(F.col("url").startswith("https:")), path)
+    return CA.read_cache(spark, path).select("url_key", "url", "n_bytes")
 
 
 @register(
@@ -551,6 +648,16 @@ def s11_export_both(spark, sf):
     return EX.export_both(RP.read_pages_table(spark, sf))
 
 
+@register("s9_export_json_crawl")
+def s9_export_json_crawl(spark, sf):
+    return EX.export_json(_crawl_results(spark, sf))
+
+
+@register("s11_export_both_crawl")
+def s11_export_both_crawl(spark, sf):
+    return EX.export_both(_crawl_results(spark, sf))
+
+
 # ---------------------------------------------------------------------------
 # Streaming: pages arrive as files; each URL processed once; cache filled per batch
 # ---------------------------------------------------------------------------
@@ -627,43 +734,51 @@ s2 AS (SELECT l2.seed, l2.ord, 2 AS level, l2.request_url, r2.url, r2.title, r2.
   FROM l2 JOIN r2 ON l2.request_url = r2.request_url),
 res AS (SELECT * FROM s0 UNION ALL SELECT * EXCLUDE (f1) FROM s1 UNION ALL SELECT * FROM s2),
 ab AS (SELECT seed, arg_min(error, ord) AS seed_error FROM res WHERE status = 'policy' GROUP BY seed)
-SELECT res.*, ab.seed_error FROM res LEFT JOIN ab USING (seed))"""
+SELECT res.*, CAST(NULL AS VARCHAR) AS seed_error FROM res ANTI JOIN ab USING (seed)
+UNION ALL SELECT seed, 1, 0, seed, seed, NULL, '', seed_error, 'policy', seed_error FROM ab)"""
 
 
 _C1_SQL = _crawl3_sql()
 ORACLE["c1_crawl_budget"] = f"SELECT * FROM {_C1_SQL}"
 _WITH_C1 = f"WITH c1 AS MATERIALIZED (SELECT * FROM {_C1_SQL}) "
 
-_COMBINE_SQL = f"""(SELECT seed, count(*) AS n_pages, string_agg(piece, chr(10) ORDER BY ord) AS markdown FROM (
-  SELECT seed, ord, CASE WHEN error IS NOT NULL THEN '<!-- Error fetching ' || url || ': ' || error || ' -->'
+_COMBINE_SQL = f"""(SELECT seed, count(*) FILTER (WHERE seed_error IS NULL) AS n_pages,
+  coalesce(string_agg(piece, chr(10) ORDER BY ord) FILTER (WHERE seed_error IS NULL), '') AS markdown FROM (
+  SELECT seed, ord, seed_error, CASE WHEN error IS NOT NULL THEN '<!-- Error fetching ' || url || ': ' || error || ' -->'
     ELSE CASE WHEN n > 1 AND ord > 1 THEN chr(10) || chr(10) || '---' || chr(10) || chr(10) ELSE '' END
       || '<!-- Source: ' || url || ' -->' || chr(10) || coalesce(markdown, '') END AS piece
   FROM (SELECT *, count(*) OVER (PARTITION BY seed) AS n FROM c1)) GROUP BY seed)"""
-_ERRORS_SQL = f"""(SELECT seed, CASE WHEN count(*) FILTER (WHERE error IS NOT NULL) > 0 THEN '{CB.ERRORS_PREFIX}' ||
+_ERRORS_SQL = f"""(SELECT seed, CASE WHEN max(seed_error) IS NOT NULL THEN max(seed_error) WHEN count(*) FILTER (WHERE error IS NOT NULL) > 0 THEN '{CB.ERRORS_PREFIX}' ||
   string_agg(url, ', ' ORDER BY ord) FILTER (WHERE error IS NOT NULL) END AS error FROM c1 GROUP BY seed)"""
 
 ORACLE["m10_combine_pages"] = f"{_WITH_C1}SELECT seed, n_pages, markdown FROM {_COMBINE_SQL}"
 ORACLE["m11_error_report"] = f"{_WITH_C1}SELECT seed, error FROM {_ERRORS_SQL}"
 ORACLE["s10_export_markdown"] = f"{_WITH_C1}SELECT seed, markdown AS text FROM {_COMBINE_SQL}"
-ORACLE["m12_read_summary"] = f"""{_WITH_C1}SELECT c.seed, CASE WHEN a.seed_error IS NULL THEN f.title END AS title, coalesce(k.n_links, 0) AS n_links,
-  CASE WHEN coalesce(a.seed_error, e.error) IS NOT NULL AND (CASE WHEN a.seed_error IS NOT NULL THEN '' ELSE c.markdown END) <> ''
-       THEN c.markdown || chr(10) || chr(10) || '---' || chr(10) || '*Note: ' || coalesce(a.seed_error, e.error) || '*'
-       WHEN coalesce(a.seed_error, e.error) IS NOT NULL THEN NULL
-       ELSE (CASE WHEN a.seed_error IS NOT NULL THEN '' ELSE c.markdown END) END AS text,
-  coalesce(a.seed_error, e.error) AS error,
-  coalesce(a.seed_error, e.error) IS NOT NULL AND (CASE WHEN a.seed_error IS NOT NULL THEN '' ELSE c.markdown END) = '' AS failed
+ORACLE["m12_read_summary"] = f"""{_WITH_C1}SELECT c.seed, f.title, array_to_string(coalesce(k.links, []), ' ') AS links, len(coalesce(k.links, [])) AS n_links,
+  CASE WHEN e.error IS NOT NULL AND c.markdown <> '' THEN c.markdown || chr(10) || chr(10) || '---' || chr(10) || '*Note: ' || e.error || '*'
+       WHEN e.error IS NOT NULL THEN NULL ELSE c.markdown END AS text,
+  e.error, e.error IS NOT NULL AND c.markdown = '' AS failed
 FROM {_COMBINE_SQL} c JOIN {_ERRORS_SQL} e USING (seed)
-JOIN (SELECT seed, arg_min(title, ord) AS title FROM c1 GROUP BY seed) f USING (seed)
-JOIN (SELECT seed, max(seed_error) AS seed_error FROM c1 GROUP BY seed) a USING (seed)
-LEFT JOIN (SELECT seed, sum(len({_links_sql('markdown', 'request_url')})) AS n_links FROM c1 WHERE status = 'ok' GROUP BY seed) k USING (seed)"""
+JOIN (SELECT seed, max(title) FILTER (WHERE ord = 1) AS title FROM c1 GROUP BY seed) f USING (seed)
+LEFT JOIN (SELECT seed, flatten(list({_links_sql('markdown', 'request_url')} ORDER BY ord)) AS links FROM c1 WHERE status = 'ok' GROUP BY seed) k USING (seed)"""
 
 
 # Oracle for the redirect chains: a recursive CTE over a precomputed step table.
-def _redirects_sql() -> str:
+def _redirects_sql(canonical: bool = False) -> str:
+    """``canonical``: requests, hops and locations by canonical URL, the first request of each."""
+    key = (lambda e: f"coalesce({U.normalize_url_sql(e)}, {e})") if canonical else (lambda e: e)
     hops = D.hops_sql()
+    starts = "pages"
+    if canonical:
+        hops = (
+            f"(SELECT url, r.status AS status, r.location AS location, r.content_type AS content_type FROM (SELECT url, min(struct_pack("
+            f"status := status, location := location, content_type := content_type)) AS r FROM (SELECT {key('url')} AS url, status, location, content_type "
+            f"FROM {hops}) GROUP BY url))"
+        )
+        starts = f"(SELECT {key('url')} AS url, min(page_id) AS page_id FROM pages GROUP BY ALL)"
     nodes = (
-        f"(SELECT DISTINCT url FROM (SELECT url FROM pages UNION ALL SELECT url FROM {hops} UNION ALL "
-        f"SELECT {U.resolve_url_sql('location', 'url', keep_absolute_raw=False)} FROM {hops} "
+        f"(SELECT DISTINCT url FROM (SELECT url FROM {starts} UNION ALL SELECT url FROM {hops} UNION ALL "
+        f"SELECT {key(U.resolve_url_sql('location', 'url', keep_absolute_raw=False))} FROM {hops} "
         f"WHERE status >= 300 AND status < 400 AND location IS NOT NULL AND location <> '') WHERE url IS NOT NULL)"
     )
     ha = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.host_addresses_sql()})"
@@ -683,13 +798,13 @@ def _redirects_sql() -> str:
     step = (
         f"(SELECT j.url AS cur, CASE WHEN j.policy IS NOT NULL OR h.url IS NULL THEN 'error' ELSE {kind} END AS kind, "
         f"coalesce(j.policy, CASE WHEN h.url IS NULL THEN 'No capture for ' || j.url END, {herr}) AS error, "
-        f"CASE WHEN {kind} = 'redirect' THEN {U.resolve_url_sql('h.location', 'h.url', keep_absolute_raw=False)} END AS nxt "
+        f"CASE WHEN {kind} = 'redirect' THEN {key(U.resolve_url_sql('h.location', 'h.url', keep_absolute_raw=False))} END AS nxt "
         f"FROM {judged} j LEFT JOIN {hops} h ON j.url = h.url)"
     )
     mx = CR.MAX_REDIRECTS
     return f"""WITH RECURSIVE st AS MATERIALIZED {step},
 chain(ord, request_url, cur, n_hops, kind, error, nxt) AS (
-  SELECT p.page_id, p.url, p.url, 0, s.kind, s.error, s.nxt FROM pages p LEFT JOIN st s ON s.cur = p.url
+  SELECT p.page_id, p.url, p.url, 0, s.kind, s.error, s.nxt FROM {starts} p LEFT JOIN st s ON s.cur = p.url
   UNION ALL
   SELECT c.ord, c.request_url, c.nxt, c.n_hops + 1, s.kind, s.error, s.nxt
   FROM chain c LEFT JOIN st s ON s.cur = c.nxt WHERE c.kind = 'redirect' AND c.n_hops < {mx + 1})
@@ -705,7 +820,8 @@ ORACLE["s3_resolve_redirects"] = _redirects_sql()
 # Oracle for the depth-1 crawl: seed, then its page's DOM links (canonical keys, first
 # discovery, links before the first unsafe one), the seed turned into an error row
 # when one of its new links fails the policy.
-def _crawl_depth1_sql() -> str:
+def _crawl_depth1_sql(same_origin: bool = False) -> str:
+    """With ``links`` as a list; null for pages that weren't read."""
     lp = D.linked_pages_sql()
     key = lambda e: f"coalesce({U.normalize_url_sql(e)}, {e})"
     r = lambda req: RP.read_pages_sql(req, lp, dedupe=False)
@@ -714,24 +830,27 @@ def _crawl_depth1_sql() -> str:
         f"ORDER BY page_id) AS rn FROM {lp}) WHERE rn = 1)"
     )
     dom = (
-        f"{_distinct_in_order(f'list_filter(list_transform(regexp_extract_all(_ch, {sql_str(L.HREF_RE)}, 1), lambda h: '
-                               f'{U.resolve_url_sql("h", "_cu", keep_absolute_raw=False)}), lambda t: t IS NOT NULL AND regexp_matches(t, {sql_str("^https?://")}))')}"
+        _distinct_in_order(
+            f"list_filter(list_transform({L.href_array_sql('_ch')}, lambda h: {U.resolve_url_sql('h', '_cu', keep_absolute_raw=False)}), "
+            f"lambda t: t IS NOT NULL AND regexp_matches(t, '^https?://'))"
+        )
     )
     ha = f"(WITH {D.host_keys_cte()} SELECT * FROM {D.host_addresses_sql()})"
+    same = f" AND {U.url_origin_sql('link')} = {U.url_origin_sql('page')}" if same_origin else ""
     return f"""(WITH seeds AS (SELECT url AS seed, {key('url')} AS request_url FROM {lp}),
 r0 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM seeds)")}),
 l0 AS (SELECT s.seed, s.request_url, r0.url, r0.title, r0.markdown, r0.error, r0.status,
          CASE WHEN r0.status = 'ok' THEN {dom} END AS links
        FROM seeds s JOIN r0 ON r0.request_url = s.request_url LEFT JOIN {caps} c ON r0.status = 'ok' AND c._cu = r0.url),
-e AS (SELECT seed, CAST(generate_subscripts(links, 1) - 1 AS BIGINT) AS pos, unnest(links) AS link, request_url AS seed_key FROM l0),
-e2 AS (SELECT seed, pos, {key('link')} AS request_url FROM e WHERE {key('link')} <> seed_key),
+e AS (SELECT seed, CAST(generate_subscripts(links, 1) - 1 AS BIGINT) AS pos, unnest(links) AS link, request_url AS seed_key, url AS page FROM l0),
+e2 AS (SELECT seed, pos, {key('link')} AS request_url FROM e WHERE {key('link')} <> seed_key{same}),
 pol AS (SELECT seed, pos, request_url, reason FROM {P.url_policy_sql("(SELECT seed, pos, request_url, request_url AS url FROM e2)", ha)}),
 bad AS (SELECT seed, min(pos) AS bad_pos, arg_min(reason, pos) AS bad_reason FROM pol WHERE reason IS NOT NULL GROUP BY seed),
 keep AS (SELECT p.seed, p.request_url, min(p.pos) AS pos FROM pol p LEFT JOIN bad b USING (seed)
          WHERE b.bad_pos IS NULL OR p.pos < b.bad_pos GROUP BY p.seed, p.request_url),
 l1 AS (SELECT seed, request_url, CAST(1 + row_number() OVER (PARTITION BY seed ORDER BY pos) AS BIGINT) AS ord FROM keep),
-r1 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM l1)")})
-SELECT l0.seed, CAST(1 AS BIGINT) AS ord, 0 AS level, l0.request_url,
+r1 AS ({r("(SELECT DISTINCT request_url AS url, CAST(0 AS BIGINT) AS ord FROM l1)")}),
+pg AS (SELECT l0.seed, CAST(1 AS BIGINT) AS ord, 0 AS level, l0.request_url,
   CASE WHEN b.bad_reason IS NOT NULL THEN l0.request_url ELSE l0.url END AS url,
   CASE WHEN b.bad_reason IS NULL THEN l0.title END AS title,
   CASE WHEN b.bad_reason IS NOT NULL THEN '' ELSE l0.markdown END AS markdown,
@@ -740,10 +859,11 @@ SELECT l0.seed, CAST(1 AS BIGINT) AS ord, 0 AS level, l0.request_url,
 FROM l0 LEFT JOIN bad b USING (seed)
 UNION ALL
 SELECT l1.seed, l1.ord, 1 AS level, l1.request_url, r1.url, r1.title, r1.markdown, r1.error, r1.status
-FROM l1 JOIN r1 ON r1.request_url = l1.request_url)"""
+FROM l1 JOIN r1 ON r1.request_url = l1.request_url)
+SELECT pg.*, CASE WHEN pg.status = 'ok' THEN {dom} END AS links FROM pg LEFT JOIN {caps} c ON pg.status = 'ok' AND c._cu = pg.url)"""
 
 
-ORACLE["c2_crawl_depth"] = f"SELECT * FROM {_crawl_depth1_sql()}"
+ORACLE["c2_crawl_depth"] = f"SELECT * REPLACE (array_to_string(links, ' ') AS links) FROM {_crawl_depth1_sql()}"
 
 
 def _json_field(name: str, first: bool) -> str:
@@ -755,6 +875,33 @@ ORACLE["s9_export_json"] = (
     f"SELECT ord, '{{\"url\":' || CAST(to_json(url) AS VARCHAR) || {_json_field('markdown', False)} || "
     f"{_json_field('title', False)} || {_json_field('error', False)} || '}}' AS json FROM {_H8_SQL}"
 )
+_C2_SAME = _crawl_depth1_sql(same_origin=True)
+ORACLE["s9_export_json_crawl"] = (
+    f"SELECT seed, ord, '{{\"url\":' || CAST(to_json(url) AS VARCHAR) || {_json_field('markdown', False)} || "
+    f"{_json_field('title', False)} || {_json_field('links', False)} || {_json_field('error', False)} || '}}' AS json FROM {_C2_SAME}"
+)
+ORACLE["s11_export_both_crawl"] = ORACLE["s11_export_both"].replace("SELECT ord,", "SELECT seed, ord,", 1).replace(_H8_SQL, _C2_SAME)
+
+# H8 over responses: the chains of S3 first, then the page that each one ends at.
+_END_SQL = RP.read_pages_sql("(SELECT final_url AS url, min(ord) AS ord FROM ends WHERE final_url IS NOT NULL GROUP BY final_url)", _RESPONSES_SQL)
+_FIRST_SQL = f"(SELECT url_key, arg_min(url, page_id) AS url FROM (SELECT coalesce({U.normalize_url_sql('url')}, url) AS url_key, url, page_id FROM pages) GROUP BY url_key)"
+ORACLE["h8_read_responses"] = f"""WITH ends AS MATERIALIZED (SELECT * FROM ({_redirects_sql(canonical=True)})),
+pol AS (SELECT url_key, reason FROM {P.url_policy_sql('(SELECT url_key, url_key AS url FROM ' + _FIRST_SQL + ')', _HA_SQL)}),
+got AS (SELECT * FROM ({_END_SQL}))
+SELECT e.ord, f.url AS request_url, CASE WHEN e.final_url IS NULL THEN e.request_url ELSE g.url END AS url,
+  g.title, coalesce(g.markdown, '') AS markdown, coalesce(e.error, g.error) AS error,
+  CASE WHEN pol.reason IS NOT NULL THEN 'policy' WHEN e.final_url IS NULL THEN 'fetch' ELSE g.status END AS status
+FROM ends e JOIN {_FIRST_SQL} f ON f.url_key = e.request_url JOIN pol ON pol.url_key = e.request_url LEFT JOIN got g ON g.request_url = e.final_url"""
+ORACLE["h8_read_cached_robots"] = f"""WITH h8 AS MATERIALIZED {_H8_SQL},
+rb AS (SELECT page_id, robots_allowed FROM {CR.robots_filter_sql('(SELECT page_id, url FROM pages)', _ROBOTS_SQL, D.ROBOTS_AGENT)}),
+j AS (SELECT h.*, h.status <> 'policy' AND h.error IS NULL AND h.ord % 3 = 0 AS hit, NOT rb.robots_allowed AS blocked,
+        coalesce({U.normalize_url_sql('request_url')}, request_url) AS url_key FROM h8 h JOIN rb ON rb.page_id = h.ord)
+SELECT ord, request_url, CASE WHEN status = 'policy' THEN url WHEN hit OR blocked THEN url_key ELSE url END AS url,
+  CASE WHEN hit THEN title WHEN status <> 'policy' AND blocked THEN NULL ELSE title END AS title,
+  CASE WHEN hit THEN 'cached: ' || markdown WHEN status <> 'policy' AND blocked THEN '' ELSE markdown END AS markdown,
+  CASE WHEN hit THEN NULL WHEN status <> 'policy' AND blocked THEN '{RP.ROBOTS_ERROR}' ELSE error END AS error,
+  CASE WHEN hit THEN 'cached' WHEN status <> 'policy' AND blocked THEN 'robots' ELSE status END AS status
+FROM j"""
 _T1_SQL = (
     f"SELECT coalesce({U.normalize_url_sql('request_url')}, request_url) AS url_key, ord AS page_id, url, title, markdown, error, status "
     f"FROM ({RP.read_pages_table_sql()})"

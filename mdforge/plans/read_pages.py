@@ -2,15 +2,13 @@
 
 Order of the reference pipeline, re-expressed as relational steps:
 U2/U3 canonical key and dedupe -> U6 policy -> S6 cache lookup -> C3 robots ->
-S4 capture lookup (+ S2 response checks) -> H6 blank test -> H2 article -> H7
-limited pages -> H3 Markdown. Failures stay as rows with ``error`` set.
-
-Extraction (H2/H3/H6/H7, and H5 links when asked) is a pure function of a capture,
-so it runs on the captures **before** any shuffle: narrow, on the scan partitions,
-once per capture however many requests or crawl levels look it up. Only the
-extracted results (smaller than the HTML) move through the capture join. The
-request side carries URL-sized rows through the dedupe aggregate, the host-verdict
-join and the cache join.
+S3 redirects + S2 response checks -> S4 capture lookup -> H6 blank test -> H2 article
+-> H7 limited pages -> H3 Markdown. Failures stay as rows with ``error`` set.
+
+The request side is settled first, as URL-sized rows: what is refused, cached, blocked or
+redirected away never costs an extraction. Captures are reduced to the live keys on
+their URL and id columns, the first capture of a key is chosen there, and only the chosen
+rows' HTML is extracted.
 """
 
 from __future__ import annotations
@@ -22,140 +20,179 @@ from ..functions import urls as U
 from ..operators import extract as X
 from ..operators import policy as P
 from ..operators import urls as UO
-from ..sources.captures import classify_response, table
+from ..session import settle
+from ..sources.captures import table
 from . import derived as D
 
 RESULT_COLS = ("ord", "request_url", "url", "title", "markdown", "error", "status")
-CAPTURE_EXTRA = ("status", "content_type", "location")
+RESPONSE_COLS = ("status", "location", "content_type")
 ROBOTS_ERROR = "Blocked by robots.txt"
 NO_CAPTURE = "No capture for "
 
 
-def prepare_captures(captures: DataFrame, with_links: bool = False) -> DataFrame:
-    """Extract every capture, then keep one per canonical URL ``_cap_key`` (first by
-    ``page_id``). Output: ``_cap_key, final_url, gate_status, gate_title,
-    gate_markdown, gate_error`` (+ ``links``, + response columns when present).
+def canonical(url):
+    """Canonical key of a URL; a URL that has none stands for itself."""
+    return F.coalesce(U.normalize_url(url), url)
+
+
+def first_captures(captures: DataFrame, keys: DataFrame | None = None) -> DataFrame:
+    """(_cap_key, _cap_ord, url): the first capture (by ``page_id``) of every canonical
+    URL, of the live ``keys(_key)`` only if given. Reads URL and id columns."""
+    order = F.col("page_id") if "page_id" in captures.columns else F.lit(0).cast("long")
+    narrow = captures.select(canonical(F.col("url")).alias("_cap_key"), order.alias("_cap_ord"), "url")
+    if keys is not None:
+        narrow = narrow.join(keys, F.col("_cap_key") == F.col("_key"), "left_semi")
+    return narrow.groupBy("_cap_key").agg(F.min(F.struct("_cap_ord", "url")).alias("_c")).select("_cap_key", "_c.*")
 
-    The result is hash-partitioned by ``_cap_key`` (the dedupe aggregate); checkpoint it
-    when it is looked up repeatedly - the checkpoint keeps that partitioning, so each
-    later join shuffles only the small request side.
+
+def prepare_captures(captures: DataFrame, keys: DataFrame | None = None, with_links: bool = False) -> DataFrame:
+    """Extract the first capture of every canonical URL (of the live ``keys`` if given).
+
+    Output: ``_cap_key, final_url, gate_status, gate_title, gate_markdown, gate_error``
+    (+ ``links`` of the page DOM). Response columns of the captures play no part here.
     """
-    cap_cols = [c for c in CAPTURE_EXTRA if c in captures.columns]
-    base = captures.select(
-        "url", "html", *cap_cols,
-        (F.col("page_id") if "page_id" in captures.columns else F.lit(0)).alias("_cap_ord"),
-    )
-    gated = X.content_gate(base, html="html", url="url")
-    out = gated.select(
-        F.coalesce(U.normalize_url(F.col("url")), F.col("url")).alias("_cap_key"),
-        "_cap_ord",
+    order = F.col("page_id") if "page_id" in captures.columns else F.lit(0).cast("long")
+    chosen = first_captures(captures, keys).withColumnsRenamed({"url": "_url", "_cap_ord": "_ord"})
+    rows = captures.select("url", "html", order.alias("_cap_ord"))
+    rows = rows.join(chosen, (F.col("url") == F.col("_url")) & (F.col("_cap_ord") == F.col("_ord")))
+    gated = X.content_gate(rows.select("_cap_key", "url", "html"), html="html", url="url")
+    from ..operators.links import dom_link_array
+
+    return gated.select(
+        "_cap_key",
         F.col("url").alias("final_url"),
         F.col("status").alias("gate_status"),
         F.col("title").alias("gate_title"),
         F.col("markdown").alias("gate_markdown"),
         F.col("error").alias("gate_error"),
-        *[F.col(c).alias("resp_" + c) for c in cap_cols],
-        *([F.when(F.col("status") == "ok", _dom_links(F.col("html"), F.col("url"))).alias("links")] if with_links else []),
+        *([F.when(F.col("status") == "ok", dom_link_array(F.col("html"), F.col("url"))).alias("links")] if with_links else []),
     )
-    return UO.dedupe_urls(out, key="_cap_key", order="_cap_ord").drop("_cap_ord")
 
 
-def _dom_links(html, url):
-    from ..operators.links import dom_link_array
+def response_hops(captures: DataFrame) -> DataFrame | None:
+    """The captures' responses as hops, if they carry a ``status`` column."""
+    if "status" not in captures.columns:
+        return None
+    none = F.lit(None).cast("string")
+    return captures.select("url", "status", *[F.col(c) if c in captures.columns else none.alias(c) for c in RESPONSE_COLS[1:]])
 
-    return dom_link_array(html, url)
 
-
-def read_pages(
+def decide(
     requests: DataFrame,
-    captures: DataFrame,
     host_addresses: DataFrame,
     cache: DataFrame | None = None,
     robots_rules: DataFrame | None = None,
     user_agent: str = "*",
-    with_links: bool = False,
+    hops: DataFrame | None = None,
     dedupe: bool = True,
     host_verdicts: DataFrame | None = None,
 ) -> DataFrame:
-    """``requests(url, ord)``; ``captures(url, html[, page_id, status, content_type, location])``
-    or the output of ``prepare_captures``.
-
-    Returns ``(ord, request_url, url, title, markdown, error, status)`` (+ ``links`` of
-    the page DOM when ``with_links``); ``url`` is the canonical request URL for early
-    failures and cache hits, else the captured URL.
+    """What becomes of each request before any page is read, as narrow rows:
+    ``(ord, request_url, url_key, decision, decision_error, lookup_key)``.
 
-    One linear plan: each stage only sets columns, and later joins carry a condition
-    that skips rows already decided, so no branch is evaluated twice.
+    ``decision``: policy, cached, robots, fetch (a failed redirect chain or response), or
+    null: the capture of ``lookup_key`` is to be read.
     """
-    req = requests.select(F.col("url").alias("request_url"), "ord")
-    keyed = req.withColumn("url_key", F.coalesce(U.normalize_url(F.col("request_url")), F.col("request_url")))
+    req = requests.select(F.col("url").alias("request_url"), "ord").withColumn("url_key", canonical(F.col("request_url")))
     # With ``dedupe=False`` every request row is processed (callers pass distinct
     # request URLs, e.g. a crawl level where "/a" and "/a#x" are separate visits).
-    uniq = UO.dedupe_urls(keyed, key="url_key", order="ord") if dedupe else keyed
-
+    uniq = UO.dedupe_urls(req, key="url_key", order="ord") if dedupe else req
     df = P.url_policy(uniq.withColumn("url", F.col("url_key")), host_addresses, url="url", host_verdicts=host_verdicts)
-    df = df.select("ord", "request_url", "url_key", "allowed", F.col("reason").alias("_policy_error"))
-    live = F.col("allowed")
-
+    df = df.select("ord", "request_url", "url_key", F.when(~F.col("allowed"), F.lit("policy")).alias("decision"), F.col("reason").alias("decision_error"))
+    live = F.col("decision").isNull()
     if cache is not None:
-        entries = cache.select(
-            F.col("url_key").alias("_ck"), F.col("title").alias("_cached_title"), F.col("markdown").alias("_cached_md")
-        )
-        df = df.withColumn("_ckey", F.sha2(F.col("url_key"), 256))
-        df = df.join(entries, live & (F.col("_ckey") == F.col("_ck")), "left").drop("_ck", "_ckey")
-        live = live & F.col("_cached_md").isNull()
-
+        entries = cache.filter(F.col("markdown").isNotNull()).select(F.col("url_key").alias("_ck"))
+        df = df.withColumn("_ckey", F.sha2(F.col("url_key"), 256)).join(entries, live & (F.col("_ckey") == F.col("_ck")), "left")
+        df = df.withColumn("decision", F.when(F.col("_ck").isNotNull(), F.lit("cached")).otherwise(F.col("decision"))).drop("_ck", "_ckey")
     if robots_rules is not None:
         from ..operators.crawl import robots_filter
 
         df = robots_filter(df, robots_rules, user_agent=user_agent, url="url_key", only_where=live)
-        live = live & F.coalesce(F.col("robots_allowed"), F.lit(True))
-
-    # Join the extracted captures by canonical URL.
-    cap = captures if "_cap_key" in captures.columns else prepare_captures(captures, with_links=with_links)
-    resp_cols = [c for c in CAPTURE_EXTRA if "resp_" + c in cap.columns]
-    df = df.join(cap, live & (F.col("url_key") == F.col("_cap_key")), "left")
-
-    missing = F.col("_cap_key").isNull()
-    fetch_error = F.when(missing, F.concat(F.lit(NO_CAPTURE), F.col("url_key")))
-    if resp_cols:
-        resp = classify_response(
-            F.col("final_url"),
-            F.col("resp_status") if "status" in resp_cols else F.lit(200),
-            F.col("resp_location") if "location" in resp_cols else F.lit(None).cast("string"),
-            F.col("resp_content_type") if "content_type" in resp_cols else F.lit(None).cast("string"),
-        )
-        fetch_error = F.coalesce(fetch_error, resp["error"])
-    df = df.withColumn("_fetch_error", F.when(live, fetch_error))
-    fetched = live & F.col("_fetch_error").isNull()
+        blocked = live & ~F.coalesce(F.col("robots_allowed"), F.lit(True))
+        df = df.withColumn("decision_error", F.when(blocked, F.lit(ROBOTS_ERROR)).otherwise(F.col("decision_error")))
+        df = df.withColumn("decision", F.when(blocked, F.lit("robots")).otherwise(F.col("decision")))
+    if hops is None:
+        return df.select("ord", "request_url", "url_key", "decision", "decision_error", F.when(live, F.col("url_key")).alias("lookup_key"))
+    from ..operators.crawl import resolve_redirects
+
+    df = settle(df.select("ord", "request_url", "url_key", "decision", "decision_error"), "decided")
+    start = df.filter(live).select(F.col("url_key").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
+    responses = hops.withColumn("url", canonical(F.col("url")))
+    ends = resolve_redirects(start, responses, host_addresses, key=canonical)
+    ends = ends.select(F.col("request_url").alias("_start"), "final_url", F.col("error").alias("_chain_error"))
+    df = df.join(ends, live & (F.col("url_key") == F.col("_start")), "left")
+    failed = live & F.col("_chain_error").isNotNull()
+    return df.select(
+        "ord", "request_url", "url_key",
+        F.when(failed, F.lit("fetch")).otherwise(F.col("decision")).alias("decision"),
+        F.when(failed, F.col("_chain_error")).otherwise(F.col("decision_error")).alias("decision_error"),
+        F.when(live & ~failed, F.col("final_url")).alias("lookup_key"),
+    )
 
-    stage = F.when(~F.col("allowed"), F.lit("policy"))
-    if cache is not None:
-        stage = stage.when(F.col("_cached_md").isNotNull(), F.lit("cached"))
-    if robots_rules is not None:
-        stage = stage.when(~F.coalesce(F.col("robots_allowed"), F.lit(True)), F.lit("robots"))
-    stage = stage.when(~fetched, F.lit("fetch")).otherwise(F.col("gate_status"))
-    out = df.withColumn("stage", stage)
-    st = F.col("stage")
-    decided = st.isin("policy", "robots", "fetch")
-    cached_title = F.col("_cached_title") if cache is not None else F.lit(None).cast("string")
-    cached_md = F.col("_cached_md") if cache is not None else F.lit(None).cast("string")
-    out = out.select(
-        "ord",
-        "request_url",
-        F.when(decided | (st == "cached"), F.col("url_key")).otherwise(F.col("final_url")).alias("url"),
-        F.when(st == "cached", cached_title).when(decided, F.lit(None).cast("string")).otherwise(F.col("gate_title")).alias("title"),
-        F.when(st == "cached", cached_md).when(decided, F.lit("")).otherwise(F.col("gate_markdown")).alias("markdown"),
-        F.when(st == "policy", F.col("_policy_error"))
-        .when(st == "robots", F.lit(ROBOTS_ERROR))
-        .when(st == "fetch", F.col("_fetch_error"))
-        .when(st == "cached", F.lit(None).cast("string"))
-        .otherwise(F.col("gate_error"))
-        .alias("error"),
-        st.alias("status"),
-        *([F.when(st == "ok", F.col("links")).alias("links")] if with_links else []),
+
+def outcomes(decided: DataFrame, pages: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
+    """Decisions joined to extracted ``pages``: ``(ord, request_url, url_key, url, title,
+    error, status)`` and the ``extra`` columns of pages that were read (null elsewhere).
+
+    ``url`` is the canonical request URL for early failures and cache hits, else the
+    captured URL."""
+    df = decided.join(pages, F.col("lookup_key") == F.col("_cap_key"), "left")
+    missing = F.col("decision").isNull() & F.col("_cap_key").isNull()
+    status = F.coalesce(F.col("decision"), F.when(missing, F.lit("fetch")), F.col("gate_status"))
+    read = F.col("decision").isNull() & ~missing
+    return df.select(
+        "ord", "request_url", "url_key",
+        F.when(read, F.col("final_url")).otherwise(F.col("url_key")).alias("url"),
+        F.when(read, F.col("gate_title")).alias("title"),
+        F.when(read, F.col("gate_error")).when(missing, F.concat(F.lit(NO_CAPTURE), F.col("lookup_key"))).otherwise(F.col("decision_error")).alias("error"),
+        status.alias("status"),
+        *[F.when(read, F.col(c)).alias(c) for c in extra],
     )
-    return UO.barrier(out)
+
+
+def with_cached(results: DataFrame, cache: DataFrame | None) -> DataFrame:
+    """Title and Markdown of cache hits; failed requests have an empty Markdown."""
+    if cache is None:
+        return results.withColumn("markdown", F.coalesce("markdown", F.lit("")))
+    entries = cache.select(F.col("url_key").alias("_ck"), F.col("title").alias("_cached_title"), F.col("markdown").alias("_cached_md"))
+    hit = F.col("status") == "cached"
+    out = results.join(entries, hit & (F.sha2(F.col("url_key"), 256) == F.col("_ck")), "left")
+    out = out.withColumn("title", F.when(hit, F.col("_cached_title")).otherwise(F.col("title")))
+    out = out.withColumn("markdown", F.coalesce(F.when(hit, F.col("_cached_md")).otherwise(F.col("markdown")), F.lit("")))
+    return out.drop("_ck", "_cached_title", "_cached_md")
+
+
+def read_pages(
+    requests: DataFrame,
+    captures: DataFrame,
+    host_addresses: DataFrame,
+    cache: DataFrame | None = None,
+    robots_rules: DataFrame | None = None,
+    user_agent: str = "*",
+    with_links: bool = False,
+    dedupe: bool = True,
+    host_verdicts: DataFrame | None = None,
+    hops: DataFrame | None = None,
+) -> DataFrame:
+    """``requests(url, ord)``; ``captures(url, html[, page_id, status, location,
+    content_type])`` or the output of ``prepare_captures``; ``hops(url, status, location,
+    content_type)``: responses to follow, by default those of the captures.
+
+    Returns ``(ord, request_url, url, title, markdown, error, status)`` (+ ``links`` of
+    the page DOM when ``with_links``).
+    """
+    prepared = "_cap_key" in captures.columns
+    if hops is None and not prepared:
+        hops = response_hops(captures)
+    decided = settle(decide(requests, host_addresses, cache, robots_rules, user_agent, hops, dedupe, host_verdicts), "decided")
+    if prepared:
+        pages = captures
+    else:
+        keys = decided.filter(F.col("lookup_key").isNotNull()).select(F.col("lookup_key").alias("_key")).distinct()
+        pages = prepare_captures(captures, keys, with_links)
+    out = outcomes(decided, pages, ("gate_markdown", *(["links"] if with_links else [])))
+    out = with_cached(out.withColumnRenamed("gate_markdown", "markdown"), cache)
+    return out.select(*RESULT_COLS, *(["links"] if with_links else []))
 
 
 def read_pages_table(spark: SparkSession, sf_dir: str) -> DataFrame:

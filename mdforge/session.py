@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Defaults for a session this package creates itself (tests, bench). On a cluster the
 # job is handed an existing session and these are not applied.
@@ -17,6 +18,8 @@ LOCAL_CONF = {
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Extraction after a join is CPU-heavy per byte: keep its partitions small.
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k",
     # Pages are wide rows: size scan splits by bytes, not rows.
     "spark.sql.files.maxPartitionBytes": str(64 * 1024 * 1024),
 }
@@ -53,3 +56,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(current)
     return spark.sparkContext.getCheckpointDir() or current
+
+
+def settle(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet into the shared folder and read it back.
+
+    Cuts the lineage (a lost executor recomputes nothing before it), and what is used
+    several times is computed once.
+    """
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

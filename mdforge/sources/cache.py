@@ -49,18 +49,34 @@ def cache_entries(results: DataFrame, batch: int = 0) -> DataFrame:
     )
 
 
-def cache_put(results: DataFrame, path: str, batch: int = 0) -> None:
-    """Append this batch's entries (latest ``written_at`` wins on read)."""
+def next_version(spark: SparkSession, path: str) -> int:
+    """One more than the largest version in the table: grows over writers and runs.
+
+    Only the ``written_at`` column is read. Of puts that run at the same time and get one
+    version, the greater title and Markdown win (a fixed rule for ties).
+    """
+    top = _raw(spark, path).agg(F.max("written_at").alias("v")).first()["v"]
+    return 1 if top is None else int(top) + 1
+
+
+def cache_put(results: DataFrame, path: str, batch: int | None = None) -> None:
+    """Append this batch's entries; the latest version wins on read. A put without a
+    number of its own gets the next version of the table."""
+    if batch is None:
+        batch = next_version(results.sparkSession, path)
     cache_entries(results, batch).write.mode("append").partitionBy("key_prefix").parquet(path)
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Latest entry per key; an absent cache reads as empty."""
+def _raw(spark: SparkSession, path: str) -> DataFrame:
     try:
-        raw = spark.read.schema(CACHE_SCHEMA).parquet(path)
+        return spark.read.schema(CACHE_SCHEMA).parquet(path)
     except AnalysisException:
-        raw = spark.createDataFrame([], CACHE_SCHEMA)
-    return latest_entries(raw)
+        return spark.createDataFrame([], CACHE_SCHEMA)
+
+
+def read_cache(spark: SparkSession, path: str) -> DataFrame:
+    """Latest entry per key; an absent cache reads as empty."""
+    return latest_entries(_raw(spark, path))
 
 
 def latest_entries(raw: DataFrame) -> DataFrame:
@@ -69,14 +85,14 @@ def latest_entries(raw: DataFrame) -> DataFrame:
     return best.select("url_key", *[F.col("_e." + c).alias(c) for c in ["written_at", *cols]])
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame, url: str = "url") -> tuple[DataFrame, DataFrame]:
-    """(hits, misses) by the canonical **request** URL. Hits carry markdown and
-    title and no links; misses go on to robots and fetch."""
+def cache_lookup(requests: DataFrame, cache: DataFrame, url: str = "url") -> DataFrame:
+    """Every request with ``hit``, ``cached_title`` and ``cached_markdown`` (null for
+    a miss) by its canonical **request** URL, in one join. Hits carry no links; misses go
+    on to robots and fetch."""
     req = requests.withColumn("url_key", cache_key(F.col(url)))
-    entries = cache.select("url_key", F.col("title").alias("cached_title"), F.col("markdown").alias("cached_markdown"))
-    hits = req.join(entries, "url_key", "inner")
-    misses = req.join(entries.select("url_key"), "url_key", "left_anti")
-    return hits, misses
+    entries = cache.select(F.col("url_key").alias("_ck"), F.col("title").alias("cached_title"), F.col("markdown").alias("cached_markdown"))
+    out = req.join(entries, F.col("url_key") == F.col("_ck"), "left")
+    return out.withColumn("hit", F.col("_ck").isNotNull()).drop("_ck")
 
 
 def cache_status(cache: DataFrame) -> DataFrame:

@@ -60,9 +60,13 @@ def run_to_table(stream: DataFrame, out_path: str, checkpoint: str) -> None:
 
 
 def stream_cache_put(stream: DataFrame, cache_path: str, checkpoint: str) -> None:
-    """Every micro-batch's fully extracted pages appended to the cache table."""
+    """Every micro-batch's fully extracted pages appended to the cache table.
+
+    A batch gets the next version of the table, not its epoch, which starts anew with
+    every checkpoint; a batch that is repeated is only written again.
+    """
     def put(batch: DataFrame, epoch: int) -> None:
-        C.cache_put(batch, cache_path, batch=epoch)
+        C.cache_put(batch, cache_path)
 
     q = stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()

@@ -53,8 +53,10 @@ def test_cache_round_trip(spark):
     st = CA.cache_status(cache).first()
     assert st.cache_files == 1 and st.cache_size == len("new") + len("T2") and st.cache_size_formatted == "0.00 MB"
     req = spark.createDataFrame([("http://a/1",), ("http://a/9",)], "url string")
-    hits, misses = CA.cache_lookup(req, cache)
-    assert [r.url for r in hits.collect()] == ["http://a/1"] and [r.url for r in misses.collect()] == ["http://a/9"]
+    found = {r.url: (r.hit, r.cached_markdown) for r in CA.cache_lookup(req, cache).collect()}
+    assert found == {"http://a/1": (True, "new"), "http://a/9": (False, None)}
+    CA.cache_put(r0.withColumn("title", F.lit("A")), path)  # a put without a number is the newest
+    assert CA.read_cache(spark, path).first().markdown == "old"
     out = CA.cache_clear(spark, path).first()
     assert out.status == "success" and CA.read_cache(spark, path).count() == 0
     missing = CA.read_cache(spark, path + "-absent")

@@ -1,10 +1,10 @@
-"""Loops checked against a plain-Python queue on a small site."""
+"""Crawls of a small site against the visits written down by hand."""
 
 import pytest
 from pyspark.sql import functions as F
 
+from mdforge.operators import combine as CB
 from mdforge.operators import crawl as CR
-from mdforge.operators import links as L
 from mdforge.plans.read_pages import read_pages
 from mdforge.sources.captures import classify_responses
 
@@ -36,50 +36,64 @@ def site(spark):
     return caps, ha
 
 
-def python_crawl(results, seed, max_pages, same_origin):
-    """The reference's queue loop over precomputed per-URL results and links."""
-    from mdforge.functions import urls  # noqa: F401  (origin rule restated below)
-
-    def origin(u):
-        return u.split("/")[0] + "//" + u.split("/")[2] if u.startswith("http") else None
-
-    visited, queue, out = set(), [seed], []
-    while queue and len(out) < max_pages:
-        cur = queue.pop(0)
-        if cur in visited:
-            continue
-        visited.add(cur)
-        res = results[cur]
-        if res["status"] == "policy":
-            return [("ABORT", res["error"])]
-        out.append(cur)
-        if len(out) < max_pages and res["markdown"]:
-            for link in res["links"]:
-                if same_origin and origin(link) != origin(cur):
-                    continue
-                if link not in visited and link not in queue:
-                    queue.append(link)
-    return out
-
-
-def test_crawl_budget_matches_queue(spark, site):
+A, B, C, D, E, X = ("http://s.com/a", "http://s.com/b", "http://s.com/c", "http://s.com/d", "http://s.com/e", "http://other.com/x")
+
+
+@pytest.mark.parametrize(
+    ("seed", "max_pages", "same", "pages"),
+    [
+        (A, 3, True, [A, B, C]),  # the link to another origin is passed over
+        (A, 5, False, [A, B, C, X, D]),  # b's links after a's, c's d is known by then
+        (C, 10, True, [C, D, "http://s.com/e#frag", E, "http://s.com/bad"]),  # visited by spelling
+        (A, 1, True, [A]),
+        ("http://s.com/empty", 3, True, ["http://s.com/empty"]),
+    ],
+)
+def test_crawl_budget_visits_in_order(spark, site, seed, max_pages, same, pages):
+    caps, ha = site
+    seeds = spark.createDataFrame([(seed,), (seed,)], "seed string")  # a repeated seed is one read
+    got = CR.crawl_budget(seeds, caps, ha, max_pages=max_pages, same_origin_only=same).orderBy("ord").collect()
+    assert [r.request_url for r in got] == pages and [r.ord for r in got] == list(range(1, len(pages) + 1))
+    assert all(r.seed_error is None for r in got)
+
+
+def test_refused_page_aborts_the_read(spark, site):
     caps, ha = site
-    urls = list(SITE) + ["http://s.com/e#frag", "http://127.0.0.1/", "http://s.com/x-missing"]
-    req = spark.createDataFrame([(u, i) for i, u in enumerate(urls)], "url string, ord long")
-    per = read_pages(req, caps, ha, dedupe=False)
-    per = per.withColumn("links", L.page_link_array(F.col("markdown"), F.col("request_url")))
-    results = {r.request_url: r.asDict() for r in per.collect()}
-    for seed, max_pages, same in (("http://s.com/a", 3, True), ("http://s.com/a", 10, False), ("http://s.com/c", 10, True),
-                                  ("http://s.com/a", 1, True)):
-        if True:
-            seeds = spark.createDataFrame([(seed,)], "seed string")
-            got = CR.crawl_budget(seeds, caps, ha, max_pages=max_pages, same_origin_only=same).orderBy("ord").collect()
-            exp = python_crawl(results, seed, max_pages, same)
-            if exp and exp[0][0] == "ABORT":
-                assert got and all(r.seed_error == exp[0][1] for r in got)
-            else:
-                assert [r.request_url for r in got] == exp, (seed, max_pages, same)
-                assert all(r.seed_error is None for r in got)
+    seeds = spark.createDataFrame([(A,), (B,)], "seed string")
+    got = CR.crawl_budget(seeds, caps, ha, max_pages=10, same_origin_only=False)
+    rows = [r for r in got.collect() if r.seed == A]
+    message = "IP address is not allowed: 127.0.0.1"
+    assert [(r.ord, r.markdown, r.error, r.seed_error, r.title) for r in rows] == [(1, "", message, message, None)]
+    one = {r.seed: r for r in CB.read_summary(got).collect()}[A]
+    assert one.text is None and one.error == message and one.failed and one.links == []
+    assert {r.seed: r.markdown for r in CB.combine_pages(got).collect()}[A] == ""
+    assert {r.seed: r.error for r in CB.error_report(got).collect()}[A] == message
+
+
+def test_responses_are_followed_before_pages_are_read(spark, site):
+    _, ha = site
+    body = page([])
+    caps = spark.createDataFrame(
+        [(1, "http://s.com/old", 301, "/new", None, body), (2, "http://s.com/new", 200, None, "text/html", body), (3, "http://s.com/gone", 404, None, None, body),
+         (4, "http://s.com/out", 302, "http://127.0.0.1/", None, body), (5, "http://s.com/nowhere", 302, "/missing", None, body)],
+        "page_id long, url string, status int, location string, content_type string, html string",
+    )
+    req = caps.select("url", F.col("page_id").alias("ord"))
+    got = {r.ord: (r.url, r.status, r.error) for r in read_pages(req, caps, ha).collect()}
+    assert got[1] == ("http://s.com/new", "ok", None) and got[2] == ("http://s.com/new", "ok", None)
+    assert got[3] == ("http://s.com/gone", "fetch", "HTTP 404 for http://s.com/gone")
+    assert got[4] == ("http://s.com/out", "fetch", "IP address is not allowed: 127.0.0.1")
+    assert got[5] == ("http://s.com/nowhere", "fetch", "No capture for http://s.com/missing")
+
+
+def test_joined_pages_keep_their_own_titles(spark):
+    from mdforge.operators import extract as X
+
+    a = spark.createDataFrame([(1, "<title>A</title>")], "id long, html string").alias("a")
+    b = spark.createDataFrame([(1, "<title>B</title>")], "id long, html string").alias("b")
+    both = a.join(b, F.col("a.id") == F.col("b.id"))
+    got = X.page_metadata(X.page_metadata(both, "a.html").withColumnRenamed("title", "ta"), "b.html").first()
+    assert (got.ta, got.title) == ("A", "B")
 
 
 def test_crawl_depth(spark, site):
@@ -123,10 +137,11 @@ def test_robots_and_schedule(spark):
     assert sched["http://t.com/a.pdf"] == 0
 
 
-def test_rank_within_spans_buckets(spark):
-    df = spark.createDataFrame([("k", i * 7) for i in range(40)] + [("j", 3)], "key string, o long")
-    got = {(r.key, r.o): r.rank for r in CR.rank_within(df, "key", "o", bucket=10).collect()}
-    assert [got[("k", i * 7)] for i in range(40)] == list(range(1, 41)) and got[("j", 3)] == 1
+def test_rank_within_spans_partitions(spark):
+    rows = [("k", i // 3, i % 3 * (1 << 40)) for i in range(120)] + [("j", 3, 0)]
+    df = spark.createDataFrame(rows, "key string, a long, b long").repartition(5)
+    got = {(r.key, r.a, r.b): r["rank"] for r in CR.rank_within(df, "key", ("a", "b")).collect()}
+    assert [got[x] for x in rows[:-1]] == list(range(1, 121)) and got["j", 3, 0] == 1
 
 
 HOPS = [

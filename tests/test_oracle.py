@@ -6,10 +6,6 @@ import os
 import pytest
 
 SF = "/root/testdata/sf0.001"
-# Crawl-derived queries replay a whole level loop each; their loops are tested in
-# test_crawl.py and their oracles are run by scripts/check_oracle.py.
-SLOW = {"c1_crawl_budget", "c2_crawl_depth", "m10_combine_pages", "m11_error_report", "m12_read_summary", "s10_export_markdown"}
-
 
 def _norm(v):
     if isinstance(v, float):
@@ -40,8 +36,6 @@ def test_all_oracles(spark):
     assert set(orc) <= set(qs)
     bad = []
     for name, sql in orc.items():
-        if name in SLOW and not os.environ.get("MDFORGE_SLOW_TESTS"):
-            continue
         df = qs[name](spark, SF)
         rel = con.sql(sql)
         if sorted(df.columns) != sorted(rel.columns):
