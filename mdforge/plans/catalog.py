@@ -675,18 +675,16 @@ def _scratch(spark, name: str) -> str:
 @register("t1_stream_read_pages")
 def t1_stream_read_pages(spark, sf):
     pages = _pages(spark, sf)
-    stream = ST.stream_read_pages(spark, sf, D.host_addresses(pages), glob="pages.parquet")
     out = _scratch(spark, "t1-out")
-    ST.run_to_table(stream, out, _scratch(spark, "t1-ckpt"))
-    return spark.read.parquet(out)
+    ST.stream_read_pages(ST.page_stream(spark, sf, "pages.parquet"), out, _scratch(spark, "t1-ckpt"), D.host_addresses(pages))
+    return ST.read_results(spark, out)
 
 
 @register("t2_stream_cache_put")
 def t2_stream_cache_put(spark, sf):
     pages = _pages(spark, sf)
-    stream = ST.stream_read_pages(spark, sf, D.host_addresses(pages), glob="pages.parquet")
     cache_path = _scratch(spark, "t2-cache")
-    ST.stream_cache_put(stream, cache_path, _scratch(spark, "t2-ckpt"))
+    ST.stream_cache_put(ST.page_stream(spark, sf, "pages.parquet"), cache_path, _scratch(spark, "t2-ckpt"), D.host_addresses(pages))
     return CA.read_cache(spark, cache_path).select("url_key", "url", "title", "n_bytes")
 
 

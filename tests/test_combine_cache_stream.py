@@ -80,12 +80,20 @@ def test_stream_once_per_url(spark):
     batch1.coalesce(1).write.parquet(src + "/b1")
     ha = spark.createDataFrame([("a", "8.8.8.8", 4, 0)], "host string, address string, family int, pos int")
     out, ck = os.path.join(base, "out-" + uuid.uuid4().hex), os.path.join(base, "ck-" + uuid.uuid4().hex)
-    ST.run_to_table(ST.stream_read_pages(spark, src + "/*", ha), out, ck)
-    assert spark.read.parquet(out).count() == 1
+    run = lambda ck: ST.stream_read_pages(ST.page_stream(spark, src + "/*"), out, ck, ha)
+    run(ck)
+    assert [(r.url_key, r.page_id) for r in ST.read_results(spark, out).collect()] == [("http://a/x", 1)]  # the lowest id
     spark.createDataFrame([(3, "http://a/x", body), (4, "http://a/y", body)], "page_id long, url string, html string") \
         .coalesce(1).write.parquet(src + "/b2")
-    ST.run_to_table(ST.stream_read_pages(spark, src + "/*", ha), out, ck)
-    rows = spark.read.parquet(out).collect()
-    assert sorted(r.url_key for r in rows) == ["http://a/x", "http://a/y"]
-    ST.run_to_table(ST.stream_read_pages(spark, src + "/*", ha), out, ck)
-    assert spark.read.parquet(out).count() == 2
+    run(ck)
+    assert sorted(r.url_key for r in ST.read_results(spark, out).collect()) == ["http://a/x", "http://a/y"]
+    run(ck)
+    run(ck + "-another")
+    assert ST.read_results(spark, out).count() == 2
+    cache = os.path.join(base, "cache-" + uuid.uuid4().hex)
+    ST.stream_cache_put(ST.page_stream(spark, src + "/*"), cache, ck + "-c1", ha)
+    newer = body.replace("word ", "newer ")
+    spark.createDataFrame([(9, "http://a/y", newer)], "page_id long, url string, html string").coalesce(1).write.parquet(src + "-late/b")
+    ST.stream_cache_put(ST.page_stream(spark, src + "-late/*"), cache, ck + "-c2", ha)  # its epochs start at 0 again
+    got = {r.url: r.markdown for r in CA.read_cache(spark, cache).collect()}
+    assert got["http://a/y"].startswith("newer") and got["http://a/x"].startswith("word")
