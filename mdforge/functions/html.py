@@ -8,7 +8,7 @@ Design (the reference delegates these to an external extractor / formatter):
 * ``html_text``: text content of that HTML, entities decoded, whitespace collapsed.
 * ``html_to_markdown``: an ordered rewrite chain producing GFM: ATX headings,
   paragraphs, ``**bold**``, ``_em_``, inline code, fenced code blocks, links,
-  images, ``-`` bullet lists, numbered ordered lists, ``>`` quotes, pipe tables,
+  images, nested ``-`` and numbered lists, nested ``>`` quotes, pipe tables,
   ``~~strike~~``, ``[x]`` task items, ``---`` rules. Text is not Markdown-escaped.
 
 Every step is a built-in expression (``regexp_replace``, ``split``, ``transform``),
@@ -61,7 +61,17 @@ DOC_REST = (Rx(r"(?is)<!doctype[^>]*>", ""), Rx(r"(?is)</?(?:html|body)\b[^>]*>"
 TAG = Rx(r"<[^>]*>", "")
 COLLAPSE = Rx(WS + r"+", " ")
 
-# Inline elements (innermost first), then links, then blocks.
+# An anchor up to its href's value: attributes before it are whole names with whole values,
+# so ``data-href`` isn't taken for it.
+_ATTR = r"""(?:[ \t\r\n\f/]+[^ \t\r\n\f=>"'/]+(?:[ \t\r\n\f]*=[ \t\r\n\f]*(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+))?)"""
+ANCHOR = rf"""<a{_ATTR}*?[ \t\r\n\f/]+href[ \t\r\n\f]*=[ \t\r\n\f]*"""
+
+# Inline elements: links and line breaks first, then emphasis from the inside, twice.
+EMPHASIS = (
+    Rx(r"(?is)<(?:i|em)\b[^>]*>([^<]+)</(?:i|em)\s*>", "_{1}_"),
+    Rx(r"(?is)<(?:del|s|strike)\b[^>]*>([^<]+)</(?:del|s|strike)\s*>", "~~{1}~~"),
+    Rx(r"(?is)<(?:b|strong)\b[^>]*>([^<]+)</(?:b|strong)\s*>", "**{1}**"),
+)
 INLINE_STEPS = (
     Rx(r"(?is)<img\b[^>]*?\bsrc\s*=\s*\"([^\"]*)\"[^>]*?\balt\s*=\s*\"([^\"]*)\"[^>]*>", "![{2}]({1})"),
     Rx(r"(?is)<img\b[^>]*?\balt\s*=\s*\"([^\"]*)\"[^>]*?\bsrc\s*=\s*\"([^\"]*)\"[^>]*>", "![{1}]({2})"),
@@ -69,23 +79,17 @@ INLINE_STEPS = (
     Rx(r"(?is)<input\b[^>]*\bchecked\b[^>]*>", "[x] "),
     Rx(r"(?is)<input\b[^>]*\"checkbox\"[^>]*>", "[ ] "),
     Rx(r"(?is)<code\b[^>]*>([^<]*)</code\s*>", "`{1}`"),
-    Rx(r"(?is)<(?:i|em)\b[^>]*>([^<]+)</(?:i|em)\s*>", "_{1}_"),
-    Rx(r"(?is)<(?:del|s|strike)\b[^>]*>([^<]+)</(?:del|s|strike)\s*>", "~~{1}~~"),
-    Rx(r"(?is)<(?:b|strong)\b[^>]*>([^<]+)</(?:b|strong)\s*>", "**{1}**"),
-    Rx(r"(?is)<a\b[^>]*?\bhref\s*=\s*\"([^\"]*)\"[^>]*>(.*?)</a\s*>", "[{2}]({1})"),
-    Rx(r"(?is)<a\b[^>]*?\bhref\s*=\s*'([^']*)'[^>]*>(.*?)</a\s*>", "[{2}]({1})"),
+    Rx(rf"""(?is){ANCHOR}"([^"]*)"[^>]*>(.*?)</a\s*>""", "[{2}]({1})"),
+    Rx(rf"""(?is){ANCHOR}'([^']*)'[^>]*>(.*?)</a\s*>""", "[{2}]({1})"),
+    Rx(rf"""(?is){ANCHOR}([^ \t\r\n\f"'>]+)[^>]*>(.*?)</a\s*>""", "[{2}]({1})"),
+    Rx(r"(?i) ?<br\b[^>]*> ?", "\n"),
+    *EMPHASIS,
+    *EMPHASIS,
 )
 
 BLOCK_STEPS = (
     *(Rx(rf"(?is)<h{n}\b[^>]*>(.*?)</h{n}\s*>", "\n\n" + "#" * n + " {1}\n\n") for n in range(1, 7)),
     Rx(r"(?i)<hr\b[^>]*>", "\n\n---\n\n"),
-    Rx(r"(?i)<br\b[^>]*>", "\n"),
-)
-
-LIST_STEPS = (
-    Rx(r"(?i)<li\b[^>]*>\s*", "\n- "),
-    Rx(r"(?i)</li\s*>", ""),
-    Rx(r"(?i)</?(?:ul|ol|menu)\b[^>]*>", "\n\n"),
 )
 
 PARA_STEPS = (
@@ -98,7 +102,7 @@ PARA_STEPS = (
 
 # Code blocks keep their whitespace: it is parked in control characters until the end.
 PROTECT = (Rx("\r?\n", "\x01"), Rx(" ", "\x02"), Rx("\t", "\x03"))
-UNPROTECT = (Rx("\x01", "\n"), Rx("\x02", " "), Rx("\x03", "\t"))
+UNPROTECT = (Rx("\x01", "\n"), Rx("\x02", " "), Rx("\x03", "\t"), Rx("\x05", "\\|"))
 
 FINAL_STEPS = (
     Rx(r"[ \t]+\n", "\n"),
@@ -152,24 +156,77 @@ def _pre_sql(x: str) -> str:
     return f"('\n\n```\x01' || {body} || '\x01```\n\n')"
 
 
-# <ol> -> items numbered 1..n.
-OL_OPEN, OL_CLOSE = r"(?i)<ol\b[^>]*>", r"(?i)</ol\s*>"
-LI_OPEN = r"(?i)<li\b[^>]*>\s*"
-
+# Lists: a fold over the list tags keeps the open lists as a stack of next numbers (-1: a
+# bullet list). An item starts a line, indented by the markers of the lists around its own;
+# an outermost list stands between blank lines. Spaces of the indent are parked like code's.
+LIST_TAG = r"(?i)</?(?:ul|ol|menu|li)\b[^>]*>"
+OL_START = r"""(?i)[ \t\r\n\f]start[ \t]*=[ \t]*["']?([0-9]{1,9})"""
+
+
+def _lists_spark(c: Column) -> Column:
+    def step(state: Column, tag: Column) -> Column:
+        opened, n = state["open"], F.size(state["open"])
+        name = F.lower(F.regexp_extract(tag, "^</?([A-Za-z]+)", 1))
+        closes = tag.startswith("</")
+        number = F.when(n > 0, F.element_at(opened, -1)).otherwise(F.lit(-1))
+        outer = F.when(n > 0, F.slice(opened, 1, n - 1)).otherwise(opened)
+        indent = F.array_join(F.transform(outer, lambda k: F.when(k < 0, F.lit("\x02\x02")).otherwise(F.lit("\x02\x02\x02"))), "")
+        marker = F.when(number < 0, F.lit("- ")).otherwise(F.concat(number.cast("string"), F.lit(". ")))
+        start = F.when(name == "ol", F.coalesce(F.nullif(F.regexp_extract(tag, OL_START, 1), F.lit("")).cast("int"), F.lit(1))).otherwise(F.lit(-1))
+        edge = lambda inner: F.when(inner, F.lit("")).otherwise(F.lit("\n\n"))
+        text = (
+            F.when((name == "li") & ~closes, F.concat(F.lit("\n"), indent, marker))
+            .when(name == "li", F.lit(""))
+            .when(closes, edge(n > 1))
+            .otherwise(edge(n > 0))
+        )
+        then = (
+            F.when((name == "li") & ~closes & (number >= 0), F.concat(outer, F.array(number + 1)))
+            .when(name == "li", opened)
+            .when(closes, outer)
+            .otherwise(F.concat(opened, F.array(start)))
+        )
+        return F.struct(F.concat(state["out"], F.array(text)).alias("out"), then.alias("open"))
 
-def _ol_spark(x: Column) -> Column:
-    items = F.transform(
-        F.split(x, LI_OPEN),
-        lambda it, i: F.when(i == 0, it).otherwise(F.concat(F.lit("\n"), i.cast("string"), F.lit(". "), it)),
+    def body(s: Column) -> Column:
+        tags = F.regexp_extract_all(s, F.lit(LIST_TAG), 0)
+        empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<int>").alias("open"))
+        marks = F.concat(F.array(F.lit("")), F.aggregate(tags, empty, step)["out"])
+        pieces = F.split(s, LIST_TAG)
+        trimmed = lambda p, m: F.when(m.endswith("- ") | m.endswith(". "), F.regexp_replace(p, r"^\s+", "")).otherwise(p)
+        return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(m, trimmed(p, m))), "")
+
+    return let(c, lambda s: F.when(s.rlike(LIST_TAG), body(s)).otherwise(s))
+
+
+def _lists_sql(e: str) -> str:
+    tags = f"regexp_extract_all(s, {sql_str(LIST_TAG)}, 0)"
+    name = "lower(regexp_extract(tag, '^</?([A-Za-z]+)', 1))"
+    closes, n, opened = "starts_with(tag, '</')", "len(st.open)", "st.open"
+    number = f"(CASE WHEN {n} > 0 THEN {opened}[-1] ELSE -1 END)"
+    outer = f"{opened}[1:{n} - 1]"
+    indent = f"coalesce(array_to_string(list_transform({outer}, lambda k: CASE WHEN k < 0 THEN '\x02\x02' ELSE '\x02\x02\x02' END), ''), '')"
+    marker = f"(CASE WHEN {number} < 0 THEN '- ' ELSE CAST({number} AS VARCHAR) || '. ' END)"
+    start = f"(CASE WHEN {name} = 'ol' THEN coalesce(TRY_CAST(nullif(regexp_extract(tag, {sql_str(OL_START)}, 1), '') AS INTEGER), 1) ELSE -1 END)"
+    text = (
+        f"CASE WHEN {name} = 'li' AND NOT {closes} THEN '\n' || {indent} || {marker} WHEN {name} = 'li' THEN '' "
+        f"WHEN {closes} THEN CASE WHEN {n} > 1 THEN '' ELSE '\n\n' END ELSE CASE WHEN {n} > 0 THEN '' ELSE '\n\n' END END"
     )
-    return F.concat(F.lit("\n\n"), F.array_join(items, ""), F.lit("\n\n"))
-
-
-def _ol_sql(x: str) -> str:
-    return (
-        f"('\n\n' || array_to_string(list_transform(regexp_split_to_array({x}, {sql_str(LI_OPEN)}), "
-        f"lambda it, j: CASE WHEN j = 1 THEN it ELSE '\n' || CAST(j - 1 AS VARCHAR) || '. ' || it END), '') || '\n\n')"
+    then = (
+        f"CASE WHEN {name} = 'li' AND NOT {closes} AND {number} >= 0 THEN list_append({outer}, {number} + 1) WHEN {name} = 'li' THEN {opened} "
+        f"WHEN {closes} THEN {outer} ELSE list_append({opened}, {start}) END"
     )
+    states = f"list_transform({tags}, lambda t: struct_pack(tag := t, out := []::VARCHAR[], open := []::INTEGER[]))"
+    fold = (
+        f"list_reduce({states}, lambda st, x: list_transform([x.tag], lambda tag: struct_pack(tag := tag, out := list_append(st.out, {text}), open := {then}))[1], "
+        f"struct_pack(tag := '', out := ['']::VARCHAR[], open := []::INTEGER[])).out"
+    )
+    pieces = f"regexp_split_to_array(s, {sql_str(LIST_TAG)})"
+    joined = (
+        f"list_transform([{fold}], lambda marks: array_to_string(list_transform({pieces}, lambda p, i: marks[i] || "
+        f"CASE WHEN ends_with(marks[i], '- ') OR ends_with(marks[i], '. ') THEN regexp_replace(p, '^\\s+', '') ELSE p END), ''))[1]"
+    )
+    return f"list_transform([{e}], lambda s: CASE WHEN regexp_matches(s, {sql_str(LIST_TAG)}) THEN {joined} ELSE s END)[1]"
 
 
 # <table> -> GFM pipe table; the first row is the header.
@@ -178,6 +235,8 @@ TR_OPEN = r"(?i)<tr\b[^>]*>"
 CELL_OPEN = r"(?i)<t[hd][ >]"
 ROW_STEPS = (
     Rx(r"(?is)</tr\s*>.*\z", ""),
+    Rx(r"\|", "\x05"),  # a bar of the text, escaped at the end
+    Rx(r"\r?\n", " "),
     Rx(r"(?i)</t[hd]\s*>", ""),
     Rx(r"(?i)</?(?:thead|tbody|tfoot|p|div)\b[^>]*>", " "),
     Rx(r"(?i)<t[hd]\b[^>]*>", "|"),
@@ -211,22 +270,52 @@ def _table_sql(x: str) -> str:
     )
 
 
-# <blockquote> (after paragraphs became blank lines) -> every line prefixed by "> ".
-BQ_OPEN, BQ_CLOSE = r"(?i)<blockquote\b[^>]*>", r"(?i)</blockquote\s*>"
+# <blockquote> (after paragraphs became blank lines) -> every line prefixed by "> " once for
+# each quote that is open; stretches inside one quote are joined by a quoted blank line.
+BQ_TAG = r"(?i)</?blockquote\b[^>]*>"
+GAPS = (Rx(r"\n{3,}", "\n\n"),)
 
 
-def _bq_spark(x: Column) -> Column:
-    lines = F.transform(F.split(trim_ws(rx_spark(x, (Rx(r"\n{3,}", "\n\n"),))), "\n"),
-                        lambda ln: F.when(ln == "", F.lit(">")).otherwise(F.concat(F.lit("> "), ln)))
-    return F.concat(F.lit("\n\n"), F.array_join(lines, "\n"), F.lit("\n\n"))
+def _quotes_spark(c: Column) -> Column:
+    def body(s: Column) -> Column:
+        tags = F.regexp_extract_all(s, F.lit(BQ_TAG), 0)
+        turns = F.transform(tags, lambda t: F.when(t.startswith("</"), F.lit(-1)).otherwise(F.lit(1)))
+        depth = F.aggregate(
+            turns, F.array(F.lit(0)), lambda acc, d: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1) + d, F.lit(0))))
+        )
+        parts = F.zip_with(F.split(s, BQ_TAG), depth, lambda p, d: F.struct(F.when(d > 0, trim_ws(rx_spark(p, GAPS))).otherwise(p).alias("p"), d.alias("d")))
+        parts = F.filter(parts, lambda x: (x["d"] == 0) | (x["p"] != ""))
 
+        def quoted(x: Column) -> Column:
+            mark = F.repeat(F.lit("> "), x["d"])
+            lines = F.transform(F.split(x["p"], "\n"), lambda ln: F.when(ln == "", F.rtrim(mark)).otherwise(F.concat(mark, ln)))
+            return F.when(x["d"] > 0, F.array_join(lines, "\n")).otherwise(x["p"])
 
-def _bq_sql(x: str) -> str:
-    inner = trim_ws_sql(rx_sql(x, (Rx(r"\n{3,}", "\n\n"),)))
-    return (
-        f"('\n\n' || array_to_string(list_transform(string_split({inner}, '\n'), "
-        f"lambda ln: CASE WHEN ln = '' THEN '>' ELSE '> ' || ln END), '\n') || '\n\n')"
+        def joined(ps: Column) -> Column:
+            before = F.concat(F.array(F.lit(0)), F.transform(ps, lambda x: x["d"]))
+            both = F.transform(ps, lambda x, i: F.struct(quoted(x).alias("t"), F.least(x["d"], F.element_at(before, i + 1)).alias("m")))
+            gap = lambda m: F.when(m > 0, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), m)), F.lit("\n"))).otherwise(F.lit("\n\n"))
+            return F.array_join(F.transform(both, lambda b, i: F.concat(F.when(i > 0, gap(b["m"])).otherwise(F.lit("")), b["t"])), "")
+
+        return let(parts, joined)
+
+    return let(c, lambda s: F.when(s.rlike(BQ_TAG), body(s)).otherwise(s))
+
+
+def _quotes_sql(e: str) -> str:
+    turns = f"list_transform(regexp_extract_all(s, {sql_str(BQ_TAG)}, 0), lambda t: [CASE WHEN starts_with(t, '</') THEN -1 ELSE 1 END])"
+    depth = f"list_reduce({turns}, lambda acc, d: list_append(acc, greatest(acc[-1] + d[1], 0)), [0])"
+    part = f"CASE WHEN ds[i] > 0 THEN {trim_ws_sql(rx_sql('p', GAPS))} ELSE p END"
+    parts = (
+        f"list_transform([{depth}], lambda ds: list_filter(list_transform(regexp_split_to_array(s, {sql_str(BQ_TAG)}), "
+        f"lambda p, i: struct_pack(p := {part}, d := ds[i])), lambda x: x.d = 0 OR x.p <> ''))[1]"
     )
+    lines = "list_transform(string_split(x.p, '\n'), lambda ln: CASE WHEN ln = '' THEN rtrim(repeat('> ', x.d)) ELSE repeat('> ', x.d) || ln END)"
+    quoted = f"CASE WHEN x.d > 0 THEN array_to_string({lines}, '\n') ELSE x.p END"
+    m = "least(x.d, ps[i - 1].d)"
+    gap = f"CASE WHEN i = 1 THEN '' WHEN {m} > 0 THEN '\n' || rtrim(repeat('> ', {m})) || '\n' ELSE '\n\n' END"
+    joined = f"list_transform([{parts}], lambda ps: array_to_string(list_transform(ps, lambda x, i: {gap} || {quoted}), ''))[1]"
+    return f"list_transform([{e}], lambda s: CASE WHEN regexp_matches(s, {sql_str(BQ_TAG)}) THEN {joined} ELSE s END)[1]"
 
 
 # ---------------------------------------------------------------------------
@@ -345,9 +434,8 @@ def html_to_markdown(content: Column) -> Column:
     c = rx_spark(c, (COLLAPSE,) + INLINE_STEPS)
     c = _span_spark(c, TABLE_OPEN, TABLE_CLOSE, _table_spark)
     c = rx_spark(c, BLOCK_STEPS)
-    c = _span_spark(c, OL_OPEN, OL_CLOSE, _ol_spark)
-    c = rx_spark(c, LIST_STEPS + PARA_STEPS)
-    c = _span_spark(c, BQ_OPEN, BQ_CLOSE, _bq_spark)
+    c = rx_spark(_lists_spark(c), PARA_STEPS)
+    c = _quotes_spark(c)
     c = rx_spark(decode_entities(rx_spark(c, (TAG,))), FINAL_STEPS)
     return rx_spark(trim_ws(c), UNPROTECT)
 
@@ -357,8 +445,7 @@ def html_to_markdown_sql(e: str) -> str:
     c = rx_sql(c, (COLLAPSE,) + INLINE_STEPS)
     c = _span_sql(c, TABLE_OPEN, TABLE_CLOSE, _table_sql)
     c = rx_sql(c, BLOCK_STEPS)
-    c = _span_sql(c, OL_OPEN, OL_CLOSE, _ol_sql)
-    c = rx_sql(c, LIST_STEPS + PARA_STEPS)
-    c = _span_sql(c, BQ_OPEN, BQ_CLOSE, _bq_sql)
+    c = rx_sql(_lists_sql(c), PARA_STEPS)
+    c = _quotes_sql(c)
     c = rx_sql(decode_entities_sql(rx_sql(c, (TAG,))), FINAL_STEPS)
     return rx_sql(trim_ws_sql(c), UNPROTECT)

@@ -18,10 +18,8 @@ from ..functions.regex import Rx, let, rx_spark, rx_sql, sql_str, trim_ws, trim_
 INLINE_RE = r"\[([^\]]+)\]\(([^)]+)\)"
 BARE_RE = r"https?://[^ \t\n\r\f\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}<>)\]]+"
 SKIP_PREFIXES = ("#", "mailto:", "tel:")
-# An anchor up to the value of its href: attributes before it are whole names with whole
-# values, so ``data-href`` isn't taken for it; the value is quoted either way or bare.
-_ATTR = r"""(?:[ \t\r\n\f/]+[^ \t\r\n\f=>"'/]+(?:[ \t\r\n\f]*=[ \t\r\n\f]*(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+))?)"""
-HREF_RE = rf"""(?is)<a{_ATTR}*?[ \t\r\n\f/]+href[ \t\r\n\f]*=[ \t\r\n\f]*("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
+# The value is quoted either way or bare.
+HREF_RE = rf"""(?is){H.ANCHOR}("[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+)"""
 # What holds no anchor of the page: comments, scripts and styles.
 HIDDEN_STEPS = H.CLEAN_STEPS[:3]
 QUOTES = (Rx(r"""^["']|["']\z""", ""),)

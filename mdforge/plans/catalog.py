@@ -70,6 +70,25 @@ def h3_html_to_markdown(spark, sf):
     return X.html_to_markdown(X.main_content(_pages(spark, sf))).select("page_id", "markdown")
 
 
+# Articles inside the constructs that the driver's pages lack: an ordered list that starts
+# at 2 and holds a bullet list, a quote in a quote, named references, a bar in a cell.
+WRAP = (
+    '<ol start="2"><li>first</li><li>',
+    "<ul><li>caf&eacute; 2&times;3</li><li><i><b>both</b></i></li></ul></li><li>last</li></ol><blockquote>out<blockquote>",
+    "</blockquote>tail</blockquote><table><tr><th>a|b</th></tr><tr><td>c<br>d</td></tr></table>",
+)
+_WRAPPED_SQL = (
+    f"(SELECT page_id, {sql_str(WRAP[0])} || content_html || {sql_str(WRAP[1])} || content_html || {sql_str(WRAP[2])} AS content_html FROM {_CONTENT_SQL})"
+)
+
+
+@register("h3_markdown_structures", f"SELECT page_id, {H.html_to_markdown_sql('content_html')} AS markdown FROM {_WRAPPED_SQL}")
+def h3_markdown_structures(spark, sf):
+    body = X.main_content(_pages(spark, sf))
+    wrapped = F.concat(F.lit(WRAP[0]), F.col("content_html"), F.lit(WRAP[1]), F.col("content_html"), F.lit(WRAP[2]))
+    return X.html_to_markdown(UO.barrier(body.select("page_id", wrapped.alias("content_html")))).select("page_id", "markdown")
+
+
 _GATE_SQL = f"""(SELECT *, CASE WHEN html IS NULL OR {H.trim_ws_sql('html')} = '' THEN 'empty'
   WHEN content_html IS NULL THEN 'no_article' WHEN length({H.trim_ws_sql('content_html')}) < {X.MIN_CONTENT_CHARS} THEN 'limited'
   ELSE 'ok' END AS status, {H.page_title_sql('html')} AS title, {H.html_text_sql('content_html')} AS text FROM {_CONTENT_SQL})"""

@@ -1,5 +1,6 @@
 """H1-H3, H6, H7 on inline fixtures with hand-written expected output."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from mdforge.functions import html as H
@@ -82,3 +83,35 @@ def test_html_blocks(spark):
 
 def test_numeric_references(spark):
     assert md(spark, "<p>it&#8217;s &#x2019; &#233;t&#233; &amp;#39; &#0;</p>") == "it’s ’ été &#39; &#0;"
+
+
+@pytest.mark.parametrize(
+    ("html", "markdown"),
+    [
+        ("<ol><li>a<ul><li>b</li></ul></li><li>c</li></ol>", "1. a\n   - b\n2. c"),
+        ("<ul><li>a<ol><li>b</li><li>c</li></ol></li><li>d</li></ul>", "- a\n  1. b\n  2. c\n- d"),
+        ('<ol start="3"><li>x</li><li>y</li></ol>', "3. x\n4. y"),
+        ("<blockquote>a<blockquote>b</blockquote>c</blockquote>", "> a\n>\n> > b\n>\n> c"),
+        ("<p>t</p><blockquote><p>q</p><p>r</p></blockquote><p>u</p>", "t\n\n> q\n>\n> r\n\nu"),
+        ("<i><b>x</b></i>", "_**x**_"),
+        ('<b>a <a href="http://x/">l</a></b>', "**a [l](http://x/)**"),
+        ("<strong>a<br>b</strong>", "**a\nb**"),
+        ("<a data-href='/no' href=/yes>l</a>", "[l](/yes)"),
+        ("<table><tr><th>h|1</th><th>i</th></tr><tr><td>a|b</td><td>c</td></tr></table>", "| h\\|1 | i |\n| --- | --- |\n| a\\|b | c |"),
+        ("caf&eacute; 2&times;3 &laquo;q&raquo; &amp;lt; &#000008217; &nosuch; &#xD800;", "café 2×3 «q» &lt; ’ &nosuch; &#xD800;"),
+    ],
+)
+def test_markdown_structure(spark, html, markdown):
+    df = spark.createDataFrame([(html,)], "content_html string")
+    assert X.html_to_markdown(df).first().markdown == markdown
+
+
+def test_anchor_forms(spark):
+    from mdforge.operators import links as L
+
+    html = (
+        "<a href='/single'>1</a><a href=/bare>2</a><A class=x HREF = \"/double?a=1&amp;b=2\">3</a><a data-href=\"/no\">4</a>"
+        "<!-- <a href=\"/comment\">5</a> --><script>'<a href=\"/script\">'</script><abbr href=\"/abbr\">6</abbr>"
+    )
+    df = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert [r.link for r in L.dom_links(df).orderBy("pos").collect()] == ["http://h/single", "http://h/bare", "http://h/double?a=1&b=2"]
