@@ -32,6 +32,8 @@ MAX_BITS, HASHES, BASE, MU = 1 << 28, 3, 1.6, 100.0
 FREQUENT = 1 << 19
 #: n-grams folded at a time in a task, and training tokens for each hash range.
 FOLD, TOKENS_A_RANGE = 4_000_000, 1 << 19
+#: Tokens scored together.
+SCORED = 500_000
 _START, _END = np.uint64(0x51ED270B7A2F1D35), np.uint64(0x2545F4914F6CDD1D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -233,16 +235,34 @@ class Counts:
         return Filter(bits, ranges, segment)
 
 
-def log_probability(words: np.ndarray, model: Filter, tokens: int, types: int, mu: float = MU) -> np.ndarray:
-    """log10 probability of every token of a text given the one before."""
-    one, at = np.unique(words, return_inverse=True)
-    c1 = np.minimum(count_of(model.levels(one)), tokens)[at]
-    c2 = count_of(model.levels(pairs_of(words)))
-    # The start is as frequent as the end; a pair is no more frequent than its words.
-    start = np.minimum(count_of(model.levels(np.array([_END], np.uint64))), tokens)
-    before = np.concatenate([start, c1[:-1]])
-    c2 = np.minimum(c2, np.minimum(before, c1))
-    return np.log10((c2 + mu * (c1 + 1) / (tokens + types + 1)) / (before + mu))
+class Scorer:
+    """Scores many texts at once: every distinct word and pair is probed once."""
+
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], model: Filter, tokens: int, types: int, mu: float) -> None:
+        (self.words, self.counts), self.model, self.tokens, self.types, self.mu = frequent, model, tokens, types, mu
+
+    def __call__(self, texts: list[np.ndarray]):
+        """For each text: frequent words, sum of log10(count + 1) over them, log10
+        probability of the text, and the hashes of its other words."""
+        ends = np.cumsum([len(t) for t in texts])
+        starts = ends - [len(t) for t in texts]
+        w = np.concatenate(texts)
+        one, at = np.unique(w, return_inverse=True)
+        place = np.minimum(np.searchsorted(self.words, one), max(0, len(self.words) - 1))
+        found = self.words[place] == one if len(self.words) else np.zeros(len(one), bool)
+        logs = np.zeros(len(one))
+        logs[found] = np.log10(self.counts[place[found]] + 1.0)
+        c1 = np.minimum(count_of(self.model.levels(one)), self.tokens)[at]
+        before, c_before = np.roll(w, 1), np.roll(c1, 1)
+        before[starts] = _START  # the start is as frequent as the end, the last token of each text
+        c_before[starts] = c1[ends - 1]
+        pair, at_pair = np.unique(mix(before * _GOLD + w), return_inverse=True)
+        # A pair is no more frequent than its words.
+        c2 = np.minimum(count_of(self.model.levels(pair))[at_pair], np.minimum(c_before, c1))
+        p = np.log10((c2 + self.mu * (c1 + 1) / (self.tokens + self.types + 1)) / (c_before + self.mu))
+        known = found[at]
+        rare = np.split(w[~known].view(np.int64), np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))[:-1])
+        return np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(logs[at], starts), np.add.reduceat(p, starts), rare
 
 
 def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
@@ -260,19 +280,22 @@ def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU) -> DataFram
     shared = spark.sparkContext.broadcast((counts.frequent(FREQUENT), counts.filter(max_bits)))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        (frequent, c), model = shared.value
-        out, rare = [[] for _ in range(4)], []
+        scorer = Scorer(*shared.value, n, v, mu)
+        held, size, parts, lengths = [], 0, [], []
         for t in b.column("text").to_pylist():
-            w = tokens_of(t)
-            at = np.minimum(np.searchsorted(frequent, w), max(0, len(frequent) - 1))
-            found = frequent[at] == w if len(frequent) else np.zeros(len(w), bool)
-            known = c[at[found]]
-            rare.append(w[~found].view(np.int64))
-            p = log_probability(w, model, n, v, mu)
-            for x, y in zip(out, (len(w), len(known), float(np.log10(known + 1.0).sum()), float(p.sum())), strict=True):
-                x.append(y)
+            held.append(tokens_of(t))
+            lengths.append(len(held[-1]))
+            size += lengths[-1]
+            if size > SCORED:
+                parts.append(scorer(held))
+                held, size = [], 0
+        if held:
+            parts.append(scorer(held))
+        frequent, logs, p = (np.concatenate([x[k] for x in parts]) for k in range(3))
+        rare = [r for x in parts for r in x[3]]
         ends = pa.array(np.cumsum([0, *map(len, rare)], dtype=np.int32))
-        cols = [b.column("doc_id"), b.column("text_hash"), b.column("held_out"), *(pa.array(x) for x in out), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))]
+        out = pa.array(lengths, pa.int64()), pa.array(frequent), pa.array(logs), pa.array(p)
+        cols = [b.column("doc_id"), b.column("text_hash"), b.column("held_out"), *out, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "held_out", "n_tokens", "n_frequent", "log_frequent", "score", "rare"])
 
     schema = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_frequent long, log_frequent double, score double, rare array<long>"
