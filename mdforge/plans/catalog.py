@@ -556,6 +556,18 @@ def c1_crawl_budget(spark, sf):
     return _crawl(spark, sf)
 
 
+# A budget that reaches further levels; the oracle runs the queue itself, step by step.
+LONG_CRAWL = 6
+LONG_COLS = ("seed", "ord", "request_url", "url", "title", "markdown", "error", "status", "seed_error")
+
+
+@register("c1_crawl_budget_long")
+def c1_crawl_budget_long(spark, sf):
+    pages = D.linked_pages(_pages(spark, sf))
+    seeds = pages.select(F.col("url").alias("seed"))
+    return CR.crawl_budget(seeds, pages, D.host_addresses(pages), max_pages=LONG_CRAWL, same_origin_only=False).select(*LONG_COLS)
+
+
 @register("c2_crawl_depth")
 def c2_crawl_depth(spark, sf):
     pages = D.linked_pages(_pages(spark, sf))
@@ -780,6 +792,32 @@ JOIN (SELECT seed, max(title) FILTER (WHERE ord = 1) AS title FROM c1 GROUP BY s
 LEFT JOIN (SELECT seed, flatten(list({_links_sql('markdown', 'request_url')} ORDER BY ord)) AS links FROM c1 WHERE status = 'ok' GROUP BY seed) k USING (seed)"""
 
 
+# Oracle for the longer crawl: one row per seed and step, with the queue and what has been
+# queued as lists, over the results and links of every URL that a page or a link names.
+def _crawl_queue_sql(budget: int) -> str:
+    lp = D.linked_pages_sql()
+    r = lambda req: RP.read_pages_sql(req, lp, dedupe=False)
+    links = _links_sql("markdown", "request_url")
+    ok = "r.markdown <> '' AND r.status <> 'policy'"
+    new = f"(CASE WHEN c.n + 1 < {budget} AND {ok} THEN list_filter(r.lk, lambda x: NOT list_contains(c.seen, x)) ELSE [] END)"
+    return f"""WITH RECURSIVE pm AS MATERIALIZED ({r(f"(SELECT url, CAST(0 AS BIGINT) AS ord FROM {lp})")}),
+names AS (SELECT url FROM {lp} UNION SELECT unnest({links}) FROM pm),
+res AS MATERIALIZED (SELECT *, {links} AS lk FROM ({r("(SELECT url, CAST(0 AS BIGINT) AS ord FROM names)")})),
+crawl(seed, n, queue, seen, cur) AS (
+  SELECT url, 0, [url], [url], CAST(NULL AS VARCHAR) FROM {lp}
+  UNION ALL
+  SELECT c.seed, c.n + 1, c.queue[2:] || {new}, c.seen || {new}, c.queue[1]
+  FROM crawl c LEFT JOIN res r ON r.request_url = c.queue[1] WHERE len(c.queue) > 0 AND c.n < {budget}),
+got AS MATERIALIZED (SELECT c.seed, CAST(c.n AS BIGINT) AS ord, c.cur AS request_url, r.url, r.title, r.markdown, r.error, r.status
+  FROM crawl c JOIN res r ON r.request_url = c.cur WHERE c.n > 0),
+ab AS (SELECT seed, arg_min(error, ord) AS e FROM got WHERE status = 'policy' GROUP BY seed)
+SELECT got.*, CAST(NULL AS VARCHAR) AS seed_error FROM got ANTI JOIN ab USING (seed)
+UNION ALL SELECT seed, 1, seed, seed, NULL, '', e, 'policy', e FROM ab"""
+
+
+ORACLE["c1_crawl_budget_long"] = _crawl_queue_sql(LONG_CRAWL)
+
+
 # Oracle for the redirect chains: a recursive CTE over a precomputed step table.
 def _redirects_sql(canonical: bool = False) -> str:
     """``canonical``: requests, hops and locations by canonical URL, the first request of each."""

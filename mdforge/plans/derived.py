@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import html as H
 from ..functions import urls as U
-from ..functions.regex import Rx, rx_spark, rx_sql, sql_str
+from ..functions.regex import Rx, let, rx_spark, rx_sql, sql_str
 
 # ---------------------------------------------------------------------------
 # host_addresses(host, address, family, pos): a deterministic "DNS" for page hosts.
@@ -81,9 +81,10 @@ BODY_RE = H.CONTAINERS[2]
 
 
 def link_markdown(html, url):
-    cleaned = rx_spark(html, MIN_CLEAN)
-    body = F.coalesce(F.nullif(F.regexp_extract(cleaned, BODY_RE, 1), F.lit("")), cleaned)
-    return F.concat(F.lit("<!-- Source: "), url, F.lit(" -->\n"), H.html_to_markdown(body))
+    def body(cleaned):
+        return let(F.regexp_extract(cleaned, BODY_RE, 1), lambda b: F.when(b != "", b).otherwise(cleaned))
+
+    return F.concat(F.lit("<!-- Source: "), url, F.lit(" -->\n"), H.html_to_markdown(let(rx_spark(html, MIN_CLEAN), body)))
 
 
 def link_markdown_sql(html: str, url: str) -> str:
