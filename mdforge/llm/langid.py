@@ -29,7 +29,9 @@ STRETCH = 32
 CACHE_WORDS = 400_000
 UNKNOWN_LANGUAGE = "und"
 
-_WORDS = re.compile(r"[^\W\d_]+")
+# Word characters that are no letters (fractions, Roman numerals and the like) end a word.
+_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
 # Substrings are hashed to 64 bits; the top 20 pick a place in the table of candidates.
 _BASE, _MULTIPLIER, _SHIFT = "substring", 0x9E3779B97F4A7C15, np.uint64(44)
 

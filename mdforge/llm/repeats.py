@@ -20,8 +20,6 @@ a core with more than ``GROUP`` different strings is resolved by counting its wi
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 import xxhash
