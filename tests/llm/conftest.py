@@ -28,7 +28,7 @@ def make_rows(seed=1, n=60):
         w[(7 * k) % len(w)] = f"changed{k}"
         rows.append((i, " ".join(w), "de", "src1"))
     rows += [(n + 10 + k, f"{sentence(rng, 9, en)} {passage} {sentence(rng, 9, en)}", "en", "src2") for k in range(4)]
-    rows += [(n + 20, None, None, None), (n + 21, "", "en", "src1"), (n + 22, "123 456 !!", None, "src1"), (n + 23, "  \t\n ", "en", "src2")]
+    rows += [(n + 20, None, None, None), (n + 21, "", "en", "src1"), (n + 22, "123 456 !! ½ Ⅳ ²", None, "src1"), (n + 23, "  \t\n ", "en", "src2")]
     longest = max(rows[:n], key=lambda r: len(r[1]))[1]
     rows += [(n + 24, longest, "en", "src1"), (n + 25, longest, "en", "src1"), rows[4], rows[4], (None, rows[6][1], "en", "src1"), (None, None, None, None)]
     rows += [(n + 30, sentence(rng, 9000, en), "en", "src10"), (n + 31, "x" * 3000, "en", "src1"), (n + 32, "İSTANBUL Σίσυφος ﬁ é é <|endoftext|> ▁x 日本 \U0001f600 it's 2024", None, "src2")]
