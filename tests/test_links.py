@@ -1,6 +1,5 @@
 """M1-M4 and H5 on the link rules of the Markdown extractor."""
 
-from pyspark.sql import functions as F
 
 from mdforge.operators import links as L
 

@@ -3,7 +3,6 @@
 import ipaddress
 
 import pytest
-from pyspark.sql import functions as F
 
 from mdforge.functions import ip as IP
 from mdforge.operators import policy as P
