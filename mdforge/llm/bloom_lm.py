@@ -157,7 +157,7 @@ def _merged(folded: DataFrame, ranges: int) -> DataFrame:
         if keys:
             yield out()
 
-    return folded.repartition(min(ranges, 512), "part").sortWithinPartitions("part").mapInArrow(run, "part int, keys binary, counts binary")
+    return folded.repartition(min(ranges, 8192), "part").sortWithinPartitions("part").mapInArrow(run, "part int, keys binary, counts binary")
 
 
 class Counts:
@@ -227,7 +227,7 @@ class Counts:
         def row(part, bits):
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
 
-        segments = both.repartition(min(ranges, 512), "part").sortWithinPartitions("part").mapInArrow(fill, "part int, bits binary")
+        segments = both.repartition(min(ranges, 8192), "part").sortWithinPartitions("part").mapInArrow(fill, "part int, bits binary")
         bits = np.zeros(segment * ranges // 8, np.uint8)
         if least:
             for r in segments.toLocalIterator():

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -14,8 +17,8 @@ from mdforge.session import ensure_checkpoint_dir
 
 #: The word of the contracts: a run of bytes other than the six ASCII white-space ones.
 WORD_RE = r"[^\x20\x09-\x0D]+"
-#: Rows in an Arrow batch: texts reach some hundred kB, so a batch stays within ~100 MB.
-BATCH_ROWS = 1000
+#: Rows in an Arrow batch: texts reach some hundred kB, so a batch stays within ~50 MB.
+BATCH_ROWS = 500
 
 
 def ready(spark: SparkSession) -> str:
@@ -41,11 +44,36 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
-    """``fn`` over every Arrow batch of ``df``; ``schema`` is the DDL of what it returns."""
+_held: dict[str, object] = {}
+
+
+def held(key: str, make: Callable[[], object]):
+    """What this worker keeps between tasks: one model or cache at a time."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Drop what the worker keeps and give freed memory back to the system."""
+    _held.clear()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, keeps: bool = False) -> DataFrame:
+    """``fn`` over every Arrow batch of ``df``; ``schema`` is the DDL of what it returns.
+
+    Workers serve one stage after another: unless ``fn`` ``keeps`` a model by ``held``, a
+    task first drops what an earlier stage has left.
+    """
     ready(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps and _held:
+            release()
         for b in batches:
             if b.num_rows:
                 yield fn(b)

@@ -10,6 +10,7 @@ maximisation on word counts of labelled texts (forward-backward expected piece c
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdforge.llm.common import map_batches, settle
+from mdforge.llm.common import held, map_batches, settle
 
 #: Labelled texts that fit the model, per language: chosen by a hash of the id.
 FIT_TEXTS = 4_000
@@ -26,7 +27,7 @@ ROUNDS, PRIOR = 3, 0.05
 #: Words longer than this are cut into stretches: no piece is longer than 16 characters.
 STRETCH = 32
 #: Words a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 UNKNOWN_LANGUAGE = "und"
 
 # Word characters that are no letters (fractions, Roman numerals and the like) end a word.
@@ -261,9 +262,6 @@ def fit(labelled: DataFrame, model: str, fit_texts: int = FIT_TEXTS, rounds: int
     return Model(languages, pieces, probs, prior / max(1.0, prior.sum()))
 
 
-_models: dict[str, Model] = {}
-
-
 def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     """Whether crc32 of the id as text leaves the remainder; a null id is not held out."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
@@ -275,15 +273,12 @@ def predictor(docs: DataFrame, model: str):
     learnt = fit(docs.where(~held_out(F.col("doc_id"))), model)
     parts = learnt.languages, learnt.lattice.pieces, learnt.probs, learnt.prior
     shared = spark.sparkContext.broadcast(parts)
-    key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id()}"
+    key = f"language-{uuid.uuid4().hex}"
 
     def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         if not shared.value[0]:
             return [UNKNOWN_LANGUAGE] * len(texts), np.zeros(len(texts))
-        if key not in _models:
-            _models.clear()
-            _models[key] = Model(*shared.value)
-        return _models[key].predict(texts)
+        return held(key, lambda: Model(*shared.value)).predict(texts)
 
     return predict
 
@@ -302,7 +297,7 @@ def identify(docs: DataFrame, model: str) -> DataFrame:
         langs, scores = predict(b.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
-    return map_batches(source, run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return map_batches(source, run, "doc_id long, held_out boolean, lang_pred string, score double", keeps=True)
 
 
 def accepted(docs: DataFrame, model: str, least: float = 0.5) -> DataFrame:
@@ -313,4 +308,4 @@ def accepted(docs: DataFrame, model: str, least: float = 0.5) -> DataFrame:
         langs, scores = predict(b.column("text").to_pylist())
         return b.filter(pa.array([x != UNKNOWN_LANGUAGE and s >= least for x, s in zip(langs, scores, strict=True)]))
 
-    return map_batches(docs, run, docs.schema)
+    return map_batches(docs, run, docs.schema, keeps=True)

@@ -18,11 +18,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdforge.llm.common import map_batches
+from mdforge.llm.common import held, map_batches
 
 MARK = "▁"
 #: Words a worker keeps; words longer than the second number are not kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 #: One text in so many is compared with the library in each batch.
 CHECK_EVERY = 97
 
@@ -133,14 +133,9 @@ class PieceCodec:
         return out
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
 def codec(model: str) -> PieceCodec:
     """The worker's codec of a model file: made once, its cache serves all later tasks."""
-    if model not in _codecs:
-        _codecs[model] = PieceCodec(model)
-    return _codecs[model]
+    return held(f"codec {model}", lambda: PieceCodec(model))
 
 
 def _sha(text: str) -> str:
@@ -159,7 +154,7 @@ def encode_ids(docs: DataFrame, model: str) -> DataFrame:
         ids = [[int(x) for x in g[0].split(",")] if g[0] else [] for g in got]
         return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array([g[2] for g in got], pa.string())], ["doc_id", "ids", "decoded"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, decoded string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, ids array<int>, decoded string", keeps=True)
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -174,4 +169,4 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
         cols = [b.column("doc_id"), pa.array([g[1] for g in got], pa.int64()), pa.array([_sha(g[0]) for g in got]), pa.array([_sha(g[2]) for g in got])]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(F.col("doc_id").cast("long"), "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", keeps=True)

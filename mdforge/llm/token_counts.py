@@ -9,6 +9,7 @@ The table only saves work: any table, an empty one included, gives the same coun
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from itertools import chain
 
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdforge.llm.common import map_batches
+from mdforge.llm.common import held, map_batches
 
 #: Pre-tokens of the broadcast table, and texts of the sample that chooses them.
 TABLE_WORDS, SAMPLE_TEXTS = 65_536, 4_000
 #: Pre-tokens a worker keeps besides; longer ones than the second number are not kept.
-CACHE_WORDS, CACHE_LENGTH = 400_000, 64
+CACHE_WORDS, CACHE_LENGTH = 200_000, 64
 
 # Texts of these characters only are split by one plain pattern; their composed form is
 # themselves. All others are normalised and split by the library itself.
@@ -76,17 +77,11 @@ class WordCounter:
         return sum(map(self.numbers.__getitem__, words))
 
 
-_counters: dict[tuple, WordCounter] = {}
-
-
-def counter(vocabulary: str, key: str, table) -> WordCounter:
-    """The worker's counter for a vocabulary and a broadcast table (unpacked once)."""
-    if (vocabulary, key) not in _counters:
-        _counters.clear()
-        blob, ends, lengths = table()
-        words = blob.decode().split("\n") if len(ends) else []
-        _counters[vocabulary, key] = WordCounter(vocabulary, dict(zip(words, lengths.tolist(), strict=True)))
-    return _counters[vocabulary, key]
+def unpacked(vocabulary: str, table: tuple[bytes, np.ndarray, np.ndarray]) -> WordCounter:
+    """A counter that knows the numbers of a broadcast table."""
+    blob, ends, lengths = table
+    words = blob.decode().split("\n") if len(ends) else []
+    return WordCounter(vocabulary, dict(zip(words, lengths.tolist(), strict=True)))
 
 
 def frequent_table(docs: DataFrame, vocabulary: str, words: int = TABLE_WORDS, texts: int = SAMPLE_TEXTS) -> tuple[bytes, np.ndarray, np.ndarray]:
@@ -123,13 +118,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048, table_word
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     shared = spark.sparkContext.broadcast(frequent_table(docs, vocabulary, table_words))
-    key = f"{spark.sparkContext.applicationId}-{shared._jbroadcast.id() if shared._jbroadcast is not None else id(shared)}"
+    key = f"tokens-{uuid.uuid4().hex}"
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        own = counter(vocabulary, key, lambda: shared.value)
+        own = held(key, lambda: unpacked(vocabulary, shared.value))
         texts = b.column("text").to_pylist()
         n = [own.count(t) for t in texts]
         cols = [b.column("doc_id"), pa.array([len(t.encode()) if t else 0 for t in texts], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n])]
         return pa.RecordBatch.from_arrays(cols, ["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return map_batches(docs, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+    return map_batches(docs, run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean", keeps=True)
