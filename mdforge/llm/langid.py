@@ -27,12 +27,10 @@ ROUNDS, PRIOR = 3, 0.05
 #: Words longer than this are cut into stretches: no piece is longer than 16 characters.
 STRETCH = 32
 #: Words a worker keeps.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
 UNKNOWN_LANGUAGE = "und"
 
-# Word characters that are no letters (fractions, Roman numerals and the like) end a word.
-_NUMERALS = "".join(c for c in map(chr, range(0x80, 0x110000)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORDS = re.compile(rf"[^\W\d_{_NUMERALS}]+")
+_WORDS = re.compile(r"[^\W\d_]+")
 # Substrings are hashed to 64 bits; the top 20 pick a place in the table of candidates.
 _BASE, _MULTIPLIER, _SHIFT = "substring", 0x9E3779B97F4A7C15, np.uint64(44)
 
@@ -174,6 +172,8 @@ class Model:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Language and its posterior probability for each text."""
         split = [words_of(t) if t else [] for t in texts]
+        # Fractions, Roman numerals and the like are word characters, but no letters.
+        empty = np.array([not any(w.isalpha() or any(map(str.isalpha, w)) for w in s) for s in split], bool)
         total = np.zeros((len(texts), len(self.languages)))
         step = 200_000  # words scored together: a batch of long texts stays small
         at = 0
@@ -194,7 +194,6 @@ class Model:
                 if split[k]:
                     total[k] += self.logs[list(map(get, split[k]))].sum(0, dtype=float)
             at = to
-        empty = np.array([s is not None and not s for s in split])
         total += np.log(self.prior)
         best = total.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
         score = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
