@@ -7,9 +7,11 @@ probabilities, ``(c(h, w) + mu p(w)) / (c(h) + mu)``, from those probes alone.
 
 Counting: tasks fold the n-grams of their texts into sorted arrays of hashes and counts,
 cut by hash into ranges; a range's arrays meet in one task and are added up. The filter
-has one segment for each range, so the task that counts a range also fills its segment.
-The filter's size is bounded by ``max_bits``: it holds the n-grams of the highest levels
-that fit, which for a corpus whose n-grams all fit are all of them.
+has one segment for each range, filled from the range's words and from its pairs.
+The filter grows with the counted n-grams and holds all of them. At most ``max_bits`` of it
+are broadcast at a time: a larger one goes round in passes over consecutive ranges, each
+of which notes the levels of the words and pairs of its ranges; the notes of all passes
+make the scores, which are those that the whole filter would give.
 
 Word counts besides are exact: the most frequent words are broadcast, the rest of a
 text's words are joined to the table of counts.
@@ -17,8 +19,13 @@ text's words are joined to the table of counts.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,14 +33,14 @@ from mdforge.llm.common import map_batches, settle
 from mdforge.llm.langid import held_out
 from mdforge.llm.shingles import mix, text_words
 
-#: Bound of the filter, hash functions per level, base of the levels, and mu.
+#: Bits broadcast at a time, hash functions per level, base of the levels, and mu.
 MAX_BITS, HASHES, BASE, MU = 1 << 28, 3, 1.6, 100.0
 #: Words whose exact counts are broadcast.
 FREQUENT = 1 << 19
 #: n-grams folded at a time in a task, and training tokens for each hash range.
 FOLD, TOKENS_A_RANGE = 4_000_000, 1 << 19
-#: Tokens scored together.
-SCORED = 500_000
+#: Tokens scored together, and in a row between passes.
+SCORED, PACKED = 500_000, 1 << 16
 _START, _END = np.uint64(0x51ED270B7A2F1D35), np.uint64(0x2545F4914F6CDD1D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -69,11 +76,25 @@ def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
     return ((keys >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
+def squeezed(keys: np.ndarray) -> bytes:
+    """Sorted keys as differences, byte by byte of all: the high bytes compress to nothing."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(data, np.uint8).reshape(8, -1).T.copy().view(np.uint64).reshape(-1), dtype=np.uint64)
+
+
 class Filter:
-    """Bits in segments, one for each range of the n-grams' hashes."""
+    """Bits in segments, one for each range of the n-grams' hashes, from range ``start`` on."""
 
-    def __init__(self, bits: np.ndarray, ranges: int, segment: int) -> None:
-        self.bits, self.ranges, self.segment = bits, ranges, segment
+    def __init__(self, bits: np.ndarray, ranges: int, segment: int, start: int = 0) -> None:
+        self.bits, self.ranges, self.segment, self.start = bits, ranges, segment, start
+
+    def held(self, keys: np.ndarray) -> np.ndarray:
+        """The keys of the ranges that this filter has the segments of."""
+        r = _range(keys, self.ranges) - self.start
+        return keys[(r >= 0) & (r < len(self.bits) * 8 // self.segment)]
 
     @staticmethod
     def probes(keys: np.ndarray, q: int, segment: int) -> list[np.ndarray]:
@@ -88,7 +109,7 @@ class Filter:
         while len(left):
             q += 1
             some, ok = keys[left], np.ones(len(left), bool)
-            first = _range(some, self.ranges).astype(np.uint64) * np.uint64(self.segment)
+            first = (_range(some, self.ranges) - self.start).astype(np.uint64) * np.uint64(self.segment)
             for p in self.probes(some, q, self.segment):
                 at = (first + p).astype(np.int64)
                 ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
@@ -109,7 +130,7 @@ def _folded(docs: DataFrame, ranges: int, pairs: bool) -> DataFrame:
 
     def rows(keys, counts):
         cut = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
-        own = [(r, keys[i:j].tobytes(), counts[i:j].tobytes()) for r, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
+        own = [(r, squeezed(keys[i:j]), counts[i:j].tobytes()) for r, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
         for at in range(0, len(own), 64):
             some = own[at : at + 64]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.binary()), pa.array([x[2] for x in some], pa.binary())], ["part", "keys", "counts"])
@@ -144,7 +165,7 @@ def _merged(folded: DataFrame, ranges: int) -> DataFrame:
         def out():
             k, at = np.unique(np.concatenate(keys), return_inverse=True)
             n = np.bincount(at, np.concatenate(counts), len(k)).astype(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([k.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["part", "keys", "counts"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(k)], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["part", "keys", "counts"])
 
         for b in batches:
             for p, k, n in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
@@ -152,7 +173,7 @@ def _merged(folded: DataFrame, ranges: int) -> DataFrame:
                     yield out()
                     keys, counts = [], []
                 part = p
-                keys.append(np.frombuffer(k, np.uint64))
+                keys.append(unsqueezed(k))
                 counts.append(np.frombuffer(n, np.uint32))
         if keys:
             yield out()
@@ -176,7 +197,7 @@ class Counts:
         """(word, c): exact counts of all training words and the end."""
 
         def run(b: pa.RecordBatch) -> pa.RecordBatch:
-            keys = [np.frombuffer(x, np.int64) for x in b.column("keys").to_pylist()]
+            keys = [unsqueezed(x).view(np.int64) for x in b.column("keys").to_pylist()]
             n = [np.frombuffer(x, np.int64) for x in b.column("counts").to_pylist()]
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(n))], ["word", "c"])
 
@@ -189,117 +210,215 @@ class Counts:
         by = np.argsort(words)
         return words[by], c[by].astype(np.int64)
 
-    def filter(self, max_bits: int) -> Filter:
-        """The filter of all n-grams of the levels that fit into ``max_bits``."""
-        spark, ranges = self.words.sparkSession, self.ranges
-
-        def levels(b: pa.RecordBatch) -> pa.RecordBatch:
-            q = np.bincount(level(np.concatenate([np.frombuffer(x, np.int64) for x in b.column("counts").to_pylist()])))
-            return pa.RecordBatch.from_arrays([pa.array(np.arange(len(q)), pa.int32()), pa.array(q, pa.int64())], ["level", "n"])
-
-        both = self.words.withColumn("pair", F.lit(False)).union(self.pairs.withColumn("pair", F.lit(True)))
-        seen = map_batches(both.select("counts"), levels, "level int, n long").groupBy("level").agg(F.sum("n").alias("n")).collect()
-        need, least = 0, 0
-        for r in sorted(seen, key=lambda r: -r["level"]):
-            if r["n"] and (need + r["level"] * r["n"]) * HASHES * 1.45 <= max_bits:
-                need += r["level"] * r["n"]
-                least = r["level"]
-            elif r["n"]:
-                break
+    def filters(self, max_bits: int) -> Iterator[Filter]:
+        """The filter of all n-grams, in slices of whole segments of up to ``max_bits``."""
+        ranges = self.ranges
+
+        def entries(b: pa.RecordBatch) -> pa.RecordBatch:
+            q = level(np.concatenate([np.frombuffer(x, np.int64) for x in b.column("counts").to_pylist()]))
+            return pa.RecordBatch.from_arrays([pa.array([int(q.sum())], pa.int64())], ["n"])
+
+        both = self.words.union(self.pairs)
+        need = map_batches(both.select("counts"), entries, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
         # 1.45 bits a hash leave half of the bits unset; segments differ a little in load.
         segment = max(1024, (int(need * HASHES * 1.45) // ranges + 7) // 8 * 8)
 
         def fill(batches):
-            part, bits = None, None
             for b in batches:
-                for p, pair, keys, n in zip(b.column("part").to_pylist(), b.column("pair").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                    if p != part:
-                        if part is not None:
-                            yield row(part, bits)
-                        part, bits = p, np.zeros(segment, bool)
-                    k, q = np.frombuffer(keys, np.uint64), level(np.frombuffer(n, np.int64))
+                for p, keys, n in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                    bits, k, q = np.zeros(segment, bool), unsqueezed(keys), level(np.frombuffer(n, np.int64))
                     for x in range(1, int(q.max()) + 1):
-                        for at in Filter.probes((k if pair else k)[q >= max(x, least)], x, segment):
+                        for at in Filter.probes(k[q >= x], x, segment):
                             bits[at.astype(np.int64)] = True
-            if part is not None:
-                yield row(part, bits)
-
-        def row(part, bits):
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
-
-        segments = both.repartition(min(ranges, 8192), "part").sortWithinPartitions("part").mapInArrow(fill, "part int, bits binary")
-        bits = np.zeros(segment * ranges // 8, np.uint8)
-        if least:
-            for r in segments.toLocalIterator():
-                bits[r["part"] * segment // 8 : (r["part"] + 1) * segment // 8] = np.frombuffer(r["bits"], np.uint8)
-        return Filter(bits, ranges, segment)
+                    yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+
+        # A segment comes twice, with the bits of the words and with those of the pairs.
+        segments = both.mapInArrow(fill, "part int, bits binary")
+        width = max(1, max_bits // segment)
+        if width < ranges:
+            segments = settle(segments, "segments")
+        for start in range(0, ranges, width):
+            n = min(width, ranges - start)
+            bits = np.zeros(segment * n // 8, np.uint8)
+            for r in segments.where(F.col("part").between(start, start + n - 1)).toLocalIterator():
+                at = (r["part"] - start) * segment // 8
+                bits[at : at + segment // 8] |= np.frombuffer(r["bits"], np.uint8)
+            yield Filter(bits, ranges, segment, start)
+
+
+class Texts:
+    """Texts scored together: their distinct words, each token's word, and lengths."""
+
+    def __init__(self, words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> None:
+        self.words, self.at = words, at
+        self.ends = np.cumsum(lengths)
+        self.starts = self.ends - lengths
+
+    @classmethod
+    def of(cls, tokens: list[np.ndarray]) -> Texts:
+        return cls(*np.unique(np.concatenate(tokens), return_inverse=True), np.array([len(t) for t in tokens]))
+
+    def pairs(self) -> np.ndarray:
+        """Every token's pair with the token before."""
+        w = self.words[self.at]
+        before = np.roll(w, 1)
+        before[self.starts] = _START
+        return mix(before * _GOLD + w)
+
+
+def _bundles(texts: list[str | None], most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """Tokens of consecutive texts, until there are more than ``most``, and the first's place."""
+    held, size, first = [], 0, 0
+    for k, t in enumerate(texts):
+        held.append(tokens_of(t))
+        size += len(held[-1])
+        if size > most:
+            yield first, held
+            held, size, first = [], 0, k + 1
+    if held:
+        yield first, held
 
 
 class Scorer:
     """Scores many texts at once: every distinct word and pair is probed once."""
 
-    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], model: Filter, tokens: int, types: int, mu: float) -> None:
-        (self.words, self.counts), self.model, self.tokens, self.types, self.mu = frequent, model, tokens, types, mu
+    def __init__(self, frequent: tuple[np.ndarray, np.ndarray], tokens: int, types: int, mu: float) -> None:
+        (self.words, self.counts), self.tokens, self.types, self.mu = frequent, tokens, types, mu
 
-    def __call__(self, texts: list[np.ndarray]):
+    def __call__(self, texts: Texts, levels: Callable[[np.ndarray, bool], np.ndarray]):
         """For each text: frequent words, sum of log10(count + 1) over them, log10
-        probability of the text, and the hashes of its other words."""
-        ends = np.cumsum([len(t) for t in texts])
-        starts = ends - [len(t) for t in texts]
-        w = np.concatenate(texts)
-        one, at = np.unique(w, return_inverse=True)
+        probability of the text, and the hashes of its other words. ``levels`` gives the
+        levels of the texts' distinct words or, if the flag is set, pairs, by hash."""
+        one, at, starts = texts.words, texts.at, texts.starts
         place = np.minimum(np.searchsorted(self.words, one), max(0, len(self.words) - 1))
         found = self.words[place] == one if len(self.words) else np.zeros(len(one), bool)
         logs = np.zeros(len(one))
         logs[found] = np.log10(self.counts[place[found]] + 1.0)
-        c1 = np.minimum(count_of(self.model.levels(one)), self.tokens)[at]
-        before, c_before = np.roll(w, 1), np.roll(c1, 1)
-        before[starts] = _START  # the start is as frequent as the end, the last token of each text
-        c_before[starts] = c1[ends - 1]
-        pair, at_pair = np.unique(mix(before * _GOLD + w), return_inverse=True)
+        c1 = np.minimum(count_of(levels(one, False)), self.tokens)[at]
+        c_before = np.roll(c1, 1)
+        c_before[starts] = c1[texts.ends - 1]  # the start is as frequent as the end, the last token of each text
+        pair, at_pair = np.unique(texts.pairs(), return_inverse=True)
         # A pair is no more frequent than its words.
-        c2 = np.minimum(count_of(self.model.levels(pair))[at_pair], np.minimum(c_before, c1))
+        c2 = np.minimum(count_of(levels(pair, True))[at_pair], np.minimum(c_before, c1))
         p = np.log10((c2 + self.mu * (c1 + 1) / (self.tokens + self.types + 1)) / (c_before + self.mu))
         known = found[at]
-        rare = np.split(w[~known].view(np.int64), np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))[:-1])
+        rare = np.split(one[at][~known].view(np.int64), np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))[:-1])
         return np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(logs[at], starts), np.add.reduceat(p, starts), rare
 
 
+_NAMES = ["doc_id", "text_hash", "held_out"]
+_SCORED = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_frequent long, log_frequent double, score double, rare array<long>"
+
+
+def _scored_batch(names: list[pa.Array], lengths: np.ndarray, parts: list[tuple]) -> pa.RecordBatch:
+    frequent, logs, p = (np.concatenate([x[k] for x in parts]) for k in range(3))
+    rare = [r for x in parts for r in x[3]]
+    ends = pa.array(np.cumsum([0, *map(len, rare)], dtype=np.int32))
+    out = pa.array(lengths, pa.int64()), pa.array(frequent), pa.array(logs), pa.array(p)
+    return pa.RecordBatch.from_arrays([*names, *out, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))], [*_NAMES, "n_tokens", "n_frequent", "log_frequent", "score", "rare"])
+
+
+def _scored_at_once(docs: DataFrame, model: Filter, scorer) -> DataFrame:
+    """Scores with a filter that is broadcast whole."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        model, own, parts, lengths = shared.value, scorer(), [], []
+        for _, tokens in _bundles(b.column("text").to_pylist(), SCORED):
+            parts.append(own(Texts.of(tokens), lambda keys, _: model.levels(keys)))
+            lengths.extend(map(len, tokens))
+        return _scored_batch([b.column(x) for x in _NAMES], np.array(lengths), parts)
+
+    return settle(map_batches(docs, run, _SCORED), "scored")
+
+
+def _packed(docs: DataFrame) -> DataFrame:
+    """A row for each bundle of texts: a number, the texts' names and lengths, words, and tokens."""
+
+    def run(batches):
+        number = TaskContext.get().partitionId() << 32
+        for b in batches:
+            for first, tokens in _bundles(b.column("text").to_pylist(), PACKED):
+                t = Texts.of(tokens)
+                names = [pa.array([b.column(x).slice(first, len(tokens)).to_pylist()], pa.list_(b.column(x).type)) for x in _NAMES]
+                own = pa.array([number], pa.int64()), *names, pa.array([list(map(len, tokens))], pa.list_(pa.int64()))
+                at = t.at.astype(_wide(len(t.words))).view(np.uint8).reshape(len(t.at), -1).T.tobytes()
+                yield pa.RecordBatch.from_arrays([*own, pa.array([squeezed(t.words)], pa.binary()), pa.array([pa.compress(at, "zstd", asbytes=True)], pa.binary())], ["bundle", *_NAMES, "lengths", "words", "at"])
+                number += 1
+
+    return docs.mapInArrow(run, "bundle long, doc_id array<long>, text_hash array<long>, held_out array<boolean>, lengths array<long>, words binary, at binary")
+
+
+def _wide(words: int) -> np.dtype:
+    return np.dtype(np.uint16 if words <= 1 << 16 else np.uint32)
+
+
+def _unpacked(words: bytes, at: bytes, lengths: list[int]) -> Texts:
+    words, n = unsqueezed(words), sum(lengths)
+    wide = _wide(len(words))
+    at = np.frombuffer(pa.decompress(at, n * wide.itemsize, "zstd", asbytes=True), np.uint8)
+    return Texts(words, at.reshape(wide.itemsize, n).T.copy().view(wide).reshape(-1), np.array(lengths))
+
+
+def _noted(packed: DataFrame, turn: int, model: Filter) -> DataFrame:
+    """(bundle, turn, word_levels, pair_levels) of the filter's ranges, by hash."""
+    shared = packed.sparkSession.sparkContext.broadcast(model)
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        model, out = shared.value, ([], [])
+        for x in zip(*(b.column(c).to_pylist() for c in ("words", "at", "lengths")), strict=True):
+            t = _unpacked(*x)
+            for levels, keys in zip(out, (model.held(t.words), np.unique(model.held(t.pairs()))), strict=True):
+                levels.append(model.levels(keys).astype(np.uint8).tobytes())
+        return pa.RecordBatch.from_arrays([b.column("bundle"), pa.array([turn] * b.num_rows, pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["bundle", "turn", "word_levels", "pair_levels"])
+
+    noted = settle(map_batches(packed.select("bundle", "words", "at", "lengths"), run, "bundle long, turn int, word_levels binary, pair_levels binary"), "noted")
+    shared.destroy()
+    return noted
+
+
+def _scored_in_turns(docs: DataFrame, models: Iterator[Filter], scorer) -> DataFrame:
+    """Scores with one slice of the filter at a time: ranges and turns are in the order of
+    the hashes, so the turns' levels, one after the other, are those of the sorted hashes."""
+    packed = settle(_packed(docs), "packed")
+    noted = reduce(DataFrame.union, [_noted(packed, k, model) for k, model in enumerate(models)])
+    turns = noted.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("turn", "word_levels", "pair_levels"))).alias("turns"))
+    turns = turns.select("bundle", F.col("turns.word_levels").alias("word_levels"), F.col("turns.pair_levels").alias("pair_levels"))
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        own, parts = scorer(), []
+        for *x, one, two in zip(*(b.column(c).to_pylist() for c in ("words", "at", "lengths", "word_levels", "pair_levels")), strict=True):
+            parts.append(own(_unpacked(*x), lambda _, pair, one=one, two=two: np.frombuffer(b"".join(two if pair else one), np.uint8)))
+        return _scored_batch([b.column(x).flatten() for x in _NAMES], b.column("lengths").flatten().to_numpy(), parts)
+
+    return settle(map_batches(packed.join(turns, "bundle"), run, _SCORED), "scored")
+
+
 def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
     """One row for every row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
     Learns from all documents that aren't held out (crc32 of the id modulo 7 is not 2; a
     null id isn't held out). Null and empty texts are one token, the end. Without training
-    texts every word is unknown. Other columns are left out.
+    texts every word is unknown. Other columns are left out. ``max_bits`` bounds
+    what is broadcast at a time, not what is counted: it doesn't change the scores.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
     counts = Counts(docs.where(~F.col("held_out")))
     n, v = counts.tokens, counts.types
-    shared = spark.sparkContext.broadcast((counts.frequent(FREQUENT), counts.filter(max_bits)))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        scorer = Scorer(*shared.value, n, v, mu)
-        held, size, parts, lengths = [], 0, [], []
-        for t in b.column("text").to_pylist():
-            held.append(tokens_of(t))
-            lengths.append(len(held[-1]))
-            size += lengths[-1]
-            if size > SCORED:
-                parts.append(scorer(held))
-                held, size = [], 0
-        if held:
-            parts.append(scorer(held))
-        frequent, logs, p = (np.concatenate([x[k] for x in parts]) for k in range(3))
-        rare = [r for x in parts for r in x[3]]
-        ends = pa.array(np.cumsum([0, *map(len, rare)], dtype=np.int32))
-        out = pa.array(lengths, pa.int64()), pa.array(frequent), pa.array(logs), pa.array(p)
-        cols = [b.column("doc_id"), b.column("text_hash"), b.column("held_out"), *out, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))]
-        return pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "held_out", "n_tokens", "n_frequent", "log_frequent", "score", "rare"])
-
-    schema = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_frequent long, log_frequent double, score double, rare array<long>"
-    scored = settle(map_batches(docs.withColumn("text_hash", F.xxhash64("text")), run, schema), "scored")
+    frequent = spark.sparkContext.broadcast(counts.frequent(FREQUENT))
+    docs = docs.withColumn("text_hash", F.xxhash64("text"))
+
+    def scorer() -> Scorer:
+        return Scorer(frequent.value, n, v, mu)
+
+    models = counts.filters(max_bits)
+    first = next(models)
+    if len(first.bits) * 8 == first.ranges * first.segment:
+        scored = _scored_at_once(docs, first, scorer)
+    else:
+        scored = _scored_in_turns(docs, chain([first], models), scorer)
     name = ["doc_id", "text_hash"]
     one = scored.where(F.size("rare") > 0).groupBy(*name).agg(F.first("rare").alias("rare"))
     joined = one.select(*name, F.explode("rare").alias("word")).groupBy(*name, "word").agg(F.count("*").alias("k")).join(counts.table, "word")

@@ -208,6 +208,18 @@ def test_lm_scores(docs, rows, no_docs):
     assert bloom_lm.score(no_docs).count() == 0
 
 
+def test_lm_scores_of_a_filter_in_turns(docs, spark, monkeypatch):
+    want = key(tuple(r) for r in bloom_lm.score(docs).collect())
+    held = []
+    noted = bloom_lm._noted
+    monkeypatch.setattr(bloom_lm, "_noted", lambda p, k, model: held.append(len(model.bits) * 8) or noted(p, k, model))
+    monkeypatch.setattr(bloom_lm, "PACKED", 300)
+    for max_bits in (1, 1 << 13):
+        held.clear()
+        assert key(tuple(r) for r in bloom_lm.score(docs, max_bits=max_bits).collect()) == want
+        assert len(held) > 1 and (max_bits == 1 or max(held) <= max_bits)
+
+
 def test_filter_never_reads_too_little():
     rng = np.random.default_rng(0)
     counts = rng.integers(1, 5000, 3000)
