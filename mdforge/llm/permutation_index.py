@@ -8,6 +8,12 @@ the best share by that distance is ranked again by the exact inner product.
 The rows are dealt by a hash to blocks of bounded size, each with inverted files of its
 own; the queries visit every block and take its best, and the best of all blocks are the
 result. All rows are indexed; only the pivots come from a bounded sample.
+
+There are two sets of pivots, each with inverted files of its own. Those of the first are
+distinct and far apart, so that a dense group, such as near copies, supplies few of them
+and doesn't crowd the files that other queries read. Those of the second are dealt as
+densely as the vectors lie, and tell the members of such a group apart. The best share by
+either is ranked again.
 """
 
 from __future__ import annotations
@@ -20,8 +26,10 @@ from pyspark.sql import functions as F
 from mdforge.llm.common import settle
 from mdforge.llm.lattice_hash import matrix, usable
 
-#: Pivots, the share of them posted for a row, and the share that a query reads.
+#: Pivots of a set, the share of them posted for a row, and the share that a query reads.
 PIVOTS, POSTED, READ = 256, 0.5, 0.25
+#: Distinct vectors that the pivots are chosen from.
+SAMPLE = 4096
 #: Share of a block that is ranked again, and its least number of rows.
 RERANK, RERANK_LEAST = 0.1, 256
 #: Rows of a block.
@@ -50,11 +58,25 @@ class Pivots:
         return np.argsort(-(q @ self.vectors[:, :-1].T), axis=1, kind="stable")[:, : self.read]
 
 
+def spread(x: np.ndarray, n: int) -> np.ndarray:
+    """Places of up to ``n`` distinct rows, each the farthest from those before it."""
+    out, far = [0], ((x - x[0]) ** 2).sum(1)
+    while len(out) < n and far.max() > 0:
+        out.append(int(far.argmax()))
+        far = np.minimum(far, ((x - x[out[-1]]) ** 2).sum(1))
+    return np.array(out)
+
+
+def pivot_sets(sample: np.ndarray, norm: float) -> list[Pivots]:
+    """Pivots far apart, and the first ones of the sample."""
+    return [Pivots(sample[spread(Pivots.lifted(sample, norm), PIVOTS)], norm), Pivots(sample[:PIVOTS], norm)]
+
+
 class InvertedFiles:
-    """For every pivot: the rows that post it and the place it has for them."""
+    """For every pivot of a set: the rows that post it and the place it has for them."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: Pivots) -> None:
-        self.ids, self.x, self.pivots = ids, x, pivots
+    def __init__(self, x: np.ndarray, pivots: Pivots) -> None:
+        self.size, self.pivots = len(x), pivots
         order = pivots.of_rows(x)
         by = np.argsort(order.reshape(-1), kind="stable")
         cuts = np.searchsorted(order.reshape(-1)[by], np.arange(len(pivots.vectors) + 1))
@@ -62,14 +84,25 @@ class InvertedFiles:
         rows, places = by // order.shape[1], (by % order.shape[1]).astype(np.int32)
         self.files = [(rows[i:j], places[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
 
-    def best(self, query_id: int, q: np.ndarray, order: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best of those whose footrule distance is least."""
-        far = np.zeros(len(self.ids), np.int32)
+    def near(self, order: np.ndarray, n: int) -> np.ndarray:
+        """The n rows whose footrule distance is least."""
+        far = np.zeros(self.size, np.int32)
         for place, pivot in enumerate(order):
             rows, places = self.files[pivot]
             far[rows] += np.abs(places - place) - (self.pivots.posted - place)
-        n = min(len(far), max(RERANK_LEAST, 8 * k, int(RERANK * len(far))))
-        some = np.argpartition(far, n - 1)[:n]
+        return np.argpartition(far, n - 1)[:n]
+
+
+class Block:
+    """Rows with the inverted files of every set of pivots."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, sets: list[Pivots]) -> None:
+        self.ids, self.x, self.files = ids, x, [InvertedFiles(x, p) for p in sets]
+
+    def best(self, query_id: int, q: np.ndarray, orders: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k best of the rows that are near by any set."""
+        n = min(len(self.ids), max(RERANK_LEAST, 8 * k, int(RERANK * len(self.ids))))
+        some = np.unique(np.concatenate([f.near(order, n) for f, order in zip(self.files, orders, strict=True)]))
         some = some[self.ids[some] != query_id]
         score = (self.x[some] * q).sum(1)
         top = np.lexsort((self.ids[some], -score))[:k]
@@ -94,8 +127,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         return spark.createDataFrame([], schema)
     dim, n, largest = sizes[0]
     v = v.where(F.col("dim") == dim)
-    chosen = v.orderBy(F.xxhash64("vec_id"), "vec_id").limit(PIVOTS).select("embedding").collect()
-    shared = spark.sparkContext.broadcast((np.array([r[0] for r in chosen], np.float64), float(largest)))
+    one = v.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
+    chosen = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    shared = spark.sparkContext.broadcast(pivot_sets(np.array([r[0] for r in chosen], np.float64), float(largest)))
     blocks = -(-n // BLOCK)
     own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
     rows = v.select(own.alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
@@ -103,7 +137,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     dealt = rows.union(asks).repartition(blocks, "block").sortWithinPartitions("block", "asks")
 
     def run(batches):
-        pivots = Pivots(*shared.value)
+        sets = shared.value
         block, ids, x, files = None, [], [], None
         for b in batches:
             of, ask = b.column("block").to_numpy(), b.column("asks").to_numpy(zero_copy_only=False)
@@ -117,15 +151,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
                     x.append(matrix(part.column("embedding")))
                     continue
                 if files is None and ids:
-                    files = InvertedFiles(np.concatenate(ids), np.concatenate(x), pivots)
+                    files = Block(np.concatenate(ids), np.concatenate(x), sets)
                 if files is not None:
-                    yield found(files, part, pivots)
+                    yield found(files, part, sets)
 
-    def found(files, part, pivots):
+    def found(files, part, sets):
         q = matrix(part.column("embedding"))
         out = [[], [], []]
-        for query_id, vector, order in zip(part.column("vec_id").to_pylist(), q, pivots.of_queries(q), strict=True):
-            ids, score = files.best(query_id, vector, order, k)
+        for query_id, vector, *orders in zip(part.column("vec_id").to_pylist(), q, *(p.of_queries(q) for p in sets), strict=True):
+            ids, score = files.best(query_id, vector, orders, k)
             for c, v in zip(out, (np.full(len(ids), query_id), ids, score), strict=True):
                 c.append(v)
         return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])

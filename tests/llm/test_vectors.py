@@ -67,6 +67,30 @@ def test_nearest_has_recall_and_exact_scores(table):
     assert len(few) == 4
 
 
+def recall(spark, x, queries):
+    """Mean recall by id of the 20 nearest rows, ties to the smaller id."""
+    frame = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = permutation_index.nearest(frame, F.col("vec_id").isin(queries)).collect()
+    by = {q: {r.vec_id for r in got if r.query_id == q} for q in queries}
+    out = []
+    for q in queries:
+        s = (x * x[q]).sum(1)
+        s[q] = -np.inf
+        out.append(len(by[q] & set(np.lexsort((np.arange(len(x)), -s))[:20].tolist())) / 20)
+    return np.mean(out)
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.01, 0.1])
+def test_recall_beside_a_third_of_copies(spark, noise):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20, 64))[rng.integers(0, 20, 2000)] + 1.5 * rng.normal(size=(2000, 64))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[:667] = x[0] + noise * x.std(0) * rng.normal(size=(667, 64))
+    assert recall(spark, x, list(range(700, 2000, 26))) >= 0.93
+    if noise:
+        assert recall(spark, x, list(range(0, 667, 26))) >= 0.9
+
+
 def test_e8_decodes_to_the_nearest_point():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(500, 8)) * 3
