@@ -14,6 +14,9 @@ distinct and far apart, so that a dense group, such as near copies, supplies few
 and doesn't crowd the files that other queries read. Those of the second are dealt as
 densely as the vectors lie, and tell the members of such a group apart. The best share by
 either is ranked again.
+
+Equal vectors are one class, indexed once under its smallest id. A class that is found
+stands for its members with the smallest ids, which are joined to it after the search.
 """
 
 from __future__ import annotations
@@ -73,37 +76,36 @@ def pivot_sets(sample: np.ndarray, norm: float) -> list[Pivots]:
 
 
 class InvertedFiles:
-    """For every pivot of a set: the rows that post it and the place it has for them."""
+    """For every pivot of a set: the place it has for each row of the block."""
 
     def __init__(self, x: np.ndarray, pivots: Pivots) -> None:
-        self.size, self.pivots = len(x), pivots
         order = pivots.of_rows(x)
-        by = np.argsort(order.reshape(-1), kind="stable")
-        cuts = np.searchsorted(order.reshape(-1)[by], np.arange(len(pivots.vectors) + 1))
         # Rows that don't post a pivot count with the first place that isn't posted.
-        rows, places = by // order.shape[1], (by % order.shape[1]).astype(np.int32)
-        self.files = [(rows[i:j], places[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
+        self.places = np.full((len(pivots.vectors), len(x)), pivots.posted, np.int16)
+        self.places[order, np.arange(len(x))[:, None]] = np.arange(order.shape[1], dtype=np.int16)
 
     def near(self, order: np.ndarray, n: int) -> np.ndarray:
         """The n rows whose footrule distance is least."""
-        far = np.zeros(self.size, np.int32)
+        far, one = np.zeros(self.places.shape[1], np.int32), np.empty(self.places.shape[1], np.int16)
         for place, pivot in enumerate(order):
-            rows, places = self.files[pivot]
-            far[rows] += np.abs(places - place) - (self.pivots.posted - place)
+            np.subtract(self.places[pivot], np.int16(place), out=one)
+            far += np.abs(one, out=one)
         return np.argpartition(far, n - 1)[:n]
 
 
 class Block:
-    """Rows with the inverted files of every set of pivots."""
+    """Classes with the inverted files of every set of pivots."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, sets: list[Pivots]) -> None:
         self.ids, self.x, self.files = ids, x, [InvertedFiles(x, p) for p in sets]
 
-    def best(self, query_id: int, q: np.ndarray, orders: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Ids and inner products of the k best of the rows that are near by any set."""
+    def best(self, q: np.ndarray, orders: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and inner products of the k best of the classes that are near by any set."""
         n = min(len(self.ids), max(RERANK_LEAST, 8 * k, int(RERANK * len(self.ids))))
-        some = np.unique(np.concatenate([f.near(order, n) for f, order in zip(self.files, orders, strict=True)]))
-        some = some[self.ids[some] != query_id]
+        found = np.zeros(len(self.ids), bool)
+        for f, order in zip(self.files, orders, strict=True):
+            found[f.near(order, n)] = True
+        some = np.nonzero(found)[0]
         score = (self.x[some] * q).sum(1)
         top = np.lexsort((self.ids[some], -score))[:k]
         return self.ids[some][top], score[top]
@@ -125,14 +127,19 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
     schema = "query_id long, rank int, vec_id long, score double"
     if not sizes:
         return spark.createDataFrame([], schema)
-    dim, n, largest = sizes[0]
+    dim, _, largest = sizes[0]
     v = v.where(F.col("dim") == dim)
-    one = v.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"))
-    chosen = one.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").collect()
+    # One more than k: the query itself may be a member, and its class may hold no other.
+    same = Window.partitionBy("embedding").orderBy("vec_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    members = v.select("vec_id", "embedding", F.first("vec_id").over(same).alias("cls"), F.row_number().over(same).alias("place"))
+    members = settle(members.where(F.col("place") <= k + 1), "members")
+    classes = members.where("place = 1").select("cls", "embedding")
+    n = classes.count()
+    chosen = classes.orderBy(F.xxhash64("cls"), "cls").limit(SAMPLE).select("embedding").collect()
     shared = spark.sparkContext.broadcast(pivot_sets(np.array([r[0] for r in chosen], np.float64), float(largest)))
     blocks = -(-n // BLOCK)
-    own = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    rows = v.select(own.alias("block"), F.lit(False).alias("asks"), "vec_id", "embedding")
+    own = F.pmod(F.xxhash64("cls", F.lit(1)), F.lit(blocks)).cast("int")
+    rows = classes.select(own.alias("block"), F.lit(False).alias("asks"), F.col("cls").alias("vec_id"), "embedding")
     asks = v.where(is_query).select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(True).alias("asks"), "vec_id", "embedding")
     dealt = rows.union(asks).repartition(blocks, "block").sortWithinPartitions("block", "asks")
 
@@ -159,12 +166,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20) -> DataFrame:
         q = matrix(part.column("embedding"))
         out = [[], [], []]
         for query_id, vector, *orders in zip(part.column("vec_id").to_pylist(), q, *(p.of_queries(q) for p in sets), strict=True):
-            ids, score = files.best(query_id, vector, orders, k)
+            ids, score = files.best(vector, orders, k + 1)
             for c, v in zip(out, (np.full(len(ids), query_id), ids, score), strict=True):
                 c.append(v)
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "vec_id", "score"])
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in out], ["query_id", "cls", "score"])
 
-    best = dealt.mapInArrow(run, "query_id long, vec_id long, score double")
+    best = dealt.mapInArrow(run, "query_id long, cls long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "cls")
+    best = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k + 1)
+    best = best.drop("rank").join(members.select("cls", "vec_id"), "cls").where("vec_id <> query_id")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -87,8 +87,7 @@ def test_recall_beside_a_third_of_copies(spark, noise):
     x /= np.linalg.norm(x, axis=1)[:, None]
     x[:667] = x[0] + noise * x.std(0) * rng.normal(size=(667, 64))
     assert recall(spark, x, list(range(700, 2000, 26))) >= 0.93
-    if noise:
-        assert recall(spark, x, list(range(0, 667, 26))) >= 0.9
+    assert recall(spark, x, list(range(0, 667, 26))) >= (0.9 if noise else 1)
 
 
 def test_e8_decodes_to_the_nearest_point():
