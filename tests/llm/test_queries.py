@@ -14,7 +14,7 @@ def test_every_operator_is_registered():
     import __spark_entry__ as E
 
     names = E.queries()
-    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 11)) and "pipeline" in names
+    assert all(any(q.startswith(f"op{n}_") for q in names) for n in range(1, 14)) and "pipeline" in names
 
 
 def test_mixing_equals_sql(spark):
