@@ -2,17 +2,21 @@
 
 Design (the reference delegates these to an external extractor / formatter):
 
-* ``main_content``: drop comments, scripts, styles and boilerplate blocks, then take
-  the inner HTML of the first ``<article>``, else ``<main>``, else ``<body>``, else the
-  whole cleaned document. Empty -> null (no article).
+* ``main_content``: drop comments, scripts, styles and boilerplate blocks, then take the
+  inner HTML of the element whose text scores best (``dom.best_content``); without a text
+  that counts, of the first ``<article>``, else ``<main>``, else ``<body>``, else the whole
+  cleaned document. Empty -> null (no article).
 * ``html_text``: text content of that HTML, entities decoded, whitespace collapsed.
-* ``html_to_markdown``: an ordered rewrite chain producing GFM: ATX headings,
-  paragraphs, ``**bold**``, ``_em_``, inline code, fenced code blocks, links,
-  images, nested ``-`` and numbered lists, nested ``>`` quotes, pipe tables,
-  ``~~strike~~``, ``[x]`` task items, ``---`` rules. Text is not Markdown-escaped.
-
-Every step is a built-in expression (``regexp_replace``, ``split``, ``transform``),
-so extraction runs inside the JVM on each partition with no Python worker.
+* ``html_to_markdown``: GFM rendered bottom-up over the element tree (``dom.rendered``):
+  ATX headings, paragraphs, ``**bold**``, ``_em_``, inline code, fenced code blocks, links,
+  images, ``-`` and numbered lists, ``>`` quotes, pipe tables with alignment, hard line
+  breaks, ``~~strike~~``, ``[x]`` task items, ``---`` rules, nested in any depth. An inline
+  element without an end tag marks nothing. Text is not Markdown-escaped.
+
+Every step is a built-in expression (``regexp_replace``, ``split``, ``aggregate``), so
+extraction runs inside the JVM on each partition with no Python worker. The SQL twins are
+ordered rewrites that don't know nesting: they are right for flat articles, such as the
+driver's pages have, and serve as their oracle.
 """
 
 from __future__ import annotations
@@ -23,6 +27,7 @@ from typing import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import dom
 from .regex import WS, Rx, let, rx_spark, rx_sql, sql_str, trim_ws, trim_ws_sql
 
 # ---------------------------------------------------------------------------
@@ -118,19 +123,6 @@ FINAL_STEPS = (
 # closing tag; a missing closing tag runs to the end (as an HTML parser would).
 # ---------------------------------------------------------------------------
 
-def _span_spark(c: Column, open_pat: str, close_pat: str, inner: Callable[[Column], Column]) -> Column:
-    def piece(p: Column, i: Column) -> Column:
-        inside = F.regexp_extract(p, r"(?s)^(.*?)" + close_pat, 1)
-        after = F.regexp_replace(p, r"(?s)^.*?" + close_pat, "")
-        return (
-            F.when(i == 0, p)
-            .when(p.rlike(close_pat), F.concat(inner(inside), after))
-            .otherwise(inner(p))
-        )
-
-    return F.array_join(F.transform(F.split(c, open_pat), piece), "")
-
-
 def _span_sql(e: str, open_pat: str, close_pat: str, inner: Callable[[str], str]) -> str:
     inside = f"regexp_extract(p, {sql_str(r'(?s)^(.*?)' + close_pat)}, 1)"
     after = f"regexp_replace(p, {sql_str(r'(?s)^.*?' + close_pat)}, '')"
@@ -146,11 +138,6 @@ PRE_OPEN, PRE_CLOSE = r"(?i)<pre\b[^>]*>", r"(?i)</pre\s*>"
 PRE_INNER = (Rx(r"(?i)</?code\b[^>]*>", ""), TAG, Rx(r"^\r?\n", ""), Rx(r"\r?\n\z", ""))
 
 
-def _pre_spark(x: Column) -> Column:
-    body = rx_spark(rx_spark(x, PRE_INNER), PROTECT)
-    return F.concat(F.lit("\n\n```\x01"), body, F.lit("\x01```\n\n"))
-
-
 def _pre_sql(x: str) -> str:
     body = rx_sql(rx_sql(x, PRE_INNER), PROTECT)
     return f"('\n\n```\x01' || {body} || '\x01```\n\n')"
@@ -163,42 +150,6 @@ LIST_TAG = r"(?i)</?(?:ul|ol|menu|li)\b[^>]*>"
 OL_START = r"""(?i)[ \t\r\n\f]start[ \t]*=[ \t]*["']?([0-9]{1,9})"""
 
 
-def _lists_spark(c: Column) -> Column:
-    def step(state: Column, tag: Column) -> Column:
-        opened, n = state["open"], F.size(state["open"])
-        name = F.lower(F.regexp_extract(tag, "^</?([A-Za-z]+)", 1))
-        closes = tag.startswith("</")
-        number = F.when(n > 0, F.element_at(opened, -1)).otherwise(F.lit(-1))
-        outer = F.when(n > 0, F.slice(opened, 1, n - 1)).otherwise(opened)
-        indent = F.array_join(F.transform(outer, lambda k: F.when(k < 0, F.lit("\x02\x02")).otherwise(F.lit("\x02\x02\x02"))), "")
-        marker = F.when(number < 0, F.lit("- ")).otherwise(F.concat(number.cast("string"), F.lit(". ")))
-        start = F.when(name == "ol", F.coalesce(F.nullif(F.regexp_extract(tag, OL_START, 1), F.lit("")).cast("int"), F.lit(1))).otherwise(F.lit(-1))
-        edge = lambda inner: F.when(inner, F.lit("")).otherwise(F.lit("\n\n"))
-        text = (
-            F.when((name == "li") & ~closes, F.concat(F.lit("\n"), indent, marker))
-            .when(name == "li", F.lit(""))
-            .when(closes, edge(n > 1))
-            .otherwise(edge(n > 0))
-        )
-        then = (
-            F.when((name == "li") & ~closes & (number >= 0), F.concat(outer, F.array(number + 1)))
-            .when(name == "li", opened)
-            .when(closes, outer)
-            .otherwise(F.concat(opened, F.array(start)))
-        )
-        return F.struct(F.concat(state["out"], F.array(text)).alias("out"), then.alias("open"))
-
-    def body(s: Column) -> Column:
-        tags = F.regexp_extract_all(s, F.lit(LIST_TAG), 0)
-        empty = F.struct(F.array().cast("array<string>").alias("out"), F.array().cast("array<int>").alias("open"))
-        marks = F.concat(F.array(F.lit("")), F.aggregate(tags, empty, step)["out"])
-        pieces = F.split(s, LIST_TAG)
-        trimmed = lambda p, m: F.when(m.endswith("- ") | m.endswith(". "), F.regexp_replace(p, r"^\s+", "")).otherwise(p)
-        return F.array_join(F.zip_with(pieces, marks, lambda p, m: F.concat(m, trimmed(p, m))), "")
-
-    return let(c, lambda s: F.when(s.rlike(LIST_TAG), body(s)).otherwise(s))
-
-
 def _lists_sql(e: str) -> str:
     tags = f"regexp_extract_all(s, {sql_str(LIST_TAG)}, 0)"
     name = "lower(regexp_extract(tag, '^</?([A-Za-z]+)', 1))"
@@ -246,20 +197,6 @@ ROW_STEPS = (
 )
 
 
-def _table_spark(x: Column) -> Column:
-    def row(r: Column, i: Column) -> Column:
-        cells = rx_spark(r, ROW_STEPS)
-        n = F.size(F.regexp_extract_all(r, F.lit(CELL_OPEN), 0))
-        sep = F.concat(F.lit("\n|"), F.repeat(F.lit(" --- |"), n))
-        return (
-            F.when(i == 0, F.lit(""))
-            .when(i == 1, F.concat(F.lit("\n"), cells, sep))
-            .otherwise(F.concat(F.lit("\n"), cells))
-        )
-
-    return F.concat(F.lit("\n\n"), F.array_join(F.transform(F.split(x, TR_OPEN), row), ""), F.lit("\n\n"))
-
-
 def _table_sql(x: str) -> str:
     cells = rx_sql("r", ROW_STEPS)
     n = f"len(regexp_extract_all(r, {sql_str(CELL_OPEN)}, 0))"
@@ -276,32 +213,6 @@ BQ_TAG = r"(?i)</?blockquote\b[^>]*>"
 GAPS = (Rx(r"\n{3,}", "\n\n"),)
 
 
-def _quotes_spark(c: Column) -> Column:
-    def body(s: Column) -> Column:
-        tags = F.regexp_extract_all(s, F.lit(BQ_TAG), 0)
-        turns = F.transform(tags, lambda t: F.when(t.startswith("</"), F.lit(-1)).otherwise(F.lit(1)))
-        depth = F.aggregate(
-            turns, F.array(F.lit(0)), lambda acc, d: F.concat(acc, F.array(F.greatest(F.element_at(acc, -1) + d, F.lit(0))))
-        )
-        parts = F.zip_with(F.split(s, BQ_TAG), depth, lambda p, d: F.struct(F.when(d > 0, trim_ws(rx_spark(p, GAPS))).otherwise(p).alias("p"), d.alias("d")))
-        parts = F.filter(parts, lambda x: (x["d"] == 0) | (x["p"] != ""))
-
-        def quoted(x: Column) -> Column:
-            mark = F.repeat(F.lit("> "), x["d"])
-            lines = F.transform(F.split(x["p"], "\n"), lambda ln: F.when(ln == "", F.rtrim(mark)).otherwise(F.concat(mark, ln)))
-            return F.when(x["d"] > 0, F.array_join(lines, "\n")).otherwise(x["p"])
-
-        def joined(ps: Column) -> Column:
-            before = F.concat(F.array(F.lit(0)), F.transform(ps, lambda x: x["d"]))
-            both = F.transform(ps, lambda x, i: F.struct(quoted(x).alias("t"), F.least(x["d"], F.element_at(before, i + 1)).alias("m")))
-            gap = lambda m: F.when(m > 0, F.concat(F.lit("\n"), F.rtrim(F.repeat(F.lit("> "), m)), F.lit("\n"))).otherwise(F.lit("\n\n"))
-            return F.array_join(F.transform(both, lambda b, i: F.concat(F.when(i > 0, gap(b["m"])).otherwise(F.lit("")), b["t"])), "")
-
-        return let(parts, joined)
-
-    return let(c, lambda s: F.when(s.rlike(BQ_TAG), body(s)).otherwise(s))
-
-
 def _quotes_sql(e: str) -> str:
     turns = f"list_transform(regexp_extract_all(s, {sql_str(BQ_TAG)}, 0), lambda t: [CASE WHEN starts_with(t, '</') THEN -1 ELSE 1 END])"
     depth = f"list_reduce({turns}, lambda acc, d: list_append(acc, greatest(acc[-1] + d[1], 0)), [0])"
@@ -396,19 +307,15 @@ def clean_html(html: Column) -> Column:
     return rx_spark(html, CLEAN_STEPS)
 
 
-def main_content(html: Column, cleaned: Column | None = None) -> Column:
-    """H2: article HTML with boilerplate removed; null when nothing is left.
+def main_content(cleaned: str) -> Column:
+    """H2: article HTML of a column of ``clean_html``; null when nothing is left.
 
-    Pass ``cleaned`` (a column holding ``clean_html(html)``) so the cleaning chain is
-    evaluated once per row rather than once per container test.
+    The element whose text scores best, see ``dom.best_content``; a page without a text
+    that counts gives its first ``article``, else ``main``, else ``body``, else all of it.
     """
-    if cleaned is None:
-        cleaned = clean_html(html)
-    def body(text: Column) -> Column:
-        filled = lambda c: let(trim_ws(c), lambda t: F.when(t != "", t))
-        return F.coalesce(*[filled(F.regexp_extract(text, p, 1)) for p in CONTAINERS], filled(rx_spark(text, DOC_REST)))
-
-    return let(cleaned, body)
+    text = F.col(cleaned)
+    filled = lambda c: let(trim_ws(c), lambda t: F.when(t != "", t))
+    return F.coalesce(dom.content_column(cleaned), *[filled(F.regexp_extract(text, p, 1)) for p in CONTAINERS], filled(rx_spark(text, DOC_REST)))
 
 
 def main_content_sql(e: str) -> str:
@@ -428,16 +335,14 @@ def html_text_sql(e: str) -> str:
     return _plain_sql(e)
 
 
-def html_to_markdown(content: Column) -> Column:
-    """H3: GFM Markdown from article HTML."""
-    c = _span_spark(content, PRE_OPEN, PRE_CLOSE, _pre_spark)
-    c = rx_spark(c, (COLLAPSE,) + INLINE_STEPS)
-    c = _span_spark(c, TABLE_OPEN, TABLE_CLOSE, _table_spark)
-    c = rx_spark(c, BLOCK_STEPS)
-    c = rx_spark(_lists_spark(c), PARA_STEPS)
-    c = _quotes_spark(c)
-    c = rx_spark(decode_entities(rx_spark(c, (TAG,))), FINAL_STEPS)
-    return rx_spark(trim_ws(c), UNPROTECT)
+def finished(markdown: Column) -> Column:
+    """Rendered Markdown with references decoded, blank lines settled and parked characters put back."""
+    return rx_spark(trim_ws(rx_spark(decode_entities(markdown), FINAL_STEPS)), dom.UNPARK)
+
+
+def html_to_markdown(content: str) -> Column:
+    """H3: GFM Markdown of a column of article HTML, rendered bottom-up over its element tree."""
+    return finished(dom.markdown_column(content))
 
 
 def html_to_markdown_sql(e: str) -> str:

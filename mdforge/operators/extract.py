@@ -33,7 +33,7 @@ def main_content(df: DataFrame, html: str = "html") -> DataFrame:
     """H2: ``content_html`` (null = no article) and ``text``."""
     return (
         df.withColumn("_clean", H.clean_html(F.col(html)))
-        .withColumn("content_html", H.main_content(F.col(html), F.col("_clean")))
+        .withColumn("content_html", H.main_content("_clean"))
         .drop("_clean")
         .withColumn("text", H.html_text(F.col("content_html")))
     )
@@ -41,7 +41,7 @@ def main_content(df: DataFrame, html: str = "html") -> DataFrame:
 
 def html_to_markdown(df: DataFrame, content: str = "content_html", out: str = "markdown") -> DataFrame:
     """H3: GFM Markdown of an HTML column."""
-    return df.withColumn(out, H.html_to_markdown(F.col(content)))
+    return df.withColumn(out, H.html_to_markdown(content))
 
 
 def limited_markdown(title: Column, text: Column) -> Column:
@@ -79,7 +79,7 @@ def content_gate(df: DataFrame, html: str = "html", url: str = "url") -> DataFra
     staged = main_content(page_metadata(df, html), html).withColumn(
         "status", gate_status(F.col(html), F.col("content_html"))
     )
-    md_ok = H.html_to_markdown(F.col("content_html"))
+    md_ok = H.html_to_markdown("content_html")
     return (
         staged.withColumn(
             "markdown",
@@ -128,6 +128,21 @@ def html_blocks(df: DataFrame, content: str = "content_html", keep: tuple[str, .
     return out.select(*keep, (F.col("pos") + 1).cast("int").alias("pos"), F.col("_b.tag").alias("tag"), F.col("_b.inner").alias("inner"))
 
 
+def html_block_tree(df: DataFrame, content: str = "content_html", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+    """H4 as the tree behind H3: (keep..., pos, parent, depth, tag, post, markdown).
+
+    One row per block element. ``pos`` numbers all elements of the page in the order they
+    open (inline ones take numbers too), ``post`` the blocks in the order they close;
+    ``parent`` is the ``pos`` of the element around, 0 at the top. A block is inside another
+    if its ``pos`` is larger and its ``post`` smaller. ``markdown`` is the block's own.
+    """
+    blocks = df.select(*keep, F.posexplode(H.dom.rendered_column(content)["blocks"]).alias("_post", "_b"))
+    return blocks.select(
+        *keep, F.col("_b.id").alias("pos"), F.col("_b.parent").alias("parent"), F.col("_b.depth").alias("depth"), F.col("_b.tag").alias("tag"),
+        (F.col("_post") + 1).cast("int").alias("post"), H.finished(F.col("_b.markdown")).alias("markdown"),
+    )
+
+
 def html_blocks_sql(src: str, content: str = "content_html", key: str = "page_id") -> str:
     tags = f"regexp_extract_all({content}, {sql_str(BLOCK_OPEN)}, 1)"
     pieces = f"regexp_split_to_array({content}, {sql_str(BLOCK_OPEN)})"

@@ -82,13 +82,92 @@ _WRAPPED_SQL = (
 )
 
 
-@register("h3_markdown_structures", f"SELECT page_id, {H.html_to_markdown_sql('content_html')} AS markdown FROM {_WRAPPED_SQL}")
+# The article's own Markdown is that of flat paragraphs; what the structures around it make
+# of its lines is written out here, apart from the engine's renderer.
+_FLAT_SQL = f"(SELECT page_id, content_html, {H.html_to_markdown_sql('content_html')} AS md FROM {_CONTENT_SQL})"
+
+
+def _indented_sql(e: str, n: int) -> str:
+    return f"regexp_replace({e}, '\n([^\n])', '\n{' ' * n}\\1', 'g')"
+
+
+def _quoted_sql(e: str) -> str:
+    return f"array_to_string(list_transform(string_split({e}, '\n'), lambda x: CASE WHEN x = '' THEN '>' ELSE '> ' || x END), '\n')"
+
+
+_QUOTE_SQL = "'out\n\n' || " + _quoted_sql("md") + " || '\n\ntail'"
+
+
+@register(
+    "h3_markdown_structures",
+    f"""SELECT page_id, '2. first\n3. ' || {_indented_sql("md || '\n- café 2×3\n- _**both**_'", 3)} || '\n4. last\n\n' ||
+    {_quoted_sql(_QUOTE_SQL)} || '\n\n| a\\|b |\n| --- |\n| c d |' AS markdown FROM {_FLAT_SQL}""",
+)
 def h3_markdown_structures(spark, sf):
     body = X.main_content(_pages(spark, sf))
     wrapped = F.concat(F.lit(WRAP[0]), F.col("content_html"), F.lit(WRAP[1]), F.col("content_html"), F.lit(WRAP[2]))
     return X.html_to_markdown(UO.barrier(body.select("page_id", wrapped.alias("content_html")))).select("page_id", "markdown")
 
 
+# Deeper: a quote in a list in a list, code with backticks and blank lines in an item, marks
+# in marks with white space inside them, breaks, a caption, alignments, marks in cells, tags
+# that are left open, and end tags of nothing.
+NEST = (
+    "<ul><li><b>one <i> two <s>three</s></i></b><ol start=9><li>nine<blockquote>",
+    "</blockquote><li>ten<pre><code>x = `a`\n\n  ```y\n</code></pre></ol><li><p>loose</p><p>a<br>b<br></p></li></ul></i>",
+    "<table><caption>Sum</caption><tr><th align=left>L<th style='text-align: right'>R<th>N</tr><tr><td><b>x</b><p>y</p><td>"
+    "<code>a``b</code><td><a href='/u?a=1&amp;b=2'> <em>t</em></a>z</table></div><p>1<p>2 <b>open<div>3</div>4",
+)
+
+
+@register(
+    "h3_markdown_nesting",
+    f"""SELECT page_id,
+    '- **one _two ~~three~~_**\n  9. nine\n\n     ' || {_indented_sql(_quoted_sql("md"), 5)} ||
+    '\n  10. ten\n\n      ````\n      x = `a`\n      \n        ```y\n      ````\n- loose\n\n  a  \n  b\n\n' ||
+    'Sum\n\n| L | R | N |\n| :--- | ---: | --- |\n| **x** y | ``` a``b ``` | [_t_](/u?a=1&b=2)z |\n\n1\n\n2 open\n\n3\n\n4' AS markdown FROM {_FLAT_SQL}""",
+)
+def h3_markdown_nesting(spark, sf):
+    body = X.main_content(_pages(spark, sf))
+    nested = F.concat(F.lit(NEST[0]), F.col("content_html"), *[F.lit(x) for x in NEST[1:]])
+    return X.html_to_markdown(UO.barrier(body.select("page_id", nested.alias("content_html")))).select("page_id", "markdown")
+
+
+# Pages around the article of each driver page, in four layouts: after a teaser, around a
+# comment that is an article too, in a div beside a list of links, and twice in a row.
+_CLOSING = "<p>The closing words, of this page, are long, full, and plain.</p>"
+_TEASER = "<article class='teaser'><h2>Other</h2><p>See more of this other story, today</p></article>"
+_COMMENT = "<article class='comment'><p>A reader said, a while ago, that this is fine.</p></article>"
+_LINKS = "<div id=menu><ul>" + "".join(f"<li><a href='/{k}'>A link, to some other page, number {k}</a>" for k in range(9)) + "</ul></div>"
+LAYOUTS = (
+    (_TEASER + "<article>", "</article>"),
+    ("<article>", _COMMENT + "</article>"),
+    ("<div>" + _LINKS + "<div class='story'>", "</div></div>"),
+    ("<article>", "</article>"),
+)
+
+
+def _in_layouts(df: DataFrame) -> DataFrame:
+    body = F.concat("content_html", F.lit(_CLOSING))
+    layout = F.pmod("page_id", F.lit(4))
+    page = F.coalesce(*[F.when(layout == k, F.concat(F.lit(a), body, F.lit(b))) for k, (a, b) in enumerate(LAYOUTS)])
+    twice = F.when(layout == 3, F.concat(F.lit("<article>"), body, F.lit("</article>"))).otherwise(F.lit(""))
+    html = F.concat(F.lit("<html><body><header>Top</header>"), page, twice, F.lit("<footer>End</footer></body></html>"))
+    return UO.barrier(df.select("page_id", html.alias("html")))
+
+
+_LAYOUT_SQL = (
+    f"(SELECT page_id, CASE page_id % 4 WHEN 1 THEN b || {sql_str(_COMMENT)} WHEN 3 THEN b || '\n\n' || b ELSE b END AS content_html "
+    f"FROM (SELECT page_id, content_html || {sql_str(_CLOSING)} AS b FROM {_CONTENT_SQL}))"
+)
+
+
+@register("h2_article_layouts", f"SELECT page_id, content_html, {H.html_text_sql('content_html')} AS text FROM {_LAYOUT_SQL}")
+def h2_article_layouts(spark, sf):
+    pages = _in_layouts(X.main_content(_pages(spark, sf)))
+    return X.main_content(pages).select("page_id", "content_html", "text")
+
+
 _GATE_SQL = f"""(SELECT *, CASE WHEN html IS NULL OR {H.trim_ws_sql('html')} = '' THEN 'empty'
   WHEN content_html IS NULL THEN 'no_article' WHEN length({H.trim_ws_sql('content_html')}) < {X.MIN_CONTENT_CHARS} THEN 'limited'
   ELSE 'ok' END AS status, {H.page_title_sql('html')} AS title, {H.html_text_sql('content_html')} AS text FROM {_CONTENT_SQL})"""
@@ -282,7 +361,7 @@ _LINK_MD_SQL = f"(SELECT page_id, url, {D.link_markdown_sql('html', 'url')} AS m
 
 def _link_md(spark, sf):
     pages = _pages(spark, sf)
-    return pages.select("page_id", "url", D.link_markdown(F.col("html"), F.col("url")).alias("md"))
+    return D.link_markdown(pages)
 
 
 def _unnest_sql(arr: str) -> str:
@@ -724,6 +803,26 @@ def h4_html_blocks(spark, sf):
     return X.html_blocks(X.main_content(_pages(spark, sf)))
 
 
+# The driver's articles are flat: every block is at the top, blocks close in the order they
+# open, and inline elements only take numbers.
+_ALL_TAGS = r"(?i)<(h[1-6]|p|b|br)\b[^>]*>"
+_BLOCK_TAGS = r"(?i)<(?:h[1-6]|p)\b[^>]*>"
+_FLAT_BLOCKS = f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, 0 AS parent, 1 AS depth, tag, CAST(row_number() OVER w AS INTEGER) AS post,
+  CASE WHEN inner_text = '' THEN '' WHEN tag = 'p' THEN inner_text ELSE repeat('#', CAST(tag[2:] AS INTEGER)) || ' ' || inner_text END AS markdown
+FROM (
+  SELECT page_id, pos, tag, {H.html_text_sql("pieces[count(*) OVER (PARTITION BY page_id ORDER BY pos) + 1]")} AS inner_text
+  FROM (SELECT page_id, lower(unnest(tags)) AS tag, generate_subscripts(tags, 1) AS pos, pieces
+        FROM (SELECT page_id, regexp_extract_all(content_html, {sql_str(_ALL_TAGS)}, 1) AS tags, regexp_split_to_array(content_html, {sql_str(_BLOCK_TAGS)}) AS pieces
+              FROM {_CONTENT_SQL}))
+  WHERE tag NOT IN ('b', 'br'))
+WINDOW w AS (PARTITION BY page_id ORDER BY pos)"""
+
+
+@register("h4_block_tree", _FLAT_BLOCKS)
+def h4_block_tree(spark, sf):
+    return X.html_block_tree(X.main_content(_pages(spark, sf)))
+
+
 # ---------------------------------------------------------------------------
 # Oracle for the registered crawl (budget of 3 pages, all origins). With three pages a
 # crawl is the seed, then the first two new links of the seed, or - when the seed has

@@ -80,11 +80,13 @@ MIN_CLEAN = H.CLEAN_STEPS[:6]
 BODY_RE = H.CONTAINERS[2]
 
 
-def link_markdown(html, url):
+def link_markdown(pages: DataFrame) -> DataFrame:
+    """(page_id, url, md) of (page_id, url, html)."""
     def body(cleaned):
         return let(F.regexp_extract(cleaned, BODY_RE, 1), lambda b: F.when(b != "", b).otherwise(cleaned))
 
-    return F.concat(F.lit("<!-- Source: "), url, F.lit(" -->\n"), H.html_to_markdown(let(rx_spark(html, MIN_CLEAN), body)))
+    bodies = pages.select("page_id", "url", let(rx_spark(F.col("html"), MIN_CLEAN), body).alias("_body"))
+    return bodies.select("page_id", "url", F.concat(F.lit("<!-- Source: "), F.col("url"), F.lit(" -->\n"), H.html_to_markdown("_body")).alias("md"))
 
 
 def link_markdown_sql(html: str, url: str) -> str:

@@ -9,7 +9,7 @@ from mdforge.operators import extract as X
 
 def md(spark, html):
     df = spark.createDataFrame([(html,)], "h string")
-    return df.select(H.html_to_markdown(F.col("h")).alias("m")).first().m
+    return df.select(H.html_to_markdown("h").alias("m")).first().m
 
 
 def test_inline_formatting(spark):
@@ -95,7 +95,7 @@ def test_numeric_references(spark):
         ("<p>t</p><blockquote><p>q</p><p>r</p></blockquote><p>u</p>", "t\n\n> q\n>\n> r\n\nu"),
         ("<i><b>x</b></i>", "_**x**_"),
         ('<b>a <a href="http://x/">l</a></b>', "**a [l](http://x/)**"),
-        ("<strong>a<br>b</strong>", "**a\nb**"),
+        ("<strong>a<br>b</strong>", "**a  \nb**"),
         ("<a data-href='/no' href=/yes>l</a>", "[l](/yes)"),
         ("<table><tr><th>h|1</th><th>i</th></tr><tr><td>a|b</td><td>c</td></tr></table>", "| h\\|1 | i |\n| --- | --- |\n| a\\|b | c |"),
         ("caf&eacute; 2&times;3 &laquo;q&raquo; &amp;lt; &#000008217; &nosuch; &#xD800;", "café 2×3 «q» &lt; ’ &nosuch; &#xD800;"),
@@ -115,3 +115,94 @@ def test_anchor_forms(spark):
     )
     df = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
     assert [r.link for r in L.dom_links(df).orderBy("pos").collect()] == ["http://h/single", "http://h/bare", "http://h/double?a=1&b=2"]
+
+
+WORDS = "some words, and more of them, to make a text that counts, "
+
+
+def content(spark, html):
+    df = spark.createDataFrame([(1, html)], "page_id long, html string")
+    return X.main_content(df).first().content_html
+
+
+def test_nested_article_does_not_end_the_outer_one(spark):
+    inner = "a<article>in</article>zzz " + WORDS
+    assert content(spark, f"<body><article>{inner}</article></body>") == inner.strip()
+
+
+def test_best_article_wins_over_teasers(spark):
+    real = f"<h1>T</h1><p>{WORDS * 4}</p><p>{WORDS * 3}end"
+    teaser = "<article><h2>x</h2><p>Read this other, shorter story today</p></article>"
+    assert content(spark, f"<body>{teaser}<article>{real}</article>{teaser}</body>") == real
+    # Articles of like weight come together, in order.
+    assert content(spark, f"<body><article>{real}</article>{teaser}<article>2{real}</article></body>") == f"{real}\n\n2{real}"
+
+
+def test_links_and_names_lower_a_score(spark):
+    links = "".join(f"<li><a href=/{k}>{WORDS}</a>" for k in range(20))
+    got = content(spark, f"<body><div><ul>{links}</ul></div><div><p>{WORDS}</p></div></body>")
+    assert got == f"<p>{WORDS}</p>"
+    assert content(spark, f"<body><div class='sidebar'><p>{WORDS * 3}</p></div><div id=content><p>{WORDS}</p></div></body>") == f"<p>{WORDS}</p>"
+
+
+def test_content_without_a_text_that_counts(spark):
+    assert content(spark, "<body><article><p>few</p></article></body>") == "<p>few</p>"
+    assert content(spark, "<p>no container " + WORDS + "</p>") == f"<p>no container {WORDS}</p>"
+    assert content(spark, "<div><p>" + WORDS) == "<p>" + WORDS.strip()
+    assert content(spark, None) is None and content(spark, "") is None
+
+
+def test_events_nest_properly(spark):
+    from mdforge.functions import dom
+
+    html = "<ul><li>a<li><p>b<table><tr><td>c<td>d</b></li></table></ul></div><p>e<p title='x>y'>f"
+    df = spark.createDataFrame([(html,)], "h string")
+    evs = df.select(dom.expr(dom.events(dom.F.col("h"), dom.MARKDOWN_NAMES).sql).alias("e")).first().e
+    stack, tree = [], []
+    for e in evs:
+        if e.k == "o":
+            assert e.parent == (stack[-1][0] if stack else 0) and e.depth == len(stack) + 1
+            stack.append((e.id, e.tag))
+            tree.append((e.depth, e.tag))
+        elif e.k == "c":
+            assert stack.pop() == (e.id, e.tag)
+    assert not stack
+    assert tree == [(1, "ul"), (2, "li"), (2, "li"), (3, "p"), (3, "table"), (4, "tr"), (5, "td"), (5, "td"), (1, "p"), (1, "p")]
+    assert [html[e["at"] : e["at"] + len(e.text)] for e in evs if e.k == "t"] == list("abcdef")
+
+
+@pytest.mark.parametrize(
+    ("html", "markdown"),
+    [
+        ("x<b> sp </b>y", "x **sp** y"),
+        ("<b><i><s>deep</s></i></b>", "**_~~deep~~_**"),
+        ("<b>a <b>b</b></b>", "**a b**"),
+        ("<b>left open<p>next", "left open\n\nnext"),
+        ("a<br>b<br><br>c<br></p>", "a  \nb\n\nc"),
+        ("<code>a`b</code> <code></code><code>c</code>", "`` a`b `` `c`"),
+        ("<pre>x\n\n\n  ```\n</pre>", "````\nx\n\n\n  ```\n````"),
+        ("<blockquote><ul><li>a<pre>b\nc</pre></ul></blockquote>", "> - a\n>\n>   ```\n>   b\n>   c\n>   ```"),
+        ("<ol start=9><li>a<p>b</p><li>c<p>d</p></ol>", "9. a\n\n   b\n10. c\n\n    d"),
+        ("<ul>stray<li>a</li><ul><li>b</li></ul></ul>", "- stray\n- a\n  - b"),
+        ("<li>alone", "- alone"),
+        ("<table><caption>C</caption><tr><th align=center>h<th style='text-align:right'>i<tr><td>a<p>b|c</p><td><b>d</b></table>", "C\n\n| h | i |\n| :---: | ---: |\n| a b\\|c | **d** |"),
+        ("<table><tr><td>o<table><tr><td>in</td></tr></table></td></tr></table>", "| o \\| in \\| \\| --- \\| |\n| --- |"),
+        ("<a href='/x'> t </a><a href=/y><img src=i.png alt='p'></a><a>none</a>", "[t](/x) [![p](i.png)](/y)none"),
+        ("<h2>a<br>b <em>c</em></h2>text", "## a b _c_\n\ntext"),
+        ("&nbsp;<i>&nbsp;x</i>", "_x_"),
+        ("", ""),
+    ],
+)
+def test_markdown_bottom_up(spark, html, markdown):
+    assert md(spark, html) == markdown
+
+
+def test_block_tree(spark):
+    df = spark.createDataFrame([(1, "<h2>T</h2><ul><li>a <b>b</b><ul><li>c</ul><li>d</ul>")], "page_id long, content_html string")
+    got = [(r.pos, r.parent, r.depth, r.tag, r.post, r.markdown) for r in X.html_block_tree(df).orderBy("pos").collect()]
+    assert got == [
+        (1, 0, 1, "h2", 1, "## T"), (2, 0, 1, "ul", 6, "- a **b**\n  - c\n- d"), (3, 2, 2, "li", 4, "a **b**\n- c"),
+        (5, 3, 3, "ul", 3, "- c"), (6, 5, 4, "li", 2, "c"), (7, 2, 2, "li", 5, "d"),
+    ]
+    for _, parent, _, _, post, _ in got:
+        assert not parent or post < next(x[4] for x in got if x[0] == parent)
