@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import ip as IP
 from ..functions import urls as U
+from ..functions import urlstandard as S
 from ..functions.regex import let, sql_str
 
 # Policy messages.
@@ -108,7 +109,7 @@ def _rules(url, scheme, userinfo, host, bare, v4) -> Column:
         host.isNull()
         | ~url.rlike(AUTHORITY_RE)
         | ~F.regexp_extract(url, AUTHORITY_RE, 1).rlike(PORT_RE)
-        | (~bracketed & bare.rlike(U.BAD_HOST_RE))
+        | (~bracketed & (bare.rlike(U.BAD_HOST_RE) | bare.rlike(U.NON_ASCII_RE)))
         | (~bracketed & v4["is_v4"] & v4["num"].isNull())
         | (bracketed & ~bare.rlike(IP.URL_IPV6_RE))
     )
@@ -129,10 +130,12 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url",
     """``rule`` (allowed / invalid_url / scheme / credentials / address /
     unresolved), ``reason`` (null = allowed) and ``allowed``, in the reference order.
 
-    IP-literal hosts are checked in place; names go through U9 (one verdict per
-    host, joined back on ``host`` - AQE splits a skewed host partition).
+    URLs are judged as the URL standard reads them (``urlstandard.standard``): a decoded,
+    mapped host is the one that is looked up or checked. IP-literal hosts are checked in
+    place; names go through U9 (one verdict per host, joined back on ``host`` - AQE splits a
+    skewed host partition).
     """
-    staged = df.withColumn("_url_rules", _url_rules(F.col(url)))
+    staged = df.withColumn("_std", S.standard_column(url)).withColumn("_url_rules", _url_rules(F.col("_std")))
     r = {k: F.col("_url_rules." + k) for k in RULE_FIELDS}
     staged = staged.withColumns({
         "_invalid": r["invalid"], "_scheme": r["scheme"], "_bad_scheme": r["bad_scheme"], "_cred": r["credentials"],
@@ -173,7 +176,7 @@ def url_policy(df: DataFrame, host_addresses: DataFrame, url: str = "url",
         .otherwise(F.col("_host_error"))
     )
     out = joined.withColumn("rule", rule).withColumn("reason", reason).withColumn("allowed", F.col("reason").isNull())
-    return out.drop("_url_rules", "_invalid", "_scheme", "_bad_scheme", "_cred", "_lit_family", "_lit_address", "_pre", "_lit_error", "_h", "_host_error")
+    return out.drop("_std", "_url_rules", "_invalid", "_scheme", "_bad_scheme", "_cred", "_lit_family", "_lit_address", "_pre", "_lit_error", "_h", "_host_error")
 
 
 def policy_report(checked: DataFrame) -> DataFrame:

@@ -302,6 +302,50 @@ def u6_url_policy_malformed(spark, sf):
     return P.url_policy(pages.select("page_id", variants), D.host_addresses(pages)).select("page_id", "variant", "url", "host", "rule", "reason")
 
 
+# Other spellings that the URL standard reads as the page's own URL, or as a URL with a host
+# whose ASCII form is written out here: (pattern, replacement, that host or none).
+ODD_URLS = (
+    (r"^(.*)\z", "  {1} \n", None),
+    (r"^(https?):(//[^/?#]*)", "{1}:\t{2}\r\n", None),
+    (r"^(https?)://", "{1}:", None),
+    (r"^(https?)://", "{1}:////", None),
+    (r"^(https?)://([^/?#]*)/?", r"{1}:\\{2}\\", None),
+    (r"^(https?)://([^/?#]*)\.example\.", "{1}://{2}%2E%65xample.", None),
+    (r"^(https?)://([^/?#]*)\.example\.", "{1}://{2}．ｅｘAMPLE。", None),
+    (r"^(https?)://[^/?#]*", "{1}://%31%32%37.0.0.1", "127.0.0.1"),
+    (r"^(https?)://[^/?#]*", "{1}://０x7f．１", "0x7f.1"),
+    (r"^(https?)://[^/?#]*", "{1}://Bücher.日本語.example", "xn--bcher-kva.xn--wgv71a119e.example"),
+    (r"^(https?)://[^/?#]*", "{1}://u\u0308ber.example", "xn--ber-goa.example"),
+    (r"^(https?)://[^/?#]*", "{1}://ex%2Fa.example", "%"),
+    (r"^(https?)://[^/?#]*", "{1}://a＠b.example", "%"),
+    (r"^(https?)://[^/?#]*", "{1}://a%ff.example", "%"),
+)
+
+
+def _odd_urls_sql() -> str:
+    """Every odd URL with the plain one it stands for; ``%`` is refused as a host."""
+    one = []
+    for k, (pattern, new, host) in enumerate(ODD_URLS):
+        plain = "url" if host is None else f"regexp_replace(url, '^(https?)://[^/?#]*', '\\1://{host}')"
+        if k == 4:  # the path's first slash is written out
+            plain = "regexp_replace(url, '^(https?://[^/?#]*)/?', '\\1/')"
+        one.append(f"SELECT page_id, {k} AS variant, {rx_sql('url', (Rx(pattern, new),))} AS odd, {plain} AS url FROM pages")
+    return f"({' UNION ALL '.join(one)})"
+
+
+@register(
+    "u6_url_policy_standard",
+    f"SELECT page_id, variant, odd AS url, CASE WHEN rule = 'invalid_url' THEN NULL ELSE host END AS host, rule, "
+    f"CASE WHEN rule = 'invalid_url' THEN '{P.MSG_INVALID_URL}' || odd ELSE reason END AS reason FROM {P.url_policy_sql(_odd_urls_sql(), _HA_SQL)}",
+)
+def u6_url_policy_standard(spark, sf):
+    pages = _pages(spark, sf)
+    variants = F.posexplode(F.array(*[rx_spark(F.col("url"), (Rx(a, b),)) for a, b, _ in ODD_URLS])).alias("variant", "url")
+    out = P.url_policy(pages.select("page_id", variants), D.host_addresses(pages))
+    host = F.when(F.col("rule") != "invalid_url", F.col("host")).alias("host")
+    return out.select("page_id", "variant", "url", host, "rule", "reason")
+
+
 IPV4_IN_TEXT = r"\b([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})\b"
 
 

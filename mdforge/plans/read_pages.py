@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions import urlstandard as S
 from ..operators import extract as X
 from ..operators import policy as P
 from ..operators import urls as UO
@@ -93,7 +94,8 @@ def decide(
     ``decision``: policy, cached, robots, fetch (a failed redirect chain or response), or
     null: the capture of ``lookup_key`` is to be read.
     """
-    req = requests.select(F.col("url").alias("request_url"), "ord").withColumn("url_key", canonical(F.col("request_url")))
+    req = requests.select(F.col("url").alias("request_url"), "ord").withColumn("_std", S.standard_column("request_url"))
+    req = req.withColumn("url_key", canonical(F.col("_std"))).drop("_std")
     # With ``dedupe=False`` every request row is processed (callers pass distinct
     # request URLs, e.g. a crawl level where "/a" and "/a#x" are separate visits).
     uniq = UO.dedupe_urls(req, key="url_key", order="ord") if dedupe else req

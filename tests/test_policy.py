@@ -109,3 +109,18 @@ def test_zero_padded_numbers(spark):
     urls = ["http://00000000000000000000177.0.0.1/", "http://0x000000000000007f.1/", "http://99999999999999999999/"]
     got = {r.url: r.rule for r in P.url_policy(spark.createDataFrame([(u,) for u in urls], "url string"), ha).collect()}
     assert got == {urls[0]: "address", urls[1]: "address", urls[2]: "invalid_url"}
+
+
+def test_urls_as_the_standard_reads_them(spark):
+    ha = spark.createDataFrame([("example.com", "93.184.216.34", 4), ("xn--bcher-kva.de", "93.184.216.35", 4)], "host string, address string, family int")
+    allowed = ["  http://example.com/", "http://exa\nmple.com/", "https:example.com", "http:///example.com/", "http:\\\\example.com\\", "http://ex%41mple.com/", "http://ｅｘａｍｐｌｅ.com/", "http://BÜCHER.de/"]
+    blocked = ["http://%31%32%37.0.0.1/", "http://１２７.0.0.1/", "http://0x7f。1/", "\thttp:\\\\127.1\\"]
+    invalid = ["http://ex%2Fample.com/", "http://example.com＠x/", "http://%ff/", "http://exa mple.com/", "http://a＜b/"]
+    other = {"http://a@b@example.com/": "credentials", "javascript:alert(1)": "scheme", " file:///etc/passwd": "scheme"}
+    rows = [(u,) for u in [*allowed, *blocked, *invalid, *other]]
+    got = {r.url: r for r in P.url_policy(spark.createDataFrame(rows, "url string"), ha).collect()}
+    assert {u: got[u].rule for u in allowed} == dict.fromkeys(allowed, "allowed")
+    assert {u: got[u].reason for u in blocked} == dict.fromkeys(blocked, "IP address is not allowed: 127.0.0.1")
+    assert {u: got[u].rule for u in invalid} == dict.fromkeys(invalid, "invalid_url")
+    assert {u: got[u].rule for u in other} == other
+    assert got[invalid[0]].reason == "Invalid URL: " + invalid[0]

@@ -50,3 +50,61 @@ def test_same_origin(spark):
     df = spark.createDataFrame([("http://a/1", "http://a/x"), ("https://a/1", "http://a/x"), ("javascript:void(0)", "http://a/"),
                                 ("http://a:80/z", "http://a/")], "target string, base string")
     assert sorted(r.target for r in UO.same_origin(df).collect()) == ["http://a/1", "http://a:80/z"]
+
+
+def standard(spark, urls):
+    from mdforge.functions import urlstandard as S
+
+    df = spark.createDataFrame([(u,) for u in urls], "u string")
+    return [r.s for r in df.select(S.standard_column("u").alias("s")).collect()]
+
+
+def test_standard_spellings(spark):
+    pairs = {
+        "  http://example.com/a \n": "http://example.com/a", "ht\ttp://exa\nmple.com": "http://example.com", "https:example.com": "https://example.com",
+        "http:///host/": "http://host/", "http:\\\\host\\p\\q?a\\b#c\\d": "http://host/p/q?a\\b#c\\d", "http://ex%41mple.com/": "http://example.com/",
+        "http://ｅｘａｍｐｌｅ。com/": "http://example.com/", "http://%31%32%37.0.0.1/": "http://127.0.0.1/", "http://bücher.de/": "http://xn--bcher-kva.de/",
+        "http://BÜCHER.de:80/?ü": "http://xn--bcher-kva.de:80/?ü", "http://über.de": "http://xn--ber-goa.de", "http://faß.de": "http://xn--fa-hia.de",
+        "http://a@b@c.com/": "http://a%40b@c.com/", "HTTP://EXAMPLE.com:8080/A": "http://example.com:8080/A", "http://[::1]:80/x": "http://[::1]:80/x",
+        "http://so­ft.com": "http://soft.com", "ftp:\\\\h": "ftp://h", "http://x/a b\tc": "http://x/a bc",
+        "mailto:x@y": "mailto:x@y", " a\\b ": "a\\b", "data:text/plain,a b": "data:text/plain,a b",
+    }
+    assert standard(spark, pairs) == list(pairs.values())
+    refused = ["http://ex%2Fa.com/", "http://a＠b.com/", "http://a%ff.com/", "http://a%zz.com", "http://a b.com/", "http://a<b.com", "http:///"]
+    assert standard(spark, refused) == refused[:-1] + ["http://"]
+    assert standard(spark, [None, ""]) == [None, ""]
+
+
+def test_punycode_equals_the_codec(spark):
+    import random
+
+    from mdforge.functions import sqltext, urlstandard as S
+
+    rng = random.Random(4)
+    labels = ["".join(rng.choice("abcz09-éüßñ日本語δπ😀漢字жłž") for _ in range(rng.randint(1, 24))) for _ in range(200)] + ["", "abc", "ü" * 60, "a-", "-é"]
+    df = spark.createDataFrame([(x,) for x in labels], "u string")
+    got = [r.p for r in df.selectExpr(f"{S.punycode(sqltext.col('u')).sql} AS p").collect()]
+    assert got == [x.encode("punycode").decode() for x in labels]
+
+
+def test_links_as_the_standard_reads_them(spark):
+    from mdforge.operators import urls as UO
+
+    base = "https://host.example/dir/page?q"
+    pairs = {
+        "a\\b": "https://host.example/dir/a/b", "\\\\other.example\\x": "https://other.example/x", " /a\tb ": "https://host.example/ab", "https:rel": "https://host.example/dir/rel",
+        "https:/abs": "https://host.example/abs", "http:other.example/p": "http://other.example/p", "//BÜCHER.example/": "https://xn--bcher-kva.example/", "HTTPS://X.example": "https://x.example/",
+        "https://As.Written/": "https://As.Written/", "mailto:a@b": "mailto:a@b", "?x\\y": "https://host.example/dir/page?x\\y", "#f": "https://host.example/dir/page?q#f",
+    }
+    df = spark.createDataFrame([(k, base) for k in pairs], "raw string, base string")
+    got = {r.raw: r.target for r in UO.resolve_links(df).collect()}
+    assert got == pairs
+
+
+def test_keys_of_odd_spellings(spark):
+    from mdforge.operators import urls as UO
+
+    urls = ["http://EXAMPLE.com", " http:\\\\example.com\\", "http:example.com:80/", "http://ex%61mple.com/#x", "http://ｅxample.com/./"]
+    df = spark.createDataFrame([(u,) for u in [*urls, "http://a％b.com/", "nothing", None]], "url string")
+    keys = [r.url_key for r in UO.normalize_urls(df).collect()]
+    assert keys[:5] == ["http://example.com/"] * 5 and keys[5:] == [None, None, None]
