@@ -26,8 +26,8 @@ FIT_TEXTS = 4_000
 ROUNDS, PRIOR = 3, 0.05
 #: Words longer than this are cut into stretches: no piece is longer than 16 characters.
 STRETCH = 32
-#: Words a worker keeps.
-CACHE_WORDS = 300_000
+#: Words a worker keeps in each of two generations, and words of an EM round taken together.
+CACHE_WORDS, ROUND_WORDS = 200_000, 50_000
 UNKNOWN_LANGUAGE = "und"
 
 _WORDS = re.compile(r"[^\W\d_]+")
@@ -148,33 +148,44 @@ def stretches(word: str) -> list[str]:
 
 
 class Model:
-    """Languages with their piece probabilities (pieces x languages) and priors."""
+    """Languages with their piece probabilities (pieces x languages) and priors.
 
-    def __init__(self, languages: list[str], pieces: dict[str, int], probs: np.ndarray, prior: np.ndarray) -> None:
-        self.languages, self.lattice, self.probs, self.prior = languages, Lattice(pieces), probs, prior
-        self.numbers: dict[str, int] = {}
-        self.logs = np.empty((1 << 12, len(languages)), dtype=np.float32)
+    With ``background`` a text is also scored by a model that knows no language: all pieces
+    are equally likely. ``predict`` then tells whether the best language does better.
+    """
+
+    def __init__(self, languages: list[str], pieces: dict[str, int], probs: np.ndarray, prior: np.ndarray, background: bool = False) -> None:
+        self.languages, self.lattice, self.prior = languages, Lattice(pieces), prior
+        self.probs = np.column_stack([probs, np.full(len(probs), 1.0 / len(probs))]) if background else probs
+        self.numbers, self.logs = {}, np.empty((1 << 12, self.probs.shape[1]), dtype=np.float32)
+        self.old_numbers, self.old_logs = {}, self.logs[:0]
 
     def learn(self, words: set[str]) -> None:
-        """Scores words not met yet; the bounded cache starts anew when it is full."""
+        """Scores words not met yet. A full cache becomes the old generation, from which words
+        met again are taken over; what is not met until the next time goes."""
         new = sorted(w for w in words if w not in self.numbers)
         if not new:
             return
         if len(self.numbers) + len(new) > CACHE_WORDS and self.numbers:
-            self.numbers.clear()
+            self.old_numbers, self.old_logs = self.numbers, self.logs
+            self.numbers, self.logs = {}, np.empty((1 << 12, self.logs.shape[1]), dtype=np.float32)
             new = sorted(words)
         start = len(self.numbers)
         if start + len(new) > len(self.logs):
-            self.logs = np.concatenate([self.logs[:start], np.empty((len(new) + start, self.logs.shape[1]), np.float32)])
-        self.logs[start : start + len(new)] = self.lattice.log_probability(new, self.probs)
+            more = max(len(new) + start, min(2 * len(self.logs), CACHE_WORDS))
+            self.logs = np.concatenate([self.logs[:start], np.empty((more - start, self.logs.shape[1]), np.float32)])
+        at = np.array([self.old_numbers.get(w, -1) for w in new])
+        fresh = np.nonzero(at < 0)[0]
+        self.logs[start + np.nonzero(at >= 0)[0]] = self.old_logs[at[at >= 0]]
+        self.logs[start + fresh] = self.lattice.log_probability([new[k] for k in fresh], self.probs)
         self.numbers.update(zip(new, range(start, start + len(new)), strict=True))
 
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        """Language and its posterior probability for each text."""
+    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, its posterior probability, and whether it beats the background, for each text."""
         split = [words_of(t) if t else [] for t in texts]
         # Fractions, Roman numerals and the like are word characters, but no letters.
         empty = np.array([not any(w.isalpha() or any(map(str.isalpha, w)) for w in s) for s in split], bool)
-        total = np.zeros((len(texts), len(self.languages)))
+        total = np.zeros((len(texts), self.probs.shape[1]))
         step = 200_000  # words scored together: a batch of long texts stays small
         at = 0
         while at < len(split):
@@ -194,11 +205,13 @@ class Model:
                 if split[k]:
                     total[k] += self.logs[list(map(get, split[k]))].sum(0, dtype=float)
             at = to
-        total += np.log(self.prior)
+        total, background = total[:, : len(self.languages)], total[:, len(self.languages) :]
+        known = ~empty & (total.max(1, keepdims=True) >= background).all(1)
+        total = total + np.log(self.prior)
         best = total.argmax(1) if len(self.languages) else np.zeros(len(texts), int)
         score = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1)
         score[empty] = 0.0
-        return [UNKNOWN_LANGUAGE if e else self.languages[b] for e, b in zip(empty, best, strict=True)], score
+        return [UNKNOWN_LANGUAGE if e else self.languages[b] for e, b in zip(empty, best, strict=True)], score, known
 
 
 def fit(labelled: DataFrame, model: str, fit_texts: int = FIT_TEXTS, rounds: int = ROUNDS) -> Model:
@@ -236,24 +249,35 @@ def fit(labelled: DataFrame, model: str, fit_texts: int = FIT_TEXTS, rounds: int
     words = chosen.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
     words = settle(words.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
     probs = np.full((len(pieces) + 1, max(1, len(languages))), 1.0 / (len(pieces) + 1))
+    key = f"lattice-{uuid.uuid4().hex}"
     for _ in range(rounds if languages else 0):
         shared = spark.sparkContext.broadcast((pieces, probs))
 
-        def expect(b: pa.RecordBatch) -> pa.RecordBatch:
+        def expect(batches):
             pieces, probs = shared.value  # noqa: B023
-            lattice, out = Lattice(pieces), ([], [], [])
-            by = defaultdict(list)
-            for lang, word, n in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
-                by[lang].append((word, n))
-            for lang, some in by.items():
-                e = lattice.expected([w for w, _ in some], [n for _, n in some], probs[:, place[lang]])
-                at = np.nonzero(e)[0]
-                out[0].extend([place[lang]] * len(at))
-                out[1].extend(at.tolist())
-                out[2].extend(e[at].tolist())
-            return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.float64())], ["lang", "piece", "n"])
-
-        got = map_batches(words, expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
+            lattice = held(key, lambda: Lattice(pieces))
+            by, size = defaultdict(list), 0
+
+            def out() -> pa.RecordBatch:
+                rows = ([], [], [])
+                for lang, some in by.items():
+                    e = lattice.expected([w for w, _ in some], [n for _, n in some], probs[:, place[lang]])
+                    at = np.nonzero(e)[0]
+                    for x, y in zip(rows, (np.full(len(at), place[lang]), at, e[at]), strict=True):
+                        x.append(y)
+                return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), t) for x, t in zip(rows, (pa.int32(), pa.int32(), pa.float64()), strict=True)], ["lang", "piece", "n"])
+
+            for b in batches:
+                for lang, word, n in zip(b.column("lang").to_pylist(), b.column("word").to_pylist(), b.column("n").to_pylist(), strict=True):
+                    by[lang].append((word, n))
+                size += b.num_rows
+                if size >= ROUND_WORDS:
+                    yield out()
+                    by, size = defaultdict(list), 0
+            if by:
+                yield out()
+
+        got = words.mapInArrow(expect, "lang int, piece int, n double").groupBy("lang", "piece").agg(F.sum("n").alias("n")).toArrow()
         probs = np.full(probs.shape, PRIOR)
         probs[got.column("piece").to_numpy(), got.column("lang").to_numpy()] += got.column("n").to_numpy()
         probs /= probs.sum(0)
@@ -266,17 +290,20 @@ def held_out(doc_id: Column, modulus: int = 4, remainder: int = 2) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % modulus == remainder, F.lit(False))
 
 
-def predictor(docs: DataFrame, model: str):
-    """A function of an Arrow text column: (languages, scores), the model fitted to ``docs``."""
+def predictor(docs: DataFrame, model: str, background: bool = False):
+    """A function of texts: (languages, scores, known), the model fitted to ``docs``.
+
+    Without any labelled text it gives no language, and no text is unknown to it.
+    """
     spark = docs.sparkSession
     learnt = fit(docs.where(~held_out(F.col("doc_id"))), model)
-    parts = learnt.languages, learnt.lattice.pieces, learnt.probs, learnt.prior
+    parts = learnt.languages, learnt.lattice.pieces, learnt.probs, learnt.prior, background
     shared = spark.sparkContext.broadcast(parts)
     key = f"language-{uuid.uuid4().hex}"
 
-    def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    def predict(texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         if not shared.value[0]:
-            return [UNKNOWN_LANGUAGE] * len(texts), np.zeros(len(texts))
+            return [UNKNOWN_LANGUAGE] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         return held(key, lambda: Model(*shared.value)).predict(texts)
 
     return predict
@@ -293,18 +320,23 @@ def identify(docs: DataFrame, model: str) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = predict(b.column("text").to_pylist())
+        langs, scores, _ = predict(b.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     return map_batches(source, run, "doc_id long, held_out boolean, lang_pred string, score double", keeps=True)
 
 
-def accepted(docs: DataFrame, model: str, least: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a score of at least ``least``."""
-    predict = predictor(docs.select("doc_id", "text", "lang"), model)
+def accepted(docs: DataFrame, model: str) -> DataFrame:
+    """The rows of ``docs`` whose text is in a known language.
+
+    A text is, if its best language makes it more likely than a background model in which
+    all pieces are equally likely: both are sums over the same words, so the length of a
+    text is no matter. Texts without a letter are in none. If no text has a language to
+    learn from, nothing can be rejected and all rows stay.
+    """
+    predict = predictor(docs.select("doc_id", "text", "lang"), model, background=True)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = predict(b.column("text").to_pylist())
-        return b.filter(pa.array([x != UNKNOWN_LANGUAGE and s >= least for x, s in zip(langs, scores, strict=True)]))
+        return b.filter(pa.array(predict(b.column("text").to_pylist())[2]))
 
     return map_batches(docs, run, docs.schema, keeps=True)

@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from mdforge.llm import bloom_lm, hamming_join, langid, mixing, repeats, sp_codec, token_counts, toxicity
 
@@ -263,3 +264,53 @@ def test_ordinal_thresholds_share_weights():
     assert (np.diff(m.thresholds) > 0).all()
     s = m.above(m.rows(["plain words here too", "mild plain words here", "mild severe words"])).sum(1)
     assert s[0] < 0.5 < s[1] < 1.5 < s[2]
+
+
+def test_rows_that_share_an_id_keep_their_own_texts(spark):
+    """Ids repeat with other texts: near copies of each are linked to it, others to none."""
+    word = lambda k, n=60: [f"w{k}x{j}" for j in range(n)]
+    near = lambda k, at: " ".join([*word(k)[:at], "changed", *word(k)[at + 1 :]])
+    rows = [(1, " ".join(word(1))), (1, " ".join(word(2))), (1, " ".join(word(2))), (2, near(1, 58)), (3, near(2, 1)), (0, near(3, 0)), (3, " ".join(word(3))), (4, " ".join(word(4)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.text_hash): r.component_id for r in hamming_join.labelled(df, 5, 80).collect()}
+    name = {t: h for t, h in df.select("text", F.xxhash64("text").alias("h")).collect()}
+    want = {(1, name[rows[0][1]]): 1, (1, name[rows[1][1]]): 1, (2, name[rows[3][1]]): 1, (3, name[rows[4][1]]): 1, (0, name[rows[5][1]]): 0, (3, name[rows[6][1]]): 0, (4, name[rows[7][1]]): 4}
+    assert got == want
+    left = hamming_join.one_of_each(df).collect()
+    assert key(map(tuple, left)) == key([rows[0], rows[1], rows[2], rows[5], rows[7]])
+
+
+def test_unknown_languages_and_no_labels(spark, rows):
+    schema = "doc_id long, text string, lang string"
+    own = [(i, t, la) for i, t, la, _ in rows if i is not None and i < 60]
+    strange = [(700, "привет мир, это другой язык " * 30, None), (702, "123 !", None)]
+    kept = {r.doc_id for r in langid.accepted(spark.createDataFrame(own + strange, schema), PIECES).collect()}
+    assert kept >= {i for i, _, _ in own} and not kept & {700, 702}
+    bare = spark.createDataFrame([(i, t, None) for i, t, _ in own + strange], schema)
+    assert langid.accepted(bare, PIECES).count() == len(own) + len(strange)
+
+
+def test_caches_that_overflow(monkeypatch, rows):
+    monkeypatch.setattr(sp_codec, "CACHE_WORDS", 7)
+    monkeypatch.setattr(token_counts, "CACHE_WORDS", 7)
+    monkeypatch.setattr(langid, "CACHE_WORDS", 7)
+    own, counter = sp_codec.PieceCodec(PIECES), token_counts.WordCounter(WORDS, {"the": 1})
+    pieces = langid.vocabulary(PIECES)
+    probs = np.random.default_rng(3).random((len(pieces) + 1, 2))
+    small, large = (langid.Model(["a", "b"], pieces, probs, np.array([0.5, 0.5]), True) for _ in range(2))
+    for _, t, _, _ in rows:
+        assert own.text(t) == own.by_library(t)
+        assert counter.count(t) == len(counter.tokenizer.encode(t or "", add_special_tokens=False).ids)
+        one = small.predict([t])
+        monkeypatch.setattr(langid, "CACHE_WORDS", 10**6)
+        two = large.predict([t])
+        monkeypatch.setattr(langid, "CACHE_WORDS", 7)
+        assert one[0] == two[0] and np.allclose(one[1], two[1]) and (one[2] == two[2]).all()
+
+
+def test_agenda_as_list_and_as_heap(monkeypatch):
+    own = sp_codec.PieceCodec(PIECES)
+    words = ["unbelievable", "a" * 30, "aaaa", "internationalization", "xyzzyxyzzy", "日本語", "▁▁▁", "▁the", "é" * 5]
+    short = [own.merge(w) for w in words]
+    monkeypatch.setattr(sp_codec, "SHORT_WORD", 0)
+    assert [own.merge(w) for w in words] == short
