@@ -3,7 +3,8 @@
 Encoding keeps an agenda of adjacent symbol pairs ordered by score (leftmost first among
 equals) and merges its best pair until none is left. No piece joins a letter to a
 following word mark, so a text falls into words (marks, then letters) that are encoded
-one by one; a bounded cache per worker keeps the words met. A fixed share of the texts of
+one by one; a bounded cache per worker keeps the words met: two generations, so that a
+full cache loses the words not met lately and keeps the frequent ones. A fixed share of the texts of
 every Arrow batch is checked against the sentencepiece library: a batch that differs
 anywhere is encoded by the library as a whole.
 """
@@ -21,8 +22,12 @@ from pyspark.sql import functions as F
 from mdforge.llm.common import held, map_batches
 
 MARK = "▁"
-#: Words a worker keeps; words longer than the second number are not kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+#: Words a worker keeps in each of two generations; words longer than the second number are not kept.
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
+# Bits of a symbol's number in that of a pair, and a place behind all others.
+_SYMBOL, _NEVER = 20, 1 << 40
+#: Characters up to which a word's agenda is a list.
+SHORT_WORD = 48
 #: One text in so many is compared with the library in each batch.
 CHECK_EVERY = 97
 
@@ -44,49 +49,72 @@ class PieceCodec:
         if any(MARK in p.lstrip(MARK) for p in self.pieces):
             raise ValueError("a piece spans two words: words can't be encoded one by one")
         self.words = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.cache: dict[str, tuple[str, int, str]] = {}
+        self.young: dict[str, tuple[str, int, str]] = {}
+        self.old: dict[str, tuple[str, int, str]] = {}
+        # Symbols are numbers: a piece's id, or a number beyond for a character of a piece
+        # that is none itself; 0 stands for the unknown, which merges with nothing.
+        self.symbol = {p: i for p, (_, i) in self.pieces.items()}
+        for c in sorted({c for p in self.pieces for c in p} - set(self.symbol)):
+            self.symbol[c] = n + len(self.symbol)
+        places = {x: k for k, x in enumerate(sorted({score for score, _ in self.pieces.values()}))}
+        # A pair of symbols: the place of its score among all scores, and the merged symbol.
+        splits = [(self.symbol[p[:k]] << _SYMBOL | self.symbol[p[k:]], places[score], i) for p, (score, i) in self.pieces.items() for k in range(1, len(p)) if p[:k] in self.symbol and p[k:] in self.symbol]
+        self.place = {pair: place for pair, place, _ in splits}
+        self.merged = {pair: i for pair, _, i in splits}
+        self.ids = {i for _, i in self.pieces.values()}
+        self.width = {i: len(p) for p, (_, i) in self.pieces.items()}
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: symbols merged by the score-ordered agenda of adjacent pairs."""
-        pieces, symbols = self.pieces, list(word)
-        n = len(symbols)
-        if n == 1:
-            return self.ids_of(symbols)
+        symbols = [self.symbol.get(c, 0) for c in word]
+        if len(word) > SHORT_WORD:
+            symbols = self._merged_by_heap(symbols)
+        else:
+            # A short word's agenda is a list beside its symbols: the least place is the best
+            # pair, and the first of these the leftmost.
+            place, pair_of = self.place.get, zip(symbols, symbols[1:])
+            agenda = [place(a << _SYMBOL | b, _NEVER) for a, b in pair_of]
+            while agenda and (best := min(agenda)) != _NEVER:
+                i = agenda.index(best)
+                symbols[i] = new = self.merged[symbols[i] << _SYMBOL | symbols[i + 1]]
+                del symbols[i + 1], agenda[i]
+                if i:
+                    agenda[i - 1] = place(symbols[i - 1] << _SYMBOL | new, _NEVER)
+                if i < len(agenda):
+                    agenda[i] = place(new << _SYMBOL | symbols[i + 1], _NEVER)
+        if self.ids.issuperset(symbols):
+            return symbols
+        out, at = [], 0
+        for s in symbols:
+            if s in self.ids:
+                out.append(s)
+                at += self.width[s]
+            else:  # a character that is no piece
+                out.extend([self.byte_id[b] for b in word[at].encode()] if self.byte_id else [self.unknown])
+                at += 1
+        return out
+
+    def _merged_by_heap(self, symbols: list[int]) -> list[int]:
+        """The same for a long word: the agenda is a heap of (place, where); an entry whose
+        pair has changed since is stale."""
+        n, place = len(symbols), self.place.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        agenda = []
-        for i in range(n - 1):
-            pair = symbols[i] + symbols[i + 1]
-            if pair in pieces:
-                agenda.append((pieces[pair][0], i, pair))
+        agenda = [(p, i) for i in range(n - 1) if (p := place(symbols[i] << _SYMBOL | symbols[i + 1])) is not None]
         heapify(agenda)
         while agenda:
-            _, i, pair = heappop(agenda)
+            p, i = heappop(agenda)
             j = after[i]
-            if j >= n or not symbols[i] or symbols[i] + symbols[j] != pair:
-                continue  # one of the two has been merged since
-            symbols[i], symbols[j] = pair, ""
+            if j >= n or symbols[i] < 0 or place(pair := symbols[i] << _SYMBOL | symbols[j]) != p:
+                continue
+            symbols[i], symbols[j] = self.merged[pair], -1
             after[i] = k = after[j]
             if k < n:
                 before[k] = i
-                new = pair + symbols[k]
-                if new in pieces:
-                    heappush(agenda, (pieces[new][0], i, new))
-            if (h := before[i]) >= 0:
-                new = symbols[h] + pair
-                if new in pieces:
-                    heappush(agenda, (pieces[new][0], h, new))
-        return self.ids_of(s for s in symbols if s)
-
-    def ids_of(self, symbols) -> list[int]:
-        out = []
-        for s in symbols:
-            if s in self.pieces:
-                out.append(self.pieces[s][1])
-            elif self.byte_id:
-                out.extend(self.byte_id[b] for b in s.encode())
-            else:
-                out.append(self.unknown)
-        return out
+                if (p := place(symbols[i] << _SYMBOL | symbols[k])) is not None:
+                    heappush(agenda, (p, i))
+            if (h := before[i]) >= 0 and (p := place(symbols[h] << _SYMBOL | symbols[i])) is not None:
+                heappush(agenda, (p, h))
+        return [s for s in symbols if s >= 0]
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: runs of byte pieces as UTF-8, marks as spaces."""
@@ -103,22 +131,24 @@ class PieceCodec:
 
     def word(self, word: str) -> tuple[str, int, str]:
         """Ids of a word joined by commas, their number, and the word decoded again."""
-        found = self.cache.get(word)
+        found = self.young.get(word) or self.old.get(word)
         if found is None:
             ids = self.merge(word)
             found = ",".join(map(str, ids)), len(ids), self.decode(ids)
-            if len(word) <= CACHE_LENGTH:
-                if len(self.cache) >= CACHE_WORDS:
-                    self.cache.clear()
-                self.cache[word] = found
+        if len(word) <= CACHE_LENGTH:
+            if len(self.young) >= CACHE_WORDS:
+                self.old, self.young = self.young, {}
+            self.young[word] = found
         return found
 
     def text(self, text: str | None) -> tuple[str, int, str]:
         """Ids joined by commas, their number, and the decoded text of a whole text."""
         if not text:
             return "", 0, ""
-        word = self.word
-        parts = [word(w) for w in self.words.findall(MARK + text.replace(" ", MARK))]
+        words = self.words.findall(MARK + text.replace(" ", MARK))
+        parts = list(map(self.young.get, words))
+        if None in parts:
+            parts = [self.word(w) if p is None else p for w, p in zip(words, parts, strict=True)]
         return ",".join([p[0] for p in parts]), sum([p[1] for p in parts]), "".join([p[2] for p in parts])[1:]
 
     def by_library(self, text: str | None) -> tuple[str, int, str]:
