@@ -15,12 +15,15 @@ Markdown is attached to the result at the end.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.regex import let
-from ..session import settle
+from ..session import Bucketed, ensure_checkpoint_dir, settle
 from . import policy as P
 from .links import page_link_array
 
@@ -132,68 +135,79 @@ def crawl_schedule(requests: DataFrame, rules: DataFrame, user_agent: str = "*",
 # S3 redirect chains
 # ---------------------------------------------------------------------------
 TOO_MANY = "Too many redirects for "
+NO_RESPONSE = "No capture for "
 MAX_REDIRECTS = 5
 
 
-def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: DataFrame,
-                      max_redirects: int = MAX_REDIRECTS, key=lambda url: url) -> DataFrame:
-    """S3: follow Location up to ``max_redirects`` times, re-checking the policy on
-    every hop. Output ``(ord, request_url, final_url, n_hops, error)``.
+def redirect_table(hops: DataFrame, host_addresses: DataFrame, max_redirects: int = MAX_REDIRECTS, key=lambda url: url,
+                   host_verdicts: DataFrame | None = None) -> DataFrame:
+    """Where the chain of every URL of ``hops`` ends: ``(start, final_url, n_hops, error)``.
 
     ``hops(url, status, location, content_type)`` holds one response per URL; of repeated
-    ones the smallest counts. ``key`` maps a location to the form of ``hops.url``. Every
-    URL that can appear in a chain (requests, hop URLs, resolved locations) is judged
-    once, and each hop's outcome (error / final / next URL) is computed once; the
-    rounds then only join the moving requests with that table.
+    ones the smallest counts. ``key`` maps a location to the form of ``hops.url``. Every URL
+    is judged once. Chains are followed by pointer doubling: in each round a URL takes over
+    how far the URL it points at has come, so rounds grow with the logarithm of the limit
+    and a chain's length is no matter; one that still moves afterwards is too long, cycles
+    included. A URL that many others point at is a hot key of a join of settled tables,
+    which AQE splits.
     """
     from ..sources.captures import classify_response
 
     hops = hops.groupBy("url").agg(F.min(F.struct("status", "location", "content_type")).alias("_r")).select("url", "_r.*")
     c = classify_response(F.col("url"), F.col("status"), F.col("location"), F.col("content_type"))
-    edges = hops.select(
-        "url", c.alias("_c"),
-        key(U.resolve_url(F.col("location"), F.col("url"), keep_absolute_raw=False)).alias("_next"),
+    edges = hops.select("url", "location", c.alias("_c"), key(U.resolve_url(F.col("location"), F.col("url"), keep_absolute_raw=False)).alias("_next"))
+    edges = settle(edges, "edges")
+    to = edges.filter((F.col("_c.kind") == "redirect") & F.col("_next").isNotNull()).select(F.col("_next").alias("url"))
+    nodes = edges.select("url").unionByName(to).distinct()
+    judged = P.url_policy(nodes, host_addresses, url="url", host_verdicts=host_verdicts).select("url", F.col("reason").alias("_policy"))
+    redirect = F.col("_c.kind") == "redirect"
+    error = F.coalesce(
+        F.col("_policy"),
+        F.when(F.col("_c").isNull(), F.concat(F.lit(NO_RESPONSE), F.col("url"))),
+        F.when(redirect & F.col("_next").isNull(), F.concat(F.lit(P.MSG_INVALID_URL), F.col("location"))),
+        F.col("_c.error"),
     )
-    nodes = (
-        requests.select("url")
-        .unionByName(hops.select("url"))
-        .unionByName(edges.filter(F.col("_c.kind") == "redirect").select(F.col("_next").alias("url")))
-        .filter(F.col("url").isNotNull())
-        .distinct()
-    )
-    judged = P.url_policy(nodes, host_addresses, url="url").select("url", F.col("reason").alias("_policy"))
-    step = settle(
+    moving = F.coalesce(redirect & error.isNull(), F.lit(False))
+    chains = settle(
         judged.join(edges, "url", "left").select(
-            F.col("url").alias("cur"),
-            F.when(F.col("_policy").isNotNull(), F.lit("error"))
-            .when(F.col("_c").isNull(), F.lit("error"))
-            .otherwise(F.col("_c.kind")).alias("kind"),
-            F.coalesce(F.col("_policy"), F.when(F.col("_c").isNull(), F.concat(F.lit("No capture for "), F.col("url"))),
-                       F.col("_c.error")).alias("error"),
-            F.when(F.col("_c.kind") == "redirect", F.col("_next")).alias("next"),
+            F.col("url").alias("start"), F.when(moving, F.col("_next")).otherwise(F.col("url")).alias("at"),
+            moving.cast("int").alias("n_hops"), moving.alias("moving"), error.alias("error"),
         ),
-        "hops",
+        "chains",
     )
-    state = requests.select("ord", F.col("url").alias("request_url"), F.col("url").alias("cur"), F.lit(0).alias("n_hops"))
-    done_parts = []
-    for _ in range(max_redirects + 1):
-        j = state.join(step, "cur", "left")
-        done_parts.append(
-            j.filter(F.col("kind").isNull() | (F.col("kind") != "redirect")).select(
-                "ord", "request_url", F.when(F.col("kind") == "ok", F.col("cur")).alias("final_url"), "n_hops",
-                F.coalesce(F.col("error"), F.when(F.col("kind").isNull(), F.concat(F.lit("No capture for "), F.col("cur")))).alias("error"),
-            )
-        )
-        moved = j.filter(F.col("kind") == "redirect")
-        state = settle(moved.select("ord", "request_url", F.col("next").alias("cur"), (F.col("n_hops") + 1).alias("n_hops")), "chains")
-    too_many = state.select(
-        "ord", "request_url", F.lit(None).cast("string").alias("final_url"), "n_hops",
-        F.concat(F.lit(TOO_MANY), F.col("request_url")).alias("error"),
+    reach = 1
+    while reach <= max_redirects:
+        ends = chains.select(F.col("start").alias("_at"), F.col("at").alias("_to"), F.col("n_hops").alias("_more"), F.col("moving").alias("_moves"), F.col("error").alias("_error"))
+        on = chains.filter("moving").join(ends, F.col("at") == F.col("_at"))
+        on = on.select("start", F.col("_to").alias("at"), (F.col("n_hops") + F.col("_more")).alias("n_hops"), F.col("_moves").alias("moving"), F.col("_error").alias("error"))
+        chains = settle(on.unionByName(chains.filter("not moving")), "chains")
+        reach *= 2
+    far = F.col("moving") | (F.col("n_hops") > max_redirects)
+    return chains.select(
+        "start",
+        F.when(~far & F.col("error").isNull(), F.col("at")).alias("final_url"),
+        F.when(far, F.lit(max_redirects + 1)).otherwise(F.col("n_hops")).alias("n_hops"),
+        F.when(far, F.concat(F.lit(TOO_MANY), F.col("start"))).otherwise(F.col("error")).alias("error"),
     )
-    out = too_many
-    for p in done_parts:
-        out = out.unionByName(p)
-    return out
+
+
+def resolve_redirects(requests: DataFrame, hops: DataFrame, host_addresses: DataFrame,
+                      max_redirects: int = MAX_REDIRECTS, key=lambda url: url) -> DataFrame:
+    """S3: follow Location up to ``max_redirects`` times, re-checking the policy on
+    every hop. Output ``(ord, request_url, final_url, n_hops, error)``.
+
+    The chains come from ``redirect_table``; a request that has no response at all is
+    judged by itself.
+    """
+    chains = redirect_table(hops, host_addresses, max_redirects, key)
+    joined = settle(requests.select("ord", F.col("url").alias("request_url")).join(chains, F.col("request_url") == F.col("start"), "left"), "requests")
+    known = joined.filter(F.col("start").isNotNull()).select("ord", "request_url", "final_url", "n_hops", "error")
+    lost = joined.filter(F.col("start").isNull()).select("ord", "request_url")
+    judged = P.url_policy(lost.select(F.col("request_url").alias("url")).distinct(), host_addresses).select(F.col("url").alias("_u"), "reason")
+    lost = lost.join(judged, F.col("request_url").eqNullSafe(F.col("_u")), "left")
+    null = F.lit(None).cast("string")
+    return known.unionByName(lost.select(
+        "ord", "request_url", null.alias("final_url"), F.lit(0).alias("n_hops"), F.coalesce("reason", F.concat(F.lit(NO_RESPONSE), F.col("request_url"))).alias("error")))
 
 
 # ---------------------------------------------------------------------------
@@ -230,13 +244,67 @@ def _visits(frontier: DataFrame, counts: DataFrame | None, level: int) -> DataFr
     return ranked.select("seed", F.col("_r").alias("ord"), F.lit(level).alias("level"), "request_url")
 
 
-def _fetched(urls: DataFrame, narrow: DataFrame, decide_with: dict, extra: tuple[str, ...]) -> DataFrame:
-    """Outcome of every distinct URL of a level, once, however many seeds ask for it."""
-    from ..plans.read_pages import decide, outcomes
+class _Site:
+    """What the levels of a crawl join, made once: the outcome of every URL that a seed or a
+    captured page names, and its links.
+
+    ``site`` (request_url, status, error, url, title, ...) is bucketed by URL and ``edges``
+    (parent, pos, request_url) by the page that links, so a level moves its own rows only.
+    """
+
+    def __init__(self, seeds: DataFrame, narrow: DataFrame, links: str, origin: str, same_origin_only: bool, key, decide_with: dict) -> None:
+        from ..plans.read_pages import decide, outcomes
+
+        spark = seeds.sparkSession
+        # Links of every page that was read, those of another origin left out.
+        named = narrow.select("_cap_key", "final_url", F.posexplode(F.col(links)).alias("pos", "_link"))
+        urls = seeds.select(F.col("request_url").alias("url")).unionByName(named.select(key(F.col("_link")).alias("url")))
+        urls = settle(urls.filter(F.col("url").isNotNull()).distinct().withColumn("ord", F.lit(0).cast("long")), "urls")
+        decided = settle(decide(urls, dedupe=False, **decide_with), "decided")
+        rows = outcomes(decided, narrow, tuple(dict.fromkeys((links, "links", "_cap_key")))).drop("ord", *(["md_links"] if links == "md_links" else []))
+        self.site = Bucketed(spark, "site", "request_url")
+        self.site.append(rows.drop("links") if links == "md_links" else rows)
+        self.edges = Bucketed(spark, "edges", "parent")
+        read = self.site.read().filter(F.col("status") == "ok") if links == "links" else self.site.read()
+        from_pages = read.select(F.col("request_url").alias("parent"), F.col("url"), F.col("_cap_key").alias("_from"))
+        edges = from_pages.join(named.drop("final_url"), F.col("_from") == F.col("_cap_key"))
+        if same_origin_only:
+            edges = edges.filter(U.url_origin(F.col("_link")) == U.url_origin(F.col(origin)))
+        self.edges.append(edges.select("parent", F.col("pos").cast("long").alias("pos"), key(F.col("_link")).alias("request_url")))
+
+    def drop(self) -> DataFrame:
+        """Leave the catalog; the outcomes as a plain table."""
+        self.edges.drop()
+        return self.site.drop()
+
+
+class _Seen:
+    """URLs that a seed has queued, bucketed by both: a level looks its own links up in them."""
+
+    def __init__(self, frontier: DataFrame) -> None:
+        self.table = Bucketed(frontier.sparkSession, "seen", "seed", "request_url")
+        self.add(frontier)
+
+    def add(self, frontier: DataFrame) -> None:
+        self.table.append(frontier.select("seed", "request_url"))
+
+    def new(self, links: DataFrame) -> DataFrame:
+        return links.join(self.table.read(), ["seed", "request_url"], "left_anti")
+
 
-    urls = urls.select(F.col("request_url").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
-    decided = decide(urls, dedupe=False, **decide_with)
-    return outcomes(decided, narrow, (*extra, "_cap_key")).drop("ord")
+class _Levels:
+    """The visits of a crawl, a folder for each level."""
+
+    def __init__(self, spark) -> None:
+        self.spark, self.path = spark, f"{ensure_checkpoint_dir(spark).rstrip('/')}/visits-{uuid.uuid4().hex}"
+
+    def add(self, visits: DataFrame, level: int) -> DataFrame:
+        folder = f"{self.path}/level={level}"
+        visits.drop("level").write.parquet(folder)
+        return self.spark.read.schema("seed string, ord long, request_url string").parquet(folder)
+
+    def read(self) -> DataFrame:
+        return self.spark.read.schema("seed string, ord long, request_url string, level int").parquet(self.path)
 
 
 def _with_markdown(results: DataFrame, pages: DataFrame, cache: DataFrame | None) -> DataFrame:
@@ -246,11 +314,15 @@ def _with_markdown(results: DataFrame, pages: DataFrame, cache: DataFrame | None
     return with_cached(results.join(md, F.col("_cap_key") == F.col("_mk"), "left"), cache)
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def _decide_with(host_addresses: DataFrame, cache, robots_rules, user_agent: str, hops: DataFrame | None) -> dict:
+    """What decides about URLs, hosts judged and redirect chains followed once for the crawl."""
+    from ..plans.read_pages import canonical
+
+    verdicts = settle(P.host_policy(host_addresses), "hosts")
+    chains = None
+    if hops is not None:
+        chains = settle(redirect_table(hops.withColumn("url", canonical(F.col("url"))), host_addresses, key=canonical, host_verdicts=verdicts), "redirects")
+    return dict(host_addresses=host_addresses, cache=cache, robots_rules=robots_rules, user_agent=user_agent, chains=chains, host_verdicts=verdicts)
 
 
 def crawl_budget(seeds: DataFrame, captures: DataFrame | tuple[DataFrame, DataFrame], host_addresses: DataFrame, max_pages: int = 1,
@@ -269,35 +341,25 @@ def crawl_budget(seeds: DataFrame, captures: DataFrame | tuple[DataFrame, DataFr
     pages, narrow = captures if isinstance(captures, tuple) else page_tables(captures)
     if hops is None and not isinstance(captures, tuple):
         hops = response_hops(captures)
-    verdicts = settle(P.host_policy(host_addresses), "hosts")
-    decide_with = dict(host_addresses=host_addresses, cache=cache, robots_rules=robots_rules, user_agent=user_agent, hops=hops, host_verdicts=verdicts)
+    decide_with = _decide_with(host_addresses, cache, robots_rules, user_agent, hops)
     frontier = settle(_frontier(seeds, F.col("seed")), "frontier")
-    seen = frontier.select("seed", "request_url")
-    counts, results, fetched_all, level = None, [], [], 0
+    site = _Site(frontier, narrow, "md_links", "parent", same_origin_only, lambda url: url, decide_with)
+    seen, levels, counts, level = _Seen(frontier), _Levels(frontier.sparkSession), None, 0
     while True:
-        visits = settle(_visits(frontier, counts, level).filter(F.col("ord") <= max_pages), "visits")
-        urls = visits.select("request_url")
-        for old in fetched_all:
-            urls = urls.join(old, "request_url", "left_anti")
-        fetched_all.append(settle(_fetched(urls, narrow, decide_with, ("md_links",)), "fetched"))
-        results.append(visits)
-        # Links only from pages with content that still leave room in the budget.
-        known = _union(fetched_all).filter(F.col("md_links").isNotNull()).select("request_url", "md_links")
-        parents = visits.filter(F.col("ord") < max_pages).join(known, "request_url")
-        links = parents.select("seed", F.col("request_url").alias("parent"), F.col("ord").alias("parent_ord"), F.posexplode("md_links").alias("pos", "request_url"))
-        if same_origin_only:
-            links = links.filter(U.url_origin(F.col("request_url")) == U.url_origin(F.col("parent")))
-        links = links.select("seed", "request_url", "parent_ord", F.col("pos").cast("long").alias("pos"))
-        new = links.join(seen, ["seed", "request_url"], "left_anti")
+        visits = levels.add(_visits(frontier, counts, level).filter(F.col("ord") <= max_pages), level)
+        # Links only from pages that still leave room in the budget.
+        parents = visits.filter(F.col("ord") < max_pages).select("seed", F.col("request_url").alias("parent"), F.col("ord").alias("parent_ord"))
+        new = seen.new(parents.join(site.edges.read(), "parent").select("seed", "request_url", "parent_ord", "pos"))
         first = new.groupBy("seed", "request_url").agg(F.min(F.struct("parent_ord", "pos")).alias("_k"))
         frontier = settle(first.select("seed", "request_url", "_k.parent_ord", "_k.pos"), "frontier")
         if frontier.isEmpty():
             break
         counts = visits.groupBy("seed").agg(F.max("ord").alias("done"))
-        seen = seen.unionByName(frontier.select("seed", "request_url"))
+        seen.add(frontier)
         level += 1
 
-    out = settle(_union(results).join(_union(fetched_all).drop("md_links"), "request_url"), "crawl")
+    seen.table.drop()
+    out = settle(levels.read().join(site.drop(), "request_url"), "crawl")
     # A policy failure aborts the whole read of its seed (first failure by visit order).
     failures = out.filter(F.col("status") == "policy")
     aborts = settle(failures.groupBy("seed").agg(F.min(F.struct("ord", "error")).alias("_a")).select("seed", "_a.error"), "aborts")
@@ -330,38 +392,36 @@ def crawl_depth(seeds: DataFrame, captures: DataFrame | tuple[DataFrame, DataFra
     pages, narrow = captures if isinstance(captures, tuple) else page_tables(captures)
     if hops is None and not isinstance(captures, tuple):
         hops = response_hops(captures)
-    verdicts = settle(P.host_policy(host_addresses), "hosts")
-    decide_with = dict(host_addresses=host_addresses, cache=cache, robots_rules=robots_rules, user_agent=user_agent, hops=hops, host_verdicts=verdicts)
+    decide_with = _decide_with(host_addresses, cache, robots_rules, user_agent, hops)
     frontier = settle(_frontier(seeds, key(F.col("seed"))), "frontier")
-    seen = frontier.select("seed", "request_url")
-    counts, results = None, []
+    site = _Site(frontier, narrow, "links", "url", same_origin_only, key, decide_with)
+    # A URL that the policy refuses is one whose page was not asked for at all.
+    refused = settle(site.site.read().filter(F.col("status") == "policy").select(F.col("request_url").alias("_u"), F.col("error").alias("reason")), "refused")
+    seen, levels, counts, bad_links = _Seen(frontier), _Levels(frontier.sparkSession), None, []
     for level in range(depth + 1):
-        visits = settle(_visits(frontier, counts, level), "visits")
-        fetched = settle(_fetched(visits.select("request_url"), narrow, decide_with, ("links",)), "fetched")
-        res = visits.join(fetched, "request_url")
+        visits = levels.add(_visits(frontier, counts, level), level)
         if level == depth:
-            results.append(res.withColumn("bad_link", F.lit(None).cast("string")))
             break
-        # Links of a URL are judged once; its seeds differ only in what they have seen.
-        links = fetched.filter(F.col("status") == "ok").select(F.col("request_url").alias("parent"), "url", F.posexplode("links").alias("pos", "link"))
-        if same_origin_only:
-            links = links.filter(U.url_origin(F.col("link")) == U.url_origin(F.col("url")))
-        links = links.select("parent", F.col("pos").cast("long").alias("pos"), key(F.col("link")).alias("request_url"))
-        judged = P.url_policy(links.select(F.col("request_url").alias("_u")).distinct(), host_addresses, url="_u", host_verdicts=verdicts)
-        links = settle(links.join(judged.select("_u", "reason"), F.col("request_url") == F.col("_u")).drop("_u"), "links")
-        queued = visits.select("seed", "ord", F.col("request_url").alias("parent")).join(links, "parent")
-        queued = settle(queued.join(seen, ["seed", "request_url"], "left_anti"), "queued")
+        parents = visits.select("seed", "ord", F.col("request_url").alias("parent"))
+        queued = seen.new(parents.join(site.edges.read(), "parent").select("seed", "ord", "pos", "request_url"))
+        queued = settle(queued.join(refused, F.col("request_url") == F.col("_u"), "left").drop("_u"), "queued")
         bad = queued.filter(F.col("reason").isNotNull()).groupBy("seed", "ord").agg(F.min(F.struct("pos", "reason")).alias("_b"))
         bad = settle(bad.select("seed", "ord", F.col("_b.pos").alias("bad_pos"), F.col("_b.reason").alias("bad_link")), "bad")
-        results.append(res.join(bad.drop("bad_pos"), ["seed", "ord"], "left"))
+        bad_links.append(bad)
         keep = queued.join(bad, ["seed", "ord"], "left").filter(F.col("bad_pos").isNull() | (F.col("pos") < F.col("bad_pos")))
         first = keep.groupBy("seed", "request_url").agg(F.min(F.struct(F.col("ord").alias("parent_ord"), "pos")).alias("_k"))
         frontier = settle(first.select("seed", "request_url", "_k.parent_ord", "_k.pos"), "frontier")
         if frontier.isEmpty():
             break
         counts = visits.groupBy("seed").agg(F.max("ord").alias("done"))
-        seen = seen.unionByName(frontier.select("seed", "request_url"))
-    out = _with_markdown(_union(results), pages, cache)
+        seen.add(frontier)
+    seen.table.drop()
+    results = levels.read().join(site.drop(), "request_url")
+    if bad_links:
+        results = results.join(reduce(DataFrame.unionByName, bad_links).drop("bad_pos"), ["seed", "ord"], "left")
+    else:
+        results = results.withColumn("bad_link", F.lit(None).cast("string"))
+    out = _with_markdown(results, pages, cache)
     bad = F.col("bad_link").isNotNull()
     return out.select(
         "seed", "ord", "level", "request_url",

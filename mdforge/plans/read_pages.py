@@ -87,12 +87,14 @@ def decide(
     hops: DataFrame | None = None,
     dedupe: bool = True,
     host_verdicts: DataFrame | None = None,
+    chains: DataFrame | None = None,
 ) -> DataFrame:
     """What becomes of each request before any page is read, as narrow rows:
     ``(ord, request_url, url_key, decision, decision_error, lookup_key)``.
 
     ``decision``: policy, cached, robots, fetch (a failed redirect chain or response), or
-    null: the capture of ``lookup_key`` is to be read.
+    null: the capture of ``lookup_key`` is to be read. Redirects are followed in ``hops``, or
+    in their ``chains`` (a ``redirect_table``) where the caller has them already.
     """
     req = requests.select(F.col("url").alias("request_url"), "ord").withColumn("_std", S.standard_column("request_url"))
     req = req.withColumn("url_key", canonical(F.col("_std"))).drop("_std")
@@ -113,16 +115,17 @@ def decide(
         blocked = live & ~F.coalesce(F.col("robots_allowed"), F.lit(True))
         df = df.withColumn("decision_error", F.when(blocked, F.lit(ROBOTS_ERROR)).otherwise(F.col("decision_error")))
         df = df.withColumn("decision", F.when(blocked, F.lit("robots")).otherwise(F.col("decision")))
-    if hops is None:
+    if hops is None and chains is None:
         return df.select("ord", "request_url", "url_key", "decision", "decision_error", F.when(live, F.col("url_key")).alias("lookup_key"))
-    from ..operators.crawl import resolve_redirects
+    if chains is None:
+        from ..operators.crawl import redirect_table
 
+        chains = redirect_table(hops.withColumn("url", canonical(F.col("url"))), host_addresses, key=canonical, host_verdicts=host_verdicts)
     df = settle(df.select("ord", "request_url", "url_key", "decision", "decision_error"), "decided")
-    start = df.filter(live).select(F.col("url_key").alias("url")).distinct().withColumn("ord", F.lit(0).cast("long"))
-    responses = hops.withColumn("url", canonical(F.col("url")))
-    ends = resolve_redirects(start, responses, host_addresses, key=canonical)
-    ends = ends.select(F.col("request_url").alias("_start"), "final_url", F.col("error").alias("_chain_error"))
+    # A live URL without a response has passed the policy; it only has no capture.
+    ends = chains.select(F.col("start").alias("_start"), "final_url", F.col("error").alias("_error"))
     df = df.join(ends, live & (F.col("url_key") == F.col("_start")), "left")
+    df = df.withColumn("_chain_error", F.when(F.col("_start").isNull(), F.concat(F.lit(NO_CAPTURE), F.col("url_key"))).otherwise(F.col("_error")))
     failed = live & F.col("_chain_error").isNotNull()
     return df.select(
         "ord", "request_url", "url_key",

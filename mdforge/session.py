@@ -68,3 +68,31 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+class Bucketed:
+    """A growing table in the shared folder, bucketed by ``keys``.
+
+    A join on the keys reads it bucket by bucket, without moving it: only the other side is
+    dealt out. Appends add files to the buckets. The table stands in the session's catalog
+    until it is dropped; its files stay, like those of ``settle``.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, *keys: str) -> None:
+        self.spark, self.keys = spark, keys
+        self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.table = f"mdforge_{name}_{uuid.uuid4().hex}"
+        self.path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{self.table}"
+
+    def append(self, df: DataFrame) -> None:
+        dealt = df.repartition(self.buckets, *self.keys)
+        dealt.write.bucketBy(self.buckets, *self.keys).option("path", self.path).mode("append").format("parquet").saveAsTable(self.table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> DataFrame:
+        """Leave the catalog; the rows as a plain table."""
+        schema = self.read().schema
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        return self.spark.read.schema(schema).parquet(self.path)

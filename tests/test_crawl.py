@@ -175,3 +175,65 @@ def test_classify_order(spark):
     hops = spark.createDataFrame(HOPS, "url string, status int, location string, content_type string")
     kinds = {r.url: r.kind for r in classify_responses(hops).collect()}
     assert kinds["http://s.com/r1"] == "redirect" and kinds["http://s.com/404"] == "error" and kinds["http://s.com/notype"] == "ok"
+
+
+def test_redirects_by_doubling(spark):
+    """Chains of every length, cycles, branches into a hub, locations that are no URL."""
+    host = "http://a.example/"
+    rows = [(f"{host}{k}", 302, f"/{k + 1}", None) for k in range(12)] + [(f"{host}12", 200, None, "text/html")]
+    rows += [(f"{host}c0", 301, "/c1", None), (f"{host}c1", 301, "/c0", None), (f"{host}self", 301, "/self", None)]
+    rows += [(f"{host}h{k}", 302, "/12", None) for k in range(30)]
+    rows += [(f"{host}out", 302, "http://10.0.0.1/", None), (f"{host}gone", 302, "/absent", None), (f"{host}e", 404, None, None)]
+    hops = spark.createDataFrame(rows, "url string, status int, location string, content_type string")
+    ha = spark.createDataFrame([("a.example", "93.184.216.34", 4)], "host string, address string, family int")
+    nxt = {u: host + loc[1:] if loc and loc.startswith("/") else loc for u, _, loc, _ in rows}
+    ok = {f"{host}12"}
+
+    def follow(u, limit):
+        n = 0
+        while nxt.get(u) is not None:
+            u, n = nxt[u], n + 1
+            if n > limit:
+                return None, limit + 1, "many"
+        return (u if u in ok else None), n, None if u in ok else "error"
+
+    for limit in (0, 1, 4, 5, 11, 12):
+        got = {r.start: (r.final_url, r.n_hops, r.error) for r in CR.redirect_table(hops, ha, limit).collect()}
+        for u in nxt:
+            final, n, why = follow(u, limit)
+            assert got[u][:2] == (final, n), (limit, u)
+            assert (got[u][2] is None) == (why is None) and ((got[u][2] or "").startswith(CR.TOO_MANY) == (why == "many"))
+    assert got[f"{host}out"][2] == "IP address is not allowed: 10.0.0.1" and got[f"{host}gone"][2] == "No capture for http://a.example/absent"
+
+
+def test_a_level_moves_its_own_rows_only(spark):
+    """The tables that levels are joined to are read bucket by bucket, without an exchange."""
+    rows = [("s", f"u{k}") for k in range(500)]
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        seen = CR._Seen(spark.createDataFrame(rows[:200], "seed string, request_url string"))
+        seen.add(spark.createDataFrame(rows[200:300], "seed string, request_url string"))
+        links = spark.createDataFrame(rows, "seed string, request_url string")
+        new = seen.new(links)
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+        assert sorted(r.request_url for r in new.collect()) == sorted(u for _, u in rows[300:])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        seen.table.drop()
+    assert seen.table.table not in [t.name for t in spark.catalog.listTables()]
+
+
+def test_a_long_way_down(spark):
+    """One link a page: as many levels as pages."""
+    n = 9
+    page = lambda k: f"<html><body><article><h1>Page {k}</h1><p>Some text, long enough to be an article here.</p><a href='/p{k + 1}'>on</a></article></body></html>"
+    caps = spark.createDataFrame([(k, f"http://a.example/p{k}", page(k)) for k in range(n)], "page_id long, url string, html string")
+    ha = spark.createDataFrame([("a.example", "93.184.216.34", 4)], "host string, address string, family int")
+    seeds = spark.createDataFrame([("http://a.example/p0",), ("http://a.example/p4",)], "seed string")
+    tables = CR.page_tables(caps)
+    got = CR.crawl_budget(seeds, tables, ha, max_pages=8).orderBy("seed", "ord").collect()
+    assert [(r.seed[-1], r.ord, r.level, r.request_url[-1], r.status) for r in got] == [("0", k + 1, k, str(k), "ok") for k in range(8)] + [("4", k + 1, k, str(k + 4), "ok" if k < 5 else "fetch") for k in range(6)]
+    deep = CR.crawl_depth(seeds.limit(1), tables, ha, depth=6).orderBy("ord").collect()
+    assert [r.request_url[-1] for r in deep] == [str(k) for k in range(7)]
