@@ -1,17 +1,25 @@
 """The Markdown content table keyed by the SHA-256 of the URL (the cache).
 
-Layout: an append-only Parquet table partitioned by the first two hex digits of the
-key. A put appends new files (Spark's commit protocol makes a retried or lost task
-harmless); readers keep the latest entry per key with a map-side-combined aggregate.
-``cache_compact`` rewrites the latest entries into a fresh folder.
+Layout: ``data/put=<name>/key_prefix=<two hex digits>/`` holds the Parquet files of one put,
+``snapshots/<n>`` names the puts of the n-th state of the cache, with their versions. A put
+writes its files first and then a snapshot that names them too, which a rename brings
+into being: readers take the last snapshot and never see half a put, and clearing is a
+snapshot without puts. Of writers that end at the same time one finds its number taken and
+tries the next.
+
+Readers keep the latest entry per key with a map-side-combined aggregate. A lookup reads
+the partitions of its requests' keys only. ``cache_compact`` puts the latest entries
+together; ``cache_vacuum`` deletes files that the last snapshot doesn't name.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from ..functions import urls as U
 
@@ -49,34 +57,91 @@ def cache_entries(results: DataFrame, batch: int = 0) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------------------------
+# Snapshots
+# ---------------------------------------------------------------------------
+
+def _files(spark: SparkSession, path: str):
+    """(file system of a path, function making a path below it)."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    fs = hadoop.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs, lambda *below: hadoop.Path("/".join([path.rstrip("/"), *below]))
+
+
+def snapshot(spark: SparkSession, path: str) -> tuple[int, list[tuple[str, int]]]:
+    """(number, [(put, version)]) of the cache's last state; (0, []) if there is none."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at("snapshots")):
+        return 0, []
+    names = [f.getPath().getName() for f in fs.listStatus(at("snapshots"))]
+    last = max((int(n) for n in names if n.isdigit()), default=0)
+    if not last:
+        return 0, []
+    stream = fs.open(at("snapshots", f"{last:012d}"))
+    try:
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return last, [(name, int(version)) for name, version in (line.split() for line in text.splitlines())]
+
+
+def _commit(spark: SparkSession, path: str, change) -> None:
+    """Bring ``change`` (of the list of puts) into being as the next snapshot."""
+    fs, at = _files(spark, path)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    context = hadoop.FileContext.getFileContext(at().toUri(), spark._jsc.hadoopConfiguration())
+    fs.mkdirs(at("snapshots"))
+    while True:
+        number, puts = snapshot(spark, path)
+        draft = at("snapshots", f"draft-{uuid.uuid4().hex}")
+        stream = fs.create(draft, True)
+        stream.write(bytearray("".join(f"{name} {version}\n" for name, version in change(puts)).encode()))
+        stream.close()
+        try:
+            # Without the option to overwrite: it fails where another writer was first.
+            options = spark._sc._gateway.new_array(hadoop.Options.Rename, 0)
+            context.rename(fs.makeQualified(draft), fs.makeQualified(at("snapshots", f"{number + 1:012d}")), options)
+            return
+        except Py4JJavaError as e:
+            fs.delete(draft, False)
+            if "FileAlreadyExistsException" not in str(e.java_exception):
+                raise
+
+
 def next_version(spark: SparkSession, path: str) -> int:
-    """One more than the largest version in the table: grows over writers and runs.
+    """One more than the largest version in the cache: grows over writers and runs.
 
-    Only the ``written_at`` column is read. Of puts that run at the same time and get one
-    version, the greater title and Markdown win (a fixed rule for ties).
+    Of puts that run at the same time and get one version, the greater title and Markdown
+    win (a fixed rule for ties).
     """
-    top = _raw(spark, path).agg(F.max("written_at").alias("v")).first()["v"]
-    return 1 if top is None else int(top) + 1
+    return max((version for _, version in snapshot(spark, path)[1]), default=0) + 1
 
 
 def cache_put(results: DataFrame, path: str, batch: int | None = None) -> None:
-    """Append this batch's entries; the latest version wins on read. A put without a
-    number of its own gets the next version of the table."""
+    """Add this batch's entries; the latest version wins on read. A put without a
+    number of its own gets the next version of the cache."""
+    spark = results.sparkSession
     if batch is None:
-        batch = next_version(results.sparkSession, path)
-    cache_entries(results, batch).write.mode("append").partitionBy("key_prefix").parquet(path)
+        batch = next_version(spark, path)
+    name = uuid.uuid4().hex
+    cache_entries(results, batch).write.partitionBy("key_prefix").parquet(f"{path}/data/put={name}")
+    _commit(spark, path, lambda puts: [*puts, (name, batch)])
 
 
-def _raw(spark: SparkSession, path: str) -> DataFrame:
-    try:
-        return spark.read.schema(CACHE_SCHEMA).parquet(path)
-    except AnalysisException:
+def _raw(spark: SparkSession, path: str, prefixes: list[str] | None = None) -> DataFrame:
+    """All versions of the entries of the last snapshot, of the given key prefixes only."""
+    fs, at = _files(spark, path)
+    folders = [f"{path}/data/put={name}" for name, _ in snapshot(spark, path)[1] if fs.exists(at("data", f"put={name}"))]
+    if not folders:
         return spark.createDataFrame([], CACHE_SCHEMA)
+    put = T.StructField("put", T.StringType(), True)
+    raw = spark.read.schema(T.StructType([*CACHE_SCHEMA.fields, put])).option("basePath", f"{path}/data").parquet(*folders).drop("put")
+    return raw if prefixes is None else raw.filter(F.col("key_prefix").isin(prefixes))
 
 
-def read_cache(spark: SparkSession, path: str) -> DataFrame:
-    """Latest entry per key; an absent cache reads as empty."""
-    return latest_entries(_raw(spark, path))
+def read_cache(spark: SparkSession, path: str, prefixes: list[str] | None = None) -> DataFrame:
+    """Latest entry per key; an absent cache reads as empty. ``prefixes``: partitions to read."""
+    return latest_entries(_raw(spark, path, prefixes))
 
 
 def latest_entries(raw: DataFrame) -> DataFrame:
@@ -95,6 +160,14 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, url: str = "url") -> Dat
     return out.withColumn("hit", F.col("_ck").isNotNull()).drop("_ck")
 
 
+def cache_lookup_at(requests: DataFrame, path: str, url: str = "url") -> DataFrame:
+    """S6 against the cache at ``path``: only the partitions that the requests' keys fall
+    into are read (their two-digit prefixes, at most 256, are gathered first)."""
+    keys = requests.select(F.substring(cache_key(F.col(url)), 1, 2).alias("p")).where("p is not null").distinct()
+    prefixes = sorted(r["p"] for r in keys.collect())
+    return cache_lookup(requests, read_cache(requests.sparkSession, path, prefixes), url)
+
+
 def cache_status(cache: DataFrame) -> DataFrame:
     """Entry count, byte total and ``x.xx MB``; an empty cache gives zeros."""
     agg = cache.agg(F.count(F.lit(1)).alias("cache_files"), F.coalesce(F.sum("n_bytes"), F.lit(0)).cast("long").alias("cache_size"))
@@ -106,11 +179,30 @@ def cache_status(cache: DataFrame) -> DataFrame:
 
 
 def cache_clear(spark: SparkSession, path: str) -> DataFrame:
-    """Replace the table with an empty one; succeeds when nothing was there."""
-    spark.createDataFrame([], CACHE_SCHEMA).write.mode("overwrite").partitionBy("key_prefix").parquet(path)
+    """An empty cache from now on; succeeds when nothing was there. Readers that have
+    begun go on with the files they know, which ``cache_vacuum`` deletes."""
+    _commit(spark, path, lambda puts: [])
     return spark.createDataFrame([("success", "Cache cleared successfully")], "status string, message string")
 
 
-def cache_compact(spark: SparkSession, path: str, out_path: str) -> None:
-    """Rewrite only the latest entries into ``out_path`` (new folder, no in-place overwrite)."""
-    read_cache(spark, path).write.mode("overwrite").partitionBy("key_prefix").parquet(out_path)
+def cache_compact(spark: SparkSession, path: str) -> None:
+    """The latest entries of the last snapshot as one put; puts that come meanwhile stay."""
+    old = snapshot(spark, path)[1]
+    name = uuid.uuid4().hex
+    entries = read_cache(spark, path).select(*CACHE_SCHEMA.fieldNames())
+    entries.repartition("key_prefix").write.partitionBy("key_prefix").parquet(f"{path}/data/put={name}")
+    version = max((v for _, v in old), default=0)
+    _commit(spark, path, lambda puts: [(name, version), *(p for p in puts if p not in old)])
+
+
+def cache_vacuum(spark: SparkSession, path: str) -> int:
+    """Delete the puts that the last snapshot doesn't name, those of readers and writers at
+    work included: call it when there are none. Returns how many."""
+    fs, at = _files(spark, path)
+    if not fs.exists(at("data")):
+        return 0
+    live = {f"put={name}" for name, _ in snapshot(spark, path)[1]}
+    gone = [f.getPath() for f in fs.listStatus(at("data")) if f.getPath().getName() not in live]
+    for folder in gone:
+        fs.delete(folder, True)
+    return len(gone)

@@ -3,6 +3,7 @@
 import os
 import uuid
 
+import pytest
 from pyspark.sql import functions as F
 
 from mdforge.operators import combine as CB
@@ -97,3 +98,70 @@ def test_stream_once_per_url(spark):
     ST.stream_cache_put(ST.page_stream(spark, src + "-late/*"), cache, ck + "-c2", ha)  # its epochs start at 0 again
     got = {r.url: r.markdown for r in CA.read_cache(spark, cache).collect()}
     assert got["http://a/y"].startswith("newer") and got["http://a/x"].startswith("word")
+
+
+def _pages_of(spark, n, title="t"):
+    return spark.createDataFrame([(f"http://a.example/{k}", title, f"text {k}", None) for k in range(n)], "url string, title string, markdown string, error string")
+
+
+def _cache_path(spark):
+    from mdforge.session import ensure_checkpoint_dir
+
+    return os.path.join(ensure_checkpoint_dir(spark), "cache-" + uuid.uuid4().hex)
+
+
+def test_a_put_that_fails_midway_is_not_seen(spark, monkeypatch):
+    path = _cache_path(spark)
+    CA.cache_put(_pages_of(spark, 20, "old"), path)
+    begun = CA.read_cache(spark, path)
+    commit = CA._commit
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    monkeypatch.setattr(CA, "_commit", lost)
+    for broken in (lambda: CA.cache_put(_pages_of(spark, 30, "new"), path), lambda: CA.cache_clear(spark, path)):
+        with pytest.raises(RuntimeError):
+            broken()
+        assert {(r.url, r.title) for r in CA.read_cache(spark, path).collect()} == {(f"http://a.example/{k}", "old") for k in range(20)}
+    monkeypatch.setattr(CA, "_commit", commit)
+    CA.cache_clear(spark, path)
+    assert CA.read_cache(spark, path).count() == 0 and begun.count() == 20  # a reader that has begun goes on
+    CA.cache_put(_pages_of(spark, 3), path)
+    assert CA.cache_vacuum(spark, path) == 2 and CA.read_cache(spark, path).count() == 3
+
+
+def test_two_writers_and_a_compaction(spark, monkeypatch):
+    path = _cache_path(spark)
+    CA.cache_put(_pages_of(spark, 4, "a"), path)
+    seen, take = [], CA.snapshot
+
+    def slow(spark_, path_):
+        """Another writer commits between this one's look at the snapshot and its rename."""
+        state = take(spark_, path_)
+        if not seen:
+            seen.append(1)
+            CA.cache_put(_pages_of(spark, 6, "b"), path, batch=9)
+        return state
+
+    monkeypatch.setattr(CA, "snapshot", slow)
+    CA.cache_put(_pages_of(spark, 2, "c"), path, batch=10)
+    monkeypatch.setattr(CA, "snapshot", take)
+    want = {f"http://a.example/{k}": "c" if k < 2 else "b" for k in range(6)}
+    assert {r.url: r.title for r in CA.read_cache(spark, path).collect()} == want
+    assert CA.next_version(spark, path) == 11
+    CA.cache_compact(spark, path)
+    assert len(CA.snapshot(spark, path)[1]) == 1 and {r.url: r.title for r in CA.read_cache(spark, path).collect()} == want
+
+
+def test_a_lookup_reads_its_own_partitions(spark):
+    path = _cache_path(spark)
+    CA.cache_put(_pages_of(spark, 60), path)
+    CA.cache_put(_pages_of(spark, 60, "u"), path)
+    req = spark.createDataFrame([("http://a.example/7",), ("http://b.example/",), (None,)], "url string")
+    out = CA.cache_lookup_at(req, path)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "key_prefix" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    scan = [r for r in plan.splitlines() if "FileScan" in r][0]
+    assert "key_prefix" in scan
+    assert {r.url: (r.hit, r.cached_title) for r in out.collect()} == {"http://a.example/7": (True, "u"), "http://b.example/": (False, None), None: (False, None)}
