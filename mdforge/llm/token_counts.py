@@ -22,8 +22,8 @@ from mdforge.llm.common import held, map_batches
 
 #: Pre-tokens of the broadcast table, and texts of the sample that chooses them.
 TABLE_WORDS, SAMPLE_TEXTS = 65_536, 4_000
-#: Pre-tokens a worker keeps besides; longer ones than the second number are not kept.
-CACHE_WORDS, CACHE_LENGTH = 200_000, 64
+#: Pre-tokens a worker keeps besides in each of two generations; longer ones than the second number are not kept.
+CACHE_WORDS, CACHE_LENGTH = 150_000, 64
 
 # Texts of these characters only are split by one plain pattern; their composed form is
 # themselves. All others are normalised and split by the library itself.
@@ -34,16 +34,20 @@ _SPLIT = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTER}]+|[0-9]|[^\\s{_LETTER}0
 
 
 class _Numbers(dict):
-    """pre-token -> number of tokens; what is missing is encoded and kept while there is room."""
+    """pre-token -> number of tokens. What is missing is encoded and kept; when there is no more
+    room, what was not met since the last time goes."""
 
     def __init__(self, tokenizer, table: dict[str, int]) -> None:
         super().__init__(table)
-        self.tokenizer, self.table = tokenizer, table
+        self.tokenizer, self.table, self.old = tokenizer, table, {}
 
     def __missing__(self, word: str) -> int:
-        n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
+        n = self.old.get(word)
+        if n is None:
+            n = len(self.tokenizer.encode(word, add_special_tokens=False).ids)
         if len(word) <= CACHE_LENGTH:
             if len(self) >= len(self.table) + CACHE_WORDS:
+                self.old = dict(self)
                 self.clear()
                 self.update(self.table)
             self[word] = n
