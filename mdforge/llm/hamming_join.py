@@ -51,7 +51,7 @@ def signature(shingles: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """doc_id, n_shingles, s1 and s2 (a 128-bit digest of the set), sig (null: empty set)."""
+    """doc_id, text_hash, n_shingles, s1 and s2 (a 128-bit digest of the set), sig (null: empty set)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, s1, s2, sig = [], [], [], []
@@ -61,9 +61,9 @@ def sketches(docs: DataFrame, shingle_words: int) -> DataFrame:
             s1.append(int(mix(s).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             s2.append(int(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)) if len(s) else 0)
             sig.append(signature(s).tobytes() if len(s) else None)
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "s1", "s2", "sig"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(sig, pa.binary())], ["doc_id", "text_hash", "n_shingles", "s1", "s2", "sig"])
 
-    return map_batches(docs, run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return map_batches(docs, run, "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def chunk_keys(reps: DataFrame) -> DataFrame:
@@ -98,13 +98,13 @@ def _planes(reps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(cls, hashes): the full sets of the given documents."""
+    """(cls, hashes): the full sets of texts (cls, text)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(text_words(t), shingle_words).view(np.int64) for t in b.column("text").to_pylist()]
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        return pa.RecordBatch.from_arrays([b.column("doc_id"), values], ["cls", "hashes"])
+        return pa.RecordBatch.from_arrays([b.column("cls"), values], ["cls", "hashes"])
 
     return map_batches(docs, run, "cls long, hashes array<long>")
 
@@ -179,19 +179,15 @@ def links_in_clusters(classes: DataFrame, sets: DataFrame, percent: int) -> Data
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    A text without words, or null, has an empty set and is linked with nothing; so is a
-    row without an id. Rows that share an id are one document if their texts are equal;
-    otherwise the component of the row's text is given. Other columns are left out.
-    """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+def labelled(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
+    """(doc_id, text_hash, n_shingles, component_id) for every row of ``docs``."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     sketch = settle(sketches(docs, shingle_words), "sketches")
     filled = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = settle(filled.groupBy("s1", "s2", "n_shingles").agg(F.min("doc_id").alias("cls")), "classes")
-    reps = filled.join(classes, ["s1", "s2", "n_shingles"]).where("doc_id = cls").select("cls", "sig").dropDuplicates(["cls"])
-    reps = settle(reps, "reps")
+    # A class of equal sets has a number of its own: its smallest doc_id may name others too.
+    classes = filled.groupBy("s1", "s2", "n_shingles").agg(F.min(F.struct("doc_id", "text_hash", "sig")).alias("x"))
+    classes = settle(classes.select("s1", "s2", "n_shingles", F.monotonically_increasing_id().alias("cls"), "x.*"), "classes")
+    reps = classes.select("cls", "sig")
 
     # Settled before it is joined to the rows it comes from: both sides of the join are
     # then plain exchanges, whose hot partitions Spark splits.
@@ -199,7 +195,8 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(keys.join(settle(shared, "shared"), "key"), "members")
     meets = settle(members.groupBy("cls").agg(F.sum("n").alias("meets")), "meets")
-    sets = docs.join(meets.select(F.col("cls").alias("doc_id")), "doc_id", "left_semi")
+    wanted = settle(classes.join(meets.select("cls"), "cls").select("cls", "doc_id", "text_hash"), "wanted")
+    sets = docs.join(wanted, ["doc_id", "text_hash"]).select("cls", "text")
     sets = settle(shingle_sets(sets, shingle_words).dropDuplicates(["cls"]), "sets")
 
     lead = members.join(meets, "cls").groupBy("key").agg(F.max(F.struct("meets", (-F.col("cls")).alias("m"))).alias("x"))
@@ -229,13 +226,37 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     across = confirmed(pairs, sets, percent)
 
     label = components(links.union(inside).union(across)).select(F.col("id").alias("cls"), "label")
-    classes = classes.join(label, "cls", "left").select("s1", "s2", "n_shingles", F.coalesce("label", "cls").alias("component_id"))
-    named = filled.join(settle(classes, "components"), ["s1", "s2", "n_shingles"]).select("doc_id", "n_shingles", "component_id")
-    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return named.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    classes = classes.join(label, "cls", "left").select("s1", "s2", "n_shingles", "doc_id", F.coalesce("label", "cls").alias("label"))
+    classes = settle(classes, "classes")
+    least = settle(classes.groupBy("label").agg(F.min("doc_id").alias("component_id")), "least")
+    classes = settle(classes.join(least, "label").select("s1", "s2", "n_shingles", "component_id"), "components")
+    named = filled.join(classes, ["s1", "s2", "n_shingles"]).select("doc_id", "text_hash", "n_shingles", "component_id")
+    alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "text_hash", "n_shingles", F.col("doc_id").alias("component_id"))
+    return named.union(alone)
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    A text without words, or null, has an empty set and is linked with nothing; so is a
+    row without an id. Rows that share an id are one document if their texts are equal;
+    otherwise each row has the component of its own text. Other columns are left out.
+    """
+    out = labelled(docs, shingle_words, percent).drop("text_hash")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
-    """``docs`` without the documents that are linked, over others, to one with a smaller id."""
-    kept = near_duplicates(docs, shingle_words, percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    """``docs`` without the documents that are linked, over others, to one with a smaller id.
+
+    Rows that share an id but not the text stay or go by their own text. Most ids go or stay
+    with all their rows, so texts are only told apart where an id does both.
+    """
+    rows = labelled(docs, shingle_words, percent).where("doc_id is not null")
+    rows = settle(rows.select("doc_id", "text_hash", F.expr("doc_id <> component_id").alias("gone")), "labelled")
+    ids = settle(rows.groupBy("doc_id").agg(F.min("gone").alias("all_gone"), F.max("gone").alias("any_gone")).where("any_gone"), "gone")
+    whole = ids.where("all_gone").select(F.col("doc_id").alias("_gone"))
+    part = rows.where("gone").join(ids.where("not all_gone").select("doc_id"), "doc_id")
+    part = settle(part.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "part")
+    left = docs.join(settle(whole, "whole"), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    return left.join(part, (left["doc_id"].cast("long") == F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_hash")), "left_anti")
