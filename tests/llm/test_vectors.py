@@ -113,3 +113,22 @@ def test_collection_transform_equals_sorted_suffixes():
         depth = int(rng.integers(1, 5))
         windows = [tuple(s[i : i + depth]) if i + depth <= len(s) else None for s in strings for i in range(len(s))]
         assert repeated_suffixes(symbols, ends, depth).tolist() == [w is not None and windows.count(w) > 1 for w in windows]
+
+
+def test_near_vectors_of_double_columns(spark):
+    """Pairs of double vectors a hair above and below the threshold."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(200):
+        x, y = rng.normal(size=16), rng.normal(size=16)
+        x /= np.linalg.norm(x)
+        y -= x * (x @ y)
+        y /= np.linalg.norm(y)
+        c = 0.95 + (1e-9 if k % 2 else -1e-9)
+        z = c * x + np.sqrt(1 - c * c) * y
+        linked = float(x @ z / (np.linalg.norm(x) * np.linalg.norm(z)) >= 0.95)
+        rows += [(2 * k, [float(v) for v in x]), (2 * k + 1, [float(v) for v in z])]
+        want[2 * k] = want[2 * k + 1] = linked
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.component_id for r in lattice_hash.near_vectors(df).collect()}
+    assert all((got[i] == got[i ^ 1]) == bool(w) for i, w in want.items())
