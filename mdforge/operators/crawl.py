@@ -22,7 +22,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
-from ..functions.regex import let
 from ..session import Bucketed, ensure_checkpoint_dir, settle
 from . import policy as P
 from .links import page_link_array
@@ -48,9 +47,6 @@ def rank_within(df: DataFrame, key: str, order: tuple[str, ...], out: str = "ran
 # ---------------------------------------------------------------------------
 # C3 robots rules, C4 schedule
 # ---------------------------------------------------------------------------
-RULE_TYPE = "array<struct<agent:string,directive:string,value:string>>"
-
-
 def _pattern(value: Column) -> Column:
     """Robots path pattern -> anchored regex: ``*`` any run, trailing ``$`` end."""
     ends = value.endswith("$")
@@ -59,67 +55,64 @@ def _pattern(value: Column) -> Column:
     return F.when(ends, F.concat(quoted, F.lit("$"))).otherwise(quoted)
 
 
-def host_rules(rules: DataFrame) -> DataFrame:
-    """One row per host with its distinct rules as an array (a robots file is bounded)."""
-    return rules.groupBy(F.lower(F.col("host")).alias("_rh")).agg(
-        F.collect_set(
-            F.struct(F.lower(F.col("agent")).alias("agent"), F.lower(F.col("directive")).alias("directive"), F.col("value"))
-        ).alias("_rules")
-    )
-
+def own_rules(rules: DataFrame, user_agent: str) -> DataFrame:
+    """(_rh, directive, value): the rules of every host that hold for an agent, once each.
 
-def _decide(path: Column, rules: Column, agent: str) -> Column:
-    """struct(allowed, delay, rule) for one path against one host's rules."""
-    ua = agent.lower()
-    specific = F.filter(rules, lambda r: (r["agent"] != "*") & F.lit(ua).contains(r["agent"]))
-    group = F.when(F.size(specific) > 0, specific).otherwise(F.filter(rules, lambda r: r["agent"] == "*"))
-
-    def from_group(g: Column) -> Column:
-        matches = F.filter(
-            g,
-            lambda r: r["directive"].isin("allow", "disallow") & (r["value"] != "") & F.regexp_like(path, _pattern(r["value"])),
-        )
-        # Longest match wins; on equal length "allow" wins (then the larger value,
-        # so the choice never depends on rule order).
-        best = F.array_max(F.transform(matches, lambda r: F.struct(
-            F.length(r["value"]).alias("len"), (r["directive"] == "allow").alias("allow"), r["value"].alias("value"))))
-        delays = F.transform(F.filter(g, lambda r: r["directive"] == "crawl-delay"), lambda r: r["value"].try_cast("double"))
-        delay = F.array_max(delays)
-        return F.struct(
-            F.coalesce(best["allow"], F.lit(True)).alias("allowed"),
-            F.coalesce(delay, F.lit(0.0)).alias("delay"),
-            best["value"].alias("rule"),
-        )
-
-    return let(F.coalesce(group, F.array().cast(RULE_TYPE)), from_group)
+    A host's rules for agents that the name contains replace its rules for ``*``.
+    """
+    agent, ua = F.lower(F.col("agent")), F.lit(user_agent.lower())
+    named = F.coalesce((agent != "*") & ua.contains(agent), F.lit(False))
+    rows = rules.select(F.lower(F.col("host")).alias("_rh"), F.lower(F.col("directive")).alias("directive"), "value", named.alias("_named"), (agent == "*").alias("_any"))
+    rows = settle(rows.filter("_named or _any").distinct(), "rules")
+    has = rows.groupBy("_rh").agg(F.max("_named").alias("_has"))
+    return rows.join(has, "_rh").filter(F.col("_named") == F.col("_has")).select("_rh", "directive", "value").distinct()
 
 
 def robots_filter(df: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url",
                   only_where: Column | None = None) -> DataFrame:
     """Adds ``robots_allowed``, ``crawl_delay`` and ``robots_rule`` (longest match,
-    allow wins ties; rules of the named agent replace the ``*`` group).
+    allow wins ties, then the larger value; rules of the named agent replace the ``*`` group).
 
-    The per-host rule arrays are joined on host: AQE broadcasts them when small and
-    splits a skewed host partition of the request side otherwise.
+    Rules are an index on their literal prefixes, up to the first ``*`` or the closing ``$``.
+    Every distinct path of a host asks for its own prefixes of the lengths that occur among
+    the host's rules, an equality join that deals one host's rules and requests to many
+    tasks; a pattern is only tried on the paths that begin with its prefix. The rows are
+    settled once, as their paths are read twice.
     """
     parts = U.url_parts(F.col(url))
-    staged = df.withColumn("_rp", parts).withColumn("_rhost", F.col("_rp.host")).withColumn(
-        "_rpath",
-        F.concat(F.coalesce(F.nullif(F.col("_rp.path"), F.lit("")), F.lit("/")),
-                 F.when(F.col("_rp.query").isNotNull(), F.concat(F.lit("?"), F.col("_rp.query"))).otherwise(F.lit(""))),
+    path = F.concat(F.coalesce(F.nullif(F.col("_rp.path"), F.lit("")), F.lit("/")),
+                    F.when(F.col("_rp.query").isNotNull(), F.concat(F.lit("?"), F.col("_rp.query"))).otherwise(F.lit("")))
+    asks = F.lit(True) if only_where is None else F.coalesce(only_where, F.lit(False))
+    staged = df.withColumn("_rp", parts).withColumns({"_rhost": F.col("_rp.host"), "_rpath": path, "_asks": asks}).drop("_rp")
+    staged = settle(staged, "requests")
+    own = settle(own_rules(rules, user_agent), "rules")
+    value = F.col("value")
+    prefix = F.regexp_extract(F.regexp_replace(value, r"\$\z", ""), r"^[^*]*", 0)
+    matching = F.col("directive").isin("allow", "disallow") & (value != "")
+    index = own.filter(matching).select(
+        "_rh", prefix.alias("_prefix"), "value", (F.col("directive") == "allow").alias("allow"),
+        (value.contains("*") | value.endswith("$")).alias("_wild"),
     )
-    cond = F.col("_rhost") == F.col("_rh")
-    if only_where is not None:
-        cond = only_where & cond
-    joined = staged.join(host_rules(rules), cond, "left")
-    d = _decide(F.col("_rpath"), F.col("_rules"), user_agent)
-    out = joined.withColumn("_d", F.when(F.col("_rh").isNotNull(), d))
-    out = out.withColumn("robots_allowed", F.coalesce(F.col("_d.allowed"), F.lit(True))).withColumn(
-        "crawl_delay", F.coalesce(F.col("_d.delay"), F.lit(0.0))
-    ).withColumn("robots_rule", F.col("_d.rule"))
+    index = settle(index, "index")
+    # The lengths of a host's prefixes: no more than its longest rule has characters.
+    hosts = own.groupBy("_rh").agg(F.max(F.when(F.col("directive") == "crawl-delay", value.try_cast("double"))).alias("_delay"))
+    lengths = index.groupBy("_rh").agg(F.collect_set(F.length("_prefix")).alias("_lengths"))
+    asked = staged.filter("_asks and _rhost is not null").select(F.col("_rhost").alias("_rh"), "_rpath").distinct().join(lengths, "_rh")
+    asked = asked.withColumn("_n", F.explode(F.filter("_lengths", lambda n: n <= F.length("_rpath")))).drop("_lengths")
+    asked = asked.select("_rh", "_rpath", F.substr("_rpath", F.lit(1), "_n").alias("_prefix"))
+    hits = asked.join(index, ["_rh", "_prefix"]).filter(~F.col("_wild") | F.regexp_like(F.col("_rpath"), _pattern(value)))
+    best = F.max(F.struct(F.length("value").alias("len"), "allow", "value")).alias("_best")
+    best = settle(hits.groupBy("_rh", "_rpath").agg(best).select(F.col("_rh").alias("_bh"), F.col("_rpath").alias("_bp"), "_best"), "best")
+    out = staged.join(best, F.col("_asks") & (F.col("_rhost") == F.col("_bh")) & (F.col("_rpath") == F.col("_bp")), "left")
+    out = out.join(hosts, F.col("_asks") & (F.col("_rhost") == F.col("_rh")), "left")
+    out = out.withColumns({
+        "robots_allowed": F.coalesce(F.col("_best.allow"), F.lit(True)),
+        "crawl_delay": F.coalesce("_delay", F.lit(0.0)),
+        "robots_rule": F.col("_best.value"),
+    })
     if only_where is not None:
-        out = out.withColumn("robots_allowed", F.when(only_where, F.col("robots_allowed")))
-    return out.drop("_rp", "_rhost", "_rpath", "_rh", "_rules", "_d")
+        out = out.withColumn("robots_allowed", F.when(F.col("_asks"), F.col("robots_allowed")))
+    return out.drop("_rhost", "_rpath", "_asks", "_bh", "_bp", "_best", "_rh", "_delay")
 
 
 def crawl_schedule(requests: DataFrame, rules: DataFrame, user_agent: str = "*", url: str = "url",

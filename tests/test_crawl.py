@@ -237,3 +237,36 @@ def test_a_long_way_down(spark):
     assert [(r.seed[-1], r.ord, r.level, r.request_url[-1], r.status) for r in got] == [("0", k + 1, k, str(k), "ok") for k in range(8)] + [("4", k + 1, k, str(k + 4), "ok" if k < 5 else "fetch") for k in range(6)]
     deep = CR.crawl_depth(seeds.limit(1), tables, ha, depth=6).orderBy("ord").collect()
     assert [r.request_url[-1] for r in deep] == [str(k) for k in range(7)]
+
+
+def test_robots_rules_as_a_prefix_index(spark):
+    """Many rules of one host, wild cards at every place, against the rules read one by one."""
+    import random
+    import re
+
+    rng = random.Random(8)
+    word = lambda: rng.choice(["a", "b", "ab", "x.pdf", "q?z", "%20", "é", "$", "(["])
+    value = lambda: "/" + "/".join(word() for _ in range(rng.randint(0, 3))) + rng.choice(["", "", "*", "*/b", "$", "*$", "/"])
+    rules = [("h.com", rng.choice(["*", "bot", "other"]), rng.choice(["Allow", "disallow"]), value()) for _ in range(300)]
+    rules += [("h.com", "*", "disallow", ""), ("h.com", "bot", "crawl-delay", "2.5"), ("h.com", "bot", "crawl-delay", "x"), ("i.com", "*", "disallow", "*"), ("j.com", "bot", "crawl-delay", "1"), (None, "*", "disallow", "/"), ("h.com", None, "disallow", "/"), ("h.com", "*", None, None)]
+    paths = ["", "/", *{"/" + "/".join(word() for _ in range(rng.randint(0, 4))) for _ in range(120)}]
+    urls = [f"http://{h}.com{p}" for h in "hijk" for p in paths]
+    df = spark.createDataFrame([(u,) for u in [*urls, urls[5], None, "nothing"]], "url string")
+    r = spark.createDataFrame(rules, "host string, agent string, directive string, value string")
+
+    def matches(v, path):
+        body = v.removesuffix("$")
+        return re.match("".join(".*" if c == "*" else re.escape(c) for c in body) + ("$" if v.endswith("$") else ""), path)
+
+    for agent, own in (("MyBot/1", "bot"), ("reader", "*")):
+        got = {x.url: (x.robots_allowed, x.crawl_delay, x.robots_rule) for x in CR.robots_filter(df, r, agent).collect()}
+        for u in urls:
+            host, _, path = u[7:].partition("/")
+            path = ("/" + path) if "/" in u[7:] else "/"
+            names = {a for h, a, _, _ in rules if h == host}
+            group = [(d.lower(), v) for h, a, d, v in rules if h == host and d and a == (own if own in names else "*")]
+            hit = [(len(v), d == "allow", v) for d, v in group if d in ("allow", "disallow") and v and matches(v, path)]
+            delays = [float(v) for d, v in group if d == "crawl-delay" and v != "x"]
+            best = max(hit, default=(0, True, None))
+            assert got[u] == (best[1], max(delays, default=0.0), best[2]), u
+        assert got[None] == got["nothing"] == (True, 0.0, None)
