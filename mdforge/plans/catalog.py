@@ -19,7 +19,7 @@ from ..operators import extract as X
 from ..operators import links as L
 from ..operators import policy as P
 from ..operators import urls as UO
-from ..sources.captures import table
+from ..sources.captures import scan_captures, table
 from . import derived as D
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,6 +40,11 @@ def _pages(spark, sf):
     return table(spark, sf, "pages")
 
 
+@register("s1_scan_captures", "SELECT page_id, url, CAST(length(html) AS INTEGER) AS n_chars FROM pages")
+def s1_scan_captures(spark, sf):
+    return scan_captures(spark, f"{sf.rstrip('/')}/pages.parquet").select("page_id", "url", F.length("html").alias("n_chars"))
+
+
 # ---------------------------------------------------------------------------
 # HTML jobs
 # ---------------------------------------------------------------------------

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 PAGES_SCHEMA = T.StructType(
     [
@@ -14,6 +15,12 @@ PAGES_SCHEMA = T.StructType(
     ]
 )
 
+RESPONSE_FIELDS = [
+    T.StructField("status", T.IntegerType()),
+    T.StructField("location", T.StringType()),
+    T.StructField("content_type", T.StringType()),
+]
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -36,13 +43,22 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return df.repartition(int(parts)) if parts and name in WIDE_TABLES else df
 
 
-def scan_captures(spark: SparkSession, path: str) -> DataFrame:
-    """Captured pages ``(page_id, url, html)`` with a fixed schema (no inference).
+def scan_captures(spark: SparkSession, path: str, responses: bool = False) -> DataFrame:
+    """Captured pages ``(page_id, url, html)`` with a fixed schema (no inference), with
+    ``responses`` also ``(status, location, content_type)``.
 
-    ``html`` is wide: callers should select it only where extraction needs it, so that
-    URL-only stages (policy, dedupe, cache lookups) read just the narrow columns.
+    Columns that the files lack are null, others are left out, and a column of another type
+    fails when it is read. An absent or empty folder has no captures. ``html`` is wide:
+    callers should select it only where extraction needs it, so that URL-only stages
+    (policy, dedupe, cache lookups) read just the narrow columns.
     """
-    return spark.read.schema(PAGES_SCHEMA).parquet(path)
+    schema = T.StructType([*PAGES_SCHEMA.fields, *(RESPONSE_FIELDS if responses else [])])
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 # ---------------------------------------------------------------------------

@@ -40,9 +40,16 @@ def export_both(results: DataFrame) -> DataFrame:
     return results.select(*keys, "url", text.alias("text"), message.alias("message"))
 
 
-def write_text(df: DataFrame, column: str, path: str) -> None:
-    df.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
-
-
-def write_json_lines(results: DataFrame, path: str) -> None:
-    write_text(export_json(results), "json", path)
+def write_text(df: DataFrame, column: str, path: str, order: tuple[str, ...] = (), rows_per_file: int = 0) -> None:
+    """Text files of a column. With ``order`` the rows are range-partitioned and sorted, so
+    the files, one after the other by name, hold them in that order; ``rows_per_file``
+    bounds a file (0: as large as its partition)."""
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    df.select(F.col(column).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).text(path)
+
+
+def write_json_lines(results: DataFrame, path: str, rows_per_file: int = 0) -> None:
+    """S9 as files: results in order of seed and visit, where they have these."""
+    out = export_json(results)
+    write_text(out, "json", path, tuple(c for c in ("seed", "ord") if c in out.columns), rows_per_file)

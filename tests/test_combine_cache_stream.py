@@ -165,3 +165,29 @@ def test_a_lookup_reads_its_own_partitions(spark):
     scan = [r for r in plan.splitlines() if "FileScan" in r][0]
     assert "key_prefix" in scan
     assert {r.url: (r.hit, r.cached_title) for r in out.collect()} == {"http://a.example/7": (True, "u"), "http://b.example/": (False, None), None: (False, None)}
+
+
+def test_scan_of_captures(spark):
+    from mdforge.sources.captures import scan_captures
+
+    path = _cache_path(spark)
+    assert scan_captures(spark, path + "-absent").count() == 0
+    assert scan_captures(spark, path + "-absent", responses=True).columns == ["page_id", "url", "html", "status", "location", "content_type"]
+    spark.createDataFrame([(1, "http://a/", "<p>x", 200, "extra"), (None, None, None, None, None)], "page_id int, url string, html string, status int, other string").write.parquet(path)
+    got = scan_captures(spark, path, responses=True)
+    assert sorted(map(str, got.collect())) == sorted(map(str, [type(got.first())(page_id=1, url="http://a/", html="<p>x", status=200, location=None, content_type=None), type(got.first())(page_id=None, url=None, html=None, status=None, location=None, content_type=None)]))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(path + "-empty")
+    assert scan_captures(spark, path + "-empty").count() == 0
+
+
+def test_files_in_order(spark):
+    import json
+
+    path = _cache_path(spark)
+    rows = [(f"s{k % 3}", k // 3, f"http://a/{k}", f"text {k}") for k in range(90)]
+    df = spark.createDataFrame(rows, "seed string, ord int, url string, markdown string").repartition(5)
+    EX.write_json_lines(df, path, rows_per_file=7)
+    names = sorted(n for n in os.listdir(path.removeprefix("file:")) if n.startswith("part-"))
+    lines = [open(os.path.join(path.removeprefix("file:"), n)).read().splitlines() for n in names]
+    assert max(map(len, lines)) <= 7
+    assert [json.loads(x)["url"] for part in lines for x in part] == [r[2] for r in sorted(rows)]
