@@ -8,10 +8,10 @@ probabilities, ``(c(h, w) + mu p(w)) / (c(h) + mu)``, from those probes alone.
 Counting: tasks fold the n-grams of their texts into sorted arrays of hashes and counts,
 cut by hash into ranges; a range's arrays meet in one task and are added up. The filter
 has one segment for each range, filled from the range's words and from its pairs.
-The filter grows with the counted n-grams and holds all of them. At most ``max_bits`` of it
-are broadcast at a time: a larger one goes round in passes over consecutive ranges, each
-of which notes the levels of the words and pairs of its ranges; the notes of all passes
-make the scores, which are those that the whole filter would give.
+The filter grows with the counted n-grams and holds all of them. It is broadcast while it has
+at most ``max_bits``. A larger one stays in slices of consecutive ranges: the distinct words
+and pairs of some texts go to the slices of their hashes once, are probed there, and their
+levels come back. The scores are those that the whole filter would give.
 
 Word counts besides are exact: the most frequent words are broadcast, the rest of a
 text's words are joined to the table of counts.
@@ -20,8 +20,6 @@ text's words are joined to the table of counts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,32 +27,47 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mdforge.llm.common import map_batches, settle
+from mdforge.llm.common import map_batches, release, settle
 from mdforge.llm.langid import held_out
 from mdforge.llm.shingles import mix, text_words
 
-#: Bits broadcast at a time, hash functions per level, base of the levels, and mu.
-MAX_BITS, HASHES, BASE, MU = 1 << 28, 3, 1.6, 100.0
+#: Bits that are broadcast at most, growth of the levels, and mu.
+MAX_BITS, BASE, MU = 1 << 30, 1.3, 100.0
+#: Hash functions of the first level, where a false hit makes an n-gram out of nothing (one
+#: in 128), and of the others, where it makes a count a level too large.
+HASHES, HASHES_ABOVE = 7, 3
+#: Bits of a slice of a larger filter, and words and pairs probed by one task.
+SLICE_BITS, PROBED = 1 << 26, 1 << 24
 #: Words whose exact counts are broadcast.
 FREQUENT = 1 << 19
 #: n-grams folded at a time in a task, and training tokens for each hash range.
-FOLD, TOKENS_A_RANGE = 4_000_000, 1 << 19
-#: Tokens scored together, and in a row between passes.
-SCORED, PACKED = 500_000, 1 << 16
+FOLD, TOKENS_A_RANGE = 2_000_000, 1 << 19
+#: Tokens scored together, and in a row of packed texts.
+SCORED, PACKED = 500_000, 1 << 14
 _START, _END = np.uint64(0x51ED270B7A2F1D35), np.uint64(0x2545F4914F6CDD1D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _steps(base: float, most: int = 1 << 62) -> np.ndarray:
+    """Smallest count of every level: each whole number at first, then ``base`` times the last."""
+    out = [1]
+    while out[-1] < most:
+        out.append(max(out[-1] + 1, int(out[-1] * base)))
+    return np.array(out, np.uint64)
+
+
+_LEAST = _steps(BASE)
+
+
 def level(counts: np.ndarray) -> np.ndarray:
-    """Quantised counts: 1 for once, then one more for each power of BASE."""
-    return 1 + np.floor(np.log(np.maximum(counts, 1)) / np.log(BASE) + 1e-9).astype(np.int64)
+    """Quantised counts: the last level whose smallest count is reached; 0 for none."""
+    return np.searchsorted(_LEAST, counts.astype(np.uint64), "right")
 
 
 def count_of(levels: np.ndarray) -> np.ndarray:
     """The count a level stands for: the middle of the counts it holds; 0 for level 0."""
-    low = np.ceil(BASE ** (levels - 1.0) - 1e-9)
-    high = np.maximum(low, np.ceil(BASE ** (levels * 1.0) - 1e-9) - 1)
-    return np.where(levels > 0, (low + high) / 2, 0.0)
+    middle = (_LEAST[:-1].astype(float) + _LEAST[1:].astype(float) - 1) / 2
+    return np.concatenate([[0.0], middle])[np.minimum(levels, len(middle))]
 
 
 def pairs_of(words: np.ndarray) -> np.ndarray:
@@ -91,17 +104,13 @@ class Filter:
     def __init__(self, bits: np.ndarray, ranges: int, segment: int, start: int = 0) -> None:
         self.bits, self.ranges, self.segment, self.start = bits, ranges, segment, start
 
-    def held(self, keys: np.ndarray) -> np.ndarray:
-        """The keys of the ranges that this filter has the segments of."""
-        r = _range(keys, self.ranges) - self.start
-        return keys[(r >= 0) & (r < len(self.bits) * 8 // self.segment)]
-
     @staticmethod
     def probes(keys: np.ndarray, q: int, segment: int) -> list[np.ndarray]:
         """Places in a segment of the keys' level ``q``."""
+        n = HASHES if q == 1 else HASHES_ABOVE
         h = mix(keys + np.uint64(q * int(_GOLD) & (1 << 64) - 1))
         step = (h >> np.uint64(32)) | np.uint64(1)
-        return [((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * step) % np.uint64(segment) for i in range(HASHES)]
+        return [((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * step) % np.uint64(segment) for i in range(n)]
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of every key: the last one before a probe misses."""
@@ -152,6 +161,8 @@ def _folded(docs: DataFrame, ranges: int, pairs: bool) -> DataFrame:
                         held, counts, size = [keys], [n], len(keys)
         if held:
             yield from rows(*fold(held, counts))
+        held, counts = [], []
+        release()
 
     return docs.select("text").mapInArrow(run, "part int, keys binary, counts binary")
 
@@ -177,6 +188,8 @@ def _merged(folded: DataFrame, ranges: int) -> DataFrame:
                 counts.append(np.frombuffer(n, np.uint32))
         if keys:
             yield out()
+        keys, counts = [], []
+        release()
 
     return folded.repartition(min(ranges, 8192), "part").sortWithinPartitions("part").mapInArrow(run, "part int, keys binary, counts binary")
 
@@ -210,18 +223,21 @@ class Counts:
         by = np.argsort(words)
         return words[by], c[by].astype(np.int64)
 
-    def filters(self, max_bits: int) -> Iterator[Filter]:
-        """The filter of all n-grams, in slices of whole segments of up to ``max_bits``."""
+    def segments(self) -> tuple[DataFrame, int]:
+        """((part, bits) of the filter of all n-grams, bits of a segment).
+
+        A segment comes twice, with the bits of the words and with those of the pairs.
+        """
         ranges = self.ranges
 
         def entries(b: pa.RecordBatch) -> pa.RecordBatch:
             q = level(np.concatenate([np.frombuffer(x, np.int64) for x in b.column("counts").to_pylist()]))
-            return pa.RecordBatch.from_arrays([pa.array([int(q.sum())], pa.int64())], ["n"])
+            return pa.RecordBatch.from_arrays([pa.array([HASHES * len(q) + HASHES_ABOVE * int((q - 1).sum())], pa.int64())], ["n"])
 
         both = self.words.union(self.pairs)
         need = map_batches(both.select("counts"), entries, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
         # 1.45 bits a hash leave half of the bits unset; segments differ a little in load.
-        segment = max(1024, (int(need * HASHES * 1.45) // ranges + 7) // 8 * 8)
+        segment = max(1024, (int(need * 1.45) // ranges + 7) // 8 * 8)
 
         def fill(batches):
             for b in batches:
@@ -231,19 +247,18 @@ class Counts:
                         for at in Filter.probes(k[q >= x], x, segment):
                             bits[at.astype(np.int64)] = True
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
+            release()
+
+        return settle(both.mapInArrow(fill, "part int, bits binary"), "segments"), segment
+
 
-        # A segment comes twice, with the bits of the words and with those of the pairs.
-        segments = both.mapInArrow(fill, "part int, bits binary")
-        width = max(1, max_bits // segment)
-        if width < ranges:
-            segments = settle(segments, "segments")
-        for start in range(0, ranges, width):
-            n = min(width, ranges - start)
-            bits = np.zeros(segment * n // 8, np.uint8)
-            for r in segments.where(F.col("part").between(start, start + n - 1)).toLocalIterator():
-                at = (r["part"] - start) * segment // 8
-                bits[at : at + segment // 8] |= np.frombuffer(r["bits"], np.uint8)
-            yield Filter(bits, ranges, segment, start)
+def whole_filter(segments: DataFrame, ranges: int, segment: int) -> Filter:
+    """All segments as one filter, for a broadcast."""
+    bits = np.zeros(segment * ranges // 8, np.uint8)
+    for r in segments.toLocalIterator():
+        at = r["part"] * segment // 8
+        bits[at : at + segment // 8] |= np.frombuffer(r["bits"], np.uint8)
+    return Filter(bits, ranges, segment)
 
 
 class Texts:
@@ -294,7 +309,9 @@ class Scorer:
         found = self.words[place] == one if len(self.words) else np.zeros(len(one), bool)
         logs = np.zeros(len(one))
         logs[found] = np.log10(self.counts[place[found]] + 1.0)
-        c1 = np.minimum(count_of(levels(one, False)), self.tokens)[at]
+        c1 = np.minimum(count_of(levels(one, False)), self.tokens)
+        c1[found] = self.counts[place[found]]  # exact where they are at hand
+        c1 = c1[at]
         c_before = np.roll(c1, 1)
         c_before[starts] = c1[texts.ends - 1]  # the start is as frequent as the end, the last token of each text
         pair, at_pair = np.unique(texts.pairs(), return_inverse=True)
@@ -360,30 +377,73 @@ def _unpacked(words: bytes, at: bytes, lengths: list[int]) -> Texts:
     return Texts(words, at.reshape(wide.itemsize, n).T.copy().view(wide).reshape(-1), np.array(lengths))
 
 
-def _noted(packed: DataFrame, turn: int, model: Filter) -> DataFrame:
-    """(bundle, turn, word_levels, pair_levels) of the filter's ranges, by hash."""
-    shared = packed.sparkSession.sparkContext.broadcast(model)
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        model, out = shared.value, ([], [])
-        for x in zip(*(b.column(c).to_pylist() for c in ("words", "at", "lengths")), strict=True):
-            t = _unpacked(*x)
-            for levels, keys in zip(out, (model.held(t.words), np.unique(model.held(t.pairs()))), strict=True):
-                levels.append(model.levels(keys).astype(np.uint8).tobytes())
-        return pa.RecordBatch.from_arrays([b.column("bundle"), pa.array([turn] * b.num_rows, pa.int32()), *(pa.array(x, pa.binary()) for x in out)], ["bundle", "turn", "word_levels", "pair_levels"])
-
-    noted = settle(map_batches(packed.select("bundle", "words", "at", "lengths"), run, "bundle long, turn int, word_levels binary, pair_levels binary"), "noted")
-    shared.destroy()
-    return noted
+def _routed(packed: DataFrame, ranges: int, width: int) -> DataFrame:
+    """(slice, bundle, pair, keys): every bundle's distinct words and pairs by their slices."""
 
+    def run(batches):
+        for b in batches:
+            out = ([], [], [], [])
+            for bundle, *x in zip(*(b.column(c).to_pylist() for c in ("bundle", "words", "at", "lengths")), strict=True):
+                t = _unpacked(*x)
+                for pair, keys in ((False, t.words), (True, np.unique(t.pairs()))):
+                    of = _range(keys, ranges) // width
+                    cut = np.nonzero(np.diff(of, prepend=-1))[0]
+                    for i, j in zip(cut, np.append(cut[1:], len(keys)), strict=True):
+                        for c, v in zip(out, (int(of[i]), bundle, pair, squeezed(keys[i:j])), strict=True):
+                            c.append(v)
+            types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["slice", "bundle", "pair", "keys"])
+
+    return packed.select("bundle", "words", "at", "lengths").mapInArrow(run, "slice int, bundle long, pair boolean, keys binary")
+
+
+def _noted(packed: DataFrame, segments: DataFrame, ranges: int, segment: int, slice_bits: int, tokens: int) -> DataFrame:
+    """(bundle, pair, slice, levels): the levels of every bundle's words and pairs.
+
+    Keys meet the segments of their slice in the slice's tasks. A slice has as many tasks as
+    its keys need, each with a copy of its segments.
+    """
+    width = max(1, slice_bits // segment)
+    slices = -(-ranges // width)
+    copies = max(1, -(-2 * tokens // (slices * PROBED)))
+    none = F.lit(None)
+    copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
+    bits = segments.select(F.floor(F.col("part") / width).cast("int").alias("slice"), copy, "part", "bits", none.cast("long").alias("bundle"), none.cast("boolean").alias("pair"), none.cast("binary").alias("keys"))
+    keys = _routed(packed, ranges, width)
+    keys = keys.select("slice", F.pmod(F.xxhash64("bundle"), F.lit(copies)).cast("int").alias("copy"), none.cast("int").alias("part"), none.cast("binary").alias("bits"), "bundle", "pair", "keys")
+    # Segments first: their part isn't null.
+    dealt = bits.unionByName(keys).repartition(slices * copies, "slice", "copy").sortWithinPartitions("slice", "copy", F.col("part").isNull())
 
-def _scored_in_turns(docs: DataFrame, models: Iterator[Filter], scorer) -> DataFrame:
-    """Scores with one slice of the filter at a time: ranges and turns are in the order of
-    the hashes, so the turns' levels, one after the other, are those of the sorted hashes."""
+    def run(batches):
+        own, at = None, None
+        for b in batches:
+            out = ([], [], [], [])
+            for s, c, part, bits, bundle, pair, keys in zip(*(b.column(k).to_pylist() for k in ("slice", "copy", "part", "bits", "bundle", "pair", "keys")), strict=True):
+                if (s, c) != at:
+                    at, n = (s, c), min(width, ranges - s * width)
+                    own = Filter(np.zeros(segment * n // 8, np.uint8), ranges, segment, s * width)
+                if part is not None:
+                    i = (part - s * width) * segment // 8
+                    own.bits[i : i + segment // 8] |= np.frombuffer(bits, np.uint8)
+                else:
+                    for col, v in zip(out, (bundle, pair, s, own.levels(unsqueezed(keys)).astype(np.uint8).tobytes()), strict=True):
+                        col.append(v)
+            types = (pa.int64(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["bundle", "pair", "slice", "levels"])
+        own = None
+        release()
+
+    return settle(dealt.mapInArrow(run, "bundle long, pair boolean, slice int, levels binary"), "noted")
+
+
+def _scored_by_slices(docs: DataFrame, segments: DataFrame, ranges: int, segment: int, slice_bits: int, tokens: int, scorer) -> DataFrame:
+    """Scores with a filter that stays in slices: slices are in the order of the hashes, so
+    their levels, one after the other, are those of the sorted hashes."""
     packed = settle(_packed(docs), "packed")
-    noted = reduce(DataFrame.union, [_noted(packed, k, model) for k, model in enumerate(models)])
-    turns = noted.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("turn", "word_levels", "pair_levels"))).alias("turns"))
-    turns = turns.select("bundle", F.col("turns.word_levels").alias("word_levels"), F.col("turns.pair_levels").alias("pair_levels"))
+    noted = _noted(packed, segments, ranges, segment, slice_bits, tokens)
+    levels = lambda pair: F.transform(F.filter("notes", lambda x: x["pair"] == F.lit(pair)), lambda x: x["levels"])
+    notes = noted.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("pair", "slice", "levels"))).alias("notes"))
+    notes = notes.select("bundle", levels(False).alias("word_levels"), levels(True).alias("pair_levels"))
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         own, parts = scorer(), []
@@ -391,17 +451,17 @@ def _scored_in_turns(docs: DataFrame, models: Iterator[Filter], scorer) -> DataF
             parts.append(own(_unpacked(*x), lambda _, pair, one=one, two=two: np.frombuffer(b"".join(two if pair else one), np.uint8)))
         return _scored_batch([b.column(x).flatten() for x in _NAMES], b.column("lengths").flatten().to_numpy(), parts)
 
-    return settle(map_batches(packed.join(turns, "bundle"), run, _SCORED), "scored")
+    return settle(map_batches(packed.join(notes, "bundle"), run, _SCORED), "scored")
 
 
-def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU) -> DataFrame:
+def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU, slice_bits: int = SLICE_BITS) -> DataFrame:
     """One row for every row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score.
 
     Learns from all documents that aren't held out (crc32 of the id modulo 7 is not 2; a
     null id isn't held out). Null and empty texts are one token, the end. Without training
     texts every word is unknown. Other columns are left out. ``max_bits`` bounds
-    what is broadcast at a time, not what is counted: it doesn't change the scores.
+    what is broadcast, not what is counted: it doesn't change the scores.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id"), 7, 2).alias("held_out"))
@@ -413,12 +473,11 @@ def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU) -> DataFram
     def scorer() -> Scorer:
         return Scorer(frequent.value, n, v, mu)
 
-    models = counts.filters(max_bits)
-    first = next(models)
-    if len(first.bits) * 8 == first.ranges * first.segment:
-        scored = _scored_at_once(docs, first, scorer)
+    segments, segment = counts.segments()
+    if segment * counts.ranges <= max_bits:
+        scored = _scored_at_once(docs, whole_filter(segments, counts.ranges, segment), scorer)
     else:
-        scored = _scored_in_turns(docs, chain([first], models), scorer)
+        scored = _scored_by_slices(docs, segments, counts.ranges, segment, slice_bits, n, scorer)
     name = ["doc_id", "text_hash"]
     one = scored.where(F.size("rare") > 0).groupBy(*name).agg(F.first("rare").alias("rare"))
     joined = one.select(*name, F.explode("rare").alias("word")).groupBy(*name, "word").agg(F.count("*").alias("k")).join(counts.table, "word")
