@@ -98,15 +98,15 @@ def _planes(reps: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, shingle_words: int) -> DataFrame:
-    """(cls, hashes): the full sets of texts (cls, text)."""
+    """(doc_id, text_hash, hashes): the full sets of texts (doc_id, text_hash, text)."""
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         sets = [shingle_set(text_words(t), shingle_words).view(np.int64) for t in b.column("text").to_pylist()]
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         values = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))
-        return pa.RecordBatch.from_arrays([b.column("cls"), values], ["cls", "hashes"])
+        return pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("text_hash"), values], ["doc_id", "text_hash", "hashes"])
 
-    return map_batches(docs, run, "cls long, hashes array<long>")
+    return map_batches(docs, run, "doc_id long, text_hash long, hashes array<long>")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -195,9 +195,12 @@ def labelled(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(keys.join(settle(shared, "shared"), "key"), "members")
     meets = settle(members.groupBy("cls").agg(F.sum("n").alias("meets")), "meets")
-    wanted = settle(classes.join(meets.select("cls"), "cls").select("cls", "doc_id", "text_hash"), "wanted")
-    sets = docs.join(wanted, ["doc_id", "text_hash"]).select("cls", "text")
-    sets = settle(shingle_sets(sets, shingle_words).dropDuplicates(["cls"]), "sets")
+    # Texts are chosen by their ids alone, a table of few bytes; their sets are then told apart.
+    wanted = settle(classes.join(meets.select("cls"), "cls").select("doc_id", "text_hash", "cls"), "wanted")
+    chosen = docs.join(settle(wanted.select("doc_id").distinct(), "chosen"), "doc_id", "left_semi")
+    name = ["doc_id", "text_hash"]
+    sets = shingle_sets(chosen.select(*name, "text"), shingle_words).dropDuplicates(name).join(wanted, name)
+    sets = settle(sets.select("cls", "hashes"), "sets")
 
     lead = members.join(meets, "cls").groupBy("key").agg(F.max(F.struct("meets", (-F.col("cls")).alias("m"))).alias("x"))
     lead = settle(lead.select("key", "x.meets", (-F.col("x.m")).alias("lead")), "leads")
