@@ -17,6 +17,8 @@ from mdforge.llm.common import WORD_RE, settle
 
 #: No document is used more often than this.
 MOST = 3.0
+#: How far a source's weight is from its mean at either end of the run, as a share of it.
+RAMP = 0.5
 
 
 def words(text: Column) -> Column:
@@ -65,18 +67,20 @@ def moment(words_before: Column, target: Column, rising: Column, ramp: float) ->
     return F.when(target <= 0, F.lit(0.0)).otherwise(2 * y / (b + F.sqrt(F.greatest(b * b + 4 * a * y, F.lit(0.0)))))
 
 
-def queue(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """(doc_id, source, size, before, source_size, place, target): a source's queue.
+def queue(docs: DataFrame, seed: int = 11, same: Column | None = None) -> DataFrame:
+    """(doc_id, source, size, before, source_size, place, target, row, same): a source's queue.
 
     ``before``: words of the source's documents before this one, in the order of a hash
     whose first three hex digits name one of 4,096 buckets: running sums are taken inside
     a bucket of a source, then over the buckets, so no window holds a whole source.
-    Repeated rows stay apart (they get different places in the queue); null ids, sources
-    and texts are allowed. An empty table gives an empty queue.
+    Repeated rows stay apart: they get different places in the queue and a ``row`` number of
+    their own; ``same`` is a value that equal rows share. Null ids, sources and texts are
+    allowed. An empty table gives an empty queue.
     """
-    size = docs.select("doc_id", "source", words(F.col("text")).alias("size"))
+    same = F.lit(0).cast("long") if same is None else same
+    size = docs.select("doc_id", "source", words(F.col("text")).alias("size"), same.alias("same"))
     h = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    size = size.withColumn("h", h).withColumn("bucket", F.substring("h", 1, 3))
+    size = size.withColumn("h", h).withColumn("bucket", F.substring("h", 1, 3)).withColumn("row", F.monotonically_increasing_id())
     size = settle(size, "sizes")
     per_bucket = size.groupBy("source", "bucket").agg(F.sum("size").alias("bucket_size"))
     per_bucket = settle(per_bucket, "buckets")
@@ -84,11 +88,11 @@ def queue(docs: DataFrame, seed: int = 11) -> DataFrame:
     w = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     start = per_bucket.withColumn("start", F.coalesce(F.sum("bucket_size").over(w), F.lit(0))).drop("bucket_size")
     start = start.alias("s").join(targets.alias("t"), F.col("s.source").eqNullSafe(F.col("t.source"))).drop(F.col("t.source"))
-    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("source", "bucket").orderBy("h", "doc_id", "size", "same").rowsBetween(Window.unboundedPreceding, -1)
     size = size.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0))).alias("d")
     on = F.col("d.source").eqNullSafe(F.col("b.source")) & (F.col("d.bucket") == F.col("b.bucket"))
     return size.join(start.alias("b"), on).select(
-        "d.doc_id", "d.source", "d.size", (F.col("within") + F.col("start")).alias("before"), "source_size", "place", "target"
+        "d.doc_id", "d.source", "d.size", (F.col("within") + F.col("start")).alias("before"), "source_size", "place", "target", "d.row", "d.same"
     )
 
 
@@ -98,44 +102,56 @@ def _taken(epoch: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long")
 
 
-def mix_counts(docs: DataFrame, seed: int = 11) -> DataFrame:
-    """doc_id, size, source_size, target, taken (words used, repeats counted), epochs.
+def copies(queued: DataFrame, ramp: float = RAMP) -> DataFrame:
+    """The copies of queued documents that the mix uses: the queue's columns, epoch, words, position.
 
-    One row per row of ``docs``. The words taken of a source add up to its target,
-    rounded; at most one document of a source is cut.
+    ``words`` of a copy are asked for, all of them but where the source's demand ends.
+    ``position`` (0..1) is when the demand reaches the copy's middle.
     """
-    q = queue(docs, seed)
-    taken = sum((_taken(F.lit(e)) for e in range(int(MOST))), F.lit(0).cast("long"))
-    epochs = sum((F.when(_taken(F.lit(e)) > 0, 1).otherwise(0) for e in range(int(MOST))), F.lit(0))
-    return q.select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), epochs.cast("int").alias("epochs"))
+    c = queued.withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(int(MOST))])))
+    c = c.withColumn("words", _taken(F.col("epoch"))).where(F.col("words") > 0)
+    middle = F.col("epoch") * F.col("source_size") + F.col("before") + F.col("words") / 2
+    return c.withColumn("position", moment(middle, F.col("target"), F.col("place") % 2 == 0, ramp))
+
+
+def in_order(c: DataFrame) -> DataFrame:
+    """Copies sorted by position: partitions are consecutive stretches of the training run."""
+    return c.repartitionByRange("position", "source", "doc_id", "epoch").sortWithinPartitions("position", "source", "doc_id", "epoch")
 
 
-def _copies(docs: DataFrame, ramp: float, seed: int) -> DataFrame:
-    """doc_id, source, epoch, words, position of every copy the mix uses.
+def mix_counts(docs: DataFrame, ramp: float = RAMP, seed: int = 11) -> DataFrame:
+    """doc_id, size, source_size, target, taken (words used, repeats counted), epochs, position.
 
-    A copy that the end of its source's demand cuts counts if at least half of it is
-    asked for. ``position`` (0..1) is when the source's demand reaches the copy's middle.
+    One row per row of ``docs``, summed over its copies in the curriculum; ``position`` is
+    that of the first copy, null without one. The words taken of a source add up to its
+    target, rounded; at most one document of a source is cut.
     """
-    q = queue(docs, seed).withColumn("epoch", F.explode(F.array(*[F.lit(e) for e in range(int(MOST))])))
-    q = q.withColumn("words", _taken(F.col("epoch"))).where((F.col("words") > 0) & (2 * F.col("words") >= F.col("size")))
-    middle = F.col("epoch") * F.col("source_size") + F.col("before") + F.col("words") / 2
-    q = q.withColumn("position", moment(middle, F.col("target"), F.col("place") % 2 == 0, ramp))
-    return q.select("doc_id", "source", "epoch", "words", "position")
+    q = settle(queue(docs, seed), "queue")
+    run = settle(in_order(copies(q.select("row", "doc_id", "source", "size", "before", "source_size", "place", "target"), ramp)), "curriculum")
+    used = run.groupBy("row").agg(F.sum("words").alias("taken"), F.count("*").cast("int").alias("epochs"), F.min("position").alias("position"))
+    return q.join(used, "row", "left").select(
+        "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("epochs", F.lit(0)).alias("epochs"), "position"
+    )
 
 
-def curriculum(docs: DataFrame, ramp: float = 0.5, seed: int = 11) -> DataFrame:
-    """The copies in training order: partitions are consecutive stretches of the run."""
-    return _copies(docs, ramp, seed).orderBy("position", "source", "doc_id", "epoch")
+def curriculum(docs: DataFrame, ramp: float = RAMP, seed: int = 11) -> DataFrame:
+    """(doc_id, source, epoch, words, position) of all copies in training order."""
+    return in_order(copies(queue(docs, seed), ramp)).select("doc_id", "source", "epoch", "words", "position")
 
 
-def mixed_documents(docs: DataFrame, ramp: float = 0.5, seed: int = 11) -> DataFrame:
+def mixed_documents(docs: DataFrame, ramp: float = RAMP, seed: int = 11) -> DataFrame:
     """``docs`` in training order, a row for each copy the mix uses, same columns.
 
-    The texts are joined by document and range-sorted by position once. Rows that share
-    an id are asked for together: each comes once per epoch that wants any of them.
+    Copies are whole documents: the one that the end of a source's demand cuts comes if at
+    least half of it is asked for, or if it is the source's first, so that every source with
+    words has one. Documents without words have nothing to mix and go. Rows that share an
+    id, or have none, count and come one by one.
     """
-    c = _copies(docs, ramp, seed).groupBy("doc_id", "epoch").agg(F.min("position").alias("position"))
-    c = c.select("doc_id", F.struct("position", "epoch").alias("_copy"))
-    d = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc"), F.col("doc_id").alias("_id"))
-    out = d.join(c, F.col("_id").eqNullSafe(F.col("doc_id")))
+    same = F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns])
+    c = copies(queue(docs, seed, same), ramp)
+    c = c.where((2 * F.col("words") >= F.col("size")) | ((F.col("epoch") == 0) & (F.col("before") == 0)))
+    c = c.select(F.col("doc_id").alias("_id"), F.col("same").alias("_key"), F.struct("position", "epoch").alias("_copy"))
+    # Rows that are equal in all columns are one here; each of their copies takes it.
+    d = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc"), same.alias("_same"), F.col("doc_id").alias("_doc_id")).dropDuplicates(["_doc_id", "_same"])
+    out = d.join(c, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_key")))
     return out.repartitionByRange(F.col("_copy.position"), F.col("_id")).sortWithinPartitions("_copy.position", "_id", "_copy.epoch").select("_doc.*")

@@ -95,18 +95,28 @@ t AS (
            / (SELECT sum(b.w) FROM s b WHERE 3 * b.n / b.w >= 3 * a.n / a.w) AS level
   FROM s a),
 r AS (SELECT arg_min(level, 3 * n / w) FILTER (WHERE 3 * n / w > level) AS rate FROM t),
-g AS (SELECT source, n, least(3 * n, coalesce(rate * w, 3 * n)) AS target FROM t, r),
+g AS (
+  SELECT source, n, least(3 * n, coalesce(rate * w, 3 * n)) AS target,
+         (row_number() OVER (ORDER BY source IS NULL, encode(source)) - 1) % 2 = 0 AS rising
+  FROM t, r),
 q AS (
-  SELECT d.*, g.n::BIGINT AS source_size, g.target,
+  SELECT d.*, g.n::BIGINT AS source_size, g.target, g.rising,
          coalesce(sum(size) OVER (PARTITION BY d.source ORDER BY h, doc_id, size
                                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b
-  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source)
-SELECT doc_id, size, source_size, target,
-       (greatest(0, least(size, round(target) - b)) + greatest(0, least(size, round(target) - source_size - b))
-        + greatest(0, least(size, round(target) - 2 * source_size - b)))::BIGINT AS taken,
-       ((round(target) - b > 0 AND size > 0)::INT + (round(target) - source_size - b > 0 AND size > 0)::INT
-        + (round(target) - 2 * source_size - b > 0 AND size > 0)::INT)::INT AS epochs
-FROM q
+  FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+n AS (SELECT row_number() OVER () AS r, * FROM q),
+e AS (
+  SELECT r, e * source_size + b + words / 2 AS middle, words, target, rising
+  FROM (SELECT *, greatest(0, least(size, round(target)::BIGINT - e * source_size - b::BIGINT)) AS words
+        FROM (SELECT r, size, b, source_size, target, rising, unnest([0, 1, 2]) AS e FROM n))
+  WHERE words > 0),
+-- The moment at which the integral of a weight that falls or rises by half reaches the middle.
+p AS (
+  SELECT r, words, 2 * y / (1.0::DOUBLE - a + sqrt(greatest((1.0::DOUBLE - a) * (1.0::DOUBLE - a) + 4 * a * y, 0.0::DOUBLE))) AS position
+  FROM (SELECT r, words, least(middle / target, 1.0::DOUBLE) AS y, CASE WHEN rising THEN 0.5::DOUBLE ELSE -0.5::DOUBLE END AS a FROM e)),
+u AS (SELECT r, sum(words)::BIGINT AS taken, count(*)::INT AS epochs, min(position) AS position FROM p GROUP BY r)
+SELECT doc_id, size, source_size, target, coalesce(taken, 0)::BIGINT AS taken, coalesce(epochs, 0)::INT AS epochs, position
+FROM n LEFT JOIN u USING (r)
 """,
     "op11_fill_in_middle": r"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
