@@ -71,6 +71,8 @@ COLLAPSE = Rx(WS + r"+", " ")
 _ATTR = r"""(?:[ \t\r\n\f/]+[^ \t\r\n\f=>"'/]+(?:[ \t\r\n\f]*=[ \t\r\n\f]*(?:"[^"]*"|'[^']*'|[^ \t\r\n\f"'>]+))?)"""
 ANCHOR = rf"""<a{_ATTR}*?[ \t\r\n\f/]+href[ \t\r\n\f]*=[ \t\r\n\f]*"""
 
+# The steps from here to the quotes make the oracle's Markdown of flat articles in SQL; the
+# engine's own comes from ``dom``. Only FINAL_STEPS serve both.
 # Inline elements: links and line breaks first, then emphasis from the inside, twice.
 EMPHASIS = (
     Rx(r"(?is)<(?:i|em)\b[^>]*>([^<]+)</(?:i|em)\s*>", "_{1}_"),
