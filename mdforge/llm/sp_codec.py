@@ -66,7 +66,8 @@ class PieceCodec:
 
     def merge(self, word: str) -> list[int]:
         """Ids of one word: symbols merged by the score-ordered agenda of adjacent pairs."""
-        symbols = [self.symbol.get(c, 0) for c in word]
+        symbol = self.symbol
+        symbols = [symbol[c] if c in symbol else 0 for c in word]
         if len(word) > SHORT_WORD:
             symbols = self._merged_by_heap(symbols)
         else:
@@ -118,6 +119,8 @@ class PieceCodec:
 
     def decode(self, ids: list[int]) -> str:
         """Text of ids: runs of byte pieces as UTF-8, marks as spaces."""
+        if self.ids.issuperset(ids):
+            return "".join([self.surface[i] for i in ids]).replace(MARK, " ")
         out, run = [], bytearray()
         for i in ids:
             if i in self.id_byte:
