@@ -8,6 +8,7 @@ extra columns are handled as the operators' docstrings say.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,29 +16,43 @@ from pyspark.sql import DataFrame, SparkSession
 from mdforge.llm import hamming_join, langid, mixing, queries, repeats, sp_codec
 from mdforge.llm.common import ready
 
+#: Bytes of a passage that goes where it repeats: some 40 words, so that none of over 50 stays.
+#: Anchors are taken from strings of the second number of bytes.
+PASSAGE, PASSAGE_GRAM = 240, 40
+
+
+def tidy(spark: SparkSession) -> None:
+    """Let the driver forget the stage before: files of its shuffles go when it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those without a letter go."""
+    """Documents in a language that was learnt; those without a letter go."""
     return langid.accepted(docs, queries.PIECES)
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of every group linked by five-word shingles."""
+    tidy(spark)
     return hamming_join.one_of_each(docs, shingle_words=5, percent=80)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without strings of 400 bytes that also start elsewhere; emptied texts stay."""
-    return repeats.without_repeats(docs)
+    """Texts without strings of PASSAGE bytes that also start elsewhere; emptied texts stay."""
+    tidy(spark)
+    return repeats.without_repeats(docs, PASSAGE, PASSAGE_GRAM)
 
 
 def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each copy that the mix uses, in training order."""
+    tidy(spark)
     return mixing.mixed_documents(docs)
 
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Number and digest of every row's ids, and the digest of the text decoded from them."""
+    tidy(spark)
     return sp_codec.encode_digests(docs, queries.PIECES)
 
 

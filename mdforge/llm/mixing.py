@@ -148,10 +148,15 @@ def mixed_documents(docs: DataFrame, ramp: float = RAMP, seed: int = 11) -> Data
     id, or have none, count and come one by one.
     """
     same = F.xxhash64(*[F.col(f"`{x}`") for x in docs.columns])
-    c = copies(queue(docs, seed, same), ramp)
+    q = settle(queue(docs, seed, same), "queue")
+    c = copies(q, ramp)
     c = c.where((2 * F.col("words") >= F.col("size")) | ((F.col("epoch") == 0) & (F.col("before") == 0)))
     c = c.select(F.col("doc_id").alias("_id"), F.col("same").alias("_key"), F.struct("position", "epoch").alias("_copy"))
-    # Rows that are equal in all columns are one here; each of their copies takes it.
-    d = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc"), same.alias("_same"), F.col("doc_id").alias("_doc_id")).dropDuplicates(["_doc_id", "_same"])
+    # Rows that are equal in all columns become one; each of their copies takes it. Other
+    # rows, which are nearly all, are not dealt out for it.
+    d = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("_doc"), same.alias("_same"), F.col("doc_id").alias("_doc_id"))
+    again = settle(q.groupBy("doc_id", "same").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_eid"), F.col("same").alias("_ekey")), "again")
+    equal = F.col("_doc_id").eqNullSafe(F.col("_eid")) & (F.col("_same") == F.col("_ekey"))
+    d = d.join(again, equal, "left_anti").union(d.join(again, equal, "left_semi").dropDuplicates(["_doc_id", "_same"]))
     out = d.join(c, F.col("_doc_id").eqNullSafe(F.col("_id")) & (F.col("_same") == F.col("_key")))
     return out.repartitionByRange(F.col("_copy.position"), F.col("_id")).sortWithinPartitions("_copy.position", "_id", "_copy.epoch").select("_doc.*")
