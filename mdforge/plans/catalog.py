@@ -835,15 +835,16 @@ def _scratch(spark, name: str) -> str:
 def t1_stream_read_pages(spark, sf):
     pages = _pages(spark, sf)
     out = _scratch(spark, "t1-out")
-    ST.stream_read_pages(ST.page_stream(spark, sf, "pages.parquet"), out, _scratch(spark, "t1-ckpt"), D.host_addresses(pages))
-    return ST.read_results(spark, out)
+    ST.stream_read_pages(ST.table_stream(spark, sf), out, _scratch(spark, "t1-ckpt"), D.host_addresses(pages))
+    found = ST.read_results(spark, out)
+    return ST.no_results(spark) if found is None else found
 
 
 @register("t2_stream_cache_put")
 def t2_stream_cache_put(spark, sf):
     pages = _pages(spark, sf)
     cache_path = _scratch(spark, "t2-cache")
-    ST.stream_cache_put(ST.page_stream(spark, sf, "pages.parquet"), cache_path, _scratch(spark, "t2-ckpt"), D.host_addresses(pages))
+    ST.stream_cache_put(ST.table_stream(spark, sf), cache_path, _scratch(spark, "t2-ckpt"), D.host_addresses(pages))
     return CA.read_cache(spark, cache_path).select("url_key", "url", "title", "n_bytes")
 
 

@@ -32,6 +32,18 @@ def page_stream(spark: SparkSession, source_dir: str, glob: str | None = None) -
     return reader.parquet(source_dir)
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str = "pages") -> DataFrame:
+    """Streaming DataFrame of a pages table: a folder of files, or one file.
+
+    A stream reads folders only, and the filter by name goes for the files in them: it
+    finds a table of one file in the folder around it, none of the files of a folder.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        return page_stream(spark, path.toString())
+    return page_stream(spark, sf_dir, f"{name}.parquet")
+
+
 def read_batch(batch: DataFrame, host_addresses: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """``STREAM_COLS`` for the URLs of a micro-batch that ``known(url_key)`` doesn't hold."""
     first = first_captures(batch)
@@ -42,6 +54,11 @@ def read_batch(batch: DataFrame, host_addresses: DataFrame, known: DataFrame | N
     return out.select(canonical(F.col("request_url")).alias("url_key"), F.col("ord").alias("page_id"), *STREAM_COLS[2:])
 
 
+def no_results(spark: SparkSession) -> DataFrame:
+    """The result table of T1 before any page."""
+    return spark.createDataFrame([], ", ".join(f"{c} {'long' if c == 'page_id' else 'string'}" for c in STREAM_COLS))
+
+
 def read_results(spark: SparkSession, path: str) -> DataFrame | None:
     """The result table of T1; None before the first batch."""
     try:

@@ -191,3 +191,32 @@ def test_files_in_order(spark):
     lines = [open(os.path.join(path.removeprefix("file:"), n)).read().splitlines() for n in names]
     assert max(map(len, lines)) <= 7
     assert [json.loads(x)["url"] for part in lines for x in part] == [r[2] for r in sorted(rows)]
+
+
+@pytest.mark.parametrize("files", (1, 3))
+def test_stream_reads_a_table_of_one_file_or_a_folder(spark, files, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from mdforge.plans import catalog as K
+
+    html = "<html><head><title>T{0}</title></head><body><article><p>" + "some words, " * 20 + "page {0}</p></article></body></html>"
+    rows = [{"page_id": k, "url": f"https://h{k}.example/a", "html": html.format(k)} for k in range(6)]
+    rows.append(rows[0] | {"page_id": 9})  # a second capture
+    if files > 1:
+        (tmp_path / "pages.parquet").mkdir()
+    for f in range(files):
+        to = tmp_path / "pages.parquet" if files == 1 else tmp_path / "pages.parquet" / f"part-{f}.parquet"
+        pq.write_table(pa.Table.from_pylist(rows[f::files]), to)
+    want = {r.url: (r.ord, r.title, r.markdown, r.status) for r in K.h8_read_pages(spark, str(tmp_path)).collect()}
+    got = {r.url: (r.page_id, r.title, r.markdown, r.status) for r in K.t1_stream_read_pages(spark, str(tmp_path)).collect()}
+    assert len(got) == 6 and got == want
+    cached = {r.url for r in K.t2_stream_cache_put(spark, str(tmp_path)).collect()}
+    assert cached == {u for u, (_, _, _, status) in want.items() if status == "ok"}
+
+
+def test_stream_of_an_empty_folder_gives_an_empty_table(spark, tmp_path):
+    from mdforge.plans import catalog as K
+
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert K.t1_stream_read_pages(spark, str(tmp_path)).collect() == []
