@@ -48,6 +48,15 @@ def let(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
+def bind(value: Column, like: Column, fn) -> Column:
+    """``let`` for the state of a fold: ``fn`` gives a value of the type of ``like``.
+
+    What ``transform`` returns is copied down to the bytes of its strings, which would make
+    a fold quadratic in its text; what ``aggregate`` returns isn't.
+    """
+    return F.aggregate(F.array(value), like, lambda _, v: fn(v))
+
+
 def rx_spark(col: Column, steps: Sequence[Rx]) -> Column:
     for st in steps:
         col = F.regexp_replace(col, F.lit(st.pattern), F.lit(java_repl(st.repl)))
@@ -65,8 +74,12 @@ WS = r"[ \t\r\n\f\x0B]"
 TRIM_STEPS = (Rx(r"^" + WS + r"+", ""), Rx(WS + r"+\z", ""))
 
 
+WS_CHARS = " \t\r\n\f\x0B"
+
+
 def trim_ws(col: Column) -> Column:
-    return rx_spark(col, TRIM_STEPS)
+    """TRIM_STEPS by the set of characters: a pattern is tried at every one of a text's."""
+    return F.btrim(col, F.lit(WS_CHARS))
 
 
 def trim_ws_sql(expr: str) -> str:

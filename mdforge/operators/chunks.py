@@ -19,12 +19,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.regex import let
+from ..functions.regex import bind, let
 
 DEFAULT_MAX_CHARS = 4000
 DEFAULT_OVERLAP = 200
 # JavaScript's \s (ASCII and Unicode spaces).
 JS_SPACE = r"[ \t\n\r\f\x0B\x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+JS_SPACE_CHARS = " \t\n\r\f\x0b\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 HEADING_RE = r"^#+" + JS_SPACE
 SENTENCE_RE = r"[^.!?]+[.!?]+"
 PARAGRAPH_SPLIT = r"\n\n+"
@@ -39,7 +40,7 @@ def estimate_tokens(c: Column) -> Column:
 
 
 def _js_trim(c: Column) -> Column:
-    return F.regexp_replace(c, r"^" + JS_SPACE + r"+|" + JS_SPACE + r"+\z", "")
+    return F.btrim(c, F.lit(JS_SPACE_CHARS))
 
 
 # ---------------------------------------------------------------------------
@@ -117,7 +118,7 @@ def chunk_by_heading_array(md: Column, max_chars: int = DEFAULT_MAX_CHARS, overl
             )
 
         first = F.when(
-            is_head & (F.size(s["cur"]) > 0), let(overlap_count(s["cur"], overlap), flush_heading)
+            is_head & (F.size(s["cur"]) > 0), bind(overlap_count(s["cur"], overlap), s, flush_heading)
         ).otherwise(
             state(
                 s["chunks"],
@@ -141,15 +142,18 @@ def chunk_by_heading_array(md: Column, max_chars: int = DEFAULT_MAX_CHARS, overl
                     i - ov_k + 1,
                 )
 
-            return F.when(joined_len > max_chars, let(overlap_count(t["cur"], overlap), flush_size)).otherwise(t)
+            return F.when(joined_len > max_chars, bind(overlap_count(t["cur"], overlap), t, flush_size)).otherwise(t)
 
-        return let(first, size_check)
+        return bind(first, s, size_check)
 
     def run(lines: Column) -> Column:
         indexed = F.transform(lines, lambda ln, i: F.struct(ln.alias("line"), i.alias("i")))
-        final = F.aggregate(indexed, init, step)
-        last = _chunk(final["cur"], final["heads"], final["start"], F.size(lines) - 1)
-        return F.when(F.size(final["cur"]) > 0, F.concat(final["chunks"], F.array(last))).otherwise(final["chunks"])
+
+        def finish(s: Column) -> Column:
+            last = _chunk(s["cur"], s["heads"], s["start"], F.size(lines) - 1)
+            return F.when(F.size(s["cur"]) > 0, F.concat(s["chunks"], F.array(last))).otherwise(s["chunks"])
+
+        return F.aggregate(indexed, init, step, finish)
 
     return let(F.split(F.coalesce(md, F.lit("")), "\n"), run)
 
@@ -179,10 +183,10 @@ def _pack(pieces: Column, sep: str, max_chars: int, piece_len, piece_val) -> Col
                 F.when(fresh, F.length(v)).otherwise(s["clen"] + len(sep) + F.length(v)).alias("clen"),
             )
 
-        return let(piece_val(p), with_val)
+        return bind(piece_val(p), s, with_val)
 
-    final = F.aggregate(pieces, init, step)
-    return F.when(final["n"] > 0, F.concat(final["chunks"], F.array(_js_trim(final["cur"])))).otherwise(final["chunks"])
+    # As the fold's own last step: an expression named several times is evaluated as often.
+    return F.aggregate(pieces, init, step, lambda s: F.when(s["n"] > 0, F.concat(s["chunks"], F.array(_js_trim(s["cur"])))).otherwise(s["chunks"]))
 
 
 def chunk_by_paragraph_array(md: Column, max_chars: int = DEFAULT_MAX_CHARS) -> Column:
