@@ -25,8 +25,8 @@ from pyspark.sql import Column
 from pyspark.sql.functions import expr
 
 from . import sqltext as F
-from .regex import TRIM_STEPS, WS, Rx
-from .sqltext import Text, let, replaced
+from .regex import WS, WS_CHARS, Rx
+from .sqltext import Text, bind, let, replaced, trimmed, where_found
 
 VOID = ("br", "hr", "img", "input", "wbr")
 INLINE = ("a", "b", "strong", "i", "em", "del", "s", "strike", "code")
@@ -60,7 +60,7 @@ def _tag_re(names: tuple[str, ...]) -> str:
 
 
 def trim_ws(text: Text) -> Text:
-    return replaced(text, TRIM_STEPS)
+    return trimmed(text, WS_CHARS)
 
 
 def _empty(kind: str) -> Text:
@@ -111,7 +111,6 @@ def events(html: Text, names: tuple[str, ...]) -> Text:
     def step(state: Text, token: Text) -> Text:
         stack, size, pos = state["open"], F.size(state["open"]), state["pos"]
         raw, text = token["g"], token["t"]
-        name = F.lower(F.regexp_extract(raw, "^</?([A-Za-z0-9]+)", 1))
         above = lambda s: F.coalesce(F.element_at(s, -1)["id"], F.lit(0))
         texts = F.when(text != "", F.array(_event("t", F.lit(0), F.when(size > 0, above(stack)).otherwise(F.lit(0)), size + 1, F.lit(""), F.lit(""), text, pos))).otherwise(_empty(EVENT))
 
@@ -136,8 +135,11 @@ def events(html: Text, names: tuple[str, ...]) -> Text:
                 F.concat(state["ev"], texts, closes, F.when(opens, new).otherwise(_empty(EVENT))).alias("ev"),
             )
 
-        start = F.when(raw == "", F.when(size > 0, F.lit(1)).otherwise(F.lit(0))).when(raw.startswith("</"), ended(stack, name)).otherwise(implied(stack, name))
-        return let(F.struct(name.alias("name"), start.cast("int").alias("from")), after)
+        def named(name: Text) -> Text:
+            start = F.when(raw == "", F.when(size > 0, F.lit(1)).otherwise(F.lit(0))).when(raw.startswith("</"), ended(stack, name)).otherwise(implied(stack, name))
+            return bind(F.struct(name.alias("name"), start.cast("int").alias("from")), state, after)
+
+        return bind(F.lower(F.regexp_extract(raw, "^</?([A-Za-z0-9]+)", 1)), state, named)
 
     def body(s: Text) -> Text:
         tokens = F.arrays_zip(F.split(s, tag_re).alias("t"), F.concat(F.regexp_extract_all(s, F.lit(tag_re), 0), F.array(F.lit(""))).alias("g"))
@@ -163,7 +165,9 @@ BESIDE_SHARE, BESIDE_LEAST = 0.2, 5.0
 _FRAME = "struct<id:int,tag:string,raw:string,start:int,text:bigint,link:bigint,score:double>"
 _FOUND = "struct<id:int,parent:int,tag:string,start:int,stop:int,points:double,score:double>"
 _SCORED_NAMES = (*BLOCKS, "a")
-_PLAIN = (Rx(r"<[^>]*>", ""), Rx(WS + "+", " "))
+#: White space that isn't a single space already.
+SPACES = WS + "{2,}|[\\t\\r\\n\\f\\x0B]"
+_PLAIN = (Rx(r"<[^>]*>", ""), Rx(SPACES, " "))
 
 
 def _base(tag: Text, raw: Text) -> Text:
@@ -235,10 +239,10 @@ def element_scores(evs: Text) -> Text:
             return make(F.concat(stack, F.array(new)), no_run, linked, found)
 
         return (
-            F.when(e["k"] == "t", let(replaced(trim_ws(e["text"]), _PLAIN), text))
+            F.when(e["k"] == "t", bind(where_found(trim_ws(e["text"]), _PLAIN), state, text))
             .when(e["tag"] == "a", make(state["open"], run, linked + F.when(e["k"] == "o", F.lit(1)).otherwise(F.lit(-1)), found))
-            .when(e["k"] == "o", let(flushed(state["open"], run), open_))
-            .otherwise(let(flushed(state["open"], run), close))
+            .when(e["k"] == "o", bind(flushed(state["open"], run), state, open_))
+            .otherwise(bind(flushed(state["open"], run), state, close))
         )
 
     zero = make(_empty(_FRAME), no_run, F.lit(0), _empty(_FOUND))
@@ -287,11 +291,11 @@ SPACE, TAB, BAR, CODE_LINE, BREAK, EDGE, LIST = "\x02", "\x03", "\x05", "\x07",
 UNPARK = (Rx(SPACE, " "), Rx(TAB, "\t"), Rx(BAR, "\\|"), Rx(CODE_LINE, ""), Rx(f"[{BREAK}{EDGE}{LIST}]", ""))
 MARKS = {"b": "**", "strong": "**", "i": "_", "em": "_", "del": "~~", "s": "~~", "strike": "~~"}
 
-_TEXT = (Rx(r"<[^>]*>", ""), Rx("(?i) |&nbsp;|&#160;|&#xa0;", " "), Rx(WS + "+", " "))
+_TEXT = (Rx(r"<[^>]*>", ""), Rx("(?i) |&nbsp;|&#160;|&#xa0;", " "), Rx(SPACES, " "))
 _CODE = (Rx(r"<[^>]*>", ""), Rx("\r\n?", "\n"), Rx(" ", SPACE), Rx("\t", TAB))
 # Breaks at the edges of a paragraph go; several are a new paragraph; one is a hard break.
 _PARAGRAPH = (Rx(f"[ \n]*{BREAK}[ \n{BREAK}]*{BREAK}[ \n]*", "\n\n"), Rx(f" *{BREAK} *", f"{SPACE}{SPACE}\n"), Rx(" {2,}", " "))
-_EDGES = (Rx(f"^[ \t\r\n{BREAK}]+", ""), Rx(f"[ \t\r\n{BREAK}]+\\z", ""))
+_EDGES = f" \t\r\n{BREAK}"
 _LINE = (Rx(f"[ \t\r\n{BREAK}{EDGE}{LIST}{SPACE}]+", " "),)
 
 _PART = "struct<k:string,s:string>"
@@ -318,7 +322,7 @@ def _joined(parts: Text) -> Text:
 
 def _blocks(parts: Text, tight: bool = False) -> Text:
     """Blocks and paragraphs between them, blank lines between; ``tight``: none before a list."""
-    paragraph = lambda x: replaced(replaced(x, _EDGES), _PARAGRAPH)
+    paragraph = lambda x: where_found(trimmed(x, _EDGES), _PARAGRAPH)
     whole = F.filter(F.transform(F.split(_joined(parts), EDGE), paragraph), lambda x: (x != "") & (x != LIST))
     gap = lambda x, i: F.when(i == 0, F.lit("")).when(x.startswith(LIST) & F.lit(tight), F.lit("\n")).otherwise(F.lit("\n\n"))
     return let(whole, lambda w: F.array_join(F.transform(w, lambda x, i: F.concat(gap(x, i), F.replace(x, F.lit(LIST), F.lit("")))), ""))
@@ -337,7 +341,7 @@ def _prefixed(text: Text, first: Text, rest: Text) -> Text:
 def _wrapped(text: Text, before: Text, after: Text) -> Text:
     """Marks set next to the text, white space outside of them; blank text has none."""
     lead, trail = F.regexp_extract(text, f"^[ {BREAK}]*", 0), F.regexp_extract(text, f"[ {BREAK}]*\\z", 0)
-    core = replaced(text, _EDGES)
+    core = trimmed(text, _EDGES)
     return F.when(core == "", text).otherwise(F.concat(lead, before, core, after, trail))
 
 
@@ -350,7 +354,7 @@ def _list(node: Text) -> Text:
     start = F.when(node["tag"] == "ol", F.coalesce(F.regexp_extract(_attribute(node["raw"], "start"), "^[0-9]{1,9}$", 0).try_cast("int"), F.lit(1)))
 
     def add(items: Text, p: Text) -> Text:
-        text = replaced(p["s"], _EDGES)
+        text = trimmed(p["s"], _EDGES)
         after = F.concat(F.slice(items, 1, F.size(items) - 1), F.array(F.concat(F.element_at(items, -1), F.lit("\n"), text)))
         return F.when(p["k"] == "m", F.concat(items, F.array(p["s"]))).when(text == "", items).when(F.size(items) == 0, F.array(text)).otherwise(after)
 
@@ -445,9 +449,9 @@ def _rendered(evs: Text) -> Text:
         return F.struct(*[f[x].alias(x) for x in ("id", "parent", "depth", "tag", "raw")], parts.alias("parts"))
 
     def with_parts(stack: Text, more: Text) -> Text:
-        """The stack, its last element with more parts."""
-        n = F.size(stack)
-        return F.transform(stack, lambda f, i: F.when(i == n - 1, node(f, F.concat(f["parts"], more))).otherwise(f))
+        """The stack, its last element with more parts; the others are passed on, not copied."""
+        outer = F.slice(stack, 1, F.size(stack) - 1)
+        return bind(F.element_at(stack, -1), stack, lambda f: F.concat(outer, F.array(node(f, F.concat(f["parts"], more)))))
 
     def make(open: Text, out: Text) -> Text:
         return F.struct(open.alias("open"), out.alias("out"))
@@ -455,7 +459,7 @@ def _rendered(evs: Text) -> Text:
     def step(state: Text, e: Text) -> Text:
         stack, out = state["open"], state["out"]
         in_pre = F.exists(stack, lambda f: f["tag"] == "pre")
-        text = F.when(in_pre, replaced(e["text"], _CODE)).otherwise(replaced(e["text"], _TEXT))
+        text = F.when(in_pre, replaced(e["text"], _CODE)).otherwise(where_found(e["text"], _TEXT))
         box = F.lower(_attribute(e["raw"], "type"))
         alt, src = _attribute(e["raw"], "alt"), _attribute(e["raw"], "src")
         void = (
@@ -475,13 +479,13 @@ def _rendered(evs: Text) -> Text:
                 row = F.struct(f["id"].alias("id"), f["parent"].alias("parent"), f["depth"].alias("depth"), f["tag"].alias("tag"), md.alias("markdown"))
                 return make(with_parts(outer, parts), F.when(f["tag"].isin(*INLINE), out).otherwise(F.concat(out, F.array(row))))
 
-            return let(_closed(f, outer, e["raw"] != ""), given)
+            return bind(_closed(f, outer, e["raw"] != ""), state, given)
 
         return (
             F.when(e["k"] == "t", make(with_parts(stack, _part("i", text)), out))
             .when(e["k"] == "o", make(pushed, out))
             .when(e["k"] == "v", make(with_parts(stack, void), out))
-            .otherwise(let(F.element_at(stack, -1), popped))
+            .otherwise(bind(F.element_at(stack, -1), state, popped))
         )
 
     zero = F.lit(0).cast("int")
