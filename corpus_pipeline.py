@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from mdforge.llm import hamming_join, langid, mixing, queries, repeats, sp_codec
-from mdforge.llm.common import ready
+from mdforge.llm.common import ready, scratch
 
 #: Bytes of a passage that goes where it repeats: some 40 words, so that none of over 50 stays.
 #: Anchors are taken from strings of the second number of bytes.
@@ -68,10 +68,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written to the shared folder and read again."""
+    """All stages over ``documents``, each written to the shared folder and read again;
+    what a stage has settled goes when its rows are written."""
     folder = f"{ready(spark)}/mdforge-pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}-{name}")
         docs = spark.read.parquet(f"{folder}/{k}-{name}")
     return docs
