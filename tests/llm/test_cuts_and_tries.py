@@ -224,3 +224,26 @@ def test_pieces_of_a_large_node(spark, monkeypatch):
 
 def test_new_queries_have_sql():
     assert {"op11_fill_in_middle", "op12_decontamination", "op13_prefix_trie"} <= set(queries.ORACLE) & set(queries.QUERIES)
+
+
+def test_scratch_tables_go(spark):
+    from pathlib import Path
+
+    from mdforge.llm import common, repeats
+
+    folder = Path(common.ready(spark).replace("file:", ""))
+    there = lambda name: len(list(folder.glob(f"mdforge-{name}-*")))
+    kept = common.settle(spark.range(3), "scratch-kept")
+    with common.scratch(spark):
+        inner = common.settle(spark.range(5), "scratch-test")
+        with common.scratch(spark):
+            common.settle(spark.range(6), "scratch-test")
+            assert there("scratch-test") == 2
+        assert there("scratch-test") == 1 and inner.count() == 5
+    assert there("scratch-test") == 0 and kept.count() == 3
+    common.unsettle(kept)
+    assert there("scratch-kept") == 0
+    runs, met = there("runs"), there("met")
+    docs = spark.createDataFrame([(1, "abcdefghij" * 60), (2, "x" + "abcdefghij" * 60)], "doc_id long, text string")
+    assert repeats.repeat_digests(docs).where("n_removed > 0").count() == 2
+    assert there("runs") == runs and there("met") == met + 1

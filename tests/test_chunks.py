@@ -120,3 +120,17 @@ def test_overlap_tail_and_tokens(spark):
                   CH.estimate_tokens(F.lit("abcde")).alias("n")).first()
     assert r.t == ["bb", "c"]
     assert r.z == [] and r.n == 2
+
+
+def test_folds_are_evaluated_once():
+    # An expression that is named several times is evaluated as often: 4 and 30 aggregates before.
+    for fn in (CH.chunk_by_sentence_array, CH.chunk_by_paragraph_array):
+        assert str(fn(F.col("t"))).count("aggregate(") == 2  # the fold, and its step's value
+    assert str(CH.chunk_by_heading_array(F.col("t"))).count("aggregate(") <= 8
+
+
+def test_trim_takes_the_white_space_of_the_pattern(spark):
+    texts = [f"{c}a{c}b{c}" for c in map(chr, [*range(1, 0x300), *range(0x1670, 0x1690), *range(0x1FF0, 0x2070), *range(0x2FF0, 0x3010), 0xFEFF])]
+    df = spark.createDataFrame([(t,) for t in [*texts, "", " 　\n", None]], "t string")
+    pattern = F.regexp_replace("t", "^" + CH.JS_SPACE + "+|" + CH.JS_SPACE + r"+\z", "")
+    assert df.where(~CH._js_trim(F.col("t")).eqNullSafe(pattern)).count() == 0

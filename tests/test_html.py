@@ -206,3 +206,14 @@ def test_block_tree(spark):
     ]
     for _, parent, _, _, post, _ in got:
         assert not parent or post < next(x[4] for x in got if x[0] == parent)
+
+
+def test_states_of_folds_are_not_copied():
+    # transform() copies what its function returns, aggregate() doesn't.
+    from mdforge.functions import dom
+    from mdforge.functions import sqltext as T
+
+    for sql in (dom.rendered(T.col("html")).sql, dom.best_content(T.col("html")).sql):
+        assert "transform(array(named_struct('name'" not in sql
+    parts = dom.rendered(T.col("html")).sql
+    assert not __import__("re").search(r"transform\(\w+\.`open`, \(\w+, \w+\) -> CASE WHEN \(\w+ = \(size", parts)
