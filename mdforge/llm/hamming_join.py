@@ -35,6 +35,9 @@ CHUNKS, WIDTH, ERRORS = 13, 5, 1
 DISTANCE = CHUNKS * (ERRORS + 1) - 1
 #: Classes of a cluster that are compared at a time, on either side.
 BLOCK = 1000
+#: Classes whose keys a task counts: hardly any are equal there, so its table of counts grows
+#: with its rows (65 keys a class, some 50 MB).
+COUNTED = 8_000
 
 _RNG = np.random.default_rng(77)
 _XOR = _RNG.integers(0, 2**32, CHUNKS * WIDTH, dtype=np.uint32)
@@ -192,7 +195,8 @@ def labelled(docs: DataFrame, shingle_words: int, percent: int) -> DataFrame:
     # Settled before it is joined to the rows it comes from: both sides of the join are
     # then plain exchanges, whose hot partitions Spark splits.
     keys = chunk_keys(reps)
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    dealt = reps.repartition(max(1, -(-reps.count() // COUNTED)), "cls")
+    shared = chunk_keys(dealt).groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     members = settle(keys.join(settle(shared, "shared"), "key"), "members")
     meets = settle(members.groupBy("cls").agg(F.sum("n").alias("meets")), "meets")
     # Texts are chosen by their ids alone, a table of few bytes; their sets are then told apart.

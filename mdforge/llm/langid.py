@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mdforge.llm.common import held, map_batches, settle
+from mdforge.llm.common import held, map_batches, ready, settle
 
 #: Labelled texts that fit the model, per language: chosen by a hash of the id.
 FIT_TEXTS = 4_000
@@ -223,6 +223,7 @@ def fit(labelled: DataFrame, model: str, fit_texts: int = FIT_TEXTS, rounds: int
     to expected piece counts, whose sums (pieces x languages) reach the driver.
     """
     spark = labelled.sparkSession
+    ready(spark)  # before the first worker: those of another environment would stay beside
     labelled = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     languages, pieces = sorted(sizes), vocabulary(model)

@@ -7,10 +7,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mdforge.llm import bloom_lm, hamming_join, langid, mixing, repeats, sp_codec, token_counts, toxicity
+from mdforge.llm import bloom_lm, common, hamming_join, langid, mixing, repeats, sp_codec, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -364,3 +365,31 @@ def test_equal_rows_are_mixed_as_often_as_there_are(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = Counter(r.doc_id for r in mixing.mixed_documents(df).collect())
     assert got == Counter({7: 4, 8: 1})
+
+
+def test_keys_are_counted_in_bounded_tasks(docs, rows, monkeypatch):
+    plain, dealt = hamming_join.chunk_keys, []
+    monkeypatch.setattr(hamming_join, "COUNTED", 10)
+    monkeypatch.setattr(hamming_join, "chunk_keys", lambda reps: dealt.append((reps.rdd.getNumPartitions(), reps.count())) or plain(reps))
+    got = hamming_join.near_duplicates(docs, 5).collect()
+    assert any(n == -(-classes // 10) > 1 for n, classes in dealt)
+    want, _ = brute_components(rows, 5, 80)
+    assert key((r.doc_id, r.component_id) for r in got) == key((i, c) for i, _, c in want)
+
+
+def test_readers_get_few_rows_and_workers_give_memory_back(spark, monkeypatch):
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "4096")
+    common.ready(spark)
+    assert spark.conf.get("spark.sql.parquet.columnarReaderBatchSize") == str(common.BATCH_ROWS)
+
+    class Caught:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    trimmed = []
+    monkeypatch.setattr(common, "trim", lambda: trimmed.append(1))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    assert list(common.map_batches(Caught(), lambda b: b, "x long")(iter([batch]))) == [batch]
+    assert trimmed
