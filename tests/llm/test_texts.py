@@ -136,6 +136,21 @@ def test_repeats_equal_brute_force(docs, rows, no_docs, monkeypatch, group):
     assert repeats.repeat_digests(no_docs).count() == 0
 
 
+def test_passages_of_many_words_go_from_400_bytes(spark):
+    """Of passages of 51 to 60 words that two documents share, those of 400 bytes go, shorter ones stay."""
+    rng = np.random.default_rng(11)
+    words = lambda n: " ".join("".join(rng.choice(list("abcdefghijklmnop"), rng.integers(4, 9))) for _ in range(n))
+    passages = [words(60)[:n] for n in (399, 400)] + [words(n) for n in rng.integers(51, 61, 60)]
+    assert all(len(p.split()) > 50 for p in passages)
+    rows = [(2 * k + j, f"{words(40)} {'<['[j]}{p}{'>]'[j]} {words(40)}", None, None) for k, p in enumerate(passages) for j in range(2)]
+    rows += [(1000 + k, words(120), None, None) for k in range(20)]
+    got = repeats.repeat_digests(spark.createDataFrame([(i, t) for i, t, _, _ in rows], "doc_id long, text string"))
+    removed = {r.doc_id: r.n_removed for r in got.collect()}
+    assert {len(p) >= 400 for p in passages[2:]} == {True, False}
+    assert removed == {i: n for i, _, n, _, _ in brute_repeats(rows, 400)}
+    assert all(removed[2 * k + j] == (len(p) if len(p) >= 400 else 0) for k, p in enumerate(passages) for j in range(2))
+
+
 def test_texts_without_repeats(docs, rows):
     left = repeats.without_repeats(docs)
     assert left.columns == docs.columns and left.count() == len(rows)
