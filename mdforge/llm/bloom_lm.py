@@ -32,10 +32,11 @@ from mdforge.llm.langid import held_out
 from mdforge.llm.shingles import mix, text_words
 
 #: Bits that are broadcast at most, growth of the levels, and mu.
-MAX_BITS, BASE, MU = 1 << 30, 1.3, 100.0
+MAX_BITS, BASE, MU = 1 << 30, 1.45, 100.0
 #: Hash functions of the first level, where a false hit makes an n-gram out of nothing (one
-#: in 128), and of the others, where it makes a count a level too large.
-HASHES, HASHES_ABOVE = 7, 3
+#: in 128), of levels 2 and 3, where it makes a count of 1 or 2 larger by 1, and of the others,
+#: where it makes a count a level too large.
+HASHES, HASHES_LOW, HASHES_ABOVE = 7, 5, 4
 #: Bits of a slice of a larger filter, and words and pairs probed by one task.
 SLICE_BITS, PROBED = 1 << 26, 1 << 24
 #: Words whose exact counts are broadcast.
@@ -70,6 +71,12 @@ def count_of(levels: np.ndarray) -> np.ndarray:
     return np.concatenate([[0.0], middle])[np.minimum(levels, len(middle))]
 
 
+def hashes_of(levels: np.ndarray) -> int:
+    """Bits that n-grams of these levels, 1 or more, set in the filter."""
+    low = np.minimum(levels, 3) - 1
+    return HASHES * len(levels) + HASHES_LOW * int(low.sum()) + HASHES_ABOVE * int((levels - 1 - low).sum())
+
+
 def pairs_of(words: np.ndarray) -> np.ndarray:
     """Hashes of the pairs (word before, word) of a text with its end."""
     before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)
@@ -107,7 +114,7 @@ class Filter:
     @staticmethod
     def probes(keys: np.ndarray, q: int, segment: int) -> list[np.ndarray]:
         """Places in a segment of the keys' level ``q``."""
-        n = HASHES if q == 1 else HASHES_ABOVE
+        n = HASHES if q == 1 else HASHES_LOW if q <= 3 else HASHES_ABOVE
         h = mix(keys + np.uint64(q * int(_GOLD) & (1 << 64) - 1))
         step = (h >> np.uint64(32)) | np.uint64(1)
         return [((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * step) % np.uint64(segment) for i in range(n)]
@@ -232,7 +239,7 @@ class Counts:
 
         def entries(b: pa.RecordBatch) -> pa.RecordBatch:
             q = level(np.concatenate([np.frombuffer(x, np.int64) for x in b.column("counts").to_pylist()]))
-            return pa.RecordBatch.from_arrays([pa.array([HASHES * len(q) + HASHES_ABOVE * int((q - 1).sum())], pa.int64())], ["n"])
+            return pa.RecordBatch.from_arrays([pa.array([hashes_of(q)], pa.int64())], ["n"])
 
         both = self.words.union(self.pairs)
         need = map_batches(both.select("counts"), entries, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
