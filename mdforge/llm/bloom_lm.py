@@ -10,26 +10,29 @@ cut by hash into ranges; a range's arrays meet in one task and are added up. The
 has one segment for each range, filled from the range's words and from its pairs.
 The filter grows with the counted n-grams and holds all of them. It is broadcast while it has
 at most ``max_bits``. A larger one stays in slices of consecutive ranges: the distinct words
-and pairs of some texts go to the slices of their hashes once, are probed there, and their
-levels come back. The scores are those that the whole filter would give.
+and pairs of a bundle of texts go to the slices of their hashes once, are probed there, those
+of many bundles together, and their levels come back. A bundle sends one row to a slice, so
+bundles are large: rows grow with bundles times slices. The scores are those that the whole
+filter would give.
 
 Word counts besides are exact: the most frequent words are broadcast, the rest of a
-text's words are joined to the table of counts.
+text's words are joined to the table of counts. Only that rest is probed, and all pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import gc
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mdforge.llm.common import map_batches, release, settle
+from mdforge.llm.common import map_batches, release, settle, trim, unsettle
 from mdforge.llm.langid import held_out
-from mdforge.llm.shingles import mix, text_words
+from mdforge.llm.shingles import column_words, mix
 
 #: Bits that are broadcast at most, growth of the levels, and mu.
 MAX_BITS, BASE, MU = 1 << 30, 1.45, 100.0
@@ -38,13 +41,14 @@ MAX_BITS, BASE, MU = 1 << 30, 1.45, 100.0
 #: where it makes a count a level too large.
 HASHES, HASHES_LOW, HASHES_ABOVE = 7, 5, 4
 #: Bits of a slice of a larger filter, and words and pairs probed by one task.
-SLICE_BITS, PROBED = 1 << 26, 1 << 24
+SLICE_BITS, PROBED = 1 << 26, 1 << 25
 #: Words whose exact counts are broadcast.
 FREQUENT = 1 << 19
 #: n-grams folded at a time in a task, and training tokens for each hash range.
-FOLD, TOKENS_A_RANGE = 2_000_000, 1 << 19
-#: Tokens scored together, and in a row of packed texts.
-SCORED, PACKED = 500_000, 1 << 14
+FOLD, TOKENS_A_RANGE = 4_000_000, 1 << 19
+#: Tokens scored together (their pairs are sorted, and the more there are, the more probes meet
+#: in a segment), and in a row of packed texts; keys probed together.
+SCORED, PACKED, TOGETHER = 1 << 20, 1 << 19, 1 << 16
 _START, _END = np.uint64(0x51ED270B7A2F1D35), np.uint64(0x2545F4914F6CDD1D)
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -77,19 +81,23 @@ def hashes_of(levels: np.ndarray) -> int:
     return HASHES * len(levels) + HASHES_LOW * int(low.sum()) + HASHES_ABOVE * int((levels - 1 - low).sum())
 
 
-def pairs_of(words: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs (word before, word) of a text with its end."""
-    before = np.concatenate([[_START], words[:-1]]).astype(np.uint64)
-    return mix(before * _GOLD + words)
+def pairs_of(tokens: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Hashes of the pairs (token before, token) of texts that begin at ``starts``."""
+    before = np.roll(tokens, 1)
+    before[starts] = _START
+    return mix(before * _GOLD + tokens)
 
 
-def tokens_of(text: str | None) -> np.ndarray:
-    """Word hashes of a text and its end."""
-    return np.append(text_words(text), _END)
-
-
-def _word_key(words: np.ndarray) -> np.ndarray:
-    return mix(words ^ np.uint64(0xC2B2AE3D27D4EB4F))
+def _bundles(column: pa.Array, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Consecutive texts, until they have more than ``most`` tokens: the first's place, the
+    word hashes of each text and its end, and the texts' numbers of tokens."""
+    words, counts = column_words(column)
+    tokens, lengths = np.insert(words, np.cumsum(counts), _END), counts + 1
+    ends, first, at = np.cumsum(lengths), 0, 0
+    while first < len(lengths):
+        last = min(int(np.searchsorted(ends, at + most, "right")), len(lengths) - 1)
+        yield first, tokens[at : ends[last]], lengths[first : last + 1]
+        first, at = last + 1, int(ends[last])
 
 
 def _range(keys: np.ndarray, ranges: int) -> np.ndarray:
@@ -112,39 +120,78 @@ class Filter:
         self.bits, self.ranges, self.segment, self.start = bits, ranges, segment, start
 
     @staticmethod
-    def probes(keys: np.ndarray, q: int, segment: int) -> list[np.ndarray]:
-        """Places in a segment of the keys' level ``q``."""
+    def _places(keys: np.ndarray, q: int, segment: int) -> tuple[int, np.ndarray, np.ndarray]:
+        """Probes of the level ``q``, the first's place in a segment, and the way to the next."""
         n = HASHES if q == 1 else HASHES_LOW if q <= 3 else HASHES_ABOVE
         h = mix(keys + np.uint64(q * int(_GOLD) & (1 << 64) - 1))
-        step = (h >> np.uint64(32)) | np.uint64(1)
-        return [((h & np.uint64(0xFFFFFFFF)) + np.uint64(i) * step) % np.uint64(segment) for i in range(n)]
+        kind = np.uint32 if segment < 1 << 31 else np.uint64  # twice a segment fits
+        own, p, step = kind(segment), (h & np.uint64(0xFFFFFFFF)).astype(kind), (h >> np.uint64(32)).astype(kind) | kind(1)
+        return n, p - p // own * own, step - step // own * own
+
+    @staticmethod
+    def _next(p: np.ndarray, step: np.ndarray, segment: int) -> np.ndarray:
+        p = p + step
+        return np.minimum(p, p - p.dtype.type(segment))  # what falls below 0 is large
+
+    @classmethod
+    def probes(cls, keys: np.ndarray, q: int, segment: int) -> Iterator[np.ndarray]:
+        """Places in a segment of the keys' level ``q``."""
+        n, p, step = cls._places(keys, q, segment)
+        for i in range(n):
+            p = cls._next(p, step, segment) if i else p
+            yield p
 
     def levels(self, keys: np.ndarray) -> np.ndarray:
         """Level of every key: the last one before a probe misses."""
+        return np.concatenate([np.zeros(0, np.int64), *(self._levels(keys[i : i + TOGETHER]) for i in range(0, len(keys), TOGETHER))])
+
+    def _hit(self, at: np.ndarray) -> np.ndarray:
+        return ((self.bits.take(at >> 3) >> (at & 7).astype(np.uint8)) & np.uint8(1)).view(bool)
+
+    def _levels(self, keys: np.ndarray) -> np.ndarray:
         out, left, q = np.zeros(len(keys), np.int64), np.arange(len(keys)), 0
+        first = (_range(keys, self.ranges) - self.start) * self.segment
         while len(left):
             q += 1
-            some, ok = keys[left], np.ones(len(left), bool)
-            first = (_range(some, self.ranges) - self.start).astype(np.uint64) * np.uint64(self.segment)
-            for p in self.probes(some, q, self.segment):
-                at = (first + p).astype(np.int64)
-                ok &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-            left = left[ok]
+            n, p, step = self._places(keys, q, self.segment)
+            ok = self._hit(first + p.astype(np.int64))
+            for i in range(1, n):
+                p = self._next(p, step, self.segment)
+                ok &= self._hit(first + p.astype(np.int64))
+                # Most keys that lack the level have missed by the second probe.
+                if i == n - 1 or i == 1 and np.count_nonzero(ok) < 0.9 * len(ok):
+                    on = np.flatnonzero(ok)
+                    keys, first, left = keys[on], first[on], left[on]
+                    if i < n - 1:
+                        p, step, ok = p[on], step[on], ok[on]
             out[left] = q
             if q > 200:
                 break
         return out
 
 
+def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and how often each occurs."""
+    keys = np.sort(keys)
+    at = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[at], np.diff(at, append=len(keys))
+
+
+def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of several sorted arrays, sorted, with the sums of their counts."""
+    if len(keys) == 1:
+        return keys[0], counts[0].astype(np.int64)
+    k = _counted(np.concatenate(keys))[0]
+    # Each array is in order, so a search begins near the last one's end.
+    n = np.bincount(np.concatenate([np.searchsorted(k, x) for x in keys]), np.concatenate(counts), len(k))
+    return k, n.astype(np.int64)
+
+
 def _folded(docs: DataFrame, ranges: int, pairs: bool) -> DataFrame:
     """(part, keys, counts): a task's n-grams by range, sorted, with their counts."""
 
-    def fold(parts: list[np.ndarray], counts: list[np.ndarray]):
-        k = np.concatenate(parts)
-        keys, at = np.unique(k, return_inverse=True)
-        return keys, np.bincount(at, np.concatenate(counts), len(keys)).astype(np.uint32)
-
     def rows(keys, counts):
+        counts = counts.astype(np.uint32)
         cut = np.searchsorted(_range(keys, ranges), np.arange(ranges + 1))
         own = [(r, squeezed(keys[i:j]), counts[i:j].tobytes()) for r, (i, j) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if i < j]
         for at in range(0, len(own), 64):
@@ -152,38 +199,39 @@ def _folded(docs: DataFrame, ranges: int, pairs: bool) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in some], pa.int32()), pa.array([x[1] for x in some], pa.binary()), pa.array([x[2] for x in some], pa.binary())], ["part", "keys", "counts"])
 
     def run(batches):
-        held, counts, size = [], [], 0
+        held, folded, size = [], [], 0
         for b in batches:
-            for t in b.column("text").to_pylist():
-                w = tokens_of(t)
-                held.append(pairs_of(w) if pairs else w)
-                counts.append(np.ones(len(w), np.uint32))
-                size += len(w)
+            for _, tokens, lengths in _bundles(b.column("text"), FOLD):
+                held.append(pairs_of(tokens, np.cumsum(lengths) - lengths) if pairs else tokens)
+                size += len(tokens)
                 if size >= FOLD:
-                    keys, n = fold(held, counts)
+                    keys, n = _added(*zip(*folded, _counted(np.concatenate(held)), strict=True))
+                    held = []
                     if len(keys) > FOLD // 2:
                         yield from rows(keys, n)
-                        held, counts, size = [], [], 0
+                        folded, size = [], 0
                     else:
-                        held, counts, size = [keys], [n], len(keys)
+                        folded, size = [(keys, n)], len(keys)
         if held:
-            yield from rows(*fold(held, counts))
-        held, counts = [], []
+            folded.append(_counted(np.concatenate(held)))
+        if folded:
+            yield from rows(*_added(*zip(*folded, strict=True)))
+        held, folded = [], []
         release()
 
     return docs.select("text").mapInArrow(run, "part int, keys binary, counts binary")
 
 
 def _merged(folded: DataFrame, ranges: int) -> DataFrame:
-    """(part, keys, counts): one row for each range with the sums of all tasks."""
+    """(part, keys, counts, n): one row for each range with the sums of all tasks, and the bits
+    that its n-grams set in the filter."""
 
     def run(batches):
         part, keys, counts = None, [], []
 
         def out():
-            k, at = np.unique(np.concatenate(keys), return_inverse=True)
-            n = np.bincount(at, np.concatenate(counts), len(k)).astype(np.uint64)
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(k)], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["part", "keys", "counts"])
+            k, n = _added(keys, counts)
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([squeezed(k)], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([hashes_of(level(n))], pa.int64())], ["part", "keys", "counts", "n"])
 
         for b in batches:
             for p, k, n in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
@@ -198,7 +246,8 @@ def _merged(folded: DataFrame, ranges: int) -> DataFrame:
         keys, counts = [], []
         release()
 
-    return folded.repartition(min(ranges, 8192), "part").sortWithinPartitions("part").mapInArrow(run, "part int, keys binary, counts binary")
+    tasks = min(8192, max(min(ranges, 64), ranges // 4))
+    return folded.repartition(tasks, "part").sortWithinPartitions("part").mapInArrow(run, "part int, keys binary, counts binary, n long")
 
 
 class Counts:
@@ -237,12 +286,8 @@ class Counts:
         """
         ranges = self.ranges
 
-        def entries(b: pa.RecordBatch) -> pa.RecordBatch:
-            q = level(np.concatenate([np.frombuffer(x, np.int64) for x in b.column("counts").to_pylist()]))
-            return pa.RecordBatch.from_arrays([pa.array([hashes_of(q)], pa.int64())], ["n"])
-
         both = self.words.union(self.pairs)
-        need = map_batches(both.select("counts"), entries, "n long").agg(F.sum("n").alias("n")).first()["n"] or 0
+        need = both.agg(F.sum("n").alias("n")).first()["n"] or 0
         # 1.45 bits a hash leave half of the bits unset; segments differ a little in load.
         segment = max(1024, (int(need * 1.45) // ranges + 7) // 8 * 8)
 
@@ -251,12 +296,15 @@ class Counts:
                 for p, keys, n in zip(b.column("part").to_pylist(), b.column("keys").to_pylist(), b.column("counts").to_pylist(), strict=True):
                     bits, k, q = np.zeros(segment, bool), unsqueezed(keys), level(np.frombuffer(n, np.int64))
                     for x in range(1, int(q.max()) + 1):
-                        for at in Filter.probes(k[q >= x], x, segment):
+                        k, q = (k, q) if x == 1 else (k[q >= x], q[q >= x])
+                        for at in Filter.probes(k, x, segment):
                             bits[at.astype(np.int64)] = True
                     yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())], ["part", "bits"])
             release()
 
-        return settle(both.mapInArrow(fill, "part int, bits binary"), "segments"), segment
+        segments = settle(both.select("part", "keys", "counts").mapInArrow(fill, "part int, bits binary"), "segments")
+        unsettle(self.words, self.pairs)  # the filter and the table of words have them
+        return segments, segment
 
 
 def whole_filter(segments: DataFrame, ranges: int, segment: int) -> Filter:
@@ -272,88 +320,96 @@ class Texts:
     """Texts scored together: their distinct words, each token's word, and lengths."""
 
     def __init__(self, words: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> None:
-        self.words, self.at = words, at
+        self.words, self.at, self.lengths = words, at, lengths
         self.ends = np.cumsum(lengths)
         self.starts = self.ends - lengths
 
     @classmethod
-    def of(cls, tokens: list[np.ndarray]) -> Texts:
-        return cls(*np.unique(np.concatenate(tokens), return_inverse=True), np.array([len(t) for t in tokens]))
+    def of(cls, tokens: np.ndarray, lengths: np.ndarray) -> Texts:
+        return cls(*np.unique(tokens, return_inverse=True), lengths)
 
     def pairs(self) -> np.ndarray:
         """Every token's pair with the token before."""
-        w = self.words[self.at]
-        before = np.roll(w, 1)
-        before[self.starts] = _START
-        return mix(before * _GOLD + w)
-
-
-def _bundles(texts: list[str | None], most: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Tokens of consecutive texts, until there are more than ``most``, and the first's place."""
-    held, size, first = [], 0, 0
-    for k, t in enumerate(texts):
-        held.append(tokens_of(t))
-        size += len(held[-1])
-        if size > most:
-            yield first, held
-            held, size, first = [], 0, k + 1
-    if held:
-        yield first, held
+        return pairs_of(self.words[self.at], self.starts)
 
 
 class Scorer:
-    """Scores many texts at once: every distinct word and pair is probed once."""
+    """Scores many texts at once: every distinct word is looked up once."""
 
     def __init__(self, frequent: tuple[np.ndarray, np.ndarray], tokens: int, types: int, mu: float) -> None:
         (self.words, self.counts), self.tokens, self.types, self.mu = frequent, tokens, types, mu
 
-    def __call__(self, texts: Texts, levels: Callable[[np.ndarray, bool], np.ndarray]):
-        """For each text: frequent words, sum of log10(count + 1) over them, log10
-        probability of the text, and the hashes of its other words. ``levels`` gives the
-        levels of the texts' distinct words or, if the flag is set, pairs, by hash."""
+    def _found(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = np.minimum(np.searchsorted(self.words, words), max(0, len(self.words) - 1))
+        found = self.words[place] == words if len(self.words) else np.zeros(len(words), bool)
+        return found, self.counts[place[found]]
+
+    def rare(self, texts: Texts) -> np.ndarray:
+        """The texts' distinct words whose counts aren't at hand: the filter has to tell them."""
+        return texts.words[~self._found(texts.words)[0]]
+
+    def __call__(self, texts: Texts, word_levels: np.ndarray, pair_levels: np.ndarray):
+        """For each text: frequent words, sum of log10(count + 1) over them, and log10
+        probability of the text; then the hashes of all texts' other words. Levels are those
+        of the texts' ``rare`` words and of every token's pair."""
         one, at, starts = texts.words, texts.at, texts.starts
-        place = np.minimum(np.searchsorted(self.words, one), max(0, len(self.words) - 1))
-        found = self.words[place] == one if len(self.words) else np.zeros(len(one), bool)
-        logs = np.zeros(len(one))
-        logs[found] = np.log10(self.counts[place[found]] + 1.0)
-        c1 = np.minimum(count_of(levels(one, False)), self.tokens)
-        c1[found] = self.counts[place[found]]  # exact where they are at hand
+        found, exact = self._found(one)
+        logs, c1 = np.zeros(len(one)), np.empty(len(one))
+        logs[found] = np.log10(exact + 1.0)
+        c1[found], c1[~found] = exact, np.minimum(count_of(word_levels), self.tokens)
         c1 = c1[at]
         c_before = np.roll(c1, 1)
         c_before[starts] = c1[texts.ends - 1]  # the start is as frequent as the end, the last token of each text
-        pair, at_pair = np.unique(texts.pairs(), return_inverse=True)
         # A pair is no more frequent than its words.
-        c2 = np.minimum(count_of(levels(pair, True))[at_pair], np.minimum(c_before, c1))
+        c2 = np.minimum(count_of(pair_levels), np.minimum(c_before, c1))
         p = np.log10((c2 + self.mu * (c1 + 1) / (self.tokens + self.types + 1)) / (c_before + self.mu))
         known = found[at]
-        rare = np.split(one[at][~known].view(np.int64), np.cumsum(np.add.reduceat(~known, starts, dtype=np.int64))[:-1])
-        return np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(logs[at], starts), np.add.reduceat(p, starts), rare
+        return np.add.reduceat(known, starts, dtype=np.int64), np.add.reduceat(logs[at], starts), np.add.reduceat(p, starts), one[at[~known]].view(np.int64)
 
 
 _NAMES = ["doc_id", "text_hash", "held_out"]
+_KINDS = (pa.int64(), pa.int64(), pa.bool_())
 _SCORED = "doc_id long, text_hash long, held_out boolean, n_tokens long, n_frequent long, log_frequent double, score double, rare array<long>"
 
 
-def _scored_batch(names: list[pa.Array], lengths: np.ndarray, parts: list[tuple]) -> pa.RecordBatch:
-    frequent, logs, p = (np.concatenate([x[k] for x in parts]) for k in range(3))
-    rare = [r for x in parts for r in x[3]]
-    ends = pa.array(np.cumsum([0, *map(len, rare)], dtype=np.int32))
+def _gathered(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[tuple[list, ...], Texts]]:
+    """Consecutive texts of a task, until they have more than ``most`` tokens, and their names."""
+    names, tokens, lengths, size = ([], [], []), [], [], 0
+    for b in batches:
+        for first, t, n in _bundles(b.column("text"), most):
+            for x, own in zip(_NAMES, names, strict=True):
+                own.extend(b.column(x).slice(first, len(n)).to_pylist())
+            tokens.append(t)
+            lengths.append(n)
+            size += len(t)
+            if size > most:
+                yield names, Texts.of(np.concatenate(tokens), np.concatenate(lengths))
+                names, tokens, lengths, size = ([], [], []), [], [], 0
+    if tokens:
+        yield names, Texts.of(np.concatenate(tokens), np.concatenate(lengths))
+
+
+def _scored_batch(names: list[pa.Array], lengths: np.ndarray, part: tuple) -> pa.RecordBatch:
+    frequent, logs, p, rare = part
+    ends = pa.array(np.concatenate([[0], np.cumsum(lengths - frequent)]), pa.int32())
     out = pa.array(lengths, pa.int64()), pa.array(frequent), pa.array(logs), pa.array(p)
-    return pa.RecordBatch.from_arrays([*names, *out, pa.ListArray.from_arrays(ends, pa.array(np.concatenate(rare)))], [*_NAMES, "n_tokens", "n_frequent", "log_frequent", "score", "rare"])
+    return pa.RecordBatch.from_arrays([*names, *out, pa.ListArray.from_arrays(ends, pa.array(rare))], [*_NAMES, "n_tokens", "n_frequent", "log_frequent", "score", "rare"])
 
 
 def _scored_at_once(docs: DataFrame, model: Filter, scorer) -> DataFrame:
     """Scores with a filter that is broadcast whole."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        model, own, parts, lengths = shared.value, scorer(), [], []
-        for _, tokens in _bundles(b.column("text").to_pylist(), SCORED):
-            parts.append(own(Texts.of(tokens), lambda keys, _: model.levels(keys)))
-            lengths.extend(map(len, tokens))
-        return _scored_batch([b.column(x) for x in _NAMES], np.array(lengths), parts)
+    def run(batches):
+        own = scorer()
+        for names, t in _gathered(batches, SCORED):
+            model = shared.value
+            pair, at = np.unique(t.pairs(), return_inverse=True)
+            part = own(t, model.levels(own.rare(t)), model.levels(pair)[at])
+            yield _scored_batch([pa.array(x, kind) for x, kind in zip(names, _KINDS, strict=True)], t.lengths, part)
+        trim()
 
-    return settle(map_batches(docs, run, _SCORED), "scored")
+    return settle(docs.mapInArrow(run, _SCORED), "scored")
 
 
 def _packed(docs: DataFrame) -> DataFrame:
@@ -361,14 +417,13 @@ def _packed(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         number = TaskContext.get().partitionId() << 32
-        for b in batches:
-            for first, tokens in _bundles(b.column("text").to_pylist(), PACKED):
-                t = Texts.of(tokens)
-                names = [pa.array([b.column(x).slice(first, len(tokens)).to_pylist()], pa.list_(b.column(x).type)) for x in _NAMES]
-                own = pa.array([number], pa.int64()), *names, pa.array([list(map(len, tokens))], pa.list_(pa.int64()))
-                at = t.at.astype(_wide(len(t.words))).view(np.uint8).reshape(len(t.at), -1).T.tobytes()
-                yield pa.RecordBatch.from_arrays([*own, pa.array([squeezed(t.words)], pa.binary()), pa.array([pa.compress(at, "zstd", asbytes=True)], pa.binary())], ["bundle", *_NAMES, "lengths", "words", "at"])
-                number += 1
+        for names, t in _gathered(batches, PACKED):
+            at = t.at.astype(_wide(len(t.words))).view(np.uint8).reshape(len(t.at), -1).T.tobytes()
+            lists = [pa.array([x], pa.list_(kind)) for x, kind in zip((*names, t.lengths), (*_KINDS, pa.int64()), strict=True)]
+            own = [pa.array([number], pa.int64()), *lists, pa.array([squeezed(t.words)], pa.binary()), pa.array([pa.compress(at, "zstd", asbytes=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays(own, ["bundle", *_NAMES, "lengths", "words", "at"])
+            number += 1
+        release()
 
     return docs.mapInArrow(run, "bundle long, doc_id array<long>, text_hash array<long>, held_out array<boolean>, lengths array<long>, words binary, at binary")
 
@@ -377,55 +432,75 @@ def _wide(words: int) -> np.dtype:
     return np.dtype(np.uint16 if words <= 1 << 16 else np.uint32)
 
 
-def _unpacked(words: bytes, at: bytes, lengths: list[int]) -> Texts:
-    words, n = unsqueezed(words), sum(lengths)
+def _unpacked(words: bytes, at: bytes, lengths: np.ndarray) -> Texts:
+    words, n = unsqueezed(words), int(lengths.sum())
     wide = _wide(len(words))
     at = np.frombuffer(pa.decompress(at, n * wide.itemsize, "zstd", asbytes=True), np.uint8)
-    return Texts(words, at.reshape(wide.itemsize, n).T.copy().view(wide).reshape(-1), np.array(lengths))
+    return Texts(words, at.reshape(wide.itemsize, n).T.copy().view(wide).reshape(-1), lengths)
+
 
+def _texts(b: pa.RecordBatch) -> Iterator[Texts]:
+    """The packed texts of every row."""
+    lengths = b.column("lengths")
+    for k, (words, at) in enumerate(zip(b.column("words"), b.column("at"), strict=True)):
+        yield _unpacked(words.as_py(), at.as_py(), lengths[k].values.to_numpy())
 
-def _routed(packed: DataFrame, ranges: int, width: int) -> DataFrame:
-    """(slice, bundle, pair, keys): every bundle's distinct words and pairs by their slices."""
+
+def _routed(packed: DataFrame, ranges: int, width: int, scorer) -> DataFrame:
+    """(slice, bundle, words, keys): every bundle's distinct rare words and pairs by their
+    slices; ``words`` is how many of the keys are words, which come first."""
+    slices = -(-ranges // width)
+    names = ["slice", "bundle", "words", "keys"]
+    types = (pa.int32(), pa.int64(), pa.int32(), pa.binary())
 
     def run(batches):
+        scores = scorer()
         for b in batches:
-            out = ([], [], [], [])
-            for bundle, *x in zip(*(b.column(c).to_pylist() for c in ("bundle", "words", "at", "lengths")), strict=True):
-                t = _unpacked(*x)
-                for pair, keys in ((False, t.words), (True, np.unique(t.pairs()))):
-                    of = _range(keys, ranges) // width
-                    cut = np.nonzero(np.diff(of, prepend=-1))[0]
-                    for i, j in zip(cut, np.append(cut[1:], len(keys)), strict=True):
-                        for c, v in zip(out, (int(of[i]), bundle, pair, squeezed(keys[i:j])), strict=True):
-                            c.append(v)
-            types = (pa.int32(), pa.int64(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["slice", "bundle", "pair", "keys"])
+            for bundle, t in zip(b.column("bundle").to_pylist(), _texts(b), strict=True):
+                both = scores.rare(t), _counted(t.pairs())[0]
+                cuts = [np.searchsorted(_range(x, ranges) // width, np.arange(slices + 1)) for x in both]
+                own = [(s, bundle, int(cuts[0][s + 1] - cuts[0][s]), squeezed(np.concatenate([x[c[s] : c[s + 1]] for x, c in zip(both, cuts, strict=True)]))) for s in np.flatnonzero(sum(np.diff(c) for c in cuts)).tolist()]
+                for at in range(0, len(own), 64):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*own[at : at + 64], strict=True), types, strict=True)], names)
+        release()
 
-    return packed.select("bundle", "words", "at", "lengths").mapInArrow(run, "slice int, bundle long, pair boolean, keys binary")
+    return packed.select("bundle", "words", "at", "lengths").mapInArrow(run, "slice int, bundle long, words int, keys binary")
 
 
-def _noted(packed: DataFrame, segments: DataFrame, ranges: int, segment: int, slice_bits: int, tokens: int) -> DataFrame:
-    """(bundle, pair, slice, levels): the levels of every bundle's words and pairs.
+def _noted(packed: DataFrame, segments: DataFrame, ranges: int, segment: int, slice_bits: int, tokens: int, scorer) -> DataFrame:
+    """(bundle, slice, words, levels): the levels of every bundle's rare words, first, and pairs.
 
     Keys meet the segments of their slice in the slice's tasks. A slice has as many tasks as
-    its keys need, each with a copy of its segments.
+    its keys need, each with a copy of its segments. Keys of many bundles are probed together.
     """
     width = max(1, slice_bits // segment)
     slices = -(-ranges // width)
     copies = max(1, -(-2 * tokens // (slices * PROBED)))
     none = F.lit(None)
     copy = F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy")
-    bits = segments.select(F.floor(F.col("part") / width).cast("int").alias("slice"), copy, "part", "bits", none.cast("long").alias("bundle"), none.cast("boolean").alias("pair"), none.cast("binary").alias("keys"))
-    keys = _routed(packed, ranges, width)
-    keys = keys.select("slice", F.pmod(F.xxhash64("bundle"), F.lit(copies)).cast("int").alias("copy"), none.cast("int").alias("part"), none.cast("binary").alias("bits"), "bundle", "pair", "keys")
+    bits = segments.select(F.floor(F.col("part") / width).cast("int").alias("slice"), copy, "part", "bits", none.cast("long").alias("bundle"), none.cast("int").alias("words"), none.cast("binary").alias("keys"))
+    keys = _routed(packed, ranges, width, scorer)
+    keys = keys.select("slice", F.pmod(F.xxhash64("bundle"), F.lit(copies)).cast("int").alias("copy"), none.cast("int").alias("part"), none.cast("binary").alias("bits"), "bundle", "words", "keys")
     # Segments first: their part isn't null.
     dealt = bits.unionByName(keys).repartition(slices * copies, "slice", "copy").sortWithinPartitions("slice", "copy", F.col("part").isNull())
 
+    names = ["bundle", "slice", "words", "levels"]
+    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+
+    def probed(model, rows):
+        keys = [x[-1] for x in rows]
+        levels = model.levels(np.concatenate(keys)).astype(np.uint8)
+        ends = np.cumsum([len(x) for x in keys])
+        parts = [levels[j - len(x) : j].tobytes() for x, j in zip(keys, ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip((*zip(*(x[:-1] for x in rows), strict=True), parts), types, strict=True)], names)
+
     def run(batches):
-        own, at = None, None
+        own, at, rows, size = None, None, [], 0
         for b in batches:
-            out = ([], [], [], [])
-            for s, c, part, bits, bundle, pair, keys in zip(*(b.column(k).to_pylist() for k in ("slice", "copy", "part", "bits", "bundle", "pair", "keys")), strict=True):
+            for s, c, part, bits, bundle, words, keys in zip(*(b.column(k).to_pylist() for k in ("slice", "copy", "part", "bits", "bundle", "words", "keys")), strict=True):
+                if rows and (size > SCORED or (s, c) != at):
+                    yield probed(own, rows)
+                    rows, size = [], 0
                 if (s, c) != at:
                     at, n = (s, c), min(width, ranges - s * width)
                     own = Filter(np.zeros(segment * n // 8, np.uint8), ranges, segment, s * width)
@@ -433,32 +508,48 @@ def _noted(packed: DataFrame, segments: DataFrame, ranges: int, segment: int, sl
                     i = (part - s * width) * segment // 8
                     own.bits[i : i + segment // 8] |= np.frombuffer(bits, np.uint8)
                 else:
-                    for col, v in zip(out, (bundle, pair, s, own.levels(unsqueezed(keys)).astype(np.uint8).tobytes()), strict=True):
-                        col.append(v)
-            types = (pa.int64(), pa.bool_(), pa.int32(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types, strict=True)], ["bundle", "pair", "slice", "levels"])
-        own = None
+                    rows.append((bundle, s, words, unsqueezed(keys)))
+                    size += len(rows[-1][-1])
+        if rows:
+            yield probed(own, rows)
+        own, rows = None, []
         release()
 
-    return settle(dealt.mapInArrow(run, "bundle long, pair boolean, slice int, levels binary"), "noted")
+    return settle(dealt.mapInArrow(run, "bundle long, slice int, words int, levels binary"), "noted")
+
+
+def _tidy(spark: SparkSession) -> None:
+    """Let the driver forget what has been written: files of its shuffles go when it does."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def _scored_by_slices(docs: DataFrame, segments: DataFrame, ranges: int, segment: int, slice_bits: int, tokens: int, scorer) -> DataFrame:
     """Scores with a filter that stays in slices: slices are in the order of the hashes, so
     their levels, one after the other, are those of the sorted hashes."""
+    spark = docs.sparkSession
+    _tidy(spark)
     packed = settle(_packed(docs), "packed")
-    noted = _noted(packed, segments, ranges, segment, slice_bits, tokens)
-    levels = lambda pair: F.transform(F.filter("notes", lambda x: x["pair"] == F.lit(pair)), lambda x: x["levels"])
-    notes = noted.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("pair", "slice", "levels"))).alias("notes"))
-    notes = notes.select("bundle", levels(False).alias("word_levels"), levels(True).alias("pair_levels"))
-
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        own, parts = scorer(), []
-        for *x, one, two in zip(*(b.column(c).to_pylist() for c in ("words", "at", "lengths", "word_levels", "pair_levels")), strict=True):
-            parts.append(own(_unpacked(*x), lambda _, pair, one=one, two=two: np.frombuffer(b"".join(two if pair else one), np.uint8)))
-        return _scored_batch([b.column(x).flatten() for x in _NAMES], b.column("lengths").flatten().to_numpy(), parts)
-
-    return settle(map_batches(packed.join(notes, "bundle"), run, _SCORED), "scored")
+    noted = _noted(packed, segments, ranges, segment, slice_bits, tokens, scorer)
+    unsettle(segments)
+    _tidy(spark)
+    notes = noted.groupBy("bundle").agg(F.sort_array(F.collect_list(F.struct("slice", F.col("words").alias("n_words"), "levels"))).alias("notes"))
+    notes = notes.select("bundle", F.col("notes.n_words"), F.col("notes.levels"))
+
+    def run(batches):
+        own = scorer()
+        for b in batches:
+            for k, t in enumerate(_texts(b)):
+                n, levels = b.column("n_words")[k].as_py(), b.column("levels")[k].as_py()
+                one, two = (np.frombuffer(b"".join(x), np.uint8) for x in ([x[:i] for i, x in zip(n, levels, strict=True)], [x[i:] for i, x in zip(n, levels, strict=True)]))
+                part = own(t, one, two[np.unique(t.pairs(), return_inverse=True)[1]])
+                yield _scored_batch([b.column(x)[k].values for x in _NAMES], t.lengths, part)
+        release()
+
+    scored = settle(packed.join(notes, "bundle").mapInArrow(run, _SCORED), "scored")
+    unsettle(packed, noted)
+    _tidy(spark)
+    return scored
 
 
 def score(docs: DataFrame, max_bits: int = MAX_BITS, mu: float = MU, slice_bits: int = SLICE_BITS) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from mdforge.llm import bloom_lm, common, hamming_join, langid, mixing, repeats, sp_codec, token_counts, toxicity
+from mdforge.llm import bloom_lm, common, hamming_join, langid, mixing, repeats, shingles, sp_codec, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -233,6 +233,64 @@ def test_lm_scores_of_a_filter_in_slices(docs, spark, monkeypatch):
         assert key(tuple(r) for r in bloom_lm.score(docs, max_bits=0, slice_bits=slice_bits).collect()) == want
 
 
+def test_lm_bundles_grow_and_send_a_slice_one_row(spark):
+    """Rows for the slices are bundles times slices: a bundle goes on through the batches of a
+    task, and its words and pairs go together."""
+    common.ready(spark)
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * k) % 997}" for k in range(40)), i, False) for i in range(2000)], "doc_id long, text string, text_hash long, held_out boolean").coalesce(1)
+    packed = common.settle(bloom_lm._packed(docs), "packed")
+    assert packed.count() == 1 and [sum(r.lengths) for r in packed.collect()] == [2000 * 41]
+    scorer = lambda: bloom_lm.Scorer((np.empty(0, np.uint64), np.empty(0, np.int64)), 1, 1, bloom_lm.MU)
+    routed = bloom_lm._routed(packed, 40, 4, scorer).collect()
+    assert len(routed) == len({r.slice for r in routed}) == 10
+    assert sum(r.words for r in routed) == len({w for i in range(2000) for w in ((i * k) % 997 for k in range(40))}) + 1
+    keys = [bloom_lm.unsqueezed(r["keys"]) for r in routed]
+    assert all((bloom_lm._range(k, 40) // 4 == r.slice).all() for r, k in zip(routed, keys, strict=True))
+
+
+def test_lm_levels_of_many_keys_together(monkeypatch):
+    """Keys probed at once have the levels that each has alone, and all chunks are read."""
+    rng = np.random.default_rng(3)
+    f = bloom_lm.Filter(rng.integers(0, 256, 7 * 1024 // 8, dtype=np.uint8) | np.uint8(0x77), 7, 1024)
+    keys = rng.integers(0, 2**63, 500, dtype=np.uint64) * np.uint64(2)
+    monkeypatch.setattr(bloom_lm, "TOGETHER", 64)
+    got = f.levels(keys)
+    assert got.max() > 3 and got.tolist() == [int(f.levels(keys[i : i + 1])[0]) for i in range(len(keys))] and not len(f.levels(keys[:0]))
+
+
+@pytest.mark.parametrize("segment", [1024, 2996760, (1 << 31) - 8, (1 << 33) + 8])
+def test_lm_probes_are_steps_modulo_the_segment(segment):
+    keys = np.random.default_rng(4).integers(0, 2**63, 200, dtype=np.uint64)
+    for q, n in ((1, bloom_lm.HASHES), (3, bloom_lm.HASHES_LOW), (9, bloom_lm.HASHES_ABOVE)):
+        h = [int(x) for x in bloom_lm.mix(keys + np.uint64(q * int(bloom_lm._GOLD) & (1 << 64) - 1))]
+        want = [[((x & 0xFFFFFFFF) + i * (x >> 32 | 1)) % segment for x in h] for i in range(n)]
+        assert [p.tolist() for p in bloom_lm.Filter.probes(keys, q, segment)] == want
+
+
+def test_lm_sorted_counts_add_up():
+    rng = np.random.default_rng(5)
+    parts = [rng.integers(0, 300, n, dtype=np.uint64) for n in (1000, 1, 50)]
+    folded = [bloom_lm._counted(x) for x in parts]
+    for some in (1, 3):
+        keys, n = bloom_lm._added(*zip(*folded[:some], strict=True))
+        assert dict(zip(keys.tolist(), n.tolist(), strict=True)) == Counter(int(x) for p in parts[:some] for x in p) and (np.diff(keys.astype(np.int64)) > 0).all()
+
+
+def test_words_of_a_column_equal_those_of_its_texts(monkeypatch):
+    rng = np.random.default_rng(6)
+    texts = [None, "", "A b", "B", "b", "", None, " x\ty ", "日本 ÉÀß", "\n", "z" * 200, *("".join(rng.choice(list("aB \n\tß日"), n)) for n in rng.integers(0, 90, 200)), "a b " * 100, ""]
+    want = [shingles.text_words(t) for t in texts]
+    for block, chunk in ((1, 120), (64, 120), (1 << 17, 4 << 20)):
+        monkeypatch.setattr(shingles, "BLOCK", block)
+        monkeypatch.setattr(shingles, "CHUNK", chunk)
+        for kind in (pa.string(), pa.large_string()):
+            for at in (0, 3):
+                words, n = shingles.column_words(pa.array(texts, kind).slice(at))
+                assert n.tolist() == [len(w) for w in want[at:]] and words.tolist() == np.concatenate(want[at:]).tolist()
+    words, n = shingles.column_words(pa.array([], pa.string()))
+    assert not len(words) and not len(n)
+
+
 def test_lm_scores_against_exact_counts(docs, rows):
     """What the filter's quantised counts and false hits change against the same smoothing of
     exact counts: under 0.04 log10 a token on average, under 0.1 in any text of 20 tokens."""
